@@ -43,7 +43,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     start = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     now = materialize(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _fingerprint(now)
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if seen[0] else 1):
+        if not seen[0]:
+            break
         now = materialize(_small_star(_large_star(now)), "edges")
         then, seen = seen, _fingerprint(now)
         if then == seen:
