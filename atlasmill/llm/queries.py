@@ -4,13 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from atlasmill.llm.media import media_digests
 from atlasmill.llm.packing import pack
 from atlasmill.llm.tables import read
+from atlasmill.llm.urlfilter import filter_urls
+from atlasmill.llm.warc import archive_digests
+
+
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(read(spark, sf_dir, "documents"))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digests(read(spark, sf_dir, "pages"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op4_warc, op5_best_fit_packing)}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        k AS (SELECT d, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+               CASE WHEN page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < keep THEN keep END AS refers_to
+        FROM p LEFT JOIN k USING (d)""",
+}
