@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from atlasmill.llm.langid import identify
 from atlasmill.llm.media import media_digests
 from atlasmill.llm.packing import pack
 from atlasmill.llm.tables import read
@@ -27,7 +28,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op4_warc, op5_best_fit_packing)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op4_warc, op5_best_fit_packing, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
