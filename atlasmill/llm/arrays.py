@@ -112,13 +112,20 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
+BLOCK = 1 << 22
+
+
 def minimizers(hashes: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost smallest of each window of w hashes, for up to 2^24 hashes.
+    """Position of the leftmost smallest of each window of w hashes.
 
     Ordering uses the top 40 bits; equal ones go to the leftmost, so the choice depends on window content only.
     """
-    key = (hashes & ~U64(0xFFFFFF)) | np.arange(len(hashes), dtype=U64)
-    return (sliding_min(key, w) & U64(0xFFFFFF)).astype(np.int64)
+    out = np.empty(max(0, len(hashes) - w + 1), dtype=np.int64)
+    for at in range(0, len(out), BLOCK):
+        part = hashes[at : at + BLOCK + w - 1]
+        key = (part & ~U64(0xFFFFFF)) | np.arange(len(part), dtype=U64)
+        out[at : at + BLOCK] = (sliding_min(key, w) & U64(0xFFFFFF)).astype(np.int64) + at
+    return out
 
 
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

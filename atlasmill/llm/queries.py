@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from atlasmill.llm.langid import identify
 from atlasmill.llm.media import media_digests
 from atlasmill.llm.packing import pack
+from atlasmill.llm.substring import substring_dedup
 from atlasmill.llm.tables import read
 from atlasmill.llm.urlfilter import filter_urls
 from atlasmill.llm.warc import archive_digests
@@ -28,12 +29,32 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op4_warc, op5_best_fit_packing, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op4_warc, op5_best_fit_packing, op8_substring_dedup, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {
+    "op8_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word
+            FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM documents)),
+        g AS (
+            SELECT *, string_agg(word, ' ') OVER s AS gram, count(*) OVER s AS n
+            FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+        m AS (SELECT *, n = 13 AND min(CASE WHEN n = 13 THEN doc_id END) OVER (PARTITION BY gram) < doc_id AS hit FROM g),
+        r AS (
+            SELECT *, bool_or(coalesce(hit, false)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM m),
+        k AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+                   sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept
+            FROM r GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(kept, sha256('')) AS kept_sha256
+        FROM documents d LEFT JOIN k USING (doc_id)""",
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         k AS (SELECT d, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY d)
