@@ -8,6 +8,7 @@ from atlasmill.llm.langid import identify
 from atlasmill.llm.media import media_digests
 from atlasmill.llm.packing import pack
 from atlasmill.llm.substring import substring_dedup
+from atlasmill.llm.suffix import repeated_bytes_removed
 from atlasmill.llm.tables import read
 from atlasmill.llm.urlfilter import filter_urls
 from atlasmill.llm.warc import archive_digests
@@ -21,6 +22,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes_removed(read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(read(spark, sf_dir, "pages"))
 
@@ -37,7 +42,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op4_warc, op5_best_fit_packing, op8_substring_dedup, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op3_suffix_array_dedup, op4_warc, op5_best_fit_packing, op8_substring_dedup, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": r"""
         WITH w AS (
