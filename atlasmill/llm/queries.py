@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from atlasmill.llm.jaccard import jaccard_groups
 from atlasmill.llm.langid import identify
 from atlasmill.llm.media import media_digests
 from atlasmill.llm.packing import pack
@@ -42,7 +43,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op3_suffix_array_dedup, op4_warc, op5_best_fit_packing, op8_substring_dedup, op9_language_id)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op3_suffix_array_dedup, op4_warc, op5_best_fit_packing, op8_substring_dedup, op9_language_id, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": r"""
         WITH w AS (
