@@ -153,50 +153,63 @@ def train(docs: DataFrame) -> ByteNet | None:
     return net
 
 
-def predict(docs: DataFrame, net: ByteNet | None, keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score to the columns in keep (default doc_id), from text alone.
+def classify(net: ByteNet | None, texts: list[bytes | None], letters: list[bool]) -> tuple[list[str], list[float]]:
+    """Language and score of each text; 'und' and 0 where it has no letter, or nothing was learned."""
+    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    rows = [i for i in range(len(texts)) if letters[i] and net is not None]
+    at = 0
+    while at < len(rows):
+        group, size = [], 0
+        while at < len(rows) and size < 1 << 16:
+            group.append(rows[at])
+            size += len(texts[rows[at]])
+            at += 1
+        sizes = np.array([len(texts[i]) for i in group])
+        counts = -(-sizes // WINDOW)
+        x = np.concatenate([windows_of(texts[i]) for i in group])
+        prob = np.concatenate([net.probabilities(x[k : k + 256]) for k in range(0, len(x), 256)])
+        first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        weight = np.full(len(x), WINDOW, dtype=np.float64)
+        weight[first + counts - 1] = sizes - (counts - 1) * WINDOW
+        mean = np.add.reduceat(prob * weight[:, None], first) / sizes[:, None]
+        best = mean.argmax(axis=1)
+        for i, b, s in zip(group, best, mean[np.arange(len(best)), best]):
+            names[i], scores[i] = net.languages[b], min(1.0, float(s))
+    return names, scores
+
+
+LETTERS = r"coalesce(text rlike '\\p{L}', false)"
 
-    A null text or one without a letter is 'und' with score 0, as is every text if there is no network.
+
+def identify(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row, from text alone.
+
+    A null text or one without a letter is 'und' with score 0, as is every text if no row is labelled. Extra columns
+    are ignored, repeated rows stay, an empty table gives no rows.
     """
-    keep = keep or ["doc_id"]
-    small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(net)
-    letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema) + ", lang_pred string, score double"
-
-    def classify(batches):
-        known = model.value
-        if known is not None:
-            known.compile()
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(train(docs))
+
+    def run(batches):
+        net = held.value.compile() if held.value is not None else None
         for batch in batches:
-            texts = batch.column(batch.num_columns - 2).cast(pa.binary()).to_pylist()
-            letter = batch.column(batch.num_columns - 1).to_pylist()
-            names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            rows = [i for i in range(len(texts)) if letter[i] and known is not None]
-            group, at = [], 0
-            while at < len(rows):
-                group, size = [], 0
-                while at < len(rows) and size < 1 << 16:
-                    group.append(rows[at])
-                    size += len(texts[rows[at]])
-                    at += 1
-                sizes = np.array([len(texts[i]) for i in group])
-                counts = -(-sizes // WINDOW)
-                x = np.concatenate([windows_of(texts[i]) for i in group])
-                prob = np.concatenate([known.probabilities(x[k : k + 256]) for k in range(0, len(x), 256)])
-                first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-                weight = np.full(len(x), WINDOW, dtype=np.float64)
-                weight[first + counts - 1] = sizes - (counts - 1) * WINDOW
-                mean = np.add.reduceat(prob * weight[:, None], first) / sizes[:, None]
-                best = mean.argmax(axis=1)
-                for i, b, s in zip(group, best, mean[np.arange(len(best)), best]):
-                    names[i], scores[i] = known.languages[b], min(1.0, float(s))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=[*batch.schema.names[:-2], "lang_pred", "score"])
-
-    return docs.select(*keep, F.col("text").alias("__text"), letters.alias("__letter")).mapInArrow(classify, schema)
+            names, scores = classify(net, batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
+    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text", F.expr(LETTERS).alias("letters"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
-def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row; extra columns are ignored, repeated rows stay, an empty table gives none."""
-    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    return predict(rows, train(docs), ["doc_id", "held_out"])
+
+def of_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents with a predicted language whose score is at least `least`, in their own columns."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def run(batches):
+        net = held.value.compile() if held.value is not None else None
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index("text")).cast(pa.binary()).to_pylist()
+            names, scores = classify(net, texts, batch.column(batch.num_columns - 1).to_pylist())
+            keep = pa.array([n != "und" and s >= least for n, s in zip(names, scores)], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(keep)
+
+    return docs.select("*", F.expr(LETTERS).alias("__letters")).mapInArrow(run, docs.schema)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from atlasmill.llm.decontam import leaks
 from atlasmill.llm.jaccard import jaccard_groups
 from atlasmill.llm.langid import identify
 from atlasmill.llm.media import media_digests
 from atlasmill.llm.packing import pack
+from atlasmill.llm.quality import quality_posteriors
 from atlasmill.llm.substring import substring_dedup
 from atlasmill.llm.suffix import repeated_bytes_removed
 from atlasmill.llm.tables import read
@@ -35,6 +37,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_posteriors(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"))
 
@@ -47,7 +57,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op3_suffix_array_dedup, op4_warc, op5_best_fit_packing, op8_substring_dedup, op9_language_id, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op3_suffix_array_dedup, op4_warc, op5_best_fit_packing, op6_quality_classifier, op7_benchmark_decontamination, op8_substring_dedup, op9_language_id, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": r"""
         WITH w AS (

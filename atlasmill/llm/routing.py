@@ -72,11 +72,11 @@ def document_bucket(did: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
     return ((did % n + th.astype(np.int64) % n) % n).astype(np.int32)
 
 
-def keyed(docs: DataFrame, n: int) -> DataFrame:
-    """bucket, doc_id, did, th, text: did stands for a null id as the largest number; th tells rows of one id apart by text."""
+def keyed(docs: DataFrame, n: int, *more: str) -> DataFrame:
+    """bucket, doc_id, did, th, text and more columns: did stands for a null id as the largest number; th tells rows of one id apart by text."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did.alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF).alias("th"), "text")
-    return rows.select(((F.pmod("did", F.lit(n)) + F.pmod("th", F.lit(n))) % n).cast("int").alias("bucket"), "doc_id", "did", "th", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did.alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF).alias("th"), "text", *more)
+    return rows.select(((F.pmod("did", F.lit(n)) + F.pmod("th", F.lit(n))) % n).cast("int").alias("bucket"), "doc_id", "did", "th", "text", *more)
 
 
 def by_bucket(routed: DataFrame, work: Callable[[dict[int, list[bytes]]], list[tuple[int, int, bytes]]]) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasmill.llm.arrays import byte_parts, cover, gram_hashes, minimizers, mix64, odd_numbers, word_hashes, words_of
+from atlasmill.llm.arrays import byte_parts, cover, gram_hashes, minimizers, mix64, odd_numbers, runs_of, word_hashes, words_of
 from atlasmill.llm.routing import ROUTED, Finder, Pack, batches_of, buckets, by_bucket, document_bucket, keyed, with_documents
 from atlasmill.llm.tables import small_batches
 from atlasmill.session import materialize
@@ -85,13 +85,13 @@ def _send(found: list[dict[str, np.ndarray]], n_keys: int, n_docs: int) -> list:
     return rows + CONTEXTS.split(part, (part["seed"] % np.uint64(n_keys)).astype(np.int32), CONTEXT)
 
 
-def find_contexts(rows: DataFrame, n_keys: int, n_docs: int) -> DataFrame:
+def find_contexts(rows: DataFrame, n_keys: int, n_docs: int, length: int) -> DataFrame:
     def run(batches):
         found, size = [], 0
         for batch in batches:
             did, th = batch.column("did").to_numpy(), batch.column("th").to_numpy()
             for at, buf, offsets in byte_parts(batch.column("text"), 1 << 20):
-                got = seed_contexts(buf, offsets)
+                got = seed_contexts(buf, offsets, length)
                 row = got.pop("row") + at
                 found.append(got | {"did": did[row], "th": th[row]})
                 size += len(row)
@@ -134,7 +134,7 @@ def _routed_table(rows: list) -> pa.Table:
     return pa.Table.from_batches(list(batches_of(rows, 1 << 30)), schema=schema)
 
 
-def extend(docs: DataFrame, asked: DataFrame, n_keys: int) -> DataFrame:
+def extend(docs: DataFrame, asked: DataFrame, n_keys: int, length: int) -> DataFrame:
     """Hashes of the windows on both sides of the asked seeds."""
 
     def work(table, got):
@@ -150,7 +150,7 @@ def extend(docs: DataFrame, asked: DataFrame, n_keys: int) -> DataFrame:
         texts = table["text"].combine_chunks().cast(pa.binary()) if picked else None
         for at, buf, offsets in byte_parts(texts.take(pa.array([i for _, i in picked])), 1 << 20) if picked else ():
             starts, ends, rows = words_of(buf, offsets)
-            windows = gram_hashes(word_hashes(buf, starts, ends), LENGTH, 22)
+            windows = gram_hashes(word_hashes(buf, starts, ends), length, 22)
             base = np.searchsorted(rows, np.arange(len(offsets)))
             for r in range(len(offsets) - 1):
                 (did, th), _ = picked[at + r]
@@ -176,44 +176,44 @@ def meet_on_windows(routed: DataFrame, n_docs: int) -> DataFrame:
     return by_bucket(routed, work)
 
 
-def removed_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def removed_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """keyed() documents and the routed spans of windows that a smaller document has."""
     spark = docs.sparkSession
     small_batches(spark)
     n_keys, n_docs = buckets(spark), buckets(spark, 8)
     rows = keyed(docs, n_docs)
-    met = materialize(meet_on_seeds(find_contexts(rows, n_keys, n_docs), n_docs), "seeds")
-    windows = extend(rows.where("text is not null"), met.where(f"kind = {REQUEST}"), n_keys)
+    met = materialize(meet_on_seeds(find_contexts(rows, n_keys, n_docs, length), n_docs), "seeds")
+    windows = extend(rows.where("text is not null"), met.where(f"kind = {REQUEST}"), n_keys, length)
     more = meet_on_windows(windows, n_docs)
     return rows, met.where(f"kind = {SPAN}").union(more)
 
 
-def _masks(table: pa.Table, got: dict[int, list[bytes]]):
+def _masks(table: pa.Table, got: dict[int, list[bytes]], length: int):
     """(row, words, removed mask or None) of every document of a bucket."""
     spans = SPANS.load(got.get(SPAN, []))
     groups = Finder(table).groups(spans["did"], spans["th"])
     for i, (did, th, text) in enumerate(zip(table["did"].to_pylist(), table["th"].to_pylist(), table["text"].cast(pa.binary()).to_pylist())):
         words = (text or b"").split()
         mine = groups.get((did, th))
-        gone = None if mine is None else cover(len(words), spans["pos"][mine].astype(np.int64), spans["pos"][mine].astype(np.int64) + spans["n"][mine] + (LENGTH - 1))
+        gone = None if mine is None else cover(len(words), spans["pos"][mine].astype(np.int64), spans["pos"][mine].astype(np.int64) + spans["n"][mine] + (length - 1))
         yield i, words, gone
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row.
 
     Null texts have no words. A null id counts as larger than any other; rows with one id never remove each
     other's words. Repeated rows give repeated rows; an empty table gives none; extra columns are ignored.
     """
-    rows, spans = removed_words(docs)
+    rows, spans = removed_words(docs, length)
 
     def work(table, got):
         out = []
         ids = table["doc_id"].to_pylist()
-        for i, words, gone in _masks(table, got):
+        for i, words, gone in _masks(table, got, length):
             kept = words if gone is None else compress(words, ~gone)
             out.append((ids[i], len(words), 0 if gone is None else int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -223,43 +223,43 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     return with_documents(rows, spans, work, RESULT)
 
 
-def cut_repeats(docs: DataFrame, least_words: int = 5) -> DataFrame:
-    """The documents with repeated passages cut out of text, in their own columns; n_chars, if there, is counted again.
+def cut_repeats(docs: DataFrame, length: int = 50, least_words: int = 5) -> DataFrame:
+    """The documents, without passages of at least `length` words that a document with a smaller id has, in their own columns.
 
-    The rest of a text stays as it was, white space included. Documents whose words are all kept are unchanged; ones
-    left with fewer than least_words words, but not before, go.
+    n_chars, if there, is counted again where a text changed. The rest of a text stays as it was, white space
+    included. Documents left with fewer than least_words words, but not before, go. Edge cases as in substring_dedup.
     """
-    rows, spans = removed_words(docs)
+    rows, spans = removed_words(docs, length)
+    names = docs.columns
+    others = [c for c in names if c != "text"]
+    carried = F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")
+    n = buckets(docs.sparkSession, 8)
+    full = docs.select("doc_id", "text", carried)
+    key = keyed(full, n, "rest")
 
     def work(table, got):
-        out = []
-        for i, words, gone in _masks(table, got):
+        texts, keep, changed = table["text"].to_pylist(), np.ones(len(table), dtype=bool), {}
+        for i, words, gone in _masks(table, got, length):
             if gone is None:
                 continue
             if (~gone).sum() < least_words <= len(words):
-                out.append((table["did"][i].as_py(), table["th"][i].as_py(), None))
+                keep[i] = False
                 continue
-            data = table["text"][i].as_py().encode()
-            starts, ends, _ = words_of(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-            keep, at = [], 0
-            for a, b in zip(edge[::2], edge[1::2]):
-                keep.append(data[at : starts[a]])
+            data = texts[i].encode()
+            starts, _, _ = words_of(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
+            kept, at = [], 0
+            for a, b in zip(*runs_of(gone)):
+                kept.append(data[at : starts[a]])
                 at = starts[b] if b < len(starts) else len(data)
-            keep.append(data[at:])
-            out.append((table["did"][i].as_py(), table["th"][i].as_py(), b"".join(keep).decode("utf-8", "replace")))
-        schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("new_text", pa.string())])
-        return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], type=f.type) for f in schema], schema=schema)
-
-    changed = with_documents(rows, spans, work, "did long, th long, new_text string").groupBy("did", "th").agg(F.first("new_text").alias("new_text"), F.lit(True).alias("changed"))
-    key = keyed(docs, 1)
-    extra = [c for c in docs.columns if c not in ("text", "n_chars")]
-    full = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__did"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF).alias("__th"))
-    del key
-    joined = full.join(changed, (F.col("__did") == F.col("did")) & (F.col("__th") == F.col("th")), "left")
-    text = F.when(F.col("changed"), F.col("new_text")).otherwise(F.col("text"))
-    joined = joined.where("changed is null or new_text is not null").withColumn("__text", text)
-    pick = {c: F.col(c) for c in extra} | {"text": F.col("__text")}
-    if "n_chars" in docs.columns:
-        pick["n_chars"] = F.when(F.col("changed"), F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.select(*[pick[c].alias(c) for c in docs.columns])
+            kept.append(data[at:])
+            changed[i] = texts[i] = b"".join(kept).decode("utf-8", "replace")
+        rest = table["rest"].combine_chunks()
+        columns = {c: rest.field(j) for j, c in enumerate(others)} | {"text": pa.array(texts, type=pa.string())}
+        if changed and "n_chars" in columns:
+            counts = columns["n_chars"].to_pylist()
+            for i, text in changed.items():
+                counts[i] = len(text)
+            columns["n_chars"] = pa.array(counts, type=columns["n_chars"].type)
+        return pa.table([columns[c] for c in names], names=names).filter(pa.array(keep))
+
+    return with_documents(key, spans, work, docs.schema)
