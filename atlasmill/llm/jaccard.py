@@ -317,7 +317,7 @@ def linked_forest(sets: list[np.ndarray], least: Fraction) -> list[tuple[int, in
 def find_links(rows: DataFrame, info: DataFrame, edges: DataFrame, n_docs: int, k: int, least: Fraction, chunk: int) -> DataFrame:
     """(src, dst) digests of a forest of links among the candidate groups."""
     spark = rows.sparkSession
-    n_keys = buckets(spark)
+    n_keys = buckets(spark, 2)
     groups = connected_components(edges)
     place = info.groupBy("digest").agg(F.min(F.struct("did", "th")).alias("at"))
     parts = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("parts"))
@@ -377,7 +377,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, least: Fraction = LE
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n_keys, n_docs = buckets(spark), buckets(spark, 8)
+    n_keys, n_docs = buckets(spark, 2), buckets(spark)
     rows = keyed(docs, n_docs)
     met = materialize(meet_on_signs(find_signs(rows, n_keys, shingle, least)), "signs")
     info = unpack(met, INFO, INFOS, "did long, th long, n long, digest long")

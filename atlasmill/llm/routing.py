@@ -63,7 +63,8 @@ def batches_of(rows: list[tuple[int, int, bytes]], limit: int = 4 << 20) -> Iter
         at = end
 
 
-def buckets(spark: SparkSession, times: int = 4) -> int:
+def buckets(spark: SparkSession, times: int = 1) -> int:
+    """Few times the shuffle partitions: a task's packed rows are as many as the buckets it writes to."""
     return times * parallelism(spark)
 
 

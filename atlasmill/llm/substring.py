@@ -180,7 +180,7 @@ def removed_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """keyed() documents and the routed spans of windows that a smaller document has."""
     spark = docs.sparkSession
     small_batches(spark)
-    n_keys, n_docs = buckets(spark), buckets(spark, 8)
+    n_keys, n_docs = buckets(spark, 2), buckets(spark)
     rows = keyed(docs, n_docs)
     met = materialize(meet_on_seeds(find_contexts(rows, n_keys, n_docs, length), n_docs), "seeds")
     windows = extend(rows.where("text is not null"), met.where(f"kind = {REQUEST}"), n_keys, length)
@@ -233,7 +233,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, least_words: int = 5) -> Data
     names = docs.columns
     others = [c for c in names if c != "text"]
     carried = F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")
-    n = buckets(docs.sparkSession, 8)
+    n = buckets(docs.sparkSession)
     full = docs.select("doc_id", "text", carried)
     key = keyed(full, n, "rest")
 

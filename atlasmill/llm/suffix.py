@@ -290,7 +290,7 @@ def repeated_bytes_removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n_keys, n_docs = buckets(spark), buckets(spark, 8)
+    n_keys, n_docs = buckets(spark, 2), buckets(spark)
     rows = keyed(docs, n_docs)
     met = materialize(meet_on_anchors(find_contexts(rows, n_keys, n_docs), n_keys, n_docs, hot), "anchors")
     more = compare(fetch(rows.where("text is not null"), met.where(f"kind = {REQUEST}"), n_keys), n_docs)
