@@ -13,7 +13,7 @@ Equal sets are one node throughout, so copies never pair up with each other.
 from __future__ import annotations
 
 from fractions import Fraction
-from math import ceil
+from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
@@ -60,42 +60,52 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     return row[new], value[new]
 
 
-def size_labels(most: int, least: Fraction) -> list[int]:
-    """Lower bounds of size classes, each 1.6 times the last."""
+def size_labels(most: int) -> list[int]:
+    """Lower bounds of size classes, each a quarter larger than the last: a linked pair is in one class or two adjacent ones."""
     bounds = [1]
     while bounds[-1] <= most:
-        bounds.append(max(bounds[-1] + 1, ceil(bounds[-1] * 1.6)))
+        bounds.append(max(bounds[-1] + 1, ceil(bounds[-1] * 1.25)))
     return bounds
 
 
-def range_plan(bounds: list[int], label: int, least: Fraction) -> tuple[int, int]:
-    """Number of ranges for pairs whose larger set is in class `label`, and how many of them may be empty."""
+def range_plan(bounds: list[int], label: int, least: Fraction) -> tuple[int, int, int]:
+    """For pairs whose larger set is in class `label`: number of ranges, how many of them may be thin, shingles of a full one.
+
+    A range with fewer than two shingles says little, as common lines fill it; large sets do without such ranges.
+    """
     top = bounds[label + 1] - 1
     differ = int(2 * top * (1 - least) / (1 + least))
-    spare = max(2, min(4, differ))
-    return (differ + 1 + spare, spare) if differ else (0, 0)
+    if not differ:
+        return 0, 0, 1
+    full = 2 if top >= 48 else 1
+    low, spare = float(least) * bounds[label], 2.0
+    for _ in range(12):
+        m = differ + 1 + ceil(spare)
+        mean = low / m
+        thin = m * exp(-mean) * (1 + mean * (full - 1))
+        spare = max(2.0, thin + 2.5 * thin**0.5)
+        if spare > differ + 4:
+            spare = differ + 4
+    return differ + 1 + ceil(spare), ceil(spare), full
 
 
 def range_signs(row: np.ndarray, value: np.ndarray, n_rows: int, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) for every non-empty range of every set, under its own size class and the next where it can reach that.
+    """(row, signature) for every full range of every set, under its own size class and the next where it can reach that.
 
-    A set with more empty ranges than the plan spares also signs the emptiness itself: the range a partner is
-    guaranteed to share may then be an empty one.
+    A set with more thin ranges than the plan spares also signs that fact: the range a partner is guaranteed to
+    share may then be a thin one.
     """
     size = np.bincount(row, minlength=n_rows)
-    bounds = size_labels(int(size.max(initial=1)) * 2, least)
+    bounds = size_labels(int(size.max(initial=1)) * 2)
+    plans = np.array([range_plan(bounds, i, least) if i + 1 < len(bounds) else (0, 0, 1) for i in range(len(bounds))])
+    reach = np.array([-(-least.numerator * b // least.denominator) for b in bounds])
     own = np.searchsorted(bounds, size, side="right") - 1
-    mixed = mix64(value)
-    total = np.concatenate(([U64(0)], np.cumsum(mixed, dtype=U64)))
-    rows, signs = [], []
+    total = np.concatenate(([U64(0)], np.cumsum(mix64(value), dtype=U64)))
+    rows, signs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=U64)]
     for up in (0, 1):
-        label = own + up
-        used = size > 0
-        if up:
-            used &= size >= np.array([float(least * b) for b in bounds])[np.minimum(label, len(bounds) - 1)] - 1e-9
-        plans = [range_plan(bounds, i, least) if i + 1 < len(bounds) else (0, 0) for i in range(len(bounds))]
-        m = np.where(used, np.array([p[0] for p in plans])[np.minimum(label, len(bounds) - 1)], 0)
-        spare = np.array([p[1] for p in plans])[np.minimum(label, len(bounds) - 1)]
+        label = np.minimum(own + up, len(bounds) - 1)
+        used = (size > 0) & (size >= reach[label])
+        m, spare, full = (np.where(used, plans[label, j], 0) for j in range(3))
         at = np.flatnonzero(m[row] > 0)
         if not len(at):
             continue
@@ -105,15 +115,16 @@ def range_signs(row: np.ndarray, value: np.ndarray, n_rows: int, least: Fraction
         new[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
         first = np.flatnonzero(new)
         stop = np.append(first[1:], len(at))
+        keep = stop - first >= full[r[first]]
+        first, stop = first[keep], stop[keep]
         sums = total[at[stop - 1] + 1] - total[at[first]]
         tag = label[r[first]].astype(U64) * U64(0x9E3779B97F4A7C15) + part[first] * U64(0xD6E8FEB86659FD93)
         rows.append(r[first])
         signs.append(mix64(sums ^ mix64(tag)))
-        filled = np.bincount(r[first], minlength=n_rows)
-        bare = np.flatnonzero((m > 0) & (m - filled > spare))
+        bare = np.flatnonzero((m > 0) & (m - np.bincount(r[first], minlength=n_rows) > spare))
         rows.append(bare)
         signs.append(mix64(label[bare].astype(U64) + U64(0xABCDEF)))
-    return (np.concatenate(rows), np.concatenate(signs)) if rows else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64))
+    return np.concatenate(rows), np.concatenate(signs)
 
 
 def set_digests(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
