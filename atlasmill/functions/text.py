@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Turkish capitals and their small letters; small letters and their ASCII forms.
 TR_UPPER, TR_LOWER = "İIŞĞÜÖÇ", "iışğüöç"
@@ -34,7 +35,7 @@ def squeeze(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, "(?U)\\s+", " ")), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     def one(x):
         return None if x is None else unicodedata.normalize("NFC", html.unescape(x))
@@ -101,7 +102,7 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _lcs(x, y) for x, y in zip(a, b)], dtype="Int32")
 

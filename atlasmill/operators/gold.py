@@ -67,7 +67,7 @@ def merge_log(places: DataFrame) -> DataFrame:
 def run_report(places: DataFrame, scores: DataFrame, queued: DataFrame, discarded: DataFrame) -> DataFrame:
     """Counters of one run in one row."""
     by_source = places.agg(F.count("*").alias("normalized"), *[F.count_if(F.col("source") == s).alias(f"from_{s}") for s in ("osm", "wikidata", "bizizmir")])
-    sizes = scores.agg(F.count_if("members = 1").alias("singletons"), F.count_if("members > 1").alias("merged"))
+    sizes = scores.agg(F.count_if(F.col("members") == 1).alias("singletons"), F.count_if(F.col("members") > 1).alias("merged"))
     return by_source.crossJoin(sizes).crossJoin(queued.agg(F.count("*").alias("queued"))).crossJoin(discarded.agg(F.count("*").alias("discarded")))
 
 

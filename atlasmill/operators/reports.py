@@ -52,7 +52,7 @@ def retention(events: DataFrame, offsets: tuple[int, ...] = (1, 7, 30)) -> DataF
     days = events.select("user_id", F.to_date("ts").alias("day")).distinct()
     first = days.groupBy("user_id").agg(F.min("day").alias("cohort"))
     joined = days.join(first, "user_id").withColumn("age", F.datediff("day", "cohort"))
-    return joined.groupBy("cohort").agg(F.count_if("age = 0").alias("users"), *[F.count_if(F.col("age") == n).alias(f"d{n}") for n in offsets])
+    return joined.groupBy("cohort").agg(F.count_if(F.col("age") == 0).alias("users"), *[F.count_if(F.col("age") == n).alias(f"d{n}") for n in offsets])
 
 
 def funnel(events: DataFrame, steps: tuple[str, ...]) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atlasmill.config import DEFAULT, Params
 from atlasmill.functions.geo import category_score, geo_score, geohash_encode, grid, haversine_m, neighbour_cells
@@ -55,7 +56,7 @@ def _ratio(a: str, b: str) -> float:
     return max(best, 200.0 * len(both) / (len(both) + min(la, lb))) if both else best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _best_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else max((_ratio(p, q) for p in x for q in y), default=0.0) for x, y in zip(a, b)], dtype="float64")
 
