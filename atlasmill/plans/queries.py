@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from atlasmill.config import BOUNDARY, DEFAULT, Box
 from atlasmill.functions import categories, geo, hours, text
@@ -542,6 +543,6 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = jobs.read_events(spark, copy, schema).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("scope"), (F.col("user_id") % 10).cast("string").alias("client"))
     rates = jobs.request_rates(events, "1 day", "0 seconds")
     jobs.run_available(rates, lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch={n}"), "complete")
-    latest = spark.read.schema(rates.schema.add("batch", "int")).parquet(sink)
+    latest = spark.read.schema(StructType([*rates.schema.fields, StructField("batch", IntegerType())])).parquet(sink)
     top = latest.agg(F.max("batch").alias("b")).first()["b"]
     return latest.where(F.col("batch") == top).select("scope", "client", F.unix_timestamp("window_start").alias("window_start"), "n")
