@@ -85,7 +85,9 @@ def to_turkish(text: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in PROPER_NAMES.items() for x in pair])
     out = text
     for term, turkish in TERMS.items():
-        out = F.when(F.contains(low, F.lit(term)), F.regexp_replace(out, f"(?i){term}", turkish)).otherwise(out)
+        # A pattern that never matches where the original lacks the term: each step refers to the last one once.
+        pattern = F.when(F.contains(low, F.lit(term)), F.lit(f"(?i){term}")).otherwise(F.lit("(?!)"))
+        out = F.regexp_replace(out, pattern, F.lit(turkish))
     return F.when(text.isNull() | (low == ""), text).otherwise(F.coalesce(F.element_at(names, low), out))
 
 
