@@ -2,8 +2,8 @@
 
 Sets of shingles are ordered by hash, one order for all documents. Candidates: the order is cut into m ranges, with m
 above the largest symmetric difference that a linked pair of that size can have, so linked sets agree on at least one
-whole range (pigeonhole). Documents meet on ranges that are equal, not on single shingles: common lines give hardly
-any candidates. Candidate groups are gathered in blocks of bounded size, where each set is a path of a compressed
+whole range (pigeonhole). Documents meet on ranges that are equal, not on single shingles, and shingles that many sets
+hold are left out of the ranges where enough others remain: common lines give hardly any candidates. Candidate groups are gathered in blocks of bounded size, where each set is a path of a compressed
 prefix tree: overlaps of shared prefixes are counted once for all sets below, and subtrees that cannot reach the
 needed overlap with all their remaining shingles are pruned.
 
@@ -33,6 +33,10 @@ LEAST = Fraction(85, 100)
 #: Sets of one block; a larger candidate group is compared in blocks of two chunks each.
 CHUNK = 2048
 FLUSH = 2_000_000
+#: Rare shingles that a set needs, as a share of its size, to be found by them alone.
+RARE_SHARE = 0.7
+#: Common shingles: sets of one task that hold one to be reported, sets in all, and how many are broadcast.
+COMMON_LOCAL, COMMON_LEAST, COMMON_MOST = 4, 16, 1 << 17
 INFO, EDGE, SIGN, SETS = 0, 1, 2, 3
 INFOS = Pack(did="<i8", th="<u4", n="<u4", digest="<i8")
 EDGES = Pack(src="<i8", dst="<i8")
@@ -89,44 +93,130 @@ def range_plan(bounds: list[int], label: int, least: Fraction) -> tuple[int, int
     return differ + 1 + ceil(spare), ceil(spare), full
 
 
-def range_signs(row: np.ndarray, value: np.ndarray, n_rows: int, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) for every full range of every set, under its own size class and the next where it can reach that.
+def rare_plan(bounds: list[int], label: int, least: Fraction) -> tuple[int, int]:
+    """Ranges over rare shingles for a size class, and the symmetric difference they must outnumber.
 
-    A set with more thin ranges than the plan spares also signs that fact: the range a partner is guaranteed to
-    share may then be a thin one.
+    Few enough that ranges stay long, many enough that a set with RARE_SHARE rare shingles has full ones to spare.
+    """
+    top = bounds[label + 1] - 1
+    differ = int(2 * top * (1 - least) / (1 + least))
+    if not differ:
+        return 0, 0
+    rare, m = RARE_SHARE * float(least) * bounds[label], differ + 1
+    while m < 2 * (differ + 1):
+        p = 1 - exp(-rare / m)
+        if m * p - 2.5 * (m * p * (1 - p)) ** 0.5 > differ + 1:
+            break
+        m = max(m + 1, ceil(m * 1.05))
+    return m, differ
+
+
+def full_ranges(row: np.ndarray, value: np.ndarray, label: np.ndarray, m: np.ndarray, full: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of the ranges that hold `full` shingles or more; label, m and full are per row, m = 0 leaves a row out."""
+    total = np.concatenate(([U64(0)], np.cumsum(mix64(value), dtype=U64)))
+    at = np.flatnonzero(m[row] > 0)
+    r = row[at]
+    part = ((value[at] >> U64(32)) * m[r].astype(U64)) >> U64(32)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
+    first = np.flatnonzero(new)
+    stop = np.append(first[1:], len(at)) if len(at) else first
+    keep = stop - first >= full[r[first]]
+    first, stop = first[keep], stop[keep]
+    sums = total[at[stop - 1] + 1] - total[at[first]]
+    tag = label[r[first]].astype(U64) * U64(0x9E3779B97F4A7C15) + part[first] * U64(0xD6E8FEB86659FD93) + U64(family)
+    return r[first], mix64(sums ^ mix64(tag))
+
+
+def range_signs(row: np.ndarray, value: np.ndarray, n_rows: int, least: Fraction, common: "Common | None" = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) for the full ranges of every set, under its own size class and the next where it can reach that.
+
+    First the ranges of the rare shingles alone: linked sets differ in no more rare shingles than in all, so a set with
+    more full ranges than linked sets can differ in shares one with each partner. Only sets with fewer, mostly made of
+    common shingles, also sign the ranges of all their shingles; two linked sets either share a rare range or both do.
+    A set with more thin ranges than that plan spares also signs that fact: the range it is guaranteed to share may
+    then be a thin one.
     """
     size = np.bincount(row, minlength=n_rows)
     bounds = size_labels(int(size.max(initial=1)) * 2)
-    plans = np.array([range_plan(bounds, i, least) if i + 1 < len(bounds) else (0, 0, 1) for i in range(len(bounds))])
+    last = len(bounds) - 1
+    whole = np.array([range_plan(bounds, i, least) if i < last else (0, 0, 1) for i in range(len(bounds))])
+    some = np.array([rare_plan(bounds, i, least) if i < last else (0, 0) for i in range(len(bounds))])
     reach = np.array([-(-least.numerator * b // least.denominator) for b in bounds])
     own = np.searchsorted(bounds, size, side="right") - 1
-    total = np.concatenate(([U64(0)], np.cumsum(mix64(value), dtype=U64)))
-    rows, signs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=U64)]
-    for up in (0, 1):
-        label = np.minimum(own + up, len(bounds) - 1)
-        used = (size > 0) & (size >= reach[label])
-        m, spare, full = (np.where(used, plans[label, j], 0) for j in range(3))
-        at = np.flatnonzero(m[row] > 0)
-        if not len(at):
-            continue
-        r = row[at]
-        part = ((value[at] >> U64(32)) * m[r].astype(U64)) >> U64(32)
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
-        first = np.flatnonzero(new)
-        stop = np.append(first[1:], len(at))
-        keep = stop - first >= full[r[first]]
-        first, stop = first[keep], stop[keep]
-        sums = total[at[stop - 1] + 1] - total[at[first]]
-        tag = label[r[first]].astype(U64) * U64(0x9E3779B97F4A7C15) + part[first] * U64(0xD6E8FEB86659FD93)
-        rows.append(r[first])
-        signs.append(mix64(sums ^ mix64(tag)))
-        bare = np.flatnonzero((m > 0) & (m - np.bincount(r[first], minlength=n_rows) > spare))
-        rows.append(bare)
-        signs.append(mix64(label[bare].astype(U64) + U64(0xABCDEF)))
+    rare = ~common.holds(value) if common is not None else np.ones(len(value), dtype=bool)
+    rare_row, rare_value = row[rare], value[rare]
+    labels = [np.minimum(own + up, last) for up in (0, 1)]
+    used = [(size > 0) & (size >= reach[label]) for label in labels]
+    rows, signs, plain = [], [], np.zeros(n_rows, dtype=bool)
+    for label, use in zip(labels, used):
+        m, differ = (np.where(use, some[label, j], 0) for j in range(2))
+        r, sign = full_ranges(rare_row, rare_value, label, m, np.ones(n_rows, dtype=np.int64), 1)
+        plain |= (m > 0) & (np.bincount(r, minlength=n_rows) <= differ)
+        rows.append(r)
+        signs.append(sign)
+    mine = plain[row]
+    for label, use in zip(labels, used):
+        m, spare, full = (np.where(use & plain, whole[label, j], 0) for j in range(3))
+        r, sign = full_ranges(row[mine], value[mine], label, m, full, 0)
+        bare = np.flatnonzero((m > 0) & (m - np.bincount(r, minlength=n_rows) > spare))
+        rows += [r, bare]
+        signs += [sign, mix64(label[bare].astype(U64) + U64(0xABCDEF))]
     return np.concatenate(rows), np.concatenate(signs)
 
 
+class Common:
+    """A sorted list of shingle hashes, with a bitmap that settles most lookups."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.sort(values)
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[(self.values >> U64(42)).astype(np.int64)] = True
+
+    def holds(self, value: np.ndarray) -> np.ndarray:
+        out = self.maybe[(value >> U64(42)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        place = np.minimum(np.searchsorted(self.values, value[at]), len(self.values) - 1)
+        out[at] = self.values[place] == value[at]
+        return out
+
+
+def common_shingles(rows: DataFrame, k: int, most: int = COMMON_MOST) -> np.ndarray:
+    """Hashes of the shingles that most sets hold, `most` at most.
+
+    The list steers the choice of ranges only: any list gives the same links, a good one gives few false candidates.
+    A task counts its different sets and reports shingles of COMMON_LOCAL sets or more.
+    """
+
+    def count(batches):
+        held, size, seen = [], 0, np.zeros(0, dtype=np.int64)
+
+        def report():
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= COMMON_LOCAL
+            return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
+
+        for batch in batches:
+            for _, buf, offsets in byte_parts(batch.column("text"), 1 << 20):
+                row, value = shingle_sets(buf, offsets, k)
+                digest = set_digests(row, value, len(offsets) - 1)
+                fresh = np.zeros(len(digest), dtype=bool)
+                fresh[np.unique(digest, return_index=True)[1]] = True
+                fresh &= ~np.isin(digest, seen)
+                seen = np.union1d(seen, digest[fresh])
+                held.append(value[fresh[row]])
+                size += len(held[-1])
+                if size >= 2 * FLUSH:
+                    yield report()
+                    held, size = [], 0
+        if size:
+            yield report()
+
+    counted = rows.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counted.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "shingle").limit(most).select("shingle")
+    return np.array([r["shingle"] for r in top.collect()], dtype=np.int64).view(U64)
+
+
 def set_digests(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
     """A signed 64-bit digest of each row's set."""
     import xxhash
@@ -136,7 +226,9 @@ def set_digests(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(view[8 * s : 8 * e], seed=41) for s, e in zip(edge[:-1].tolist(), edge[1:].tolist())], dtype=U64).astype(np.int64)
 
 
-def find_signs(rows: DataFrame, n_keys: int, k: int, least: Fraction) -> DataFrame:
+def find_signs(rows: DataFrame, n_keys: int, k: int, least: Fraction, common: np.ndarray) -> DataFrame:
+    held_common = rows.sparkSession.sparkContext.broadcast(common)
+
     def send(keys, digests, infos):
         key, digest = np.concatenate(keys), np.concatenate(digests)
         pair = {"key": (key >> U64(32)).astype(np.uint32), "digest": digest}
@@ -146,6 +238,7 @@ def find_signs(rows: DataFrame, n_keys: int, k: int, least: Fraction) -> DataFra
 
     def run(batches):
         keys, digests, infos, seen, held = [], [], [], np.zeros(0, dtype=np.int64), 0
+        often = Common(held_common.value) if len(held_common.value) else None
         for batch in batches:
             did, th = batch.column("did").to_numpy(), batch.column("th").to_numpy()
             for at, buf, offsets in byte_parts(batch.column("text"), 1 << 20):
@@ -158,7 +251,7 @@ def find_signs(rows: DataFrame, n_keys: int, k: int, least: Fraction) -> DataFra
                 fresh[np.unique(digest, return_index=True)[1]] = True
                 fresh &= ~np.isin(digest, seen)
                 seen = np.union1d(seen, digest[fresh])
-                r, sign = range_signs(row, value, n, least)
+                r, sign = range_signs(row, value, n, least, often)
                 go = fresh[r]
                 keys.append(sign[go])
                 digests.append(digest[r[go]])
@@ -390,7 +483,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, least: Fraction = LE
     small_batches(spark)
     n_keys, n_docs = buckets(spark, 2), buckets(spark)
     rows = keyed(docs, n_docs)
-    met = materialize(meet_on_signs(find_signs(rows, n_keys, shingle, least)), "signs")
+    met = materialize(meet_on_signs(find_signs(rows, n_keys, shingle, least, common_shingles(rows, shingle))), "signs")
     info = unpack(met, INFO, INFOS, "did long, th long, n long, digest long")
     edges = unpack(met, EDGE, EDGES, "src long, dst long").distinct()
     full = info.where("n > 0")
@@ -413,8 +506,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(80
     groups = jaccard_groups(docs, shingle, least)
     solo = groups.where("n_shingles = 0").select("did", "th").distinct()
     first = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
-    keep = first.union(solo)
+    keep = first.union(solo).toDF("__keep_did", "__keep_th")
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING))
     th = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF)
-    full = docs.select("*", did.alias("__did"), th.alias("__th")).join(keep, (F.col("__did") == F.col("did")) & (F.col("__th") == F.col("th")), "left_semi")
+    full = docs.select("*", did.alias("__did"), th.alias("__th")).join(keep, (F.col("__did") == F.col("__keep_did")) & (F.col("__th") == F.col("__keep_th")), "left_semi")
     return full.dropDuplicates(["__did", "__th"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -54,9 +54,10 @@ def test_interval_tree_against_pairs():
             want = set()
             for j, b in enumerate(contexts):
                 if i != j:
-                    for s in range(len(a) - 9):
-                        if a[s : s + 10] == b[s : s + 10] and s <= 8 and s + 10 >= 12:
-                            want |= set(range(s, s + 10))
+                    left = next((n for n in range(8) if a[7 - n] != b[7 - n]), 8)
+                    right = next((n for n in range(12) if a[8 + n] != b[8 + n]), 12)
+                    if left + right >= 10:
+                        want |= set(range(8 - left, 8 + right))
             assert covered[i] == want
 
 
@@ -135,6 +136,28 @@ def test_jaccard(spark, k, least, chunk):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_any_list_of_common_shingles_gives_the_links():
+    rng = np.random.default_rng(6)
+    k, least = 4, Fraction(85, 100)
+    texts = []
+    for _ in range(30):
+        base = rng.integers(0, 300, rng.integers(8, 120))
+        for _ in range(4):
+            w = base.copy()
+            w[rng.integers(len(w))] = 999
+            texts.append(" ".join(map(str, w if rng.random() < 0.7 else w[: len(w) - 2])).encode())
+    buf, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    row, value = jaccard.shingle_sets(buf, offsets, k)
+    sets = [set(value[row == i].tolist()) for i in range(len(texts))]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and Fraction(len(sets[i] & sets[j]), len(sets[i] | sets[j])) >= least]
+    assert len(linked) > 20
+    for share in (0, 0.3, 0.6, 0.95, 1):
+        common = np.unique(value)[rng.random(len(np.unique(value))) < share]
+        rows_, signs = jaccard.range_signs(row, value, len(texts), least, jaccard.Common(common) if len(common) else None)
+        by_row = [set(signs[rows_ == i].tolist()) for i in range(len(texts))]
+        assert all(by_row[i] & by_row[j] for i, j in linked)
+
+
 def test_one_of_each(spark):
     sets, members = groups(5, Fraction(80, 100))
     got = jaccard.one_of_each(frame(spark))
