@@ -473,7 +473,7 @@ def find_links(rows: DataFrame, info: DataFrame, edges: DataFrame, n_docs: int,
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, least: Fraction = LEAST, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, did, th, n_shingles, component_id (smallest doc_id reachable by links).
+    """One row per document: doc_id, did, th, n_shingles, component_id (smallest doc_id reachable by links), group (tells components of one id apart).
 
     Texts are lower-cased (A-Z); a text with fewer words than a shingle has is one shingle; one without words, or
     null, has none and is linked with nothing. Null ids count as larger than any other; a component of null ids only
@@ -492,10 +492,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, least: Fraction = LE
     low = full.groupBy("digest").agg(F.min("did").alias("low"))
     nodes = low.join(labels, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("component", "digest").alias("component"))
     least_of = nodes.groupBy("component").agg(F.min("low").alias("id"))
-    named = nodes.join(least_of, "component").select("digest", "id")
+    named = nodes.join(least_of, "component").select("digest", "id", F.col("component").alias("group"))
     out = info.join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("did"))
-    return out.select(F.nullif("did", F.lit(MISSING)).alias("doc_id"), "did", "th", F.col("n").alias("n_shingles"), F.nullif(component, F.lit(MISSING)).alias("component_id"))
+    return out.select(F.nullif("did", F.lit(MISSING)).alias("doc_id"), "did", "th", F.col("n").alias("n_shingles"), F.nullif(component, F.lit(MISSING)).alias("component_id"), "group")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(80, 100)) -> DataFrame:
@@ -505,7 +505,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(80
     """
     groups = jaccard_groups(docs, shingle, least)
     solo = groups.where("n_shingles = 0").select("did", "th").distinct()
-    first = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
+    first = groups.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
     keep = first.union(solo).toDF("__keep_did", "__keep_th")
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING))
     th = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF)
