@@ -96,8 +96,10 @@ def filter_urls(pages: DataFrame, rules=RULES, links: DataFrame | None = None) -
     judged = judged.withColumn("node", normal_form(F.col("url")))
     found = page_links(pages) if "html" in pages.columns else None
     edges = [x for x in (found, links) if x is not None]
-    joined = None
+    joined, ends = None, None
     for x in edges:
+        both = x.select(F.explode(F.array("src", "dst")).alias("url"))
+        ends = both if ends is None else ends.union(both)
         part = x.select(normal_form(F.col("src")).alias("src"), normal_form(F.col("dst")).alias("dst"))
         joined = part if joined is None else joined.union(part)
     light = materialize(judged.select("page_id", "host", "path", "best", "node"), "judged")
@@ -106,7 +108,13 @@ def filter_urls(pages: DataFrame, rules=RULES, links: DataFrame | None = None) -
         light = light.join(labels, light["node"] == labels["node"], "left").select(light["*"], F.coalesce("component", light["node"]).alias("component"))
     else:
         light = light.withColumn("component", F.col("node"))
-    spread = light.where("best is not null and component is not null").groupBy("component").agg(F.min("best.verdict").alias("inherited"))
+    said = light.where("best is not null and component is not null").select("component", "best.verdict")
+    if joined is not None:
+        # Addresses that are only linked to, without a page of their own, are members with a decision too.
+        named = _judge(ends.where("url is not null").select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct(), rules)
+        named = named.where("best is not null").select(normal_form(F.col("url")).alias("node"), "best.verdict")
+        said = said.union(named.join(labels, "node").select("component", "verdict"))
+    spread = said.groupBy("component").agg(F.min("verdict").alias("inherited"))
     # 'allow' sorts before 'block': an explicit allow in the component wins.
     out = light.join(spread, "component", "left")
     verdict = F.coalesce("best.verdict", "inherited", F.lit("allow"))
