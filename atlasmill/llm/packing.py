@@ -21,6 +21,8 @@ from atlasmill.llm.tables import small_batches
 from atlasmill.session import materialize
 
 CAPACITY = 4096
+#: Patterns must fill a sequence to this share; lengths that no such pattern holds are left to best fit.
+LEAST_FILL = 0.99
 END_ID = 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Entries of a worker's word cache before it is emptied; it only saves time.
@@ -208,6 +210,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         groups[room].append([count, slots])
 
     patterns = enumerate_patterns(lengths, capacity)
+    filled = np.where(patterns >= 0, lengths[patterns], 0).sum(axis=1)
+    patterns = patterns[filled >= LEAST_FILL * capacity]
     if len(patterns):
         counts = nonnegative_fit(patterns, left.astype(float), lengths / capacity)
         for i in np.argsort(-counts, kind="stable"):
