@@ -80,7 +80,7 @@ def _field(head: Column, name: str, pattern: str) -> Column:
 def _parsed(segments: DataFrame) -> DataFrame:
     """Header fields of a piece, and the size and digest of its payload as far as the piece reaches."""
     head = F.substring_index("value", BLANK, 1)
-    out = segments.withColumn("size", F.octet_length("value")).withColumn("head", F.when(F.instr("value", BLANK) > 0, F.left(head, F.lit(8192))))
+    out = segments.withColumn("size", F.octet_length("value")).withColumn("head", F.when(F.instr("value", BLANK) > 0, head))
     out = out.withColumn("head_size", F.octet_length(head) + 4).withColumn("length", _field(F.col("head"), "Content-Length", "(\\d{1,18})\\s*$").cast("long"))
     block = F.expr("substring(cast(value as binary), int(head_size + 1), int(least(length, 2147483647L)))")
     out = out.withColumn("block_bytes", block)

@@ -112,6 +112,14 @@ def test_warc(spark):
     assert warc.archive_digests(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_long_url(spark):
+    same = "x" * 1200
+    data = [(1, "http://a/" + "p" * 20_000, "first"), (2, "http://b/" + "é" * 20_000, same), (3, "u", same), (4, "u", "last")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1)
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_digests(pages).collect())
+    assert got == [(1, 5, "response", None), (2, 1200, "revisit", 3), (3, 1200, "response", None), (4, 4, "response", None)]
+
+
 def test_chain():
     offsets = np.array([0, 10, 15, 30, 44])
     assert warc.chain(offsets, np.array([10, 30, 20, 44, 60]), 60).tolist() == [True, True, False, True, True]
