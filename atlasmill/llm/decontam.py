@@ -99,15 +99,23 @@ def align(item: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[flo
     return score / (MATCH * len(item)), low + j - back, low + j
 
 
-def passages(words: np.ndarray, hits: list[tuple[int, int]], item: np.ndarray, k: int) -> tuple[float, int, int]:
-    """The best alignment of an item near its seeds. hits: (position, place in item)."""
+def spare(m: int, least: float) -> int:
+    """What an alignment with an item of m words may lose of the item's own score and still be a copy."""
+    return MATCH * m - int(least * MATCH * m)
+
+
+def passages(words: np.ndarray, hits: list[tuple[int, int]], item: np.ndarray, k: int, least: float) -> tuple[float, int, int]:
+    """The best alignment of an item near its seeds. hits: (position, place in item).
+
+    A window reaches as far as the longest insertion that a copy can have, so each copy lies whole in one window.
+    """
     m, best = len(item), (0.0, 0, 0)
     starts = np.sort(np.array([p - q for p, q in hits]))
     value, count = np.unique(starts, return_counts=True)
     for s in value[count >= m - k + 1].tolist():
         if s >= 0 and s + m <= len(words) and (words[s : s + m] == item).all():
             return 1.0, s, s + m
-    pad = m // 4 + 1
+    pad = spare(m, least) // GAP
     cut = np.flatnonzero(np.diff(value) > pad) + 1
     for part in np.split(value, cut):
         found = align(item, words, max(0, int(part[0]) - pad), min(len(words), int(part[-1]) + m + pad))
@@ -150,7 +158,7 @@ class Scanner:
                 for p, r, n in zip(place[whole].tolist(), row[whole].tolist(), seed[whole].tolist()):
                     near.setdefault((r, int(s.item[n])), (s.k, []))[1].append((p - int(base[r]), int(s.place[n])))
             for (r, i), (k, hits) in sorted(near.items()):
-                similarity, start, end = passages(words[base[r] : base[r + 1]], hits, self.items[i], k)
+                similarity, start, end = passages(words[base[r] : base[r + 1]], hits, self.items[i], k, self.least)
                 if similarity >= self.least:
                     found.append((at + r, i, similarity, start, end))
         return found

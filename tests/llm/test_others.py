@@ -246,6 +246,15 @@ def test_leaks(spark):
     assert decontam.leaks(df, bench.where("item_id < 0")).count() == 0
 
 
+def test_leaks_with_long_insertion(spark):
+    w, far, ad = [f"q{i}" for i in range(40)], [f"v{i}" for i in range(90)], [f"a{i}" for i in range(33)]
+    bench = spark.createDataFrame([(0, " ".join(w))], "item_id long, text string")
+    docs = spark.createDataFrame([(n, " ".join(far + w[:20] + ad[:n] + w[20:] + far)) for n in (12, 20, 32, 33)], "doc_id long, text string")
+    got = {r.doc_id: (r.similarity, r.start_word, r.end_word) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {n: ((160 - n) / 160, 90, 130 + n) for n in (12, 20, 32)}
+    assert [r.doc_id for r in decontam.without_leaks(docs, bench).collect()] == [33]
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     train = labels.where("doc_id % 5 <> 0")
