@@ -1,9 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages they point at.
-
-The benchmark is taken in blocks of bounded size; each block is a query set that all documents are scanned for. A
-seed is a 5-word run of an item that at most RARE_ITEMS items of the block have (an item without such runs keeps all
-of its own). Rarity is judged among the items, not in the corpus: a passage that leaked often is frequent there. Every
-place where a seed of an item occurs is aligned with the whole item, so edited copies count by what they share.
+"""Benchmark decontamination: rare words of the items as a filter that loses no copy, then Smith-Waterman alignment.
+
+The benchmark is taken in blocks of bounded size; each block is a query set that all documents are scanned for. A copy
+can lack only so many of its item's words before its score is below the threshold. So of any set of places of the item
+with that many and c more, each copy holds at least c, within as many words as a copy can span. The rarest places make
+that set: which words are rare decides on the work, not on the result. Rarity is judged among the items, not in the
+corpus: a passage that leaked often is frequent there. Where c of an item's rare words meet, the text is aligned with
+the whole item, so edited copies count by what they share.
 """
 
 from __future__ import annotations
@@ -13,12 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasmill.llm.arrays import LOWER, U64, byte_parts, gram_hashes, word_hashes, words_of
+from atlasmill.llm.arrays import LOWER, U64, byte_parts, word_hashes, words_of
 from atlasmill.llm.tables import small_batches
 
-SEED_WORDS = 5
 LEAST = 0.8
-RARE_ITEMS = 3
 #: Items of one block: what is sent to every executor at once.
 BLOCK_ITEMS = 20_000
 MATCH, MISMATCH, GAP = 4, -1, 1
@@ -33,42 +33,51 @@ def item_words(text: str | None) -> np.ndarray:
     return word_hashes(buf, starts, ends)
 
 
-class Seeds:
-    """Sorted seed hashes of one run length, with the (item, place in item) of each."""
+def spare(m: int, least: float) -> int:
+    """What an alignment with an item of m words may lose of the item's own score and still be a copy."""
+    return MATCH * m - int(least * MATCH * m)
+
 
-    def __init__(self, found: list[tuple[int, int, int]], k: int):
-        self.k = k
-        value, item, place = (np.array(x, dtype=t) for x, t in zip(zip(*found), (U64, np.int64, np.int64)))
+class Seeds:
+    """Sorted rare words with the item of each, and for each item how many words a copy holds (need) and within how many words of text (span)."""
+
+    def __init__(self, items: list[np.ndarray], least: float):
+        _, number, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        often = np.split(count[number], np.cumsum([len(x) for x in items])[:-1])
+        self.need, self.span, value, item = np.ones(len(items), dtype=np.int64), np.zeros(len(items), dtype=np.int64), [], []
+        for i, words in enumerate(items):
+            m = len(words)
+            lost = spare(m, least) // MATCH
+            self.need[i] = max(1, min(m // 4, m - lost))
+            self.span[i] = m + spare(m, least) // GAP
+            value.append(np.unique(words[np.argsort(often[i], kind="stable")[: lost + self.need[i]]]))
+            item.append(np.full(len(value[-1]), i))
+        value, item = np.concatenate(value), np.concatenate(item)
         order = np.argsort(value, kind="stable")
-        self.value, self.item, self.place = value[order], item[order], place[order]
+        self.value, self.item = value[order], item[order]
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.value >> U64(44)).astype(np.int64)] = True
 
-    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position of the gram, seed number) of all matches."""
-        at = np.flatnonzero(self.maybe[(grams >> U64(44)).astype(np.int64)])
-        low, high = np.searchsorted(self.value, grams[at], "left"), np.searchsorted(self.value, grams[at], "right")
+    def windows(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, low, high), sorted, of the disjoint pieces of words that all copies lie in; they may reach over a row's ends."""
+        at = np.flatnonzero(self.maybe[(words >> U64(44)).astype(np.int64)])
+        low, high = np.searchsorted(self.value, words[at], "left"), np.searchsorted(self.value, words[at], "right")
         count = high - low
-        start = np.repeat(low - (np.cumsum(count) - count), count)
-        return np.repeat(at, count), start + np.arange(count.sum())
-
-
-def seeds_of(items: list[np.ndarray], k: int = SEED_WORDS, rare: int = RARE_ITEMS) -> list[Seeds]:
-    """Seeds of all items, by run length: k, or all words of a shorter item."""
-    by_size: dict[int, list[tuple[int, int, int]]] = {}
-    holders: dict[tuple[int, int], set[int]] = {}
-    own: list[list[tuple[int, int]]] = []
-    for i, words in enumerate(items):
-        size = min(k, len(words))
-        grams = gram_hashes(words, size, 50 + size).tolist() if size else []
-        own.append([(size, g) for g in grams])
-        for g in grams:
-            holders.setdefault((size, g), set()).add(i)
-    for i, grams in enumerate(own):
-        use = [(place, g) for place, g in enumerate(grams) if len(holders[g]) <= rare] or list(enumerate(grams))
-        for place, (size, g) in use:
-            by_size.setdefault(size, []).append((g, i, place))
-    return [Seeds(found, size) for size, found in sorted(by_size.items())]
+        item = self.item[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        place = np.repeat(at, count)
+        key = rows[place] * len(self.need) + item
+        order = np.argsort(key, kind="stable")
+        key, place, item = key[order], place[order], item[order]
+        last = np.arange(len(key)) + self.need[item] - 1
+        near = last < len(key)
+        last = np.minimum(last, len(key) - 1)
+        near &= (key[last] == key) & (place[last] - place < self.span[item])
+        key, item, low, high = key[near], item[near], place[last[near]] + 1 - self.span[item[near]], place[near] + self.span[item[near]]
+        # Both ends rise within a key, so overlapping pieces join from left to right.
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = (key[1:] != key[:-1]) | (low[1:] > high[:-1])
+        end = np.append(first[1:], True)[: len(key)]
+        return key[first] // len(self.need), item[first], low[first], high[end]
 
 
 def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -99,28 +108,15 @@ def align(item: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[flo
     return score / (MATCH * len(item)), low + j - back, low + j
 
 
-def spare(m: int, least: float) -> int:
-    """What an alignment with an item of m words may lose of the item's own score and still be a copy."""
-    return MATCH * m - int(least * MATCH * m)
-
-
-def passages(words: np.ndarray, hits: list[tuple[int, int]], item: np.ndarray, k: int, least: float) -> tuple[float, int, int]:
-    """The best alignment of an item near its seeds. hits: (position, place in item).
-
-    A window reaches as far as the longest insertion that a copy can have, so each copy lies whole in one window.
-    """
-    m, best = len(item), (0.0, 0, 0)
-    starts = np.sort(np.array([p - q for p, q in hits]))
-    value, count = np.unique(starts, return_counts=True)
-    for s in value[count >= m - k + 1].tolist():
-        if s >= 0 and s + m <= len(words) and (words[s : s + m] == item).all():
+def best_copy(item: np.ndarray, words: np.ndarray, low: int, high: int, least: float) -> tuple[float, int, int]:
+    """The best alignment of an item within words[low:high], where that can be a copy."""
+    m = len(item)
+    for s in (low + np.flatnonzero(words[low : high - m + 1] == item[0])).tolist() if high - low >= m else ():
+        if (words[s : s + m] == item).all():
             return 1.0, s, s + m
-    pad = spare(m, least) // GAP
-    cut = np.flatnonzero(np.diff(value) > pad) + 1
-    for part in np.split(value, cut):
-        found = align(item, words, max(0, int(part[0]) - pad), min(len(words), int(part[-1]) + m + pad))
-        best = max(best, found, key=lambda x: x[0])
-    return best
+    if np.isin(words[low:high], item).sum() < m - spare(m, least) // MATCH:
+        return 0.0, low, low
+    return align(item, words, low, high)
 
 
 def item_blocks(benchmark: DataFrame, block_items: int) -> list:
@@ -139,28 +135,24 @@ class Scanner:
 
     def __init__(self, block: list, least: float):
         self.names, self.items, self.least = [n for n, _ in block], [item_words(t) for _, t in block], least
-        self.seeds = seeds_of(self.items) if any(len(x) for x in self.items) else []
+        self.seeds = Seeds(self.items, least) if any(len(x) for x in self.items) else None
 
     def find(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(row, item, similarity, first word, end) of the copies."""
         found = []
+        if self.seeds is None:
+            return found
         for at, buf, offsets in byte_parts(column, 1 << 20):
             starts, ends, rows = words_of(PLAIN[buf], offsets)
             words = word_hashes(PLAIN[buf], starts, ends)
             base = np.searchsorted(rows, np.arange(len(offsets)))
-            near: dict[tuple[int, int], tuple[int, list]] = {}
-            for s in self.seeds:
-                place, seed = s.find(gram_hashes(words, s.k, 50 + s.k))
-                if not len(place):
-                    continue
-                row = rows[place]
-                whole = rows[place + s.k - 1] == row
-                for p, r, n in zip(place[whole].tolist(), row[whole].tolist(), seed[whole].tolist()):
-                    near.setdefault((r, int(s.item[n])), (s.k, []))[1].append((p - int(base[r]), int(s.place[n])))
-            for (r, i), (k, hits) in sorted(near.items()):
-                similarity, start, end = passages(words[base[r] : base[r + 1]], hits, self.items[i], k, self.least)
-                if similarity >= self.least:
-                    found.append((at + r, i, similarity, start, end))
+            best: dict[tuple[int, int], tuple[float, int, int]] = {}
+            for r, i, low, high in zip(*(x.tolist() for x in self.seeds.windows(words, rows))):
+                begin, end = int(base[r]), int(base[r + 1])
+                copy = best_copy(self.items[i], words, max(begin, low), min(end, high), self.least)
+                if copy[0] >= self.least and copy[0] > best.get((r, i), (0.0,))[0]:
+                    best[r, i] = (copy[0], copy[1] - begin, copy[2] - begin)
+            found += [(at + r, i, *copy) for (r, i), copy in best.items()]
         return found
 
 

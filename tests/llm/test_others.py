@@ -255,6 +255,46 @@ def test_leaks_with_long_insertion(spark):
     assert [r.doc_id for r in decontam.without_leaks(docs, bench).collect()] == [33]
 
 
+def edited(rng, words, n, fresh):
+    """n random substitutions, deletions and insertions."""
+    out = list(words)
+    for _ in range(n):
+        at, kind = rng.integers(len(out)), rng.integers(4)
+        if kind == 0:
+            out[at] = f"{fresh}{rng.integers(99)}"
+        elif kind == 1 and len(out) > 1:
+            del out[at]
+        else:
+            out.insert(at, f"{fresh}{rng.integers(99)}")
+    return out
+
+
+def test_leaks_are_all_found(spark):
+    rng = np.random.default_rng(5)
+    prompt = [f"p{i}" for i in range(40)]
+    items = [prompt + [f"t{n}x{i}" for i in range(4)] for n in range(5)]
+    items += [[f"w{rng.integers(60)}" for _ in range(n)] for n in (1, 2, 4, 5, 7, 8, 9, 13, 14, 19, 36, 60)]
+    far = [f"v{i}" for i in range(30)]
+    texts = [items[0][:40] + ["zz"] + items[0][41:]]
+    texts += [[x for i, word in enumerate(w) for x in ([word, "ins"] if i % 4 == 3 else [word])] for w in items]
+    texts += [[word if i % 5 != 4 else "sub" for i, word in enumerate(w)] for w in items]
+    texts += [edited(rng, w, n, "e") for w in items for n in (1, 2, 3, 5, 9, 15)]
+    texts = [[*far[: rng.integers(30)], *t, *far] for t in texts]
+    texts.append([x for t in texts[:20] for x in t])
+    want = {}
+    for d, t in enumerate(texts):
+        for i, w in enumerate(items):
+            code = {x: n for n, x in enumerate(dict.fromkeys([*w, *t]))}
+            score = plain_local([code[x] for x in w], [code[x] for x in t]) / (4 * len(w))
+            if score >= 0.8:
+                want[d, i] = score
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for block in (4, 1000):
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(docs, bench, block_items=block).collect()}
+        assert got == want
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     train = labels.where("doc_id % 5 <> 0")
