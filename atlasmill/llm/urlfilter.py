@@ -46,17 +46,44 @@ def _target(tag: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_extract(tag, pattern, 1), "&amp;", "&"), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with '/', its '.' and '..' segments carried out."""
+    parts = F.split(path, "/")
+    parts = F.when(path.rlike("/\\.\\.?$"), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+
+    def step(seen: Column, part: Column) -> Column:
+        up = F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", seen).otherwise(F.concat(seen, F.array(part)))
+
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    return F.when(F.instr(path, "/.") > 0, F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The address that a link target stands for on the page url; null where it has no host (mailto:, javascript:)."""
+    origin = F.nullif(F.regexp_extract(url, "(?s)^(.*?://[^/?#]*)", 1), F.lit(""))
+    path, rest = F.regexp_extract(to, "(?s)^[^?#]*", 0), F.regexp_extract(to, "(?s)^[^?#]*(.*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), "(?s)^/(.*/)", 1))
+    return (
+        F.when(to.rlike("(?i)^[a-z][a-z0-9+.-]*://"), to)
+        .when(to.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.startswith("#"), F.concat(F.regexp_extract(url, "(?s)^[^#]*", 0), to))
+        .when(to.startswith("?"), F.concat(origin, path_of(url), to))
+        .when(to.startswith("/"), F.concat(origin, without_dots(path), rest))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) addresses: canonical links and meta refresh redirects written in the pages; relative ones are resolved against the page's host."""
+    """(src, dst) addresses: canonical links and meta refresh redirects written in the pages; relative ones are resolved against the page's address."""
     html = pages.select("url", "html").where(F.col("html").rlike("(?i)canonical|http-equiv") & F.col("url").isNotNull())
     tags = html.select("url", F.explode(F.regexp_extract_all("html", F.lit("(?is)<(?:link|meta)\\b[^>]*>"), F.lit(0))).alias("tag"))
     canonical = F.when(F.col("tag").rlike("(?is)^<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b"), _target(F.col("tag"), "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"))
     refresh = F.when(F.col("tag").rlike("(?is)^<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"), _target(F.col("tag"), "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)"))
     # Written out so that the expressions below refer to a column, not to copies of these patterns.
     found = materialize(tags.select("url", F.coalesce(canonical, refresh).alias("to")), "links").where("to is not null")
-    origin = F.regexp_extract("url", "(?s)^(.*?://[^/?#]*)", 1)
-    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(origin, "to"))
-    return materialize(found.select(F.col("url").alias("src"), full.alias("dst")), "links").where("dst is not null")
+    return materialize(found.select(F.col("url").alias("src"), resolved(F.col("url"), F.col("to")).alias("dst")), "links").where("dst is not null")
 
 
 def _best_literal(host: Column, path: Column, rules) -> Column:

@@ -98,6 +98,25 @@ def test_urls_whole_table(spark):
         assert not rule or r.verdict == rule[1]
 
 
+def test_relative_links(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.org", "http://h.org/a/b/c.html?x=/y/z#f", "https://h.org/a/"]
+    targets = ["page2.html", "../x", "../../../x?q=../y", "./", "..", "?id=3", "/out?u=http://b.com/", "out?u=http://b.com/", "/p/./../q/", "http://c.net/../d", "a.b/c?d#e", "...", ".hidden/x", "#top"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in targets], "url string, to string")
+    for r in df.select("url", "to", urlfilter.resolved(F.col("url"), F.col("to")).alias("got")).collect():
+        assert r.got.replace("h.org/", "h.org").rstrip("#") == (r.to if "://" in r.to and r.to[0] == "h" else urljoin(r.url, r.to)).replace("h.org/", "h.org"), r
+    none = spark.createDataFrame([("http://h.org", "mailto:a@b.org"), ("http://h.org", "javascript:go('http://b.com/')"), ("no scheme", "x")], "url string, to string")
+    assert none.where(urlfilter.resolved(F.col("url"), F.col("to")).isNotNull()).count() == 0
+
+
+def test_relative_aliases(spark):
+    link = '<link rel="canonical" href="%s">'
+    data = [(1, "http://a.net/fr/x.html", None), (2, "http://a.net/y/z.html", link % "../fr/x.html"), (3, "http://a.net/list", link % "?id=3"), (4, "http://a.net/list?id=3", link % "fr/x.html"), (5, "http://c.org/", link % "/out?u=http://a.net/fr/x.html")]
+    got = {r.page_id: r.verdict for r in urlfilter.filter_urls(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 def test_warc(spark):
     inner = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     same = "é" * 600
