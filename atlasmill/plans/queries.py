@@ -239,8 +239,7 @@ def text_ascii_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(translate(nfc_normalize(text), 'İIŞĞÜÖÇ', 'iışğüöç')), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ''), '') AS key FROM documents WHERE text NOT LIKE '%&%'")
 def text_match_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.read(spark, sf_dir, "documents").where(~F.contains("text", F.lit("&")))
-    return d.select("doc_id", text.normalize_for_match(F.col("text")).alias("key"))
+    return T.read(spark, sf_dir, "documents").select("doc_id", text.normalize_for_match(F.col("text")).alias("key"))
 
 
 @query()

@@ -118,3 +118,11 @@ def test_categories(spark):
     assert one(spark, categories.wikidata_categories(F.lit("Q23413|http://e/Q33506"))) == ["castle", "museum"]
     assert one(spark, categories.turkish_category(F.lit("arkeoloji müzesi"))) == ["museum"]
     assert one(spark, categories.turkish_category(F.lit("plaj"))) == []
+
+
+def test_match_key_of_all_documents(spark, tmp_path):
+    from atlasmill.plans.queries import QUERIES
+
+    data = [(1, "Tom &amp; Jerry", "tom jerry"), (2, "I&#350;IK &Ccedil;ay", "ışık çay"), (3, "a & b &", "a b"), (4, None, ""), (5, "R&D", "r d"), (6, "x&nbsp;&lt;y&gt;", "x y"), (7, "plain", "plain")]
+    spark.createDataFrame([r[:2] for r in data], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.key for r in QUERIES["text_match_key"](spark, str(tmp_path)).collect()} == {d: key for d, _, key in data}
