@@ -126,3 +126,24 @@ def test_match_key_of_all_documents(spark, tmp_path):
     data = [(1, "Tom &amp; Jerry", "tom jerry"), (2, "I&#350;IK &Ccedil;ay", "ışık çay"), (3, "a & b &", "a b"), (4, None, ""), (5, "R&D", "r d"), (6, "x&nbsp;&lt;y&gt;", "x y"), (7, "plain", "plain")]
     spark.createDataFrame([r[:2] for r in data], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.key for r in QUERIES["text_match_key"](spark, str(tmp_path)).collect()} == {d: key for d, _, key in data}
+
+
+def test_nearest_neighbours_anywhere(spark):
+    from math import asin, cos, radians, sin, sqrt
+
+    from atlasmill.operators.serving import nearest_neighbours
+
+    def metres(a, b):
+        p, q = radians(a[1]), radians(b[1])
+        return 2 * 6371000 * asin(min(1, sqrt(sin((q - p) / 2) ** 2 + cos(p) * cos(q) * sin(radians(b[2] - a[2]) / 2) ** 2)))
+
+    spots = [(38.4 + i % 7 * 0.011, 27.1 + i * 0.017 % 0.05) for i in range(12)] + [(38.0, 26.0), (38.09, 26.16), (39.9, 32.8), (38.5, 27.3), (10.0, 179.99), (10.0, -179.98), (89.9, 10.0), (89.8, -150.0), (-60.0, -70.0)]
+    places = [(i, *s) for i, s in enumerate(spots)]
+    for some, k in ((places, 3), (places[:1], 3), (places[12:15], 3)):
+        df = spark.createDataFrame([(*p, True) for p in some] + [(98, 38.4, 27.1, False), (99, None, None, True)], "id long, lat double, lng double, is_published boolean")
+        got = {(r.id, r["rank"]): (r.neighbour, round(r.distance_m, 2)) for r in nearest_neighbours(df, k).collect()}
+        want = {}
+        for a in some:
+            near = sorted((metres(a, b), b[0]) for b in some if b is not a)[:k]
+            want |= {(a[0], n): (b, round(d, 2)) for n, (d, b) in enumerate(near, 1)}
+        assert got == want
