@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasmill.session import materialize
 
+#: Edges up to which the rest of the work is done in one task instead of more rounds.
+SMALL = 1 << 20
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -32,20 +37,48 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def _finish(edges: DataFrame, schema: str) -> DataFrame:
+    """Components of at most SMALL edges, by union-find over them in one task."""
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches))
+        if not len(table):
+            return
+        ends = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks])
+        names = ends.unique().sort()
+        u, v = (pc.index_in(table.column(i), names).to_pylist() for i in range(2))
+        up = list(range(len(names)))
+        for a, b in zip(u, v):
+            while up[a] != a:
+                up[a] = a = up[up[a]]
+            while up[b] != b:
+                up[b] = b = up[up[b]]
+            up[max(a, b)] = min(a, b)
+        for i, parent in enumerate(up):
+            up[i] = up[parent]
+        yield from pa.table({"node": names, "component": names.take(pa.array(up, type=pa.int64()))}).to_batches(max_chunksize=1 << 16)
+
+    return edges.coalesce(1).mapInArrow(run, schema)
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 
     Works for any orderable id type. Null ends and self loops are ignored (a node with only a self loop has no
     row; callers label such nodes themselves); repeated edges count once; an empty edge list gives no rows.
     Each round is one job whose result is written to the shared folder, so a lost executor costs one round.
-    The number of rounds grows with the logarithm of the longest chain.
+    The number of rounds grows with the logarithm of the longest chain. As soon as no more than `small` edges are
+    left, one task does the rest; with small = 0 only built-in functions are used.
     """
     start = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     now = materialize(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _fingerprint(now)
     for _ in range(max_rounds if seen[0] else 1):
-        if not seen[0]:
-            break
+        if seen[0] <= small:
+            if not seen[0]:
+                break
+            kind = now.schema["u"].dataType.simpleString()
+            return materialize(_finish(now, f"node {kind}, component {kind}"), "components")
         now = materialize(_small_star(_large_star(now)), "edges")
         then, seen = seen, _fingerprint(now)
         if then == seen:
