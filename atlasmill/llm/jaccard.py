@@ -3,9 +3,14 @@
 Sets of shingles are ordered by hash, one order for all documents. Candidates: the order is cut into m ranges, with m
 above the largest symmetric difference that a linked pair of that size can have, so linked sets agree on at least one
 whole range (pigeonhole). Documents meet on ranges that are equal, not on single shingles, and shingles that many sets
-hold are left out of the ranges where enough others remain: common lines give hardly any candidates. Candidate groups are gathered in blocks of bounded size, where each set is a path of a compressed
-prefix tree: overlaps of shared prefixes are counted once for all sets below, and subtrees that cannot reach the
-needed overlap with all their remaining shingles are pruned.
+hold are left out of the ranges where enough others remain: common lines give hardly any candidates. All sets that meet
+somewhere under one smallest set are its star, and any linked pair is in a star. A star's sets become the paths of a
+compressed prefix tree: overlaps of shared prefixes are counted once for all sets below, and subtrees that cannot reach
+the needed overlap with all their remaining shingles are pruned.
+
+A star of more than CHUNK sets or CHUNK_SHINGLES shingles is dealt to several trees, each with the star's smallest set.
+Sets that hang together with that one need no more comparison with each other; only the others are then looked up in
+the star's other trees.
 
 Equal sets are one node throughout, so copies never pair up with each other.
 """
@@ -21,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasmill.llm.arrays import LOWER, U64, byte_parts, gram_hashes, mix64, odd_numbers, word_hashes, words_of
-from atlasmill.llm.routing import MISSING, ROUTED, Pack, batches_of, buckets, by_bucket, keyed
-from atlasmill.llm.substring import _routed_table
+from atlasmill.llm.routing import MISSING, ROUTED, Pack, batches_of, buckets, by_bucket, by_document, document_bucket, keyed, text_hash, with_documents
 from atlasmill.llm.suffix import common_prefix
 from atlasmill.llm.tables import small_batches
 from atlasmill.operators.components import connected_components
@@ -30,18 +34,20 @@ from atlasmill.session import materialize
 
 SHINGLE = 4
 LEAST = Fraction(85, 100)
-#: Sets of one block; a larger candidate group is compared in blocks of two chunks each.
-CHUNK = 2048
+#: Sets and shingles of one tree; a larger star is dealt to several.
+CHUNK, CHUNK_SHINGLES = 4096, 1 << 20
 FLUSH = 2_000_000
 #: Rare shingles that a set needs, as a share of its size, to be found by them alone.
 RARE_SHARE = 0.7
 #: Common shingles: sets of one task that hold one to be reported, sets in all, and how many are broadcast.
 COMMON_LOCAL, COMMON_LEAST, COMMON_MOST = 4, 16, 1 << 17
-INFO, EDGE, SIGN, SETS = 0, 1, 2, 3
-INFOS = Pack(did="<i8", th="<u4", n="<u4", digest="<i8")
+INFO, EDGE, SIGN, SETS, ASK, REST = 0, 1, 2, 3, 4, 5
+INFOS = Pack(did="<i8", th="<i8", n="<u4", digest="<i8")
 EDGES = Pack(src="<i8", dst="<i8")
 SIGNS = Pack(key="<u4", digest="<i8")
-BLOCKS = Pack(block="<i8", digest="<i8", n="<u4")
+#: What a tree is built from: role 1 for sets that are looked up, split where the star has other trees.
+ASKS = Pack(did="<i8", th="<i8", digest="<i8", star="<i8", block="<i8", role="u1", split="u1")
+LEAVES = Pack(digest="<i8", star="<i8", block="<i8", role="u1", split="u1")
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +140,8 @@ def range_signs(row: np.ndarray, value: np.ndarray, n_rows: int, least: Fraction
     First the ranges of the rare shingles alone: linked sets differ in no more rare shingles than in all, so a set with
     more full ranges than linked sets can differ in shares one with each partner. Only sets with fewer, mostly made of
     common shingles, also sign the ranges of all their shingles; two linked sets either share a rare range or both do.
-    A set with more thin ranges than that plan spares also signs that fact: the range it is guaranteed to share may
-    then be a thin one.
+    A set with more thin ranges than that plan spares may share thin ones only, with sets of the same kind. These sign
+    their prefixes: as many shingles, the least common first, as two linked sets can't both lack, and one more.
     """
     size = np.bincount(row, minlength=n_rows)
     bounds = size_labels(int(size.max(initial=1)) * 2)
@@ -155,21 +161,33 @@ def range_signs(row: np.ndarray, value: np.ndarray, n_rows: int, least: Fraction
         plain |= (m > 0) & (np.bincount(r, minlength=n_rows) <= differ)
         rows.append(r)
         signs.append(sign)
-    mine = plain[row]
+    mine, bare = plain[row], np.zeros(n_rows, dtype=bool)
     for label, use in zip(labels, used):
         m, spare, full = (np.where(use & plain, whole[label, j], 0) for j in range(3))
         r, sign = full_ranges(row[mine], value[mine], label, m, full, 0)
-        bare = np.flatnonzero((m > 0) & (m - np.bincount(r, minlength=n_rows) > spare))
-        rows += [r, bare]
-        signs += [sign, mix64(label[bare].astype(U64) + U64(0xABCDEF))]
-    return np.concatenate(rows), np.concatenate(signs)
+        bare |= (m > 0) & (m - np.bincount(r, minlength=n_rows) > spare)
+        rows.append(r)
+        signs.append(sign)
+    r, sign = prefixes(row[bare[row]], value[bare[row]], size, least, common)
+    return np.concatenate([*rows, r]), np.concatenate([*signs, sign])
+
+
+def prefixes(row: np.ndarray, value: np.ndarray, size: np.ndarray, least: Fraction, common: "Common | None") -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of the first n - ceil(least * n) + 1 shingles of each row in one order for all sets, the common ones last."""
+    rank = common.rank(value) if common is not None else np.zeros(len(value), dtype=np.int64)
+    order = np.lexsort((value, rank, row))
+    row, value = row[order], value[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    take = place <= size[row] - -(-least.numerator * size[row] // least.denominator)
+    return row[take], mix64(value[take] ^ U64(0x5A5A5A5A5A5A5A5A))
 
 
 class Common:
-    """A sorted list of shingle hashes, with a bitmap that settles most lookups."""
+    """The common shingles' hashes, given most common first, with a bitmap that settles most lookups."""
 
     def __init__(self, values: np.ndarray):
-        self.values = np.sort(values)
+        order = np.argsort(values, kind="stable")
+        self.values, self.place = values[order], len(values) - order
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[(self.values >> U64(42)).astype(np.int64)] = True
 
@@ -181,6 +199,12 @@ class Common:
         return out
 
 
+    def rank(self, value: np.ndarray) -> np.ndarray:
+        """0 where a shingle is not common, else the higher the more common it is."""
+        at = np.minimum(np.searchsorted(self.values, value), len(self.values) - 1)
+        return np.where(self.values[at] == value, self.place[at], 0)
+
+
 def common_shingles(rows: DataFrame, k: int, most: int = COMMON_MOST) -> np.ndarray:
     """Hashes of the shingles that most sets hold, `most` at most.
 
@@ -265,7 +289,7 @@ def find_signs(rows: DataFrame, n_keys: int, k: int, least: Fraction, common: np
     return rows.select("did", "th", "text").mapInArrow(run, ROUTED)
 
 
-def meet_on_signs(routed: DataFrame) -> DataFrame:
+def meet_on_signs(routed: DataFrame, n_keys: int) -> DataFrame:
     """Candidate edges from the sets that share a signature to the smallest of them; the documents' sizes and digests pass through."""
 
     def work(got):
@@ -282,7 +306,7 @@ def meet_on_signs(routed: DataFrame) -> DataFrame:
                 rows.append((0, EDGE, EDGES.dump({"src": pairs[0], "dst": pairs[1]})))
         return rows
 
-    return by_bucket(routed, work)
+    return by_bucket(routed, n_keys, work)
 
 
 def unpack(routed: DataFrame, kind: int, pack: Pack, schema: str) -> DataFrame:
@@ -388,26 +412,26 @@ def tree_overlaps(tree: PrefixTree, query: int, least: Fraction) -> np.ndarray:
     return total
 
 
-def linked_forest(sets: list[np.ndarray], least: Fraction) -> list[tuple[int, int]]:
-    """Links that connect exactly the groups that all links connect.
+def linked_forest(sets: list[np.ndarray], least: Fraction, first: int | None = None, queries: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect exactly the groups that all links (of the queries, where given) connect.
 
     Sets linked to the first query need no query of their own: any link between two groups has an end outside.
     """
     n = len(sets)
-    num, den = least.numerator, least.denominator
-    if n == 2:
-        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if common and den * common >= num * (len(sets[0]) + len(sets[1]) - common) else []
     tree, groups, links = PrefixTree(sets), Union(n), []
     order = np.array(tree.order)
     left = n - 1
-    middle = int(np.argsort(tree.size, kind="stable")[n // 2])
+    if queries is None:
+        lead = first if first is not None else int(np.argsort(tree.size, kind="stable")[n // 2])
+        queries = [lead, *(i for i in range(n) if i != lead)]
+    else:
+        lead = None
     spared: set[int] = set()
-    for query in [middle, *(i for i in range(n) if i != middle)]:
+    for query in queries:
         if query in spared:
             continue
         hits = order[tree_overlaps(tree, query, least) > 0]
-        if query == middle:
+        if query == lead:
             spared = set(hits.tolist())
         for other in hits.tolist():
             if other != query and groups.join(query, other):
@@ -418,76 +442,121 @@ def linked_forest(sets: list[np.ndarray], least: Fraction) -> list[tuple[int, in
     return links
 
 
-def find_links(rows: DataFrame, info: DataFrame, edges: DataFrame, n_docs: int, k: int, least: Fraction, chunk: int) -> DataFrame:
-    """(src, dst) digests of a forest of links among the candidate groups."""
-    spark = rows.sparkSession
-    n_keys = buckets(spark, 2)
-    groups = connected_components(edges)
-    place = info.groupBy("digest").agg(F.min(F.struct("did", "th")).alias("at"))
-    parts = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("parts"))
-    cut = groups.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    block = F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))
-    asked = cut.select(F.col("node").alias("digest"), block.alias("block")).join(place, "digest")
-    asked = asked.select(((F.pmod("at.did", F.lit(n_docs)) + F.pmod("at.th", F.lit(n_docs))) % n_docs).cast("int").alias("bucket"), "at.did", "at.th", "digest", "block")
-
-    def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(right) or not len(left):
-            return _routed_table([])
-        where = {(d, t): i for i, (d, t) in enumerate(zip(left["did"].to_pylist(), left["th"].to_pylist()))}
-        wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for d, t, g, b in zip(*(right[c].to_pylist() for c in ("did", "th", "digest", "block"))):
-            wanted.setdefault((d, t), []).append((g, b))
-        keys = [key for key in wanted if key in where]
-        texts = left["text"].combine_chunks().cast(pa.binary()).take(pa.array([where[key] for key in keys], type=pa.int64()))
-        out = []
-        for at, buf, offsets in byte_parts(texts, 1 << 20):
+def _pack_asks(asked: DataFrame, n_docs: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            c = {k: batch.column(i).to_numpy() for i, k in enumerate(ASKS.fields)}
+            yield from batches_of(ASKS.split(c, document_bucket(c["did"], c["th"], n_docs), ASK))
+
+    return asked.select(*ASKS.fields).mapInArrow(run, ROUTED)
+
+
+def _plant(rows: DataFrame, asked: DataFrame, n_docs: int, k: int) -> DataFrame:
+    """The asked sets, each sent to its tree."""
+
+    def prepare(got):
+        asked = ASKS.load(got.get(ASK, []))
+        return asked, by_document(asked["did"], asked["th"]), set()
+
+    def rows_of(table, ready):
+        asked, groups, seen = ready
+        chosen = {}
+        for i, key in enumerate(zip(table["did"].to_pylist(), table["th"].to_pylist())):
+            if key in groups and key not in seen:
+                chosen[key] = i
+        seen.update(chosen)
+        names = list(chosen)
+        for at, buf, offsets in byte_parts(table["text"].cast(pa.binary()).take(pa.array(list(chosen.values()), type=pa.int64())), 1 << 20):
             row, value = shingle_sets(buf, offsets, k)
             edge = np.searchsorted(row, np.arange(len(offsets)))
             for r in range(len(offsets) - 1):
-                body = value[edge[r] : edge[r + 1]]
-                for digest, b in wanted[keys[at + r]]:
-                    head = BLOCKS.dump({"block": np.array([b]), "digest": np.array([digest]), "n": np.array([len(body)])})
-                    out.append((b % n_keys, SETS, head + body.tobytes()))
-        return _routed_table(out)
+                body = value[edge[r] : edge[r + 1]].tobytes()
+                for j in groups[names[at + r]].tolist():
+                    yield int(asked["block"][j]) & 0x7FFFFFFF, SETS, LEAVES.dump({f: asked[f][j : j + 1] for f in LEAVES.fields}) + body
 
-    sets = rows.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(fetch, ROUTED)
-    size = 8 + sum(t.itemsize for t in BLOCKS.fields.values())
+    def work(table, ready):
+        return batches_of(rows_of(table, ready))
 
-    def join(got):
-        blocks: dict[int, dict[int, np.ndarray]] = {}
+    return with_documents(rows.select("bucket", "did", "th", "text").where("text is not null"), _pack_asks(asked, n_docs), n_docs, prepare, work, ROUTED)
+
+
+def _grow(sets: DataFrame, n_keys: int, least: Fraction) -> DataFrame:
+    """Links within each tree, and of split stars the sets that do not hang together with the star's smallest one."""
+    size = 8 + sum(t.itemsize for t in LEAVES.fields.values())
+
+    def work(got):
+        trees: dict[int, dict[int, tuple]] = {}
         for blob in got.get(SETS, []):
-            head = BLOCKS.load([blob[:size]])
-            blocks.setdefault(int(head["block"][0]), {})[int(head["digest"][0])] = np.frombuffer(blob, dtype=U64, offset=size)
-        pairs = []
-        for members in blocks.values():
-            if len(members) > 1:
-                names = sorted(members)
-                pairs += [(names[a], names[b]) for a, b in linked_forest([members[x] for x in names], least)]
-        if not pairs:
-            return []
-        src, dst = (np.array(x, dtype=np.int64) for x in zip(*pairs))
-        return [(0, EDGE, EDGES.dump({"src": src, "dst": dst}))]
-
-    return unpack(by_bucket(sets, join), EDGE, EDGES, "src long, dst long")
-
-
-def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, least: Fraction = LEAST, chunk: int = CHUNK) -> DataFrame:
+            leaf = LEAVES.load([blob[:size]])
+            trees.setdefault(int(leaf["block"][0]), {})[int(leaf["digest"][0])] = (leaf, np.frombuffer(blob, dtype=U64, offset=size))
+        for members in trees.values():
+            names = sorted(members)
+            leaf = {f: np.concatenate([members[x][0][f] for x in names]) for f in LEAVES.fields}
+            asked = np.flatnonzero(leaf["role"] == 1).tolist()
+            pairs = []
+            if len(names) > 1:
+                second = leaf["split"][0] == 2
+                pairs = linked_forest([members[x][1] for x in names], least, None if second else asked[0], asked if second else None)
+            if pairs:
+                src, dst = (np.array([names[i] for i in x], dtype=np.int64) for x in zip(*pairs))
+                yield 0, EDGE, EDGES.dump({"src": src, "dst": dst})
+            if leaf["split"][0] == 1:
+                groups = Union(len(names))
+                for a, b in pairs:
+                    groups.join(a, b)
+                apart = np.array([x for i, x in enumerate(names) if groups.root(i) != groups.root(asked[0])], dtype=np.int64)
+                if len(apart):
+                    yield 0, REST, EDGES.dump({"src": np.full(len(apart), leaf["star"][0]), "dst": apart})
+
+    return by_bucket(sets, n_keys, work)
+
+
+def find_links(rows: DataFrame, info: DataFrame, edges: DataFrame, n_keys: int, n_docs: int, k: int, least: Fraction, chunk: int, chunk_shingles: int) -> DataFrame:
+    """(src, dst) digests of a forest of links among the stars of candidate edges."""
+    place = info.groupBy("digest").agg(F.min(F.struct("did", "th")).alias("at"), F.max("n").alias("n"))
+    stars = edges.select(F.col("src").alias("star"), F.col("dst").alias("digest")).union(edges.select(F.col("src").alias("star"), F.col("src").alias("digest")).distinct())
+    stars = materialize(stars.join(place, "digest").select("star", "digest", "at.did", "at.th", "n"), "stars")
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(chunk), F.sum("n") / F.lit(chunk_shingles))).cast("int")
+    large = stars.groupBy("star").agg(parts.alias("parts")).where("parts > 1")
+    is_lead = F.col("star") == F.col("digest")
+    part = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
+    dealt = stars.join(large, "star", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # The star's smallest set is in each of its trees.
+    first = dealt.withColumn("part", F.explode(F.when(is_lead, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
+    first = first.select("did", "th", "digest", "star", F.xxhash64("star", "part").alias("block"), is_lead.cast("int").alias("role"), (F.col("parts") > 1).cast("int").alias("split"))
+    found = materialize(_grow(_plant(rows, first, n_docs, k), n_keys, least), "links")
+    links = unpack(found, EDGE, EDGES, "src long, dst long")
+    rest = found.where(F.col("kind") == REST)
+    if rest.isEmpty():
+        return links
+    apart = unpack(rest, REST, EDGES, "star long, digest long")
+    groups = materialize(apart.join(stars, ["star", "digest"]), "apart")
+    lots = groups.groupBy("star").agg(parts.alias("lots"))
+    asked = groups.join(lots, "star").join(large, "star").withColumn("lot", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("lots")).cast("int"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(1))
+    others = stars.join(large, "star").join(lots, "star").withColumn("part", part).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).withColumn("role", F.lit(0))
+    both = asked.select("did", "th", "digest", "star", "lot", "part", "role").union(others.select("did", "th", "digest", "star", "lot", "part", "role"))
+    second = both.groupBy("did", "th", "digest", "star", "lot", "part").agg(F.max("role").alias("role"))
+    second = second.select("did", "th", "digest", "star", F.xxhash64("star", "lot", "part", F.lit(2)).alias("block"), "role", F.lit(2).alias("split"))
+    more = materialize(_grow(_plant(rows, second, n_docs, k), n_keys, least), "links")
+    return links.union(unpack(more, EDGE, EDGES, "src long, dst long"))
+
+
+def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, least: Fraction = LEAST, chunk: int = CHUNK, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """One row per document: doc_id, did, th, n_shingles, component_id (smallest doc_id reachable by links), group (tells components of one id apart).
 
     Texts are lower-cased (A-Z); a text with fewer words than a shingle has is one shingle; one without words, or
     null, has none and is linked with nothing. Null ids count as larger than any other; a component of null ids only
     has a null id. Repeated rows are linked; an empty table gives no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    n_keys, n_docs = buckets(spark, 2), buckets(spark)
+    small_batches(docs.sparkSession)
+    n_keys, n_docs = buckets(docs, 2), buckets(docs)
     rows = keyed(docs, n_docs)
-    met = materialize(meet_on_signs(find_signs(rows, n_keys, shingle, least, common_shingles(rows, shingle))), "signs")
+    met = materialize(meet_on_signs(find_signs(rows, n_keys, shingle, least, common_shingles(rows, shingle)), n_keys), "signs")
     info = unpack(met, INFO, INFOS, "did long, th long, n long, digest long")
     edges = unpack(met, EDGE, EDGES, "src long, dst long").distinct()
     full = info.where("n > 0")
-    links = materialize(find_links(rows.where("text is not null"), full, edges, n_docs, shingle, least, chunk), "links")
+    links = find_links(rows, full, edges, n_keys, n_docs, shingle, least, chunk, chunk_shingles)
     labels = connected_components(links)
     low = full.groupBy("digest").agg(F.min("did").alias("low"))
     nodes = low.join(labels, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("component", "digest").alias("component"))
@@ -508,6 +577,5 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(80
     first = groups.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
     keep = first.union(solo).toDF("__keep_did", "__keep_th")
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING))
-    th = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF)
-    full = docs.select("*", did.alias("__did"), th.alias("__th")).join(keep, (F.col("__did") == F.col("__keep_did")) & (F.col("__th") == F.col("__keep_th")), "left_semi")
+    full = docs.select("*", did.alias("__did"), text_hash().alias("__th")).join(keep, (F.col("__did") == F.col("__keep_did")) & (F.col("__th") == F.col("__keep_th")), "left_semi")
     return full.dropDuplicates(["__did", "__th"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,23 +2,28 @@
 
 A text operator has far more anchors than documents. Sending each as a row would cost more than computing it, so a
 task sorts its anchors by bucket and sends each bucket's arrays in one row; the receiver joins the arrays of a bucket
-and works on them with numpy. The number of buckets follows spark.sql.shuffle.partitions, so a bucket's arrays stay
-as small as a partition's share of the data.
+and works on them with numpy. The number of buckets follows the bytes of the input, and spark.sql.shuffle.partitions at
+least, so what a task holds of a bucket stays as small as its share of the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasmill.llm.tables import parallelism
 
 ROUTED = "bucket int, kind int, data binary"
+#: Stands for a null id, so ids themselves are below it.
 MISSING = (1 << 63) - 1
+#: Bytes of input, as the optimizer estimates it, for one bucket.
+BUCKET_BYTES = 32 << 20
+#: Kind of the rows that carry a document: after the packed rows of its bucket.
+DOCUMENT = 1 << 20
 
 
 class Pack:
@@ -50,40 +55,58 @@ class Pack:
         return [(int(sorted_bucket[a]), kind, self.dump({k: v[a:b] for k, v in columns.items()})) for a, b in zip(edges, stops)]
 
 
-def batches_of(rows: list[tuple[int, int, bytes]], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Routed rows as record batches of a few MB."""
-    at = 0
-    while at < len(rows):
-        end, size = at, 0
-        while end < len(rows) and (end == at or size + len(rows[end][2]) <= limit):
-            size += len(rows[end][2])
-            end += 1
-        bucket, kind, data = zip(*rows[at:end])
-        yield pa.RecordBatch.from_arrays([pa.array(bucket, type=pa.int32()), pa.array(kind, type=pa.int32()), pa.array(data, type=pa.binary())], names=["bucket", "kind", "data"])
-        at = end
+def batches_of(rows: Iterable[tuple[int, int, bytes]], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Routed rows as record batches of a few MB, sent as they fill."""
 
+    def batch():
+        bucket, kind, data = zip(*held)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, type=pa.int32()), pa.array(kind, type=pa.int32()), pa.array(data, type=pa.binary())], names=["bucket", "kind", "data"])
 
-def buckets(spark: SparkSession, times: int = 1) -> int:
-    """Few times the shuffle partitions: a task's packed rows are as many as the buckets it writes to."""
-    return times * parallelism(spark)
+    held, size = [], 0
+    for row in rows:
+        if held and size + len(row[2]) > limit:
+            yield batch()
+            held, size = [], 0
+        held.append(row)
+        size += len(row[2])
+    if held:
+        yield batch()
+
+
+def buckets(docs: DataFrame, times: int = 1) -> int:
+    """Few times the shuffle partitions, more for a larger input: a task's packed rows are as many as the buckets it writes to."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
+    # A source that does not know its size gives the largest number.
+    size = sum(x for x in map(int, sizes) if x < 1 << 60)
+    return times * max(parallelism(docs.sparkSession), -(-size // BUCKET_BYTES))
 
 
 def document_bucket(did: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
     """The bucket a document's row is in: the same sum as in keyed()."""
-    return ((did % n + th.astype(np.int64) % n) % n).astype(np.int32)
+    return ((did % n + th % n) % n).astype(np.int32)
+
+
+def text_hash() -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def keyed(docs: DataFrame, n: int, *more: str) -> DataFrame:
     """bucket, doc_id, did, th, text and more columns: did stands for a null id as the largest number; th tells rows of one id apart by text."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did.alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFFFF).alias("th"), "text", *more)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did.alias("did"), text_hash().alias("th"), "text", *more)
     return rows.select(((F.pmod("did", F.lit(n)) + F.pmod("th", F.lit(n))) % n).cast("int").alias("bucket"), "doc_id", "did", "th", "text", *more)
 
 
-def by_bucket(routed: DataFrame, work: Callable[[dict[int, list[bytes]]], list[tuple[int, int, bytes]]]) -> DataFrame:
-    """Bring the rows of each bucket together and run work on {kind: blobs} of one bucket at a time."""
-    spark = routed.sparkSession
-    dealt = routed.repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of one bucket in one partition; adaptive execution joins small partitions."""
+    least = parallelism(rows.sparkSession)
+    return rows.repartition(n, "bucket") if n > least else rows.repartition("bucket")
+
+
+def by_bucket(routed: DataFrame, n: int, work: Callable[[dict[int, list[bytes]]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
+    """Bring the rows of each of n buckets together and run work on {kind: blobs} of one bucket at a time; it gives routed rows."""
 
     def run(batches):
         now, got = None, {}
@@ -97,34 +120,44 @@ def by_bucket(routed: DataFrame, work: Callable[[dict[int, list[bytes]]], list[t
         if now is not None:
             yield from batches_of(work(got))
 
-    return dealt.mapInArrow(run, ROUTED)
+    return _dealt(routed, n).sortWithinPartitions("bucket").mapInArrow(run, ROUTED)
 
 
-def with_documents(rows: DataFrame, routed: DataFrame, work: Callable[[pa.Table, dict[int, list[bytes]]], pa.Table], schema: str) -> DataFrame:
-    """Bring keyed() documents and routed rows of each document bucket together; work gets the documents and {kind: blobs}."""
+def with_documents(rows: DataFrame, routed: DataFrame, n: int, prepare: Callable[[dict[int, list[bytes]]], object], work: Callable[[pa.RecordBatch, object], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Bring keyed() documents and routed rows of each of n buckets together.
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        got: dict[int, list[bytes]] = {}
-        for kind, data in zip(right["kind"].to_pylist(), right["data"].to_pylist()):
-            got.setdefault(kind, []).append(data)
-        return work(left, got)
+    prepare gets {kind: blobs} of a bucket, then work its documents with what prepare made, a batch at a time: a bucket's
+    texts are never held at once.
+    """
+    names = [c for c in rows.columns if c != "bucket"]
+    texts = rows.select("bucket", F.lit(DOCUMENT).alias("kind"), F.lit(None).cast("binary").alias("data"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("document"))
+    notes = routed.select("bucket", "kind", "data", F.lit(None).cast(texts.schema["document"].dataType).alias("document"))
 
-    return rows.groupBy("bucket").cogroup(routed.groupBy("bucket")).applyInArrow(run, schema)
-
-
-class Finder:
-    """Row numbers of a bucket's documents by (did, th); equal documents share one entry."""
-
-    def __init__(self, table: pa.Table):
-        self.did, self.th = table["did"].to_numpy(), table["th"].to_numpy()
-        self.order = np.lexsort((self.th, self.did))
-        self.pairs = list(zip(self.did.tolist(), self.th.tolist()))
-
-    def groups(self, did: np.ndarray, th: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Element numbers for each (did, th)."""
-        order = np.lexsort((th, did))
-        if not len(order):
-            return {}
-        a, b = did[order], th[order]
-        edges = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        return {(int(a[s]), int(b[s])): order[s:e] for s, e in zip(edges, [*edges[1:], len(order)])}
+    def run(batches):
+        now, got, ready = None, {}, None
+        for batch in batches:
+            bucket, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
+                if bucket[a] != now:
+                    now, got, ready = bucket[a], {}, None
+                first = a + int(np.searchsorted(kind[a:b], DOCUMENT))
+                for k, data in zip(kind[a:first].tolist(), batch.column(2).slice(a, first - a).to_pylist()):
+                    got.setdefault(k, []).append(data)
+                if first == b:
+                    continue
+                if ready is None:
+                    ready, got = (prepare(got),), {}
+                yield from work(pa.RecordBatch.from_struct_array(batch.column(3).slice(first, b - first)), ready[0])
+
+    return _dealt(notes.union(texts), n).sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
+
+
+def by_document(did: np.ndarray, th: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """Element numbers for each (did, th)."""
+    order = np.lexsort((th, did))
+    if not len(order):
+        return {}
+    a, b = did[order], th[order]
+    edges = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return {(int(a[s]), int(b[s])): order[s:e] for s, e in zip(edges, [*edges[1:], len(order)])}

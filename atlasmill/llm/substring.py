@@ -1,13 +1,16 @@
 """Substring dedup by seed and extend over words.
 
-Seeds are the minimizers of each 13-word window's 5-word grams, so two equal windows have the same seed at the same
-place. The windows that share one seed occurrence make a context of 13 to 21 words.
+Seeds are the winnowed anchors of the text: the minimizers of each 13-word window's 5-word grams, so two equal windows
+have the same seed at the same place. The windows that share one seed occurrence make a context of 13 to 21 words.
 
 1. Each task finds its contexts. Of contexts that repeat within the task only those of the smallest document travel.
-2. Documents meet on seeds: a context that a smaller document has whole is removed; where a seed's contexts differ,
-   the seed is extended.
-3. Extension compares, for those seeds only, the windows on both sides of the seed one by one.
-4. Removed windows are merged to maximal repeats and cut out of the texts.
+2. Documents are joined on seeds: a context that a smaller document has whole is removed; where a seed's contexts
+   differ, the words around the seed are fetched to the seed's bucket.
+3. There matches are extended both ways: for each split of the length, the occurrences that agree on that many words
+   to the left of the seed and on the rest to its right are found together, and the smallest document among them.
+4. Splits that follow each other are one maximal repeat; these are cut out of the texts.
+
+A seed with more than HOT different contexts is not brought together: its windows meet one by one by their hash.
 """
 
 from __future__ import annotations
@@ -21,28 +24,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasmill.llm.arrays import byte_parts, cover, gram_hashes, minimizers, mix64, odd_numbers, runs_of, word_hashes, words_of
-from atlasmill.llm.routing import ROUTED, Finder, Pack, batches_of, buckets, by_bucket, document_bucket, keyed, with_documents
+from atlasmill.llm.routing import ROUTED, Pack, batches_of, buckets, by_bucket, by_document, document_bucket, keyed, with_documents
 from atlasmill.llm.tables import small_batches
 from atlasmill.session import materialize
 
 LENGTH = 13
 SEED_WORDS = 5
+HOT = 16_384
 #: Contexts a task gathers before it sends them.
 FLUSH = 1_000_000
-CONTEXT, SPAN, REQUEST, WINDOW = 0, 1, 2, 3
-CONTEXTS = Pack(key="<u4", digest="<u8", did="<i8", th="<u4", pos="<u4", n="u1")
-SPANS = Pack(did="<i8", th="<u4", pos="<u4", n="u1")
-WINDOWS = Pack(hash="<u8", did="<i8", th="<u4", pos="<u4")
+CONTEXT, SPAN, REQUEST, WINDOW, AROUND = 0, 1, 2, 3, 4
+CONTEXTS = Pack(key="<u4", digest="<u8", did="<i8", th="<i8", pos="<u4", n="<u2", a="<u2")
+SPANS = Pack(did="<i8", th="<i8", pos="<u4", n="<u2")
+REQUESTS = Pack(did="<i8", th="<i8", pos="<u4", n="<u2", a="<u2", key="<u4", home="<u4", hot="u1")
+WINDOWS = Pack(hash="<u8", did="<i8", th="<i8", pos="<u4")
 
 
 def seed_contexts(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED_WORDS) -> dict[str, np.ndarray]:
-    """Contexts of the rows of a buffer: row, full seed hash, digest, first window (word number in its row), number of windows."""
+    """Contexts of the rows of a buffer: row, full seed hash, digest, first window (word number in its row), number of windows, words before the seed."""
     starts, ends, rows = words_of(buf, offsets)
     words = word_hashes(buf, starts, ends)
     grams, windows = gram_hashes(words, seed, 21), gram_hashes(words, length, 22)
     if not len(windows):
         empty = np.zeros(0, dtype=np.int64)
-        return {"row": empty, "seed": empty.astype(np.uint64), "digest": empty.astype(np.uint64), "pos": empty, "n": empty}
+        return {"row": empty, "seed": empty.astype(np.uint64), "digest": empty.astype(np.uint64), "pos": empty, "n": empty, "a": empty}
     at = np.flatnonzero(rows[: len(windows)] == rows[length - 1 :])
     anchor = minimizers(grams, length - seed + 1)[at]
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else np.zeros(0, dtype=np.int64)
@@ -51,7 +56,7 @@ def seed_contexts(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, se
     c = odd_numbers(4, 23)
     digest = mix64(windows[lo] * c[0] + windows[hi] * c[1] + (hi - lo).astype(np.uint64) * c[2] + (a - lo).astype(np.uint64) * c[3])
     base = np.searchsorted(rows, np.arange(len(offsets)))
-    return {"row": rows[lo], "seed": grams[a], "digest": digest, "pos": lo - base[rows[lo]], "n": hi - lo + 1}
+    return {"row": rows[lo], "seed": grams[a], "digest": digest, "pos": lo - base[rows[lo]], "n": hi - lo + 1, "a": a - lo}
 
 
 def smallest(group: tuple[np.ndarray, ...], did: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +113,7 @@ def _forward(blobs: list[bytes]) -> list:
     return [(int.from_bytes(b[:4], "little"), SPAN, b[4:]) for b in blobs]
 
 
-def meet_on_seeds(routed: DataFrame, n_docs: int) -> DataFrame:
+def meet_on_seeds(routed: DataFrame, n_keys: int, n_docs: int, hot: int) -> DataFrame:
     def work(got):
         rows = _forward(got.get(SPAN, []))
         c = CONTEXTS.load(got.get(CONTEXT, []))
@@ -117,81 +122,146 @@ def meet_on_seeds(routed: DataFrame, n_docs: int) -> DataFrame:
         order, low = smallest((c["key"], c["digest"]), c["did"])
         did, key, digest = c["did"][order], c["key"][order], c["digest"][order]
         rows += _spans(c, order[did > low], n_docs)
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(key)) - 1
+        one = np.ones(len(key), dtype=bool)
+        one[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        kinds = np.add.reduceat(one.astype(np.int64), first)
         least, most = np.minimum.reduceat(did, first), np.maximum.reduceat(did, first)
-        mixed = ((digest[first] != digest[last]) & (least < most))[np.cumsum(new) - 1]
-        ask = order[mixed & (did == low)]
-        part = {k: c[k][ask] for k in SPANS.fields}
-        return rows + SPANS.split(part, document_bucket(part["did"], part["th"], n_docs), REQUEST)
-
-    return by_bucket(routed, work)
+        mixed = np.repeat((kinds > 1) & (least < most), size)
+        pick = mixed & (did == low)
+        part = {k: c[k][order[pick]] for k in ("did", "th", "pos", "n", "a", "key")}
+        part |= {"home": part["key"] % np.uint32(n_keys), "hot": np.repeat(kinds > hot, size)[pick]}
+        return rows + REQUESTS.split(part, document_bucket(part["did"], part["th"], n_docs), REQUEST)
 
+    return by_bucket(routed, n_keys, work)
 
-def _routed_table(rows: list) -> pa.Table:
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
-    return pa.Table.from_batches(list(batches_of(rows, 1 << 30)), schema=schema)
 
+def fetch_around(docs: DataFrame, asked: DataFrame, n_keys: int, n_docs: int, length: int) -> DataFrame:
+    """Hashes of the words of the asked contexts, sent to their seed's bucket; of hot seeds the hashes of their windows."""
 
-def extend(docs: DataFrame, asked: DataFrame, n_keys: int, length: int) -> DataFrame:
-    """Hashes of the windows on both sides of the asked seeds."""
+    def prepare(got):
+        asked = REQUESTS.load(got.get(REQUEST, []))
+        return asked, by_document(asked["did"], asked["th"]), set()
 
-    def work(table, got):
-        asked = SPANS.load(got.get(REQUEST, []))
-        groups = Finder(table).groups(asked["did"], asked["th"])
-        keys = list(zip(table["did"].to_pylist(), table["th"].to_pylist()))
+    def rows_of(table, ready):
+        asked, groups, seen = ready
         chosen = {}
-        for i, key in enumerate(keys):
-            if key in groups:
-                chosen.setdefault(key, i)
-        picked = list(chosen.items())
-        out = []
-        texts = table["text"].combine_chunks().cast(pa.binary()) if picked else None
-        for at, buf, offsets in byte_parts(texts.take(pa.array([i for _, i in picked])), 1 << 20) if picked else ():
+        for i, key in enumerate(zip(table["did"].to_pylist(), table["th"].to_pylist())):
+            if key in groups and key not in seen:
+                chosen[key] = i
+        seen.update(chosen)
+        if not chosen:
+            return
+        names, texts = list(chosen), table["text"].cast(pa.binary()).take(pa.array(list(chosen.values())))
+        for at, buf, offsets in byte_parts(texts, 1 << 20):
             starts, ends, rows = words_of(buf, offsets)
-            windows = gram_hashes(word_hashes(buf, starts, ends), length, 22)
+            words = word_hashes(buf, starts, ends)
             base = np.searchsorted(rows, np.arange(len(offsets)))
-            for r in range(len(offsets) - 1):
-                (did, th), _ = picked[at + r]
-                mine = groups[did, th]
-                n = asked["n"][mine].astype(np.int64)
-                pos = np.repeat(asked["pos"][mine].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out.append((windows[base[r] + pos], np.full(len(pos), did), np.full(len(pos), th), pos))
-        if not out:
-            return _routed_table([])
-        columns = dict(zip(WINDOWS.fields, (np.concatenate(c) for c in zip(*out))))
-        return _routed_table(WINDOWS.split(columns, (columns["hash"] % np.uint64(n_keys)).astype(np.int32), WINDOW))
+            mine = [groups[names[at + r]] for r in range(len(offsets) - 1)]
+            pick, row = np.concatenate(mine), np.repeat(np.arange(len(mine)), [len(m) for m in mine])
+            first, n, is_hot = base[row] + asked["pos"][pick], asked["n"][pick].astype(np.int64), asked["hot"][pick] > 0
+            cool = pick[~is_hot]
+            for home, some in _by(asked["home"][cool]):
+                size = n[~is_hot][some] + length - 1
+                yield home, AROUND, _with_body(REQUESTS, {k: v[cool[some]] for k, v in asked.items()}, words[_ranges(first[~is_hot][some], size)])
+            if is_hot.any():
+                windows, at_window = gram_hashes(words, length, 22), _ranges(first[is_hot], n[is_hot])
+                again = np.repeat(pick[is_hot], n[is_hot])
+                columns = {"hash": windows[at_window], "did": asked["did"][again], "th": asked["th"][again], "pos": at_window - np.repeat(base[row[is_hot]], n[is_hot])}
+                yield from WINDOWS.split(columns, (columns["hash"] % np.uint64(n_keys)).astype(np.int32), WINDOW)
 
-    return with_documents(docs, asked, work, ROUTED)
+    def work(table, ready):
+        return batches_of(rows_of(table, ready))
 
+    return with_documents(docs, asked, n_docs, prepare, work, ROUTED)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges that start at first and have size numbers, one after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-def meet_on_windows(routed: DataFrame, n_docs: int) -> DataFrame:
-    def work(got):
-        c = WINDOWS.load(got.get(WINDOW, []))
-        order, low = smallest((c["hash"],), c["did"])
-        c["n"] = np.ones(len(order), dtype=np.uint8)
-        return _spans(c, order[c["did"][order] > low], n_docs)
 
-    return by_bucket(routed, work)
+def _by(values: np.ndarray):
+    """(value, where it stands) for each different value."""
+    order = np.argsort(values, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], values[order][1:] != values[order][:-1]))) if len(order) else []
+    for s, e in zip(edges, [*edges[1:], len(order)]):
+        yield int(values[order[s]]), order[s:e]
 
 
-def removed_words(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """keyed() documents and the routed spans of windows that a smaller document has."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    n_keys, n_docs = buckets(spark, 2), buckets(spark)
-    rows = keyed(docs, n_docs)
-    met = materialize(meet_on_seeds(find_contexts(rows, n_keys, n_docs, length), n_docs), "seeds")
-    windows = extend(rows.where("text is not null"), met.where(f"kind = {REQUEST}"), n_keys, length)
-    more = meet_on_windows(windows, n_docs)
-    return rows, met.where(f"kind = {SPAN}").union(more)
+def _with_body(pack: Pack, columns: dict[str, np.ndarray], body: np.ndarray) -> bytes:
+    head = pack.dump(columns)
+    return len(head).to_bytes(8, "little") + head + body.tobytes()
 
 
-def _masks(table: pa.Table, got: dict[int, list[bytes]], length: int):
-    """(row, words, removed mask or None) of every document of a bucket."""
+def extend(c: dict[str, np.ndarray], words: np.ndarray, length: int, seed: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurrence, first word, windows) of the maximal repeats that each occurrence shares with a smaller document.
+
+    c holds the occurrences' key, did, pos, n and a; words are the word hashes of their contexts, one after another.
+    Occurrences of a seed that agree on `left` words before it and on length - seed - left words after it hold one window.
+    """
+    size = c["n"].astype(np.int64) + length - 1
+    start = np.cumsum(size) - size
+    at, more = start + c["a"], length - seed
+    before, after = c["a"].astype(np.int64), size - c["a"] - seed
+    by = odd_numbers(2 * more + 2, 24)
+    lefts, rights = [np.zeros(len(size), dtype=np.uint64)], [np.zeros(len(size), dtype=np.uint64)]
+    for j in range(1, more + 1):
+        lefts.append(lefts[-1] + np.where(before >= j, words[np.maximum(at - j, 0)] * by[j], 0))
+        rights.append(rights[-1] + np.where(after >= j, words[np.minimum(at + seed + j - 1, len(words) - 1)] * by[more + j], 0))
+    hit = np.zeros((len(size), more + 3), dtype=bool)
+    for left in range(more + 1):
+        here = np.flatnonzero((before >= left) & (after >= more - left))
+        order, low = smallest((c["key"][here], mix64(lefts[left][here]), mix64(rights[more - left][here])), c["did"][here])
+        hit[here[order], left + 1] = c["did"][here][order] > low
+    step = np.diff(hit.view(np.int8), axis=1)
+    row, first = np.nonzero(step == 1)
+    _, last = np.nonzero(step == -1)
+    # Splits first .. last - 1 match: the repeat starts last - 1 words before the seed.
+    return row, c["pos"][row].astype(np.int64) + c["a"][row] - (last - 1), last - first
+
+
+def meet_around(routed: DataFrame, n_keys: int, n_docs: int, length: int) -> DataFrame:
+    """Spans from the extended seeds, and from the windows of hot seeds."""
+
+    def work(got):
+        heads, bodies = [], []
+        for blob in got.get(AROUND, []):
+            size = int.from_bytes(blob[:8], "little")
+            heads.append(blob[8 : 8 + size])
+            bodies.append(np.frombuffer(blob, dtype=np.uint64, offset=8 + size))
+        if heads:
+            c = REQUESTS.load(heads)
+            row, pos, n = extend(c, np.concatenate(bodies), length)
+            part = {"did": c["did"][row], "th": c["th"][row], "pos": pos, "n": n}
+            yield from _spans(part, slice(None), n_docs)
+        w = WINDOWS.load(got.get(WINDOW, []))
+        order, low = smallest((w["hash"],), w["did"])
+        w["n"] = np.ones(len(order), dtype=np.uint16)
+        yield from _spans(w, order[w["did"][order] > low], n_docs)
+
+    return by_bucket(routed, n_keys, work)
+
+
+def removed_words(docs: DataFrame, length: int, hot: int = HOT, *more: str) -> tuple[DataFrame, DataFrame, int]:
+    """keyed() documents, the routed spans of windows that a smaller document has, and the number of document buckets."""
+    small_batches(docs.sparkSession)
+    n_keys, n_docs = buckets(docs, 2), buckets(docs)
+    rows = keyed(docs, n_docs, *more)
+    met = materialize(meet_on_seeds(find_contexts(rows, n_keys, n_docs, length), n_keys, n_docs, hot), "seeds")
+    around = fetch_around(rows.select("bucket", "did", "th", "text").where("text is not null"), met.where(f"kind = {REQUEST}"), n_keys, n_docs, length)
+    return rows, met.where(f"kind = {SPAN}").union(meet_around(around, n_keys, n_docs, length)), n_docs
+
+
+def _spans_by_document(got: dict[int, list[bytes]]):
     spans = SPANS.load(got.get(SPAN, []))
-    groups = Finder(table).groups(spans["did"], spans["th"])
+    return spans, by_document(spans["did"], spans["th"])
+
+
+def _masks(table: pa.RecordBatch, ready, length: int):
+    """(row, words, removed mask or None) of every document of a batch."""
+    spans, groups = ready
     for i, (did, th, text) in enumerate(zip(table["did"].to_pylist(), table["th"].to_pylist(), table["text"].cast(pa.binary()).to_pylist())):
         words = (text or b"").split()
         mine = groups.get((did, th))
@@ -202,44 +272,40 @@ def _masks(table: pa.Table, got: dict[int, list[bytes]], length: int):
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row.
 
     Null texts have no words. A null id counts as larger than any other; rows with one id never remove each
     other's words. Repeated rows give repeated rows; an empty table gives none; extra columns are ignored.
     """
-    rows, spans = removed_words(docs, length)
+    rows, spans, n = removed_words(docs, length, hot)
 
-    def work(table, got):
+    def work(table, ready):
         out = []
         ids = table["doc_id"].to_pylist()
-        for i, words, gone in _masks(table, got, length):
+        for i, words, gone in _masks(table, ready, length):
             kept = words if gone is None else compress(words, ~gone)
             out.append((ids[i], len(words), 0 if gone is None else int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-        return pa.table([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], type=t) for t in kinds], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_documents(rows, spans, work, RESULT)
+    return with_documents(rows, spans, n, _spans_by_document, work, RESULT)
 
 
-def cut_repeats(docs: DataFrame, length: int = 50, least_words: int = 5) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 50, least_words: int = 5, hot: int = HOT) -> DataFrame:
     """The documents, without passages of at least `length` words that a document with a smaller id has, in their own columns.
 
     n_chars, if there, is counted again where a text changed. The rest of a text stays as it was, white space
     included. Documents left with fewer than least_words words, but not before, go. Edge cases as in substring_dedup.
     """
-    rows, spans = removed_words(docs, length)
     names = docs.columns
     others = [c for c in names if c != "text"]
     carried = F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")
-    n = buckets(docs.sparkSession)
-    full = docs.select("doc_id", "text", carried)
-    key = keyed(full, n, "rest")
+    rows, spans, n = removed_words(docs.select("doc_id", "text", carried), length, hot, "rest")
 
-    def work(table, got):
+    def work(table, ready):
         texts, keep, changed = table["text"].to_pylist(), np.ones(len(table), dtype=bool), {}
-        for i, words, gone in _masks(table, got, length):
+        for i, words, gone in _masks(table, ready, length):
             if gone is None:
                 continue
             if (~gone).sum() < least_words <= len(words):
@@ -253,13 +319,13 @@ def cut_repeats(docs: DataFrame, length: int = 50, least_words: int = 5) -> Data
                 at = starts[b] if b < len(starts) else len(data)
             kept.append(data[at:])
             changed[i] = texts[i] = b"".join(kept).decode("utf-8", "replace")
-        rest = table["rest"].combine_chunks()
-        columns = {c: rest.field(j) for j, c in enumerate(others)} | {"text": pa.array(texts, type=pa.string())}
+        rest = table["rest"]
+        columns = dict(zip(others, rest.flatten())) | {"text": pa.array(texts, type=pa.string())}
         if changed and "n_chars" in columns:
             counts = columns["n_chars"].to_pylist()
             for i, text in changed.items():
                 counts[i] = len(text)
             columns["n_chars"] = pa.array(counts, type=columns["n_chars"].type)
-        return pa.table([columns[c] for c in names], names=names).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names).filter(pa.array(keep))
 
-    return with_documents(key, spans, work, docs.schema)
+    return with_documents(rows, spans, n, _spans_by_document, work, docs.schema)

@@ -1,16 +1,19 @@
 """Suffix-array dedup over bytes: every byte of a 400-byte string that starts more than once in the corpus goes.
 
-The suffix array is sparse and partitioned. Anchors are the minimizers of each 400-byte window's 32-byte grams, so
-equal windows have the same anchor at the same place, and all suffixes that share an anchor's gram meet in one
-bucket. The windows of one anchor occurrence make a context of 400 to 768 bytes.
-
-1. Tasks find contexts and send one of those that repeat within the task.
-2. Contexts meet by anchor: whole ones that repeat are removed; where an anchor's contexts differ, their bytes are
-   fetched, one for each different context.
+The suffix array is sparse and partitioned. Anchors are the minimizers of each window's 32-byte grams, so equal windows
+have the same anchor at the same place, and all suffixes that share an anchor's gram meet in one bucket. Windows have
+256 bytes, some 50 words; the anchors of 400-byte windows are among theirs. An anchor's windows of both lengths make a
+context of 256 to 768 bytes.
+
+1. Tasks find contexts. Of one that several documents of a task hold, one travels.
+2. Contexts meet by anchor: whole ones that several documents hold are settled; where an anchor's contexts differ,
+   their bytes are fetched, once for each different one.
 3. There the contexts are sorted by what follows the anchor, and a stack scan over the common prefixes lists the
    prefix intervals, each with all its occurrences. Within an interval the bytes before the anchor, compared
-   backwards, tell which occurrences extend left together and how far, up to where they differ: the maximal repeats.
-4. Repeats of 400 bytes and more are cut out of the texts.
+   backwards, tell which occurrences extend left together and how far, up to where they differ: the maximal repeats,
+   among all occurrences and among those of different documents.
+4. Repeats of 400 bytes and more are cut out of the texts; those of 256 bytes and more that another document holds are
+   counted.
 
 An anchor with more than HOT different contexts is not brought together: its windows are counted one by one by
 their hash, with a combine in each task, so no group grows with the data.
@@ -25,20 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from atlasmill.llm.arrays import U64, byte_parts, cover, minimizers, mix64, runs_of
-from atlasmill.llm.routing import ROUTED, Finder, Pack, batches_of, buckets, by_bucket, document_bucket, keyed, with_documents
-from atlasmill.llm.substring import _routed_table
+from atlasmill.llm.routing import ROUTED, Pack, batches_of, buckets, by_bucket, by_document, document_bucket, keyed, with_documents
 from atlasmill.llm.tables import small_batches
 from atlasmill.session import materialize
 
 LENGTH = 400
+#: Bytes of a passage that counts as shared with another document: some 50 words.
+SHARED = 256
 GRAM = 32
 FLUSH = 400_000
 HOT = 16_384
 CONTEXT, SPAN, REQUEST, WINDOW, BYTES = 0, 1, 2, 3, 4
-CONTEXTS = Pack(key="<u4", digest="<u8", did="<i8", th="<u4", pos="<u4", n="<u2", a="<u2", multi="u1")
-SPANS = Pack(did="<i8", th="<u4", pos="<u4", n="<u4")
-REQUESTS = Pack(did="<i8", th="<u4", pos="<u4", n="<u2", a="<u2", key="<u4", home="<u4", done="u1", hot="u1")
-WINDOWS = Pack(hash="<u8", did="<i8", th="<u4", pos="<u4", done="u1")
+#: multi: 1 where the task's other occurrences are of the same document (they travel too), 2 where of other documents (they are spans already).
+CONTEXTS = Pack(key="<u4", digest="<u8", did="<i8", th="<i8", pos="<u4", n="<u2", a="<u2", multi="u1")
+#: other: the repeat is in another document too.
+SPANS = Pack(did="<i8", th="<i8", pos="<u4", n="<u4", other="u1")
+REQUESTS = Pack(did="<i8", th="<i8", pos="<u4", n="<u2", a="<u2", key="<u4", home="<u4", wide="u1", hot="u1")
+WINDOWS = Pack(hash="<u8", did="<i8", th="<i8", pos="<u4", n="<u4", wide="u1")
 
 
 def byte_grams(buf: np.ndarray, k: int = GRAM) -> np.ndarray:
@@ -50,30 +56,39 @@ def byte_grams(buf: np.ndarray, k: int = GRAM) -> np.ndarray:
     return mix64(h)
 
 
-def anchor_contexts(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Contexts of the rows of a buffer: row, anchor hash, digest, first window (byte in its row), windows, anchor's distance from it."""
-    import xxhash
-
+def _windows_by_anchor(grams: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows of each row, and the start of the first and the last window of each; places are those of the buffer."""
     sizes = np.diff(offsets)
-    long = np.flatnonzero(sizes >= LENGTH)
-    none = np.zeros(0, dtype=np.int64)
+    long = np.flatnonzero(sizes >= length)
     if not len(long):
-        return {"row": none, "seed": none.astype(U64), "digest": none.astype(U64), "pos": none, "n": none, "a": none}
-    anchor = minimizers(byte_grams(buf), LENGTH - GRAM + 1)
-    count = sizes[long] - LENGTH + 1
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    anchor = minimizers(grams, length - GRAM + 1)
+    count = sizes[long] - length + 1
     ends = np.cumsum(count)
     at = np.arange(ends[-1]) + np.repeat(offsets[long] - (ends - count), count)
     a = anchor[at]
     new = np.concatenate(([True], a[1:] != a[:-1]))
     new[ends[:-1]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    lo, hi, a = at[first], at[last], a[first]
-    row = long[np.searchsorted(ends, first, side="right")]
+    return a[first], at[first], at[np.append(first[1:], len(at)) - 1]
+
+
+def anchor_contexts(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, shared: int = SHARED) -> dict[str, np.ndarray]:
+    """Contexts of the rows of a buffer: row, anchor hash, digest, first byte in its row, bytes, anchor's distance from the first."""
+    import xxhash
+
+    grams = byte_grams(buf) if len(buf) >= GRAM else np.zeros(0, dtype=U64)
+    a, lo, last = _windows_by_anchor(grams, offsets, shared)
+    hi = last + shared
+    # A longer window's anchor is the smallest of a shorter window as well, and its context reaches at least as far.
+    some, low, last = _windows_by_anchor(grams, offsets, length)
+    at = np.searchsorted(a, some)
+    lo[at], hi[at] = low, last + length
+    row = np.searchsorted(offsets, lo, side="right") - 1
     view, digest = memoryview(buf), xxhash.xxh3_64_intdigest
-    digests = np.fromiter((digest(view[s:e]) for s, e in zip(lo.tolist(), (hi + LENGTH).tolist())), dtype=U64, count=len(lo))
-    grams = byte_grams_at(buf, a)
-    return {"row": row, "seed": grams, "digest": mix64(digests ^ mix64((a - lo).astype(U64))), "pos": lo - offsets[row], "n": hi - lo + 1, "a": a - lo}
+    digests = np.fromiter((digest(view[s:e]) for s, e in zip(lo.tolist(), hi.tolist())), dtype=U64, count=len(lo))
+    return {"row": row, "seed": byte_grams_at(buf, a), "digest": mix64(digests ^ mix64((a - lo).astype(U64))), "pos": lo - offsets[row], "n": hi - lo, "a": a - lo}
 
 
 def byte_grams_at(buf: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -95,33 +110,48 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _spans(did, th, pos, n, n_docs: int) -> list:
-    return SPANS.split({"did": did, "th": th, "pos": pos, "n": n}, document_bucket(did, th, n_docs), SPAN)
+def _document(did: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """One number for a document."""
+    return mix64(did.astype(U64) ^ mix64(th.astype(U64) + U64(1)))
+
+
+def _differ(documents: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each group has more than one document."""
+    if not len(order):
+        return np.zeros(0, dtype=bool)
+    return np.minimum.reduceat(documents[order], first) != np.maximum.reduceat(documents[order], first)
+
+
+def _spans(columns: dict[str, np.ndarray], pick, n_docs: int, other) -> list:
+    part = {k: columns[k][pick] for k in ("did", "th", "pos", "n")}
+    part["other"] = np.broadcast_to(other, len(part["did"]))
+    return SPANS.split(part, document_bucket(part["did"], part["th"], n_docs), SPAN)
 
 
 def _send(found: list[dict[str, np.ndarray]], n_keys: int, n_docs: int) -> list:
-    """Routed rows of one task's contexts; of equal ones the first travels, marked, and all are spans already."""
+    """Routed rows of one task's contexts; of those that several of its documents hold the first travels, and all are spans already."""
     c = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
     order, first = _groups(c["digest"])
     size = np.diff(np.append(first, len(order)))
-    again = order[np.repeat(size > 1, size)]
-    rows = [(b % n_keys, SPAN, b.to_bytes(4, "little") + data) for b, _, data in _spans(c["did"][again], c["th"][again], c["pos"][again], c["n"][again] + (LENGTH - 1), n_docs)]
-    go = order[first]
+    wide = _differ(_document(c["did"], c["th"]), order, first)
+    again = order[np.repeat(wide, size)]
+    rows = [(b % n_keys, SPAN, b.to_bytes(4, "little") + data) for b, _, data in _spans(c, again, n_docs, 1)]
     c["multi"] = np.zeros(len(order), dtype=np.uint8)
-    c["multi"][go] = size > 1
-    go = np.sort(go)
+    c["multi"][order] = np.repeat((size > 1).astype(np.uint8) + wide, size)
+    go = np.sort(np.concatenate((order[first], order[~np.repeat(wide, size)])))
+    go = go[np.concatenate(([True], go[1:] != go[:-1]))] if len(go) else go
     part = {k: v[go] for k, v in c.items()}
     part["key"] = (part["seed"] >> U64(32)).astype(np.uint32)
     return rows + CONTEXTS.split(part, (part["seed"] % U64(n_keys)).astype(np.int32), CONTEXT)
 
 
-def find_contexts(rows: DataFrame, n_keys: int, n_docs: int) -> DataFrame:
+def find_contexts(rows: DataFrame, n_keys: int, n_docs: int, length: int, shared: int) -> DataFrame:
     def run(batches):
         found, size = [], 0
         for batch in batches:
             did, th = batch.column("did").to_numpy(), batch.column("th").to_numpy()
             for at, buf, offsets in byte_parts(batch.column("text"), 1 << 20):
-                got = anchor_contexts(buf, offsets)
+                got = anchor_contexts(buf, offsets, length, shared)
                 row = got.pop("row") + at
                 found.append(got | {"did": did[row], "th": th[row]})
                 size += len(row)
@@ -134,7 +164,7 @@ def find_contexts(rows: DataFrame, n_keys: int, n_docs: int) -> DataFrame:
     return rows.select("did", "th", "text").mapInArrow(run, ROUTED)
 
 
-def meet_on_anchors(routed: DataFrame, n_keys: int, n_docs: int, hot: int) -> DataFrame:
+def meet_on_anchors(routed: DataFrame, n_keys: int, n_docs: int, hot: int, length: int) -> DataFrame:
     def work(got):
         rows = [(int.from_bytes(b[:4], "little"), SPAN, b[4:]) for b in got.get(SPAN, [])]
         c = CONTEXTS.load(got.get(CONTEXT, []))
@@ -142,30 +172,37 @@ def meet_on_anchors(routed: DataFrame, n_keys: int, n_docs: int, hot: int) -> Da
             return rows
         order, first = _groups(c["key"], c["digest"])
         size = np.diff(np.append(first, len(order)))
-        done = (size > 1) | (np.maximum.reduceat(c["multi"][order], first) > 0)
-        again = order[np.repeat(done, size) & (c["multi"][order] == 0)]
-        rows += _spans(c["did"][again], c["th"][again], c["pos"][again], c["n"][again].astype(np.int64) + (LENGTH - 1), n_docs)
-        one = order[first]
-        key = c["key"][one]
+        multi = np.maximum.reduceat(c["multi"][order], first)
+        wide = _differ(_document(c["did"], c["th"]), order, first) | (multi == 2)
+        again = order[np.repeat(wide, size) & (c["multi"][order] < 2)]
+        rows += _spans(c, again, n_docs, 1)
+        own = order[np.repeat(~wide & (size > 1), size) & (c["n"][order] >= length)]
+        rows += _spans(c, own, n_docs, 0)
+        key = c["key"][order][first]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         kinds = np.diff(np.append(start, len(key)))
-        ask = np.repeat((kinds > 1) & (np.minimum.reduceat(done, start) == 0), kinds)
-        part = {k: c[k][one][ask] for k in ("did", "th", "pos", "n", "a", "key")}
-        part |= {"done": done[ask], "hot": np.repeat(kinds > hot, kinds)[ask], "home": (part["key"] % np.uint32(n_keys))}
+        ask = np.repeat((kinds > 1) & (np.minimum.reduceat(wide, start) == 0), kinds)
+        # Of a settled context one occurrence is enough as a witness; of the others each is asked for.
+        one = np.zeros(len(order), dtype=bool)
+        one[first] = True
+        pick = np.repeat(ask, size) & (one | ~np.repeat(wide, size))
+        part = {k: c[k][order[pick]] for k in ("did", "th", "pos", "n", "a", "key")}
+        part |= {"wide": np.repeat(wide, size)[pick], "hot": np.repeat(np.repeat(kinds > hot, kinds), size)[pick], "home": (part["key"] % np.uint32(n_keys))}
         return rows + REQUESTS.split(part, document_bucket(part["did"], part["th"], n_docs), REQUEST)
 
-    return by_bucket(routed, work)
+    return by_bucket(routed, n_keys, work)
 
 
-def fetch(docs: DataFrame, asked: DataFrame, n_keys: int) -> DataFrame:
+def fetch(docs: DataFrame, asked: DataFrame, n_keys: int, n_docs: int, length: int, shared: int) -> DataFrame:
     """The bytes of the asked contexts, sent to their anchor's bucket; of hot anchors the hashes of their windows."""
     import xxhash
 
-    def work(table, got):
+    def prepare(got):
         asked = REQUESTS.load(got.get(REQUEST, []))
-        groups = Finder(table).groups(asked["did"], asked["th"])
-        rows, windows = [], []
-        seen = set()
+        return asked, by_document(asked["did"], asked["th"]), set()
+
+    def rows_of(table, ready):
+        asked, groups, seen = ready
         for did, th, i in zip(table["did"].to_pylist(), table["th"].to_pylist(), range(len(table))):
             if (did, th) not in groups or (did, th) in seen:
                 continue
@@ -174,21 +211,23 @@ def fetch(docs: DataFrame, asked: DataFrame, n_keys: int) -> DataFrame:
             view = memoryview(text)
             mine = groups[did, th]
             for j in mine[asked["hot"][mine] > 0].tolist():
-                pos, n = int(asked["pos"][j]), int(asked["n"][j])
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(view[s : s + LENGTH]) for s in range(pos, pos + n)), dtype=U64, count=n)
-                windows.append((hashes, np.full(n, did), np.full(n, th), np.arange(pos, pos + n), np.full(n, asked["done"][j])))
+                pos, size = int(asked["pos"][j]), int(asked["n"][j])
+                for k in (length, shared):
+                    n = max(0, size - k + 1)
+                    hashes = np.fromiter((xxhash.xxh3_64_intdigest(view[s : s + k], seed=k) for s in range(pos, pos + n)), dtype=U64, count=n)
+                    w = {"hash": hashes, "did": np.full(n, did), "th": np.full(n, th), "pos": np.arange(pos, pos + n), "n": np.full(n, k), "wide": np.full(n, asked["wide"][j])}
+                    yield from WINDOWS.split(w, (hashes % U64(n_keys)).astype(np.int32), WINDOW)
             cool = mine[asked["hot"][mine] == 0]
             for home in np.unique(asked["home"][cool]).tolist():
                 pick = cool[asked["home"][cool] == home]
                 head = REQUESTS.dump({k: v[pick] for k, v in asked.items()})
-                body = b"".join(text[p : p + n + LENGTH - 1] for p, n in zip(asked["pos"][pick].tolist(), asked["n"][pick].tolist()))
-                rows.append((home, BYTES, len(head).to_bytes(8, "little") + head + body))
-        if windows:
-            w = dict(zip(WINDOWS.fields, (np.concatenate(c) for c in zip(*windows))))
-            rows += WINDOWS.split(w, (w["hash"] % U64(n_keys)).astype(np.int32), WINDOW)
-        return _routed_table(rows)
+                body = b"".join(text[p : p + n] for p, n in zip(asked["pos"][pick].tolist(), asked["n"][pick].tolist()))
+                yield home, BYTES, len(head).to_bytes(8, "little") + head + body
+
+    def work(table, ready):
+        return batches_of(rows_of(table, ready))
 
-    return with_documents(docs, asked, work, ROUTED)
+    return with_documents(docs, asked, n_docs, prepare, work, ROUTED)
 
 
 def common_prefix(x: bytes, y: bytes) -> int:
@@ -197,45 +236,63 @@ def common_prefix(x: bytes, y: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
-def maximal_repeats(contexts: list[bytes], anchors: list[int], length: int = LENGTH):
-    """Yield (right, members, left): members (indices) repeat with right bytes from the anchor on and left[i] before it.
+def _reach_elsewhere(gaps: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """For occurrences in the order of their left sides: the longest left extension shared with one of another document.
+
+    gaps[i] is what occurrences i and i + 1 share. Other documents are nearest at the ends of a run of one document.
+    """
+    n = len(documents)
+    best = np.full(n, -1)
+    edge = np.flatnonzero(np.concatenate(([True], documents[1:] != documents[:-1])))
+    for s, e in zip(edge.tolist(), [*edge[1:].tolist(), n]):
+        if s:
+            best[s:e] = np.minimum.accumulate(gaps[s - 1 : e - 1])
+        if e < n:
+            best[s:e] = np.maximum(best[s:e], np.minimum.accumulate(gaps[s:e][::-1])[::-1])
+    return best
+
+
+def maximal_repeats(contexts: list[bytes], anchors: list[int], length: int = LENGTH, documents: np.ndarray | None = None, shared: int = SHARED):
+    """Yield (right, members, left, other): members (indices) repeat with right bytes from the anchor on and left[i] before it.
 
     Contexts that share the anchor's gram are sorted by the suffix at the anchor. The stack scan closes each interval
     of suffixes with a common prefix of `right` bytes once all its occurrences are known; its members are ordered by
     what stands before the anchor, and left[i] is the longest left extension that member i shares with another one.
     Only members with left + right >= length are given, and only where a shorter prefix lets them reach further left.
+    With documents, repeats of `shared` bytes and more between different documents are given likewise, with other = 1.
     """
     m = len(contexts)
     tails, heads = [c[a:] for c, a in zip(contexts, anchors)], [c[:a][::-1] for c, a in zip(contexts, anchors)]
-    if m == 2:
-        right, left = common_prefix(*tails), common_prefix(*heads)
-        if left + right >= length:
-            yield right, np.array([0, 1]), np.array([left, left])
-        return
     suffixes = sorted(range(m), key=tails.__getitem__)
     before = np.array(sorted(range(m), key=heads.__getitem__))
     rank = np.empty(m, dtype=np.int64)
     rank[before] = np.arange(m)
-    shared = np.array([0] + [common_prefix(heads[before[i - 1]], heads[before[i]]) for i in range(1, m)])
-    reach = np.full(m, -1)
+    common = np.array([0] + [common_prefix(heads[before[i - 1]], heads[before[i]]) for i in range(1, m)])
+    holder = documents[before] if documents is not None else None
+    reach = np.full((2, m), -1)
     stack: list[tuple[int, list[np.ndarray]]] = []
 
     def close(right: int, parts: list[np.ndarray]):
         members = np.sort(np.concatenate(parts))
-        gaps = np.minimum.reduceat(shared[: members[-1] + 1], members[:-1] + 1)
-        left = np.maximum(np.append(gaps, 0), np.concatenate(([0], gaps)))
-        good = (left + right >= length) & (left > reach[members])
-        reach[members[good]] = left[good]
-        return members, members[good], left[good]
+        gaps = np.minimum.reduceat(common[: members[-1] + 1], members[:-1] + 1)
+        lefts = [(np.maximum(np.append(gaps, 0), np.concatenate(([0], gaps))), length)]
+        if holder is not None:
+            lefts.append((_reach_elsewhere(gaps, holder[members]), shared))
+        out = []
+        for other, (left, least) in enumerate(lefts):
+            good = (left >= 0) & (left + right >= least) & (left > reach[other, members])
+            reach[other, members[good]] = left[good]
+            if good.any():
+                out.append((right, before[members[good]], left[good], other))
+        return members, out
 
     for i in range(1, m + 1):
         prefix = common_prefix(tails[suffixes[i - 1]], tails[suffixes[i]]) if i < m else 0
         parts = [rank[suffixes[i - 1] : suffixes[i - 1] + 1]]
         while stack and stack[-1][0] > prefix:
             right, held = stack.pop()
-            members, good, left = close(right, held + parts)
-            if len(good):
-                yield right, before[good], left
+            members, found = close(right, held + parts)
+            yield from found
             parts = [members]
         if i == m:
             break
@@ -245,7 +302,7 @@ def maximal_repeats(contexts: list[bytes], anchors: list[int], length: int = LEN
             stack.append((prefix, parts))
 
 
-def compare(routed: DataFrame, n_docs: int) -> DataFrame:
+def compare(routed: DataFrame, n_keys: int, n_docs: int, length: int, shared: int) -> DataFrame:
     """Spans from the interval trees of the fetched contexts, and from the counted windows of hot anchors."""
 
     def work(got):
@@ -253,65 +310,73 @@ def compare(routed: DataFrame, n_docs: int) -> DataFrame:
         for blob in got.get(BYTES, []):
             size = int.from_bytes(blob[:8], "little")
             heads.append(blob[8 : 8 + size])
-            n = REQUESTS.load([heads[-1]])["n"].astype(np.int64) + (LENGTH - 1)
+            n = REQUESTS.load([heads[-1]])["n"].astype(np.int64)
             ends = 8 + size + np.cumsum(n)
             texts += [blob[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
         c = REQUESTS.load(heads)
         spans = []
         order, first = _groups(c["key"])
-        anchors = c["a"].tolist()
+        anchors, wide = c["a"].tolist(), c["wide"] > 0
+        # A settled context is held by several documents, so it is another document to every occurrence.
+        documents = np.where(wide, np.arange(len(wide), dtype=U64), _document(c["did"], c["th"]))
         for s, e in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
             group = order[s:e]
-            place, done = c["pos"][group].astype(np.int64) + c["a"][group], c["done"][group]
-            for right, members, left in maximal_repeats([texts[i] for i in group], [anchors[i] for i in group]):
-                open_ones = done[members] == 0
+            place, settled = c["pos"][group].astype(np.int64) + c["a"][group], wide[group]
+            for right, members, left, other in maximal_repeats([texts[i] for i in group], [anchors[i] for i in group], length, documents[group], shared):
+                open_ones = ~settled[members]
                 members, left = members[open_ones], left[open_ones]
-                spans.append((c["did"][group][members], c["th"][group][members], place[members] - left, left + right))
-        rows = _spans(*(np.concatenate(x) for x in zip(*spans)), n_docs) if spans else []
+                spans.append((c["did"][group][members], c["th"][group][members], place[members] - left, left + right, np.full(len(left), other)))
+        if spans:
+            columns = dict(zip(SPANS.fields, (np.concatenate(x) for x in zip(*spans))))
+            yield from SPANS.split(columns, document_bucket(columns["did"], columns["th"], n_docs), SPAN)
         w = WINDOWS.load(got.get(WINDOW, []))
         if len(w["did"]):
             order, first = _groups(w["hash"])
             size = np.diff(np.append(first, len(order)))
-            again = order[np.repeat((size > 1) | (np.maximum.reduceat(w["done"][order], first) > 0), size)]
-            rows += _spans(w["did"][again], w["th"][again], w["pos"][again], np.full(len(again), LENGTH), n_docs)
-        return rows
+            other = np.repeat(_differ(_document(w["did"], w["th"]), order, first) | (np.maximum.reduceat(w["wide"][order], first) > 0), size)
+            yield from _spans(w, order[other], n_docs, 1)
+            yield from _spans(w, order[~other & np.repeat(size > 1, size) & (w["n"][order] >= length)], n_docs, 0)
 
-    return by_bucket(routed, work)
+    return by_bucket(routed, n_keys, work)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long"
 
 
-def repeated_bytes_removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
+def repeated_bytes_removed(docs: DataFrame, hot: int = HOT, length: int = LENGTH, shared: int = SHARED) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared for every row.
 
-    Null is the empty text. Repeated rows are further occurrences, so a repeated row of 400 bytes or more goes whole.
-    Null ids are kept; an empty table gives no rows; extra columns are ignored.
+    n_shared counts the bytes covered by strings of `shared` bytes that a document of another id or text holds as well.
+    Null is the empty text. Repeated rows are further occurrences, so a repeated row of 400 bytes or more goes whole,
+    but shares nothing with itself. Null ids are kept; an empty table gives no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    n_keys, n_docs = buckets(spark, 2), buckets(spark)
+    small_batches(docs.sparkSession)
+    n_keys, n_docs = buckets(docs, 2), buckets(docs)
     rows = keyed(docs, n_docs)
-    met = materialize(meet_on_anchors(find_contexts(rows, n_keys, n_docs), n_keys, n_docs, hot), "anchors")
-    more = compare(fetch(rows.where("text is not null"), met.where(f"kind = {REQUEST}"), n_keys), n_docs)
-    spans = met.where(f"kind = {SPAN}").union(more)
+    met = materialize(meet_on_anchors(find_contexts(rows, n_keys, n_docs, length, shared), n_keys, n_docs, hot, length), "anchors")
+    asked = fetch(rows.drop("doc_id").where("text is not null"), met.where(f"kind = {REQUEST}"), n_keys, n_docs, length, shared)
+    spans = met.where(f"kind = {SPAN}").union(compare(asked, n_keys, n_docs, length, shared))
 
-    def work(table, got):
+    def prepare(got):
         s = SPANS.load(got.get(SPAN, []))
-        groups = Finder(table).groups(s["did"], s["th"])
+        return s, by_document(s["did"], s["th"])
+
+    def work(table, ready):
+        s, groups = ready
         out = []
         for doc, did, th, text in zip(*(table[c].to_pylist() for c in ("doc_id", "did", "th", "text"))):
             data = (text or "").encode()
             mine = groups.get((did, th))
             if mine is None:
-                out.append((doc, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+                out.append((doc, len(data), 0, 0, hashlib.sha256(data).hexdigest(), 0))
                 continue
-            start = s["pos"][mine].astype(np.int64)
-            gone = cover(len(data), start, start + s["n"][mine])
+            start, n = s["pos"][mine].astype(np.int64), s["n"][mine]
+            pick, other = n >= length, s["other"][mine] > 0
+            gone = cover(len(data), start[pick], start[pick] + n[pick])
             kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-            out.append((doc, len(data), len(data) - len(kept), len(runs_of(gone)[0]), hashlib.sha256(kept).hexdigest()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        names = [c.split()[0] for c in RESULT.split(", ")]
-        return pa.table([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], type=t) for t in kinds], names=names)
+            n_shared = int(cover(len(data), start[other], start[other] + n[other]).sum())
+            out.append((doc, len(data), len(data) - len(kept), len(runs_of(gone)[0]), hashlib.sha256(kept).hexdigest(), n_shared))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return with_documents(rows, spans, work, RESULT)
+    return with_documents(rows, spans, n_docs, prepare, work, RESULT)

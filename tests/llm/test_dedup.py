@@ -15,10 +15,12 @@ BIG = (1 << 63) - 1
 
 @pytest.mark.parametrize("hot", [suffix.HOT, 2])
 def test_repeated_bytes(spark, hot):
-    count = Counter()
+    count, holders = Counter(), defaultdict(set)
     for r in rows():
         b = (r[1] or "").encode()
         count.update(b[i : i + 400] for i in range(len(b) - 399))
+        for i in range(len(b) - 255):
+            holders[b[i : i + 256]].add((r[0], b))
     want = []
     for r in rows():
         b = (r[1] or "").encode()
@@ -26,8 +28,12 @@ def test_repeated_bytes(spark, hot):
         for i in range(len(b) - 399):
             if count[b[i : i + 400]] > 1:
                 gone[i : i + 400] = True
+        shared = np.zeros(len(b), dtype=bool)
+        for i in range(len(b) - 255):
+            if len(holders[b[i : i + 256]]) > 1:
+                shared[i : i + 256] = True
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        want.append((r[0], len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()).hexdigest()))
+        want.append((r[0], len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()).hexdigest(), int(shared.sum())))
     got = [tuple(r) for r in suffix.repeated_bytes_removed(frame(spark), hot).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert suffix.repeated_bytes_removed(frame(spark, [])).count() == 0
@@ -47,7 +53,7 @@ def test_interval_tree_against_pairs():
         if len(contexts) < 2:
             continue
         covered = defaultdict(set)
-        for right, members, left in suffix.maximal_repeats(contexts, anchors, 10):
+        for right, members, left, _ in suffix.maximal_repeats(contexts, anchors, 10):
             for m, n in zip(members.tolist(), left.tolist()):
                 covered[m] |= set(range(8 - n, 8 + right))
         for i, a in enumerate(contexts):
@@ -61,6 +67,28 @@ def test_interval_tree_against_pairs():
             assert covered[i] == want
 
 
+def test_interval_tree_across_documents():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        m = int(rng.integers(2, 12))
+        contexts = [bytes(rng.integers(97, 99, 6).astype(np.uint8)) + b"CORE" + bytes(rng.integers(97, 99, 6).astype(np.uint8)) for _ in range(m)]
+        documents = rng.integers(0, 3, m).astype(np.uint64)
+        covered = defaultdict(set)
+        for right, members, left, other in suffix.maximal_repeats(contexts, [6] * m, 12, documents, 8):
+            for i, n in zip(members.tolist(), left.tolist()):
+                covered[other, i] |= set(range(6 - n, 6 + right))
+        for other, least in ((0, 12), (1, 8)):
+            for i, a in enumerate(contexts):
+                want = set()
+                for j, b in enumerate(contexts):
+                    if i != j and (not other or documents[i] != documents[j]):
+                        left = next((n for n in range(6) if a[5 - n] != b[5 - n]), 6)
+                        right = next((n for n in range(10) if a[6 + n] != b[6 + n]), 10)
+                        if left + right >= least:
+                            want |= set(range(6 - left, 6 + right))
+                assert covered[other, i] == want
+
+
 def removed_by_smaller(length):
     data = [(r[0] if r[0] is not None else BIG, (r[1] or "").encode().split()) for r in rows()]
     low = {}
@@ -76,9 +104,10 @@ def removed_by_smaller(length):
         yield r, w, gone
 
 
-def test_substring(spark):
+@pytest.mark.parametrize("hot", [substring.HOT, 2])
+def test_substring(spark, hot):
     want = [(r[0], len(w), int(gone.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()) for r, w, gone in removed_by_smaller(13)]
-    got = [tuple(r) for r in substring.substring_dedup(frame(spark)).collect()]
+    got = [tuple(r) for r in substring.substring_dedup(frame(spark), hot=hot).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert substring.substring_dedup(frame(spark, [])).count() == 0
 
@@ -124,15 +153,15 @@ def groups(k, least):
     return sets, members
 
 
-@pytest.mark.parametrize(("k", "least", "chunk"), [(4, Fraction(85, 100), 2048), (5, Fraction(80, 100), 2048), (5, Fraction(80, 100), 3)])
-def test_jaccard(spark, k, least, chunk):
+@pytest.mark.parametrize(("k", "least", "chunk", "shingles"), [(4, Fraction(85, 100), 4096, 1 << 20), (5, Fraction(80, 100), 4096, 1 << 20), (5, Fraction(80, 100), 3, 1 << 20), (5, Fraction(80, 100), 100, 500)])
+def test_jaccard(spark, k, least, chunk, shingles):
     sets, members = groups(k, least)
     want = []
     for g in members.values():
         ids = [rows()[i][0] for i in g]
         known = [x for x in ids if x is not None]
         want += [(rows()[i][0], len(sets[i]), min(known) if known else None) for i in g]
-    got = [tuple(r) for r in jaccard.jaccard_groups(frame(spark), k, least, chunk).select("doc_id", "n_shingles", "component_id").collect()]
+    got = [tuple(r) for r in jaccard.jaccard_groups(frame(spark), k, least, chunk, shingles).select("doc_id", "n_shingles", "component_id").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
