@@ -68,7 +68,7 @@ def write_archive(pages: DataFrame, path: str, least: int = REVISIT_FROM, date:
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """The pieces between version lines, in file order within (file, block)."""
+    """The pieces between version lines; seq is their order within (file, block)."""
     rows = spark.read.option("lineSep", VERSION).text(path)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
 
@@ -78,7 +78,7 @@ def _field(head: Column, name: str, pattern: str) -> Column:
 
 
 def _parsed(segments: DataFrame) -> DataFrame:
-    """Header fields of a piece, and the size and digest of its payload as far as the piece reaches."""
+    """Header fields of a piece, the size and digest of its payload as far as the piece reaches, and the piece itself."""
     head = F.substring_index("value", BLANK, 1)
     out = segments.withColumn("size", F.octet_length("value")).withColumn("head", F.when(F.instr("value", BLANK) > 0, head))
     out = out.withColumn("head_size", F.octet_length(head) + 4).withColumn("length", _field(F.col("head"), "Content-Length", "(\\d{1,18})\\s*$").cast("long"))
@@ -92,7 +92,8 @@ def _parsed(segments: DataFrame) -> DataFrame:
         _field(F.col("head"), "WARC-Type", "(\\w+)").alias("record_type"),
         _field(F.col("head"), "WARC-Record-ID", "<urn:page:(-?\\d+)>").cast("long").alias("page_id"),
         _field(F.col("head"), "WARC-Refers-To", "<urn:page:(-?\\d+)>").cast("long").alias("refers_to"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+        _field(F.col("head"), "WARC-Payload-Digest", "sha1:(\\w+)").alias("declared_digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "value",
     )
 
 
@@ -133,16 +134,17 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all archives below path: page_id, record_type, refers_to, payload_bytes, payload_digest (bare SHA-1).
+    """Records of all archives below path: page_id, record_type, refers_to, declared_digest, payload_bytes, payload_digest (bare SHA-1).
 
     Payload figures are of the bytes after the HTTP head. Candidates that the chain does not reach are no records;
     after a broken successor the rest of a file is unreachable. A file that does not start with a record gives none.
-    A record whose payload holds the version line is put together from its pieces in a second pass over the files.
+    The files are read once: the candidates are written with their bytes, and a record whose payload holds the version
+    line is put together from its pieces there, so pieces keep their numbers whatever becomes of the executors.
     """
     parsed = materialize(_parsed(_segments(spark, path)), "candidates")
     light = parsed.select("file", "block", "seq", "size", "head_size", "length")
     kept = materialize(light.groupBy("file").applyInArrow(_verify, "first long, pieces long, order long"), "records")
-    fields = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    fields = ["page_id", "record_type", "refers_to", "declared_digest", "payload_bytes", "payload_digest"]
     out = parsed.join(kept.where("pieces = 1").select(F.col("first").alias("seq")), "seq").select(fields)
     broken = kept.where("pieces > 1")
     if not broken.isEmpty():
@@ -150,7 +152,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         numbered = parsed.select("file", "block", "seq").withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("block", "seq")))
         first = numbered.select("file", F.col("n").alias("n0"), F.col("seq").alias("first"))
         wanted = parts.join(first, "first").select("first", "part", "file", (F.col("n0") + F.col("part")).alias("n")).join(numbered, ["file", "n"]).select("seq", "first", "part")
-        joined = _segments(spark, path).join(wanted, "seq").groupBy("file", "first").agg(F.sort_array(F.collect_list(F.struct("part", "value"))).alias("p"))
+        joined = parsed.select("file", "seq", "value").join(wanted, "seq").groupBy("file", "first").agg(F.sort_array(F.collect_list(F.struct("part", "value"))).alias("p"))
         whole = joined.select("file", F.lit(0).cast("long").alias("block"), F.col("first").alias("seq"), F.concat_ws(VERSION, F.col("p.value")).alias("value"))
         out = out.union(_parsed(whole).select(fields))
     return out
@@ -159,15 +161,16 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def archive_digests(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     """Write pages to archives, read them back and give each page's payload size, digest and record type.
 
-    A revisit's payload figures are those of the record it refers to. Null html is an empty payload; null ids
-    stay null and are responses; repeated rows give repeated rows; extra columns are ignored.
+    A revisit's payload figures are those of the record it refers to: the one with that id and the payload digest that
+    the revisit declares. Null html is an empty payload; null ids stay null and are responses; repeated rows give
+    repeated rows; rows of one id with different html keep their own figures; extra columns are ignored.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archive(pages, path, least)
     records = read_archive(spark, path)
     full = records.where("record_type = 'response'")
-    known = full.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("p"))
-    again = records.where("record_type = 'revisit'").select("page_id", "refers_to", "record_type").join(known, "refers_to", "left")
+    known = full.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("declared_digest")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    again = records.where("record_type = 'revisit'").select("page_id", "refers_to", "record_type", "declared_digest").join(known, ["refers_to", "declared_digest"], "left")
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return full.select(out).union(again.select("page_id", F.col("p.payload_bytes"), F.col("p.payload_digest"), "record_type", "refers_to"))
+    return full.select(out).union(again.select("page_id", "payload_bytes", F.col("declared_digest").alias("payload_digest"), "record_type", "refers_to"))
