@@ -7,6 +7,7 @@ number of documents.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -21,8 +22,8 @@ from atlasmill.llm.tables import small_batches
 from atlasmill.session import materialize
 
 CAPACITY = 4096
-#: Patterns must fill a sequence to this share; lengths that no such pattern holds are left to best fit.
-LEAST_FILL = 0.99
+#: Times that patterns are enumerated and fitted again to what earlier ones have left.
+ROUNDS = 6
 END_ID = 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Entries of a worker's word cache before it is emptied; it only saves time.
@@ -31,6 +32,19 @@ CACHE_WORDS = 400_000
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
+#: Normalizer and pre-tokenizer of the files whose words can be encoded one by one (fixed values).
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def byte_symbols() -> dict[int, str]:
     """The printable character a byte-level vocabulary writes for each byte: itself, or the next one from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -43,13 +57,17 @@ class WordTokenizer:
 
     The tokenizer never joins characters across white space, so a text's ids are those of its words in order.
     A word of Latin letters is one pre-token and goes to the tokenizer's model at once; other words, and texts
-    that may hold a special token's string, go through the whole tokenizer.
+    that may hold a special token's string, go through the whole tokenizer. That holds for tokenizers that lower-case,
+    split at white space and letter runs, and write bytes as symbols; with any other file whole texts are encoded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        self.by_words = all(json.dumps(said.get(k), sort_keys=True) == json.dumps(v, sort_keys=True) for k, v in WORD_RULES.items())
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.symbols = byte_symbols()
@@ -85,6 +103,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
+        if not self.by_words:
+            return [self._whole(text.decode("utf-8", "replace")) for text in texts]
         parts = [text.split() for text in texts]
         words = set().union(*parts)
         self._learn(words if len(self.words) + len(words) > CACHE_WORDS else words.difference(self.words))
@@ -132,13 +152,13 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
 
 
 def enumerate_patterns(lengths: np.ndarray, capacity: int, per_length: int = 12, most: int = 6) -> np.ndarray:
-    """Patterns of 2 to most lengths that fill a sequence as exactly as the present lengths allow.
+    """Patterns of 2 to most lengths that fill a sequence exactly, as many as a walk over the present lengths finds.
 
     Each starts from one present length, takes others from a fixed pseudo-random walk over the present lengths
     and ends with the largest present length that still fits. Rows are padded with -1; values index lengths.
     """
     n = len(lengths)
-    found = []
+    found = [np.zeros((0, most), dtype=int)]
     walk = np.random.default_rng(5)
     for docs in range(2, most + 1):
         for _ in range(per_length if docs > 2 else 1):
@@ -152,78 +172,87 @@ def enumerate_patterns(lengths: np.ndarray, capacity: int, per_length: int = 12,
                 ok = (fit >= 0) & (pick >= 0) & (pick <= fit)
                 pattern[:, j] = np.where(ok, pick, -1)
                 room = room - np.where(ok, lengths[np.clip(pick, 0, n - 1)], 0)
-            found.append(np.sort(pattern[(pattern >= 0).sum(axis=1) == docs], axis=1)[:, ::-1])
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, most), dtype=int)
+            full = (room == 0) & ((pattern >= 0).sum(axis=1) == docs)
+            found.append(np.sort(pattern[full], axis=1)[:, ::-1])
+    return np.unique(np.concatenate(found), axis=0)
 
 
-def nonnegative_fit(patterns: np.ndarray, target: np.ndarray, weights: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |W (A x - target)|^2, by accelerated projected gradient steps.
+def nonnegative_fit(patterns: np.ndarray, target: np.ndarray, weights: np.ndarray, least: float = 0.5) -> np.ndarray:
+    """Repeat counts x >= 0 that bring |W (A x - target)|^2 down, by exact steps along the steepest coordinate.
 
-    A has a column for each pattern with the number of times it uses each length; it is kept as index arrays.
+    A has a column for each pattern with the number of times it uses each length. A step sets one count to its optimum
+    with the others held, never below zero, so few counts are nonzero; steps end where none moves a count by `least`.
     """
+    n, m = len(patterns), len(target)
     rows, cols = np.nonzero(patterns >= 0)
-    bins = patterns[rows, cols]
-    n, m, w2 = len(patterns), len(target), weights**2
-
-    def apply(x):
-        return np.bincount(bins, weights=x[rows], minlength=m)
-
-    def back(y):
-        return np.bincount(rows, weights=y[bins], minlength=n)
-
-    power = np.ones(n)
-    for _ in range(20):
-        power = back(w2 * apply(power))
-        power /= max(np.linalg.norm(power), 1e-300)
-    step = 1 / max(np.linalg.norm(back(w2 * apply(power))) * 1.05, 1e-300)
-    x = y = np.zeros(n)
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(y - step * back(w2 * (apply(y) - target)), 0)
-        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y = new + (t - 1) / t2 * (new - x)
-        x, t = new, t2
+    entry, times = np.unique(rows * m + patterns[rows, cols], return_counts=True)
+    row, length, w2 = entry // m, entry % m, weights**2
+    start = np.searchsorted(row, np.arange(n + 1))
+    by_length = np.argsort(length, kind="stable")
+    users = np.searchsorted(length[by_length], np.arange(m + 1))
+    norm = np.bincount(row, weights=w2[length] * times**2, minlength=n)
+    slope = np.bincount(row, weights=w2[length] * times * target[length], minlength=n)
+    x, gain = np.zeros(n), np.maximum(slope, 0) / np.sqrt(norm)
+    for _ in range(8 * m):
+        j = int(gain.argmax())
+        step = max(slope[j] / norm[j], -x[j])
+        if abs(step) < least:
+            break
+        x[j] += step
+        touched = []
+        for e in range(start[j], start[j + 1]):
+            at = by_length[users[length[e]] : users[length[e] + 1]]
+            slope[row[at]] -= step * w2[length[e]] * times[e] * times[at]
+            touched.append(row[at])
+        t = np.concatenate(touched)
+        gain[t] = np.where(x[t] > 0, np.abs(slope[t]), np.maximum(slope[t], 0)) / np.sqrt(norm[t])
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """[(repeats, ((length, copies), ...)), ...] that uses every piece of the histogram exactly once.
+Slots = tuple[tuple[int, int], ...]
 
-    Patterns get their rounded non-negative least squares counts as long as pieces are left; the residual pieces
-    go, longest first, into the fullest sequence with room (best fit), counted by length rather than one by one.
-    """
-    lengths = np.array(sorted(length for length, n in histogram.items() if n > 0), dtype=np.int64)
-    if not len(lengths):
-        return []
-    left = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
+
+def fitted(histogram: dict[int, int], capacity: int, rounds: int) -> tuple[list[tuple[int, Slots]], dict[int, int]]:
+    """[(repeats, ((length, copies), ...)), ...] of full sequences by fitted patterns, and the pieces left over."""
+    left, done = {k: n for k, n in histogram.items() if n > 0}, []
+    for _ in range(rounds):
+        lengths = np.array(sorted(k for k, n in left.items() if n and k < capacity), dtype=np.int64)
+        patterns = enumerate_patterns(lengths, capacity) if len(lengths) else []
+        if not len(patterns):
+            break
+        count = np.array([left[int(k)] for k in lengths], dtype=np.int64)
+        repeats, before = nonnegative_fit(patterns, count.astype(float), lengths / capacity), len(done)
+        for i in np.argsort(-repeats, kind="stable"):
+            if repeats[i] < 0.5:
+                break
+            used, times = np.unique(patterns[i][patterns[i] >= 0], return_counts=True)
+            repeat = int(min(round(repeats[i]), (count[used] // times).min()))
+            if repeat > 0:
+                count[used] -= repeat * times
+                done.append((repeat, tuple((int(lengths[u]), int(k)) for u, k in zip(used, times))))
+        left |= dict(zip(lengths.tolist(), count.tolist()))
+        if len(done) == before:
+            break
+    return done, left
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, Slots]]:
+    """Pieces, longest first, into the fullest sequence with room, counted by length rather than one by one."""
     groups: dict[int, list[list]] = {}
     rooms: list[int] = []
-    done: list[list] = []
+    done: list[tuple[int, Slots]] = []
 
-    def put(room: int, count: int, slots: tuple) -> None:
+    def put(room: int, count: int, slots: Slots) -> None:
         if room == 0:
-            done.append([count, slots])
+            done.append((count, slots))
             return
         if room not in groups:
             groups[room] = []
             insort(rooms, room)
         groups[room].append([count, slots])
 
-    patterns = enumerate_patterns(lengths, capacity)
-    filled = np.where(patterns >= 0, lengths[patterns], 0).sum(axis=1)
-    patterns = patterns[filled >= LEAST_FILL * capacity]
-    if len(patterns):
-        counts = nonnegative_fit(patterns, left.astype(float), lengths / capacity)
-        for i in np.argsort(-counts, kind="stable"):
-            if counts[i] < 0.5:
-                break
-            used, times = np.unique(patterns[i][patterns[i] >= 0], return_counts=True)
-            repeat = int(min(round(counts[i]), (left[used] // times).min()))
-            if repeat > 0:
-                left[used] -= repeat * times
-                put(capacity - int((lengths[used] * times).sum()), repeat, tuple((int(lengths[u]), int(k)) for u, k in zip(used, times)))
-    for i in range(len(lengths) - 1, -1, -1):
-        length, n = int(lengths[i]), int(left[i])
+    for length in sorted((k for k, n in histogram.items() if n > 0), reverse=True):
+        n = histogram[length]
         while n:
             at = bisect_left(rooms, length)
             if at < len(rooms):
@@ -240,7 +269,25 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
                 put(room, count - take, slots)
             n -= take * copies
             put(room - length * copies, take, (*slots, (length, copies)))
-    return [(c, s) for c, s in done] + [(c, s) for room in rooms for c, s in groups[room]]
+    return done + [(c, s) for room in rooms for c, s in groups[room]]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, Slots]]:
+    """[(repeats, ((length, copies), ...)), ...] that uses every piece of the histogram exactly once.
+
+    Patterns get their rounded non-negative least squares counts as long as pieces are left; the residual pieces are
+    packed best fit. Where the residual does not come out in the fewest sequences that its ids need, fewer rounds of
+    patterns are tried, which leave more pieces to fill gaps with; the plan with the fewest sequences is taken.
+    """
+    need, best = -(-sum(k * n for k, n in histogram.items()) // capacity), None
+    for some in range(rounds, -1, -1):
+        done, left = fitted(histogram, capacity, some)
+        found = done + best_fit(left, capacity)
+        if best is None or sum(n for n, _ in found) < sum(n for n, _ in best):
+            best = found
+        if sum(n for n, _ in best) <= need:
+            break
+    return best
 
 
 def recipe(patterns: list[tuple[int, tuple[tuple[int, int], ...]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
