@@ -75,15 +75,29 @@ def resolved(url: Column, to: Column) -> Column:
     )
 
 
+#: What a browser does not read as tags: comments and scripts.
+UNREAD = "(?is)<!--.*?(?:-->|\\z)|<script\\b.*?(?:</script\\s*>|\\z)"
+CANONICAL = "(?is)^<link\\b[^>]*\\srel\\s*=\\s*(?:\"(?:[^\">]*\\s)?canonical(?:\\s[^\">]*)?\"|'(?:[^'>]*\\s)?canonical(?:\\s[^'>]*)?'|canonical[\\s/>])"
+REFRESH = "(?is)^<meta\\b[^>]*\\shttp-equiv\\s*=\\s*[\"']?refresh\\b"
+HREF, ADDRESS = "(?is)\\shref\\s*=\\s*[\"']?([^\"'\\s>]+)", "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)"
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) addresses: canonical links and meta refresh redirects written in the pages; relative ones are resolved against the page's address."""
+    """(src, dst) addresses: canonical links and meta refresh redirects written in the pages, outside comments and scripts.
+
+    Relative ones are resolved against the page's first base address, or else its own.
+    """
     html = pages.select("url", "html").where(F.col("html").rlike("(?i)canonical|http-equiv") & F.col("url").isNotNull())
-    tags = html.select("url", F.explode(F.regexp_extract_all("html", F.lit("(?is)<(?:link|meta)\\b[^>]*>"), F.lit(0))).alias("tag"))
-    canonical = F.when(F.col("tag").rlike("(?is)^<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b"), _target(F.col("tag"), "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"))
-    refresh = F.when(F.col("tag").rlike("(?is)^<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"), _target(F.col("tag"), "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)"))
+    tags = F.regexp_extract_all(F.regexp_replace("html", UNREAD, " "), F.lit("(?is)<(?:link|meta|base)\\b[^>]*>"), F.lit(0))
+    html = html.select("url", tags.alias("tags"))
+    base = _target(F.get(F.filter("tags", lambda t: t.rlike("(?i)^<base\\b") & t.rlike(HREF)), F.lit(0)), HREF)
+    tag = F.col("tag")
+    to = F.when(tag.rlike(CANONICAL), _target(tag, HREF)).when(tag.rlike(REFRESH), _target(tag, ADDRESS))
     # Written out so that the expressions below refer to a column, not to copies of these patterns.
-    found = materialize(tags.select("url", F.coalesce(canonical, refresh).alias("to")), "links").where("to is not null")
-    return materialize(found.select(F.col("url").alias("src"), resolved(F.col("url"), F.col("to")).alias("dst")), "links").where("dst is not null")
+    found = materialize(html.select("url", base.alias("base"), F.explode("tags").alias("tag")).select("url", "base", to.alias("to")), "links").where("to is not null")
+    origin = F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url"))
+    found = materialize(found.select("url", origin.alias("origin"), "to"), "links")
+    return materialize(found.select(F.col("url").alias("src"), resolved(F.col("origin"), F.col("to")).alias("dst")), "links").where("dst is not null")
 
 
 def _best_literal(host: Column, path: Column, rules) -> Column:
@@ -131,7 +145,7 @@ def filter_urls(pages: DataFrame, rules=RULES, links: DataFrame | None = None) -
         joined = part if joined is None else joined.union(part)
     light = materialize(judged.select("page_id", "host", "path", "best", "node"), "judged")
     if joined is not None:
-        labels = connected_components(materialize(joined, "aliases"))
+        labels = connected_components(materialize(joined, "aliases"), small=0)
         light = light.join(labels, light["node"] == labels["node"], "left").select(light["*"], F.coalesce("component", light["node"]).alias("component"))
     else:
         light = light.withColumn("component", F.col("node"))
@@ -140,7 +154,8 @@ def filter_urls(pages: DataFrame, rules=RULES, links: DataFrame | None = None) -
         # Addresses that are only linked to, without a page of their own, are members with a decision too.
         named = _judge(ends.where("url is not null").select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct(), rules)
         named = named.where("best is not null").select(normal_form(F.col("url")).alias("node"), "best.verdict")
-        said = said.union(named.join(labels, "node").select("component", "verdict"))
+        named = named.where("node is not null").join(labels, "node", "left").select(F.coalesce("component", "node").alias("component"), "verdict")
+        said = said.union(named)
     spread = said.groupBy("component").agg(F.min("verdict").alias("inherited"))
     # 'allow' sorts before 'block': an explicit allow in the component wins.
     out = light.join(spread, "component", "left")
