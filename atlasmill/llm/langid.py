@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasmill.llm.tables import small_batches
+from atlasmill.llm.tables import bounded_sample, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -123,14 +123,12 @@ def held_out(doc_id="doc_id"):
 def train(docs: DataFrame) -> ByteNet | None:
     """Fit the network on windows of at most SAMPLE_DOCS labelled documents of each language that are not held out.
 
-    The sample is the documents with the smallest hashed ids of each language; only their windows reach the driver.
-    None where no row is labelled.
+    The sample is the documents with the smallest hashes of id and text of each language, repeated rows once; only
+    their windows reach the driver. A null id counts as not held out. None where no row is labelled.
     """
     small_batches(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id").distinct()
-    texts = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
+    texts = bounded_sample(usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), "lang", ["doc_id", "text"], SAMPLE_DOCS)
 
     def cut(batches):
         for batch in batches:
@@ -144,7 +142,7 @@ def train(docs: DataFrame) -> ByteNet | None:
                     out.append(every[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(out, type=pa.binary())], names=["lang", "bytes"])
 
-    rows = sorted((r["lang"], bytes(r["bytes"])) for r in texts.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(cut, "lang string, bytes binary").collect())
+    rows = sorted((r["lang"], bytes(r["bytes"])) for r in texts.select("doc_id", "lang", "text").mapInArrow(cut, "lang string, bytes binary").collect())
     if not rows:
         return None
     languages = sorted({r[0] for r in rows})
@@ -201,7 +199,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def of_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents with a predicted language whose score is at least `least`, in their own columns."""
+    """The documents with a predicted language whose score is at least `least`, in their own columns.
+
+    Null texts, texts without a letter and all texts where no row is labelled go; repeated rows stay or go together;
+    an empty table gives no rows; other columns are carried along.
+    """
     held = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batches):

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasmill.llm.arrays import LOWER, byte_parts, word_hashes, words_of
-from atlasmill.llm.tables import small_batches
+from atlasmill.llm.tables import bounded_sample, small_batches
 from atlasmill.session import materialize
 
 SLOTS = 1 << 15
@@ -94,12 +94,12 @@ class Model:
 def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, float]:
     """The model and the rate of good documents among the labelled ones. Good: quality 1 and not toxic; null labels are skipped.
 
-    The sample is the labelled documents with the smallest hashed ids of each class; only their features reach the driver.
+    The sample is the labelled documents with the smallest hashed ids of each class, of repeated ids the text with the
+    smallest hash; only their features reach the driver.
     """
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
     marked = labels.where("quality is not null and doc_id is not null").select("doc_id", good.alias("good")).groupBy("doc_id").agg(F.min("good").alias("good"))
-    order = Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).drop("n")
+    chosen = bounded_sample(marked, "good", ["doc_id"], sample)
     row = marked.agg(F.avg("good").alias("rate")).first()
     rate = min(max(row["rate"] if row["rate"] is not None else 0.5, 0.01), 0.99)
 
@@ -111,7 +111,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple
                 shapes += [s.astype(np.float32).tobytes() for s in shape]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, type=pa.binary()), pa.array(shapes, type=pa.binary())], names=["good", "slots", "shape"])
 
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("good", "text")
+    held = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = held.groupBy("doc_id", "good").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("good", "t.text")
     rows = sorted((r["good"], bytes(r["slots"]), bytes(r["shape"])) for r in texts.mapInArrow(gather, "good int, slots binary, shape binary").collect())
     model = Model()
     if len({r[0] for r in rows}) == 2:
@@ -136,7 +137,7 @@ def document_scores(docs: DataFrame, model: Model, host: Column, path: Column) -
     return rows.mapInArrow(score, "doc_id long, host string, path string, logit double, p double")
 
 
-def _strength(groups: DataFrame, mean: Column) -> Column:
+def _strength(mean: Column) -> Column:
     """Pseudo-count of the prior from the spread of group means around `mean`, beyond what sampling explains."""
     rate = F.sum("s") / F.sum("n")
     spread = F.sum(F.col("n") * (F.col("s") / F.col("n") - mean) ** 2) / F.sum("n")
@@ -152,6 +153,7 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, host: str = "source",
     """
     spark = docs.sparkSession
     small_batches(spark)
+    # The prior is the mean over all documents: the labelled ones need not be like the rest.
     model, _ = fit_model(docs, labels)
     scored = materialize(document_scores(docs, model, F.col(host), F.col(path)), "scored")
     # Documents to paths with map-side combine; hosts from the paths, so a host with a third of all documents is a few rows.
@@ -160,10 +162,10 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, host: str = "source",
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("v").alias("v"))
     top = hosts.agg(F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.5)).alias("rate")).first()["rate"]
     rate = min(max(top, 1e-6), 1 - 1e-6)
-    strong = hosts.agg(_strength(hosts, F.lit(rate)).alias("k")).first()["k"] or 1.0
+    strong = hosts.agg(_strength(F.lit(rate)).alias("k")).first()["k"] or 1.0
     hosts = hosts.select("host", ((F.col("s") + strong * rate) / (F.col("n") + strong)).alias("host_posterior"))
     below = paths.join(hosts, "host")
-    strong_path = below.agg(_strength(below, F.col("host_posterior")).alias("k")).first()["k"] or 1.0
+    strong_path = below.agg(_strength(F.col("host_posterior")).alias("k")).first()["k"] or 1.0
     below = below.select("host", "path", "n", "s", "host_posterior")
     if below.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
         below = F.broadcast(below)
