@@ -1,36 +1,46 @@
-"""Benchmark decontamination: rare words of the items as a filter that loses no copy, then Smith-Waterman alignment.
-
-The benchmark is taken in blocks of bounded size; each block is a query set that all documents are scanned for. A copy
-can lack only so many of its item's words before its score is below the threshold. So of any set of places of the item
-with that many and c more, each copy holds at least c, within as many words as a copy can span. The rarest places make
-that set: which words are rare decides on the work, not on the result. Rarity is judged among the items, not in the
-corpus: a passage that leaked often is frequent there. Where c of an item's rare words meet, the text is aligned with
-the whole item, so edited copies count by what they share.
+"""Benchmark decontamination: rare n-gram seeds join texts to test items, then Smith-Waterman alignment scores the copies.
+
+A copy can lose only so much of its item's own score before it is below the threshold. An inserted word costs 1 and
+breaks one pair of neighbouring words, a changed or missing one costs 4 or 5 and breaks two, so of any set of places of
+the item with that many pairs and `need` more, each copy holds at least `need`, within as many words as a copy can
+span. The rarest places make that set; items too short for it use single words likewise. Which grams are rare decides
+on the work, not on the result: no alignment at or over the threshold is missed. Rarity is counted over the whole
+benchmark, not in the corpus: a passage that leaked often is frequent there.
+
+1. Items are cut to seeds; a filter of bounded size over them goes to all tasks.
+2. Tasks send the places of grams that pass the filter; these are joined with the seeds.
+3. Where `need` seeds of an item meet, the text is aligned with the whole item.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from atlasmill.llm.arrays import LOWER, U64, byte_parts, word_hashes, words_of
+from atlasmill.llm.arrays import LOWER, U64, byte_parts, gram_hashes, word_hashes, words_of
+from atlasmill.llm.routing import ROUTED, batches_of, buckets, document_bucket, keyed, with_documents
 from atlasmill.llm.tables import small_batches
+from atlasmill.session import materialize
 
 LEAST = 0.8
-#: Items of one block: what is sent to every executor at once.
-BLOCK_ITEMS = 20_000
+#: Bits of the filter over the seeds, in pages: what is sent to every executor, however large the benchmark is.
+FILTER_BITS, PAGE_BITS = 26, 16
 MATCH, MISMATCH, GAP = 4, -1, 1
 #: Lower case, and ASCII punctuation as spaces: words compare by their letters and digits.
 PLAIN = LOWER.copy()
 PLAIN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = 0x20
 
 
-def item_words(text: str | None) -> np.ndarray:
-    buf = PLAIN[np.frombuffer((text or "").encode(), dtype=np.uint8)]
-    starts, ends, _ = words_of(buf, np.array([0, len(buf)]))
-    return word_hashes(buf, starts, ends)
+def plain_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a buffer's rows, and the first word of each row."""
+    starts, ends, rows = words_of(PLAIN[buf], offsets)
+    return word_hashes(PLAIN[buf], starts, ends), np.searchsorted(rows, np.arange(len(offsets)))
+
+
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    return gram_hashes(words, 2, 51)
 
 
 def spare(m: int, least: float) -> int:
@@ -38,46 +48,28 @@ def spare(m: int, least: float) -> int:
     return MATCH * m - int(least * MATCH * m)
 
 
-class Seeds:
-    """Sorted rare words with the item of each, and for each item how many words a copy holds (need) and within how many words of text (span)."""
-
-    def __init__(self, items: list[np.ndarray], least: float):
-        _, number, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
-        often = np.split(count[number], np.cumsum([len(x) for x in items])[:-1])
-        self.need, self.span, value, item = np.ones(len(items), dtype=np.int64), np.zeros(len(items), dtype=np.int64), [], []
-        for i, words in enumerate(items):
-            m = len(words)
-            lost = spare(m, least) // MATCH
-            self.need[i] = max(1, min(m // 4, m - lost))
-            self.span[i] = m + spare(m, least) // GAP
-            value.append(np.unique(words[np.argsort(often[i], kind="stable")[: lost + self.need[i]]]))
-            item.append(np.full(len(value[-1]), i))
-        value, item = np.concatenate(value), np.concatenate(item)
-        order = np.argsort(value, kind="stable")
-        self.value, self.item = value[order], item[order]
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(self.value >> U64(44)).astype(np.int64)] = True
-
-    def windows(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, low, high), sorted, of the disjoint pieces of words that all copies lie in; they may reach over a row's ends."""
-        at = np.flatnonzero(self.maybe[(words >> U64(44)).astype(np.int64)])
-        low, high = np.searchsorted(self.value, words[at], "left"), np.searchsorted(self.value, words[at], "right")
-        count = high - low
-        item = self.item[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-        place = np.repeat(at, count)
-        key = rows[place] * len(self.need) + item
-        order = np.argsort(key, kind="stable")
-        key, place, item = key[order], place[order], item[order]
-        last = np.arange(len(key)) + self.need[item] - 1
-        near = last < len(key)
-        last = np.minimum(last, len(key) - 1)
-        near &= (key[last] == key) & (place[last] - place < self.span[item])
-        key, item, low, high = key[near], item[near], place[last[near]] + 1 - self.span[item[near]], place[near] + self.span[item[near]]
-        # Both ends rise within a key, so overlapping pieces join from left to right.
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = (key[1:] != key[:-1]) | (low[1:] > high[:-1])
-        end = np.append(first[1:], True)[: len(key)]
-        return key[first] // len(self.need), item[first], low[first], high[end]
+def seed_plan(m: int, least: float) -> tuple[int, int, int, int]:
+    """For an item of m words: words of a seed, how many seeds are taken, how many of them a copy holds and within how many words."""
+    lost, span = spare(m, least), m + spare(m, least) // GAP
+    if m - 1 > lost:
+        need = max(1, (m - 1 - lost) // 2)
+        return 2, lost + need, need, span
+    lost //= MATCH
+    need = max(1, min(m // 4, m - lost))
+    return 1, lost + need, need, span
+
+
+def windows(places: np.ndarray, need: int, span: int) -> list[tuple[int, int]]:
+    """Disjoint pieces of words that all copies with seeds at these sorted places lie in; they may reach over a text's ends."""
+    first, last = places[: len(places) - need + 1], places[need - 1 :]
+    near = last - first < span
+    out: list[list[int]] = []
+    for low, high in zip((last[near] + 1 - span).tolist(), (first[near] + span).tolist()):
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+    return [(low, high) for low, high in out]
 
 
 def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -119,83 +111,177 @@ def best_copy(item: np.ndarray, words: np.ndarray, low: int, high: int, least: f
     return align(item, words, low, high)
 
 
-def item_blocks(benchmark: DataFrame, block_items: int) -> list:
-    """The items as broadcast lists of about block_items (item_id, text) each; one list where there are fewer."""
-    spark = benchmark.sparkSession
-    blocks = max(1, -(-benchmark.count() // block_items))
-    out = []
-    for block in range(blocks):
-        mine = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select(F.col("item_id").cast("long"), "text").collect()
-        out.append(spark.sparkContext.broadcast(sorted(((r["item_id"], r["text"]) for r in mine), key=repr)))
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item (a number of its own for each row), item_id, m, words: the items that have words."""
+
+    def cut(batches):
+        for batch in batches:
+            for at, buf, offsets in byte_parts(batch.column(1)):
+                words, base = plain_words(buf, offsets)
+                rows = [words[a:b] for a, b in zip(base[:-1], base[1:])]
+                columns = [batch.column(0).slice(at, len(rows)), pa.array([len(r) for r in rows], type=pa.int32()), pa.array([r.tobytes() for r in rows], type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["item_id", "m", "words"])
+
+    items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, "item_id long, m int, words binary").where("m > 0")
+    return materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+
+
+def rare_seeds(items: DataFrame, least: float) -> DataFrame:
+    """gram, item, need, span: each item's rarest grams, as many as seed_plan says."""
+
+    def cut(batches):
+        for batch in batches:
+            for item, m, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                size, take, need, span = seed_plan(m, least)
+                words = np.frombuffer(data, dtype=U64)
+                grams = (pairs_of(words) if size == 2 else words).view(np.int64)
+                columns = [pa.array(grams), pa.array(np.arange(len(grams), dtype=np.int32))] + [pa.array(np.full(len(grams), x, dtype=np.int64)) for x in (item, take, need, span)]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "place", "item", "take", "need", "span"])
+
+    grams = items.select("item", "m", "words").mapInArrow(cut, "gram long, place int, item long, take long, need long, span long")
+    counted = grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    rarest = Window.partitionBy("item").orderBy("n", "gram", "place")
+    chosen = counted.withColumn("rank", F.row_number().over(rarest)).where("rank <= take")
+    return materialize(chosen.select("gram", "item", "need", "span").distinct(), "seeds")
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A bitmap over the leading bits of the seeds, gathered in pages of bits; other bits only cost work."""
+    slot = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
+    bits = seeds.select(F.shiftright(slot, PAGE_BITS).cast("int").alias("page"), slot.bitwiseAND((1 << PAGE_BITS) - 1).cast("int").alias("bit")).distinct()
+
+    def pack(table: pa.Table) -> pa.Table:
+        page = np.zeros(1 << PAGE_BITS, dtype=np.uint8)
+        page[table["bit"].to_numpy()] = 1
+        return pa.table({"page": table["page"][:1], "bits": pa.array([np.packbits(page, bitorder="little").tobytes()], type=pa.binary())})
+
+    out = np.zeros((1 << (FILTER_BITS - PAGE_BITS), (1 << PAGE_BITS) // 8), dtype=np.uint8)
+    for row in bits.groupBy("page").applyInArrow(pack, "page int, bits binary").collect():
+        out[row["page"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.ravel()
+
+
+def seed_hits(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """gram, did, th, pos: where texts hold grams that pass the filter over the seeds."""
+    held = rows.sparkSession.sparkContext.broadcast(seed_filter(seeds))
+
+    def scan(batches):
+        bits = held.value
+        for batch in batches:
+            did, th = batch.column(0), batch.column(1)
+            for at, buf, offsets in byte_parts(batch.column(2), 1 << 20):
+                words, base = plain_words(buf, offsets)
+                row = np.repeat(np.arange(len(offsets) - 1), np.diff(base))
+                pairs = pairs_of(words)
+                for grams in (words, pairs):
+                    slot = grams >> U64(64 - FILTER_BITS)
+                    hit = np.flatnonzero((bits[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1)
+                    if grams is pairs:
+                        hit = hit[row[hit] == row[hit + 1]]
+                    if len(hit):
+                        doc = pa.array(row[hit] + at)
+                        yield pa.RecordBatch.from_arrays([pa.array(grams[hit].view(np.int64)), did.take(doc), th.take(doc), pa.array((hit - base[row[hit]]).astype(np.int32))], names=["gram", "did", "th", "pos"])
+
+    return rows.where("text is not null").select("did", "th", "text").mapInArrow(scan, "gram long, did long, th long, pos int")
+
+
+ASK = 0
+CANDIDATE = "did long, th long, item long, low array<long>, high array<long>"
+
+
+def candidates(rows: DataFrame, items: DataFrame, least: float, n_docs: int) -> DataFrame:
+    """Routed rows to the documents where enough seeds of an item meet: the item's words and the windows to align it in."""
+    seeds = rare_seeds(items, least)
+    met = seed_hits(rows, seeds).join(seeds, "gram").groupBy("did", "th", "item").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.first("need").alias("need"), F.first("span").alias("span"))
+
+    def near(batches):
+        for batch in batches:
+            out = []
+            for did, th, item, places, need, span in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "item", "places", "need", "span"))):
+                if found := windows(np.array(places, dtype=np.int64), need, span):
+                    out.append((did, th, item, *map(list, zip(*found))))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)], names=["did", "th", "item", "low", "high"])
+
+    found = met.where("size(places) >= need").mapInArrow(near, CANDIDATE).join(items, "item")
+
+    def pack(batches):
+        def rows_of(batch):
+            for did, th, item_id, low, high, words in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "item_id", "low", "high", "words"))):
+                head = np.array([did, th, item_id is not None, item_id or 0, len(low), *low, *high], dtype=np.int64)
+                yield int(document_bucket(head[:1], head[1:2], n_docs)[0]), ASK, head.tobytes() + words
+
+        for batch in batches:
+            yield from batches_of(rows_of(batch))
+
+    return found.select("did", "th", "item_id", "low", "high", "words").mapInArrow(pack, ROUTED)
+
+
+def _asked(got: dict[int, list[bytes]]) -> dict[tuple[int, int], list]:
+    """For each document (did, th): item_id, words and windows of the items to align."""
+    out: dict[tuple[int, int], list] = {}
+    for blob in got.get(ASK, []):
+        n = int(np.frombuffer(blob, dtype=np.int64, count=5)[4])
+        head = np.frombuffer(blob, dtype=np.int64, count=5 + 2 * n).tolist()
+        words = np.frombuffer(blob, dtype=U64, offset=8 * (5 + 2 * n))
+        out.setdefault((head[0], head[1]), []).append((head[3] if head[2] else None, words, list(zip(head[5 : 5 + n], head[5 + n :]))))
     return out
 
 
-class Scanner:
-    """Finds copies of one block's items in Arrow columns of texts."""
-
-    def __init__(self, block: list, least: float):
-        self.names, self.items, self.least = [n for n, _ in block], [item_words(t) for _, t in block], least
-        self.seeds = Seeds(self.items, least) if any(len(x) for x in self.items) else None
-
-    def find(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
-        """(row, item, similarity, first word, end) of the copies."""
-        found = []
-        if self.seeds is None:
-            return found
-        for at, buf, offsets in byte_parts(column, 1 << 20):
-            starts, ends, rows = words_of(PLAIN[buf], offsets)
-            words = word_hashes(PLAIN[buf], starts, ends)
-            base = np.searchsorted(rows, np.arange(len(offsets)))
-            best: dict[tuple[int, int], tuple[float, int, int]] = {}
-            for r, i, low, high in zip(*(x.tolist() for x in self.seeds.windows(words, rows))):
-                begin, end = int(base[r]), int(base[r + 1])
-                copy = best_copy(self.items[i], words, max(begin, low), min(end, high), self.least)
-                if copy[0] >= self.least and copy[0] > best.get((r, i), (0.0,))[0]:
-                    best[r, i] = (copy[0], copy[1] - begin, copy[2] - begin)
-            found += [(at + r, i, *copy) for (r, i), copy in best.items()]
-        return found
+def _copies(table: pa.RecordBatch, asked: dict[tuple[int, int], list], least: float):
+    """(row, item_id, similarity, first word, end) of the copies in a batch of documents."""
+    for i, key in enumerate(zip(table["did"].to_pylist(), table["th"].to_pylist())):
+        if key not in asked:
+            continue
+        data = np.frombuffer(table["text"][i].as_py().encode(), dtype=np.uint8)
+        words, _ = plain_words(data, np.array([0, len(data)]))
+        for item_id, item, places in asked[key]:
+            best = max((best_copy(item, words, max(0, low), min(len(words), high), least) for low, high in places), key=lambda c: c[0])
+            if best[0] >= least:
+                yield i, item_id, *best
 
 
 FOUND = "doc_id long, item_id long, similarity double, start_word long, end_word long"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """One row for each document and item it holds a copy of: doc_id, item_id, similarity, start_word, end_word.
 
     A copy is an alignment with at least `least` of the item's own score; the best one of a document is given, in
     words (letters and digits between punctuation and white space). Null and wordless texts on either side match
-    nothing. Repeated documents give repeated rows; repeated items count as items of their own; no items, no rows.
+    nothing. Repeated documents give repeated rows; repeated items count as items of their own; no documents or no
+    items, no rows. Null ids stay null; extra columns are ignored.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for held in item_blocks(benchmark, block_items):
-
-        def scan(batches, held=held):
-            scanner = Scanner(held.value, least)
-            for batch in batches:
-                if found := scanner.find(batch.column(1)):
-                    row, item, *rest = zip(*found)
-                    columns = [batch.column(0).take(pa.array(row, type=pa.int64())), pa.array([scanner.names[i] for i in item], type=pa.int64())]
-                    columns += [pa.array(c, type=t) for c, t in zip(rest, (pa.float64(), pa.int64(), pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
-
-        part = rows.mapInArrow(scan, FOUND)
-        out = part if out is None else out.union(part)
-    return out
+    n = buckets(docs)
+    rows = keyed(docs, n)
 
+    def work(table, asked):
+        if found := list(_copies(table, asked, least)):
+            row, item, *rest = zip(*found)
+            columns = [table["doc_id"].take(pa.array(row, type=pa.int64())), pa.array(item, type=pa.int64())]
+            columns += [pa.array(c, type=t) for c, t in zip(rest, (pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The documents that hold no copy of a benchmark item, in their own columns; one pass for each block of items."""
+    return with_documents(rows, candidates(rows, benchmark_items(benchmark), least, n), n, _asked, work, FOUND)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """The documents that hold no copy of a benchmark item, in their own columns.
+
+    Null and wordless texts stay, repeated rows stay or go together; without items all documents stay, an empty table
+    gives no rows.
+    """
     small_batches(docs.sparkSession)
-    for held in item_blocks(benchmark, block_items):
+    n, names = buckets(docs), docs.columns
+    others = [c for c in names if c != "text"]
+    rows = keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")), n, "rest")
 
-        def clean(batches, held=held):
-            scanner = Scanner(held.value, least)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[f[0] for f in scanner.find(batch.column(batch.schema.names.index("text")))]] = False
-                yield batch.filter(pa.array(keep))
+    def work(table, asked):
+        keep = np.ones(table.num_rows, dtype=bool)
+        keep[[c[0] for c in _copies(table, asked, least)]] = False
+        columns = dict(zip(others, table["rest"].flatten())) | {"text": table["text"]}
+        yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    return with_documents(rows, candidates(rows, benchmark_items(benchmark), least, n), n, _asked, work, docs.schema)

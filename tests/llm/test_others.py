@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atlasmill.llm import decontam, langid, media, packing, quality, urlfilter, warc
+from atlasmill.session import scratch_path
 from tests.conftest import SF
 from tests.llm.data import SCHEMA, frame, rows
 
@@ -117,6 +118,27 @@ def test_relative_aliases(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
 
 
+def test_unread_and_based_links(spark):
+    link = '<link rel="canonical" href="%s">'
+    bad = "http://a.net/fr/x.html"
+    html = [
+        f"<!-- {link % bad} -->", f"<script>'{link % bad}'</script>", f"<!-- {link % bad}", f"<!-- x --> {link % bad} <!-- y -->", f'<base href="/fr/"> {link % "x.html"}', f'<base href="http://a.net/q/"> {link % "../fr/x.html"}',
+        f'<link rel="alternate canonical" href="{bad}">', f'<link href={bad} rel=canonical>', f'<link rel="not-canonical" href="{bad}">', f'<link data-href="http://z.org/" rel=\'canonical\' href="{bad}">', None,
+    ]
+    hosts = ["http://h%d.org/" % i if i != 4 else "http://a.net/" for i in range(len(html))]
+    pages = spark.createDataFrame([(i, h, x) for i, (h, x) in enumerate(zip(hosts, html))] + [(99, bad, None)], "page_id long, url string, html string")
+    got = {r.page_id for r in urlfilter.filter_urls(pages).where("verdict = 'block'").collect()}
+    assert got == {3, 4, 5, 6, 7, 9, 99}
+
+
+def test_urls_clashing_columns_and_long_text(spark):
+    url = "http://a.net/fr/" + "p" * 30_000
+    data = [(1, url, "x" * 200_000 + f'<link rel="canonical" href="http://b.org/">', "k"), (2, "http://b.org", "", "k"), (2, "http://b.org", "", "k"), (None, None, None, "k")]
+    pages = spark.createDataFrame([(*d, "c", "c") for d in data], "page_id long, url string, html string, host string, component string, node string")
+    got = sorted(((r.page_id, r.verdict) for r in urlfilter.filter_urls(pages).collect()), key=repr)
+    assert got == [(1, "block"), (2, "block"), (2, "block"), (None, "allow")]
+
+
 def test_warc(spark):
     inner = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     same = "é" * 600
@@ -139,6 +161,32 @@ def test_warc_long_url(spark):
     assert got == [(1, 5, "response", None), (2, 1200, "revisit", 3), (3, 1200, "response", None), (4, 4, "response", None)]
 
 
+def test_warc_repeated_id(spark):
+    same, other = "x" * 1200, "y" * 1300
+    data = [(1, "u", same), (5, "u", other), (5, "u", same), (5, "u", other), (3, "u", other), (2, "u", "short")]
+    extra = spark.createDataFrame([(*d, "clash", "clash") for d in data], "page_id long, url string, html string, value string, digest string")
+    got = [tuple(r) for r in warc.archive_digests(extra).collect()]
+    want = [(p, len(h), hashlib.sha1(h.encode()).hexdigest(), "revisit" if p in (1, 3) else "response", 5 if p in (1, 3) else None) for p, _, h in data]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_warc_is_read_alike_however_it_is_cut(spark):
+    inner = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    data = [(i, "u", (inner * (i % 4) + f"page {i} ") * (1 + i % 3)) for i in range(400)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(13)
+    path = scratch_path(spark, "cut")
+    warc.write_archive(pages, path)
+    want = sorted((i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in data)
+    try:
+        for before, after in ((1, 6), (7, 2)):
+            spark.conf.set("spark.sql.files.minPartitionNum", str(before))
+            records = warc.read_archive(spark, path)
+            spark.conf.set("spark.sql.files.minPartitionNum", str(after))
+            assert sorted((r.page_id, r.payload_digest) for r in records.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_chain():
     offsets = np.array([0, 10, 15, 30, 44])
     assert warc.chain(offsets, np.array([10, 30, 20, 44, 60]), 60).tolist() == [True, True, False, True, True]
@@ -188,6 +236,46 @@ def test_plan_uses_every_piece():
             assert bins <= np.ceil(sizes.sum() / 4096) * 1.01 + 1
 
 
+def test_fitted_patterns_place_most_pieces(spark):
+    pieces = packing.token_pieces(spark.read.parquet(f"{SF}/documents.parquet")).groupBy("length").count().collect()
+    hist = {r["length"]: r["count"] for r in pieces}
+    done, _ = packing.fitted(hist, 4096, packing.ROUNDS)
+    assert all(sum(n * k for n, k in slots) == 4096 for _, slots in done)
+    assert sum(repeat * sum(k for _, k in slots) for repeat, slots in done) >= 0.5 * sum(hist.values())
+    assert sum(n for n, _ in packing.plan(hist)) == -(-sum(k * n for k, n in hist.items()) // 4096)
+
+
+def test_fit_against_all_counts():
+    patterns, weights = np.array([[2, 0], [1, 1], [1, -1], [2, 2]]), np.array([0.2, 0.5, 0.9])
+    for target in ([3.0, 4.0, 3.0], [0.0, 7.0, 2.0], [5.0, 0.0, 5.0]):
+        x = packing.nonnegative_fit(patterns, np.array(target), weights, 1e-9)
+
+        def loss(x):
+            used = np.zeros(3)
+            for p, n in zip(patterns, x):
+                for k in p[p >= 0]:
+                    used[k] += n
+            return (((used - target) * weights) ** 2).sum()
+
+        grid = np.stack(np.meshgrid(*[np.arange(9)] * 4), -1).reshape(-1, 4)
+        assert (x >= 0).all() and loss(x) <= min(map(loss, grid)) + 1e-6
+
+
+def test_tokenizer_of_other_rules(tmp_path):
+    import json
+
+    with open(packing.TOKENIZER, encoding="utf-8") as file:
+        said = json.load(file)
+    said["normalizer"]["normalizers"].pop()
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(said), encoding="utf-8")
+    from tokenizers import Tokenizer
+
+    text = "Mixed CASE words, don't <|endoftext|> stop"
+    assert not packing.WordTokenizer(str(path)).by_words
+    assert packing.WordTokenizer(str(path)).encode([text.encode()])[0] == np.array(Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -212,6 +300,34 @@ def test_language_edges(spark):
     assert kept.schema.names == SCHEMA.names
 
 
+def test_scores_are_means_over_windows():
+    net = langid.ByteNet(["a", "b", "c"]).compile()
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 255, 256, 257, 3000, 90_000)] + [b"123", None]
+    names, scores = langid.classify(net, texts, [True] * 6 + [False, False])
+    for text, name, score in zip(texts[:6], names, scores):
+        total = np.zeros(3)
+        for i in range(0, len(text), 256):
+            part = text[i : i + 256]
+            raw, _ = net._pooled(np.frombuffer(part.ljust(256, b"\0"), dtype=np.uint8)[None])
+            total += langid.softmax(np.maximum(raw, 0) @ net.p["v"] + net.p["c"])[0] * len(part)
+        total /= len(text)
+        assert (name, score) == (net.languages[total.argmax()], pytest.approx(total.max(), abs=1e-4))
+    assert (names[6:], scores[6:]) == (["und", "und"], [0.0, 0.0])
+
+
+def test_samples_are_bounded(spark):
+    from atlasmill.llm.tables import bounded_sample
+
+    rows_ = [(i % 3, i // 2, f"t{i // 2}") for i in range(3000)] + [(0, 1, "hot")] * 4000 + [(0, 2, f"x{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows_, "kind int, id long, text string").repartition(5)
+    got = bounded_sample(df, "kind", ["id", "text"], 50).collect()
+    assert {k: sum(r.kind == k for r in got) for k in range(3)} == {0: 50, 1: 50, 2: 50}
+    assert len(set(got)) == len(got) and set(map(tuple, got)) <= set(rows_)
+    few = bounded_sample(df.where("id = 5"), "kind", ["id", "text"], 50).collect()
+    assert sorted(map(tuple, few)) == sorted({r for r in rows_ if r[1] == 5})
+
+
 def test_gradients():
     net = langid.ByteNet(["a", "b", "c"])
     rng = np.random.default_rng(1)
@@ -256,13 +372,16 @@ def test_leaks(spark):
         (1, f"{far} {items[0].upper()} {far}"), (2, f"{far} {' '.join(edited)}, {far}"), (3, f"{far} {' '.join(w[:12])} {far}"), (4, items[2]), (5, None), (6, ""), (7, f"{items[1]}; {items[3]}"), (7, far), (None, items[1]), (8, far + " " + " ".join(w[::-1])),
     ]
     bench = spark.createDataFrame([*enumerate(items), (9, None), (None, ""), (11, items[3])], "item_id long, text string")
-    for block in (2, 1000):
-        df = spark.createDataFrame(docs, "doc_id long, text string")
-        got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench, block_items=block).collect()}
-        assert got == {(1, 0), (2, 0), (4, 2), (7, 1), (7, 3), (7, 11), (None, 1)}
-        clean = decontam.without_leaks(df, bench, block_items=block)
-        assert sorted(r.doc_id for r in clean.collect()) == [3, 5, 6, 7, 8]
+    df = spark.createDataFrame([(*d, "c", "c") for d in docs], "doc_id long, text string, did string, item string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+    assert got == {(1, 0), (2, 0), (4, 2), (7, 1), (7, 3), (7, 11), (None, 1)}
+    clean = decontam.without_leaks(df, bench)
+    assert clean.schema.names == df.schema.names
+    assert sorted(r.doc_id for r in clean.collect()) == [3, 5, 6, 7, 8]
     assert decontam.leaks(df, bench.where("item_id < 0")).count() == 0
+    assert decontam.leaks(df.where("doc_id < 0"), bench).count() == 0
+    assert decontam.without_leaks(df, bench.where("item_id < 0")).count() == len(docs)
+    assert decontam.without_leaks(df.where("doc_id < 0"), bench).count() == 0
 
 
 def test_leaks_with_long_insertion(spark):
@@ -309,9 +428,8 @@ def test_leaks_are_all_found(spark):
                 want[d, i] = score
     docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
-    for block in (4, 1000):
-        got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(docs, bench, block_items=block).collect()}
-        assert got == want
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(docs, bench).collect()}
+    assert got == want
 
 
 def test_quality(spark):
@@ -325,6 +443,53 @@ def test_quality(spark):
     assert sum(good) >= 0.9 * len(good) and sum(bad) <= 0.35 * len(bad)
 
 
+def test_posteriors_against_plain_sums(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 600"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs = docs.union(docs.where("doc_id < 40")).withColumn("host", F.lit("clash")).withColumn("p", F.lit("clash"))
+    got = quality.quality_posteriors(docs, labels).collect()
+    assert len(got) == docs.count()
+    by_host, by_path = {}, {}
+    for r in got:
+        by_host.setdefault(r.host, []).append(r.classifier)
+        by_path.setdefault((r.host, r.path), []).append(r.classifier)
+    every = [p for v in by_host.values() for p in v]
+    rate = sum(every) / len(every)
+
+    def strength(groups, means):
+        n, s = sum(map(len, groups)), sum(map(sum, groups))
+        spread = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in zip(groups, means)) / n
+        noise = sum(p * (1 - p) for g in groups for p in g) / n / (n / len(groups))
+        return max(1.0, min(1e4, s / n * (1 - s / n) / max(spread - noise, 1e-6) - 1))
+
+    k = strength(list(by_host.values()), [rate] * len(by_host))
+    hosts = {h: (sum(v) + k * rate) / (len(v) + k) for h, v in by_host.items()}
+    k2 = strength(list(by_path.values()), [hosts[h] for h, _ in by_path])
+    for r in got:
+        v = by_path[r.host, r.path]
+        path = min(max((sum(v) - r.classifier + k2 * hosts[r.host]) / (len(v) - 1 + k2), 1e-6), 1 - 1e-6)
+        odds = np.log(r.classifier / (1 - r.classifier)) + np.log(path / (1 - path)) - np.log(rate / (1 - rate))
+        assert (r.host_posterior, r.path_posterior) == pytest.approx((hosts[r.host], path), rel=1e-6)
+        assert r.posterior == pytest.approx(1 / (1 + np.exp(-odds)), rel=1e-5, abs=1e-9) and r.keep == (r.posterior >= 0.5)
+
+
+def test_features_against_plain_counts():
+    import pyarrow as pa
+
+    texts = ["One one TWO two two! <b> 12\n", "", None, "é A?", "x " * 400]
+    seen = 0
+    for at, slots, edge, shape in quality.features(pa.array(texts)):
+        for i in range(len(edge) - 1):
+            b = (texts[at + i] or "").encode()
+            words, n = b.split(), max(len(b), 1)
+            count = max(len(words), 1)
+            kinds = [sum(65 <= c < 91 for c in b), sum(48 <= c < 58 for c in b), sum(c in b"!?" for c in b), sum(c in b"#$%&*|{}[]<>=+~^_\\/@" for c in b), b.count(b"\n")]
+            low = [w.lower() for w in words]
+            want = [k / n for k in kinds] + [sum(x == y for x, y in zip(low, low[1:])) / count, len(set(low)) / count, np.log1p(len(words)) / 10, min(n / count, 40) / 40]
+            assert shape[i] == pytest.approx(np.sqrt(want), abs=1e-4) and edge[i + 1] - edge[i] == len(words)
+            seen += 1
+    assert seen == len(texts)
+
+
 def test_quality_shrinkage(spark):
     scored = [(i, "big" if i < 60 else f"h{i}", "p", 0.0) for i in range(80)]
     docs = spark.createDataFrame([(i, "bad!! " * 9 if i < 60 else "fine words here", h, p) for i, h, p, _ in scored] + [(99, None, None, None)], "doc_id long, text string, source string, lang string")
