@@ -89,22 +89,68 @@ def in_box(lat: Column, lng: Column, box) -> Column:
 
 
 def in_polygon(lat: Column, lng: Column, ring) -> Column:
-    """Even-odd rule: an odd number of edges lies east of the point."""
-    crossings = F.lit(0)
+    """Even-odd rule: an odd number of edges lies east of the point. Points on an edge are not inside."""
+    crossings, on_edge = F.lit(0), F.lit(False)
     for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]]):
         straddles = (F.lit(y1) > lat) != (F.lit(y2) > lat)
         crossings = crossings + F.when(straddles & (lng < (lat - y1) * ((x2 - x1) / ((y2 - y1) or 1.0)) + x1), 1).otherwise(0)
-    return crossings % 2 == 1
+        beside = lat.between(min(y1, y2), max(y1, y2)) & lng.between(min(x1, x2), max(x1, x2))
+        on_edge = on_edge | (beside & ((lng - x1) * (y2 - y1) == (lat - y1) * (x2 - x1)))
+    return (crossings % 2 == 1) & ~on_edge
 
 
-def near(lat: Column, lng: Column, at_lat: float, at_lng: float, radius_m: float) -> Column:
-    """Within the radius; a latitude / longitude box that can be pushed to the scan comes first."""
+# The WGS 84 ellipsoid.
+SEMI_MAJOR_M, FLATTENING = 6378137.0, 1 / 298.257223563
+
+
+def spheroid_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column, rounds: int = 8) -> Column:
+    """Geodesic distance in metres on the ellipsoid by Vincenty's iteration, a fixed number of rounds.
+
+    Right to less than a millimetre for points that are not nearly antipodal; null in, null out.
+    """
+    f, minor = FLATTENING, SEMI_MAJOR_M * (1 - FLATTENING)
+    u1, u2, span = F.atan((1 - f) * F.tan(F.radians(lat1))), F.atan((1 - f) * F.tan(F.radians(lat2))), F.radians(lng2 - lng1)
+    fixed = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), span.alias("span"))
+
+    def arc(k: Column, lam: Column) -> Column:
+        """The arc that a longitude difference on the auxiliary sphere spans."""
+        a, b = k["c2"] * F.sin(lam), k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam)
+        sin_s, cos_s = F.sqrt(a * a + b * b), k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
+        sin_a = F.when(sin_s == 0, 0.0).otherwise(k["c1"] * k["c2"] * F.sin(lam) / sin_s)
+        return F.struct(sin_s.alias("sin"), cos_s.alias("cos"), F.atan2(sin_s, cos_s).alias("arc"), sin_a.alias("sa"), (1 - sin_a * sin_a).alias("c2a"))
+
+    def middle(k: Column, t: Column) -> Column:
+        return F.when(t["c2a"] == 0, 0.0).otherwise(t["cos"] - 2 * k["s1"] * k["s2"] / t["c2a"])
+
+    def step(state: Column, _: Column) -> Column:
+        k = state["k"]
+        t = arc(k, state["lam"])
+        m = middle(k, t)
+        c = f / 16 * t["c2a"] * (4 + f * (4 - 3 * t["c2a"]))
+        lam = k["span"] + (1 - c) * f * t["sa"] * (t["arc"] + c * t["sin"] * (m + c * t["cos"] * (2 * m * m - 1)))
+        return F.struct(k.alias("k"), lam.alias("lam"))
+
+    def distance(state: Column) -> Column:
+        k = state["k"]
+        t = arc(k, state["lam"])
+        m = middle(k, t)
+        u = t["c2a"] * (SEMI_MAJOR_M**2 - minor**2) / minor**2
+        a, b = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))), u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        fine = b * t["sin"] * (m + b / 4 * (t["cos"] * (2 * m * m - 1) - b / 6 * m * (4 * t["sin"] * t["sin"] - 3) * (4 * m * m - 3)))
+        return minor * a * (t["arc"] - fine)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(fixed.alias("k"), span.alias("lam")), step, distance)
+
+
+def near(lat: Column, lng: Column, at_lat: float, at_lng: float, radius_m: float, spheroid: bool = False) -> Column:
+    """Within the radius, on the sphere or the ellipsoid; a latitude / longitude box that can be pushed to the scan comes first."""
     from math import cos, degrees, radians
 
-    dlat = degrees(radius_m / EARTH_M) * 1.001
+    dlat = degrees(radius_m / EARTH_M) * (1.01 if spheroid else 1.001)
     dlng = min(180.0, dlat / max(cos(radians(min(89.0, abs(at_lat) + dlat))), 1e-6))
     box = lat.between(at_lat - dlat, at_lat + dlat) & lng.between(at_lng - dlng, at_lng + dlng)
-    return box & (haversine_m(lat, lng, F.lit(at_lat), F.lit(at_lng)) <= radius_m)
+    distance = spheroid_m if spheroid else haversine_m
+    return box & (distance(lat, lng, F.lit(at_lat), F.lit(at_lng)) <= radius_m)
 
 
 def parse_point(wkt: Column) -> Column:
@@ -121,3 +167,8 @@ def dms_to_decimal(degrees: Column, minutes: Column, seconds: Column, ref: Colum
 def to_float(text: Column) -> Column:
     """A number with decimal point or comma; null for anything else."""
     return F.nullif(F.trim(F.replace(text, F.lit(","), F.lit("."))), F.lit("")).try_cast("double")
+
+
+def strict_number(text: Column) -> Column:
+    """Digits with an optional sign and fraction, surrounding blanks allowed; null for anything else."""
+    return F.when(F.trim(text).rlike("^-?[0-9]+(\\.[0-9]+)?$"), F.trim(text).try_cast("double"))

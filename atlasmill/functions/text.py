@@ -79,6 +79,22 @@ def shorten(text: Column, most: int = 2000) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
 
 
+def clipped(text: Column, most: int) -> Column:
+    """At most `most` characters; an empty text is null."""
+    return F.nullif(F.left(text, F.lit(most)), F.lit(""))
+
+
+def email_domain(email: Column) -> Column:
+    """What follows the first '@', null without one."""
+    return F.when(F.contains(email, F.lit("@")), F.regexp_extract(email, "(?s)^[^@]*@(.*)$", 1))
+
+
+def client_key(user: Column, forwarded: Column, address: Column) -> Column:
+    """Who sent a request: the user, else the first hop that a proxy names, else the peer's address."""
+    hop = F.trim(F.substring_index(F.nullif(forwarded, F.lit("")), ",", 1))
+    return F.coalesce(F.concat(F.lit("u:"), F.nullif(user, F.lit(""))), F.concat(F.lit("ip:"), F.coalesce(hop, address, F.lit("unknown"))))
+
+
 def to_turkish(text: Column) -> Column:
     """Whole names by dictionary; else terms replaced one after another where the original holds them."""
     low = F.lower(F.trim(text))
@@ -104,30 +120,43 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(T.IntegerType())
-def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _lcs(x, y) for x, y in zip(a, b)], dtype="Int32")
-
-
-def token_set_ratio(a: Column, b: Column) -> Column:
+def token_ratio(a: str, b: str) -> float:
     """Similarity 0 to 100 of two normalised texts by their token sets.
 
     100 where one set holds the other. Otherwise the best of three comparisons between the common tokens and the
     common tokens followed by either rest; as the common part is a prefix of both, only the two rests need a
-    longest common subsequence, and only pairs without containment send them to Python.
+    longest common subsequence.
     """
-    x, y = F.array_sort(F.array_distinct(F.split(F.trim(a), " +"))), F.array_sort(F.array_distinct(F.split(F.trim(b), " +")))
-    both, only_a, only_b = F.array_intersect(x, y), F.array_except(x, y), F.array_except(y, x)
-    s, ra, rb = F.array_join(F.array_sort(both), " "), F.array_join(only_a, " "), F.array_join(only_b, " ")
-    inside = (F.size(both) > 0) & ((F.size(only_a) == 0) | (F.size(only_b) == 0))
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, ra, rb = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if both and (not ra or not rb):
+        return 100.0
+    # The blank between the common part and a rest belongs to the shared prefix.
+    lead = len(both) + 1 if both else 0
+    la, lb = lead + len(ra), lead + len(rb)
+    best = 200.0 * (lead + _lcs(ra, rb)) / (la + lb)
+    return max(best, 200.0 * len(both) / (len(both) + min(la, lb))) if both else best
+
+
+@F.pandas_udf(T.DoubleType())
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else token_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def tokens(text: Column) -> Column:
+    """Sorted distinct tokens between blanks."""
+    return F.array_sort(F.array_distinct(F.split(F.trim(text), " +")))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """token_ratio() of two columns; 0 where either has no token. Only pairs of which none holds the other go to Python."""
+    x, y = tokens(a), tokens(b)
+    inside = (F.size(F.array_intersect(x, y)) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
     empty = F.coalesce(F.trim(a), F.lit("")).eqNullSafe("") | F.coalesce(F.trim(b), F.lit("")).eqNullSafe("")
     ask = ~inside & ~empty
-    # The blank between the common part and a rest belongs to the shared prefix.
-    lead = F.when(F.size(both) > 0, F.length(s) + 1).otherwise(0)
-    la, lb = lead + F.length(ra), lead + F.length(rb)
-    third = 200.0 * (lead + _common(F.when(ask, ra), F.when(ask, rb))) / (la + lb)
-    first = F.when(F.size(both) > 0, F.greatest(200.0 * F.length(s) / (F.length(s) + la), 200.0 * F.length(s) / (F.length(s) + lb))).otherwise(0.0)
-    return F.when(empty, 0.0).when(inside, 100.0).otherwise(F.greatest(first, third))
+    return F.when(empty, 0.0).when(inside, 100.0).otherwise(_ratios(F.when(ask, a), F.when(ask, b)))
 
 
 def strip_fence(text: Column) -> Column:
@@ -136,8 +165,6 @@ def strip_fence(text: Column) -> Column:
 
 
 def register(spark) -> None:
-    """Make the Python-backed helper callable from SQL."""
+    """Make the Python-backed helpers callable from SQL."""
     spark.udf.register("unescape_nfc", _unescape)
-    spark.udf.register("lcs_length", _common)
-
-
+    spark.udf.register("token_ratio", _ratios)

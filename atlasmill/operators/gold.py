@@ -33,18 +33,32 @@ def unique_slugs(df: DataFrame, base: str, order: str, key: str, taken: DataFram
     return df.withColumn("slug", slug).drop("_n")
 
 
+def visit_block(hours: Column) -> Column:
+    """JSON of what a visitor has to know: pass, fees (not known), and opening hours where there are any."""
+    slots = F.when(F.size(hours) > 0, F.concat(F.lit(',"acilis_kapanis":'), F.to_json(hours, {"ignoreNullFields": "false"}))).otherwise(F.lit(""))
+    return F.concat(F.lit('{"muzekart_gecerli":false,"giris_ucretleri":null'), slots, F.lit("}"))
+
+
+def geojson_features(places: DataFrame, licences: tuple[str, ...] | None = None) -> DataFrame:
+    """id and GeoJSON feature of each published place; with licences, only places all of whose sources have one of them."""
+    open_ones = F.forall("kaynak_atif", lambda r: F.coalesce(r["license"].isin(*licences), F.lit(False))) if licences else F.lit(True)
+    properties = F.struct("id", "slug", F.element_at("isim", F.lit("tr")).alias("ad"), "kategori")
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates")).alias("geometry"), properties.alias("properties"))
+    return places.where(F.col("is_published") & open_ones).select("id", F.to_json(feature).alias("feature"))
+
+
 def gold_places(merged: DataFrame, scores: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Serving rows of merged clusters. Rows whose id is already in `existing` are left out, so a re-run adds nothing."""
     df = merged.join(scores.select("cluster", "min_score"), "cluster").withColumn("id", place_id())
     if existing is not None:
         df = df.join(existing.select("id"), "id", "left_anti")
-    base = F.coalesce(F.nullif(slugify(best_name()), F.lit("")), F.lit("place"))
+    # A name without letters to spell gets a base of its own, so that such names do not all meet in one window.
+    base = F.coalesce(F.nullif(slugify(best_name()), F.lit("")), F.concat(F.lit("yer-"), F.left("id", F.lit(8))))
     df = unique_slugs(df.withColumn("_base", base), "_base", "cluster", "id")
     named = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(lang).alias("key"), F.col(f"name_{lang}").alias("value")) for lang in ("tr", "en", "de", "fr", "ar")]), lambda e: e["value"].isNotNull() & (e["value"] != "")))
     told = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(lang).alias("key"), F.col(f"description_{lang}").alias("value")) for lang in ("tr", "en")]), lambda e: e["value"].isNotNull() & (e["value"] != "")))
-    visit = F.to_json(F.struct(F.lit(False).alias("muzekart_gecerli"), F.when(F.size("opening_hours") > 0, F.col("opening_hours")).alias("acilis_kapanis")))
     return df.select(
-        "id", "slug", named.alias("isim"), F.col("canonical_categories").alias("kategori"), "lat", "lng", visit.alias("ziyaret_bilgisi"), F.col("tags").alias("etiketler"),
+        "id", "slug", named.alias("isim"), F.col("canonical_categories").alias("kategori"), "lat", "lng", visit_block(F.col("opening_hours")).alias("ziyaret_bilgisi"), F.col("tags").alias("etiketler"),
         "tarihi_yapim_yili", "unesco", F.col("cover_photo_url").alias("kapak_foto_url"), told.alias("aciklama"),
         F.when((F.col("source") == "wikidata") & F.col("description_tr").isNotNull(), "wikipedia").alias("aciklama_source"), F.col("attribution").alias("kaynak_atif"),
         quality(F.col("members"), F.col("min_score")).alias("kalite_skoru"), F.lit(True).alias("is_published"), "cluster", "members", "sources", "min_score", "lineage", "opening_hours",

@@ -8,19 +8,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.config import DEFAULT, Params
-from atlasmill.functions.geo import in_box
+from atlasmill.functions.geo import haversine_m, in_box
+from atlasmill.session import materialize
 
 
-def dq_report(places: DataFrame, queued: int, params: Params = DEFAULT) -> DataFrame:
-    """One row: rates of missing names and of places outside the fence, queue length, and whether each is in bounds."""
+def dq_report(places: DataFrame, queued: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """One row: rates of missing names and of places outside the fence, length of the queue, and whether each is in bounds."""
     name = F.nullif(F.trim(F.coalesce("name_tr", "name_en")), F.lit(""))
-    agg = places.agg(F.count("*").alias("n"), (F.count_if(name.isNull()) / F.count("*")).alias("name_null_rate"), (F.count_if(~F.coalesce(in_box(F.col("lat"), F.col("lng"), params.box), F.lit(False))) / F.count("*")).alias("outside_rate"))
-    return agg.select("n", "name_null_rate", "outside_rate", F.lit(queued).cast("bigint").alias("queued"), (F.col("name_null_rate") < 0.01).alias("name_ok"), (F.col("outside_rate") < 0.005).alias("fence_ok"), F.lit(queued < 1000).alias("queue_ok"))
+    inside = F.coalesce(in_box(F.col("lat"), F.col("lng"), params.box), F.lit(False))
+    agg = places.agg(F.count("*").alias("n"), (F.count_if(name.isNull()) / F.count("*")).alias("name_null_rate"), (F.count_if(~inside) / F.count("*")).alias("outside_rate"))
+    both = agg.crossJoin(queued.agg(F.count("*").alias("queued")))
+    return both.select("n", "name_null_rate", "outside_rate", "queued", (F.col("name_null_rate") < 0.01).alias("name_ok"), (F.col("outside_rate") < 0.005).alias("fence_ok"), (F.col("queued") < 1000).alias("queue_ok"))
 
 
-def pair_f1(pairs: DataFrame, truth: str = "same", found: str = "merged", missed: int = 0) -> DataFrame:
-    """Precision, recall and F1 of pair decisions; `missed` true pairs were never candidates."""
-    c = pairs.agg(F.count_if(F.col(truth) & F.col(found)).alias("tp"), F.count_if(~F.col(truth) & F.col(found)).alias("fp"), (F.count_if(F.col(truth) & ~F.col(found)) + missed).alias("fn"))
+def true_pairs(members: DataFrame, entity: str = "entity") -> DataFrame:
+    """One row: the number of pairs within entities."""
+    sizes = members.groupBy(entity).agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("bigint")), F.lit(0)).alias("pairs"))
+
+
+def pair_f1(pairs: DataFrame, true: DataFrame, truth: str = "same", found: str = "merged") -> DataFrame:
+    """Precision, recall and F1 of pair decisions; true pairs (true_pairs()) that never were candidates are missed ones."""
+    c = pairs.agg(F.count_if(F.col(truth) & F.col(found)).alias("tp"), F.count_if(~F.col(truth) & F.col(found)).alias("fp"))
+    c = c.crossJoin(true).withColumn("fn", F.col("pairs") - F.col("tp"))
     p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / (F.col("tp") + F.col("fn"))
     return c.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r)).alias("f1"))
 
@@ -86,6 +96,47 @@ def dense_clusters(places: DataFrame, cell_deg: float, least: int) -> DataFrame:
     return cells.join(named, "key").select("id", "cluster")
 
 
+def density_clusters(places: DataFrame, radius_m: float, least: int) -> DataFrame:
+    """DBSCAN: id, cluster (smallest core id of it) and core for every place in a cluster; others are noise and left out.
+
+    A core place has at least `least` places within the radius, itself included; core places within the radius of each
+    other are one cluster; another place near a core one joins the cluster with the smallest id. Places meet in squares
+    as wide as the radius, one side spread over nine, so a pair meets once.
+    """
+    from atlasmill.operators.components import connected_components
+
+    tall = radius_m / 111_000.0
+    rows = places.where("lat is not null and lng is not null").select("id", "lat", "lng")
+    # Squares are as wide at the latitude that is furthest from the equator as they must be there.
+    lowest = rows.agg(F.min(F.cos(F.radians("lat"))).alias("c")).first()["c"] or 1.0
+    wide = tall / max(lowest, 1e-6)
+    cell = rows.withColumn("y", F.floor(F.col("lat") / tall)).withColumn("x", F.floor(F.col("lng") / wide))
+    around = F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    left = cell.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.explode(around).alias("c"))
+    right = cell.select(F.col("id").alias("b"), "lat", "lng", "y", "x")
+    near = left.join(right, (F.col("c.y") == F.col("y")) & (F.col("c.x") == F.col("x"))).where(haversine_m(F.col("lat1"), F.col("lng1"), F.col("lat"), F.col("lng")) <= radius_m)
+    near = materialize(near.select("a", "b"), "near")
+    core = materialize(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id")), "core")
+    edges = near.where("a < b").join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b")
+    labels = connected_components(edges, "a", "b")
+    named = materialize(core.join(labels, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster")), "clusters")
+    border = near.join(named.select(F.col("id").alias("b"), "cluster"), "b").join(core.select(F.col("id").alias("a")), "a", "left_anti").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
+    return named.withColumn("core", F.lit(True)).union(border.withColumn("core", F.lit(False)))
+
+
+def completed_per_active(events: DataFrame, done: str) -> DataFrame:
+    """Per month: completed routes, active users, and completed routes for each of them."""
+    by = events.groupBy(F.trunc("ts", "month").alias("month")).agg(F.count_if(F.col("event_type") == done).alias("completed"), F.countDistinct("user_id").alias("mau"))
+    return by.withColumn("completed_per_mau", F.round(F.col("completed") / F.col("mau"), 4))
+
+
+def hours_change(before: DataFrame, after: DataFrame, most: float = 0.2) -> DataFrame:
+    """One row: places in both tables, the share whose opening hours changed, and whether that is in bounds."""
+    both = before.select("id", F.col("hours").alias("_old")).join(after.select("id", F.col("hours").alias("_new")), "id")
+    rate = F.count_if(~F.col("_old").eqNullSafe(F.col("_new"))) / F.count("*")
+    return both.agg(F.count("*").alias("n"), rate.alias("changed_rate")).withColumn("ok", F.coalesce(F.col("changed_rate") < most, F.lit(True)))
+
+
 def moderate(reports: DataFrame, hide_from: int = 3) -> DataFrame:
     """Reported items with counts and the action due."""
     n = reports.groupBy("target_type", "target_id").agg(F.countDistinct("reporter_id").alias("reporters"))

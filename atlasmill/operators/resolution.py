@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from atlasmill.config import DEFAULT, Params
 from atlasmill.functions.geo import category_score, geo_score, geohash_encode, grid, haversine_m, neighbour_cells
-from atlasmill.functions.text import _lcs, match_key
+from atlasmill.functions.text import match_key, token_ratio
 from atlasmill.operators.components import connected_components
 from atlasmill.schemas import NAMES, all_names, best_name
 from atlasmill.session import materialize
@@ -43,22 +43,9 @@ def candidate_pairs(places: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return left.join(right, (F.col("cell.y") == F.col("y")) & (F.col("cell.x") == F.col("x")) & (F.col("a_ord") < F.col("b_ord"))).drop("cell", "y", "x")
 
 
-def _ratio(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, ra, rb = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if both and (not ra or not rb):
-        return 100.0
-    lead = len(both) + 1 if both else 0
-    la, lb = lead + len(ra), lead + len(rb)
-    best = 200.0 * (lead + _lcs(ra, rb)) / (la + lb)
-    return max(best, 200.0 * len(both) / (len(both) + min(la, lb))) if both else best
-
-
 @F.pandas_udf(T.DoubleType())
 def _best_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else max((_ratio(p, q) for p in x for q in y), default=0.0) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else max((token_ratio(p, q) for p in x for q in y), default=0.0) for x, y in zip(a, b)], dtype="float64")
 
 
 def name_score(a: Column, b: Column) -> Column:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.config import BOUNDARY, Box
-from atlasmill.functions.geo import EARTH_M, haversine_m, in_box, in_polygon, near
+from atlasmill.functions.geo import EARTH_M, haversine_m, in_box, in_polygon, near, spheroid_m
 from atlasmill.functions.text import to_turkish
 from atlasmill.session import materialize
 
+# Fixed value: what a place without any name is called.
+NAMELESS = "İsimsiz Mekan"
 MAX_SPAN_DEGREES = 5.0
 MAX_RADIUS_M = 50_000
 MAX_PAGE = 500
@@ -76,19 +78,42 @@ def unique_summaries(rows: DataFrame, position: str = "pos") -> DataFrame:
     return out.withColumn(position, F.col("_first")).drop("_k", "_first", "_best")
 
 
-def nearby(places: DataFrame, lat: float, lng: float, radius_m: float, limit: int = 100) -> DataFrame:
-    """Published places within the radius, nearest first, with distance_m."""
+def nearby(places: DataFrame, lat: float, lng: float, radius_m: float, limit: int = 100, spheroid: bool = False) -> DataFrame:
+    """Published places within the radius, on the sphere or the ellipsoid, nearest first, with distance_m."""
     if not 1 <= radius_m <= MAX_RADIUS_M:
         raise ValueError("radius must be 1 to 50000 m")
-    found = published(places).where(near(F.col("lat"), F.col("lng"), lat, lng, radius_m))
-    distance = haversine_m(F.col("lat"), F.col("lng"), F.lit(lat), F.lit(lng))
+    found = published(places).where(near(F.col("lat"), F.col("lng"), lat, lng, radius_m, spheroid))
+    distance = (spheroid_m if spheroid else haversine_m)(F.col("lat"), F.col("lng"), F.lit(lat), F.lit(lng))
     return found.withColumn("distance_m", distance).orderBy("distance_m", "id").limit(limit)
 
 
+def summary(places: DataFrame) -> DataFrame:
+    """What a list shows of a place: names with a Turkish one, categories, place, photo, rank."""
+    point = F.struct("lat", "lng").alias("koordinat")
+    return places.select("id", "slug", localized(F.col("isim")).alias("isim"), F.coalesce("kategori", F.array().cast("array<string>")).alias("kategori"), point, "kapak_foto_url", "unesco", "kalite_skoru")
+
+
+def detail(places: DataFrame) -> DataFrame:
+    """All that is shown of one place; attributions, tags and categories are never null."""
+    none = F.array().cast("array<string>")
+    return places.select(
+        "id", "slug", localized(F.col("isim")).alias("isim"), F.coalesce("kategori", none).alias("kategori"), F.struct("lat", "lng").alias("koordinat"), "ziyaret_bilgisi",
+        F.coalesce("etiketler", none).alias("etiketler"), "tarihi_yapim_yili", "unesco", "kapak_foto_url", "aciklama", "aciklama_source", "kaynak_atif", "kalite_skoru", "is_published",
+    )
+
+
 def localized(names: Column) -> Column:
-    """The name map with a Turkish name: its own, else one made from the English name."""
-    own = F.nullif(F.element_at(names, F.lit("tr")), F.lit(""))
-    return F.coalesce(own, to_turkish(F.element_at(names, F.lit("en"))))
+    """The name map with a Turkish name: its own, else one made from the English or the first other name.
+
+    A Turkish name that only repeats the English one is made anew; an empty map gives a name for the nameless.
+    """
+    own, english = (F.nullif(F.trim(F.element_at(names, F.lit(k))), F.lit("")) for k in ("tr", "en"))
+    other = F.get(F.filter(F.transform(F.map_values(names), lambda v: F.trim(v)), lambda v: v != ""), F.lit(0))
+    source = F.when(own.isNull(), F.coalesce(english, other)).when(F.lower(own) == F.lower(english), own)
+    turkish = F.coalesce(to_turkish(source), F.element_at(names, F.lit("tr")))
+    rest = F.map_filter(names, lambda k, _: k != "tr")
+    full = F.when(turkish.isNull(), rest).otherwise(F.map_concat(F.create_map(F.lit("tr"), turkish), rest))
+    return F.when(names.isNull() | (F.size(names) == 0), F.create_map(F.lit("tr"), F.lit(NAMELESS))).otherwise(full)
 
 
 def _border_m(cell: float) -> Column:

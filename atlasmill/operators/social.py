@@ -23,6 +23,18 @@ def route_detail(stops: DataFrame, places: DataFrame) -> DataFrame:
     return stops.join(places.select(F.col("id").alias("place_id"), F.struct("id", "slug", "lat", "lng").alias("place")), "place_id").select("route_id", "order_index", "place_id", "place")
 
 
+def route_paths(stops: DataFrame, places: DataFrame) -> DataFrame:
+    """Each route's places in their order, as one text; gaps in the order are allowed."""
+    held = stops.join(places.select(F.col("id").alias("place_id"), "slug"), "place_id").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "slug"))).alias("s"))
+    return held.select("route_id", F.array_join(F.transform("s", lambda x: x["slug"]), ",").alias("path"))
+
+
+def route_like_counts(routes: DataFrame, likes: DataFrame) -> DataFrame:
+    """Every route with its number of likes."""
+    counts = likes.select("user_id", "route_id").distinct().groupBy("route_id").agg(F.count("*").alias("n"))
+    return routes.select("route_id").join(counts, "route_id", "left").select("route_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("like_count"))
+
+
 def next_order_index(routes: DataFrame, stops: DataFrame) -> DataFrame:
     """Where the next stop goes: one past the last, 0 on an empty route."""
     last = stops.groupBy("route_id").agg(F.max("order_index").alias("m"))
@@ -70,6 +82,11 @@ def add_reviews(reviews: DataFrame, new: DataFrame, places: DataFrame) -> tuple[
     return d.where("reason is null").select(*new.columns), d.where("reason is not null").select(*new.columns, "reason")
 
 
+def delete_reviews(reviews: DataFrame, gone: DataFrame) -> DataFrame:
+    """The reviews without those of the given (place_id, user_id)."""
+    return reviews.join(gone, ["place_id", "user_id"], "left_anti").select(reviews.columns)
+
+
 def like_status(requests: DataFrame, likes: DataFrame, routes: DataFrame) -> DataFrame:
     """What a like request leads to: created, already_liked, own_route, not_found (private or unknown)."""
     d = requests.join(routes.select("route_id", "owner_id", "is_public"), "route_id", "left").join(likes.select("user_id", "route_id").distinct().withColumn("_l", F.lit(True)), ["user_id", "route_id"], "left")
@@ -97,16 +114,6 @@ def relation_counts(relations: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy("user_id").pivot("relation", list(relations)).agg(F.sum("n")).na.fill(0)
 
 
-def export_users(users: DataFrame, relations: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """One JSON document per user with each relation newest first. relations: name to (rows with user_id, order column)."""
-    out = users
-    for name, (df, order) in relations.items():
-        rest = [c for c in df.columns if c != "user_id"]
-        packed = df.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*rest).alias("_r"))), False).alias("_a"))
-        out = out.join(packed.select("user_id", F.transform("_a", lambda x: x["_r"]).alias(name)), "user_id", "left")
-    return out.select("user_id", F.to_json(F.struct(*out.columns)).alias("document"))
-
-
 def audit_diff(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row for each field whose value changed: key, field, old_value, new_value."""
     a = before.select(key, *[F.col(c).cast("string").alias(f"o_{c}") for c in columns])
@@ -120,6 +127,11 @@ def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return table.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
+def rewritten(table: DataFrame, key: str, changes: DataFrame, gone: DataFrame) -> DataFrame:
+    """The table with changed rows replaced, new ones added and those of the keys in `gone` left out, in two joins."""
+    return upsert(table, changes, key).join(gone.select(key), key, "left_anti").select(table.columns)
+
+
 def delete_user(user_id: int, tables: dict[str, DataFrame], null_out: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """All tables without the user's rows (column user_id); those in null_out keep them with that column null."""
     out = {}

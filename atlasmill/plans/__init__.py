@@ -1 +1,6 @@
-"""Registered queries on the driver's tables, each with the SQL that must give the same rows."""
+"""Operators on the driver's tables, each with the SQL that must give the same rows. Importing the modules registers their queries."""
+
+from atlasmill.plans import accounts, queries, scalars, sources
+from atlasmill.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "accounts", "queries", "scalars", "sources"]

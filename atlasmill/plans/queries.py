@@ -11,25 +11,14 @@ from atlasmill.functions import categories, geo, hours, text
 from atlasmill.operators import adjudication, gold, reports, resolution, serving, social
 from atlasmill.operators.components import connected_components
 from atlasmill.plans import tables as T
+from atlasmill.plans.registry import query
+from atlasmill.plans.scalars import token_set_sql
+from atlasmill.schemas import best_name
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 BOX = Box(26.4, 38.1, 27.9, 38.8)
 AT = (38.42, 27.14)
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 HAVERSINE = "2 * 6371000.0 * atan2(sqrt({a}), sqrt(1 - {a}))"
 
 
@@ -39,17 +28,22 @@ def haversine_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
 
 
 GRID = "least(floor((lat + 90) / 180 * 131072), 131071)::BIGINT AS y, least(floor((lng + 180) / 360 * 262144), 262143)::BIGINT AS x"
+GEOHASH_SQL = """
+    g AS (SELECT *, least(floor((lat + 90) / 180 * 131072), 131071)::BIGINT AS y, least(floor((lng + 180) / 360 * 262144), 262143)::BIGINT AS x FROM raw),
+    h AS (SELECT ord, lat, lng, """ + " || ".join(
+    "'0123456789bcdefghjkmnpqrstuvwxyz'[(1 + " + " + ".join(f"((({'x' if i % 2 == 0 else 'y'}) >> {(17 if i % 2 == 0 else 16) - i // 2}) & 1) * {1 << (4 - i % 5)}" for i in range(s, s + 5)) + ")::INT]" for s in range(0, 35, 5)
+) + " AS geohash FROM g)"
 PAIR_SQL = f"""
     raw AS ({T.RAW_SQL}), cell AS (SELECT *, {GRID} FROM raw),
     pair AS (
         SELECT a.ord AS a, b.ord AS b, a.cats AS ac, b.cats AS bc, a.name AS an, b.name AS bn,
                {haversine_sql("a.lat", "a.lng", "b.lat", "b.lng")} AS d
         FROM cell a JOIN cell b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.ord < b.ord)"""
-#: Places of different entities are too far apart to be candidates, so names are equal or the pair is not there.
-SCORE_SQL = PAIR_SQL + """,
+#: Names in full: equal ones score 1, others by their token sets.
+SCORE_SQL = PAIR_SQL + f""", named AS (SELECT DISTINCT an, bn FROM pair WHERE an <> bn), {token_set_sql('named', 'an, bn', 'an', 'bn')},
     score AS (
-        SELECT a, b, d, 1 / (1 + d / 50) AS geo, CASE WHEN an = bn THEN 1.0::DOUBLE END AS name,
-               CASE WHEN list_has_any(ac, bc) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS category FROM pair),
+        SELECT a, b, d, 1 / (1 + d / 50) AS geo, CASE WHEN an = bn THEN 1.0::DOUBLE ELSE ratio::DOUBLE / 100 END AS name,
+               CASE WHEN list_has_any(ac, bc) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS category FROM pair LEFT JOIN token_ratio USING (an, bn)),
     total AS (SELECT *, 0.45 * geo + 0.35 * name + 0.20 * category AS total FROM score)"""
 LABEL_SQL = SCORE_SQL + """,
     edge AS (SELECT a, b FROM total WHERE total >= 0.9 UNION SELECT b, a FROM total WHERE total >= 0.9),
@@ -76,13 +70,13 @@ def er_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.candidate_pairs(_raw(spark, sf_dir)).select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
 
 
-@query(f"WITH {SCORE_SQL} SELECT a, b, round(d, 3) AS distance_m, round(geo, 6) AS geo, name, category, round(total, 6) AS total FROM total")
+@query(f"WITH RECURSIVE {SCORE_SQL} SELECT a, b, round(d, 3) AS distance_m, round(geo, 6) AS geo, round(name, 6) AS name, category, round(total, 6) AS total FROM total")
 def er_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scores(spark, sf_dir)
-    return s.select("a", "b", F.round("distance_m", 3).alias("distance_m"), F.round("geo", 6).alias("geo"), "name", F.col("category").cast("double").alias("category"), F.round("total", 6).alias("total"))
+    return s.select("a", "b", F.round("distance_m", 3).alias("distance_m"), F.round("geo", 6).alias("geo"), F.round("name", 6).alias("name"), F.col("category").cast("double").alias("category"), F.round("total", 6).alias("total"))
 
 
-@query(f"WITH {SCORE_SQL} SELECT CASE WHEN total >= 0.9 THEN 'merge' WHEN total >= 0.6 THEN 'queue' ELSE 'separate' END AS band, count(*) AS n, round(sum(total), 3) AS total FROM total GROUP BY 1")
+@query(f"WITH RECURSIVE {SCORE_SQL} SELECT CASE WHEN total >= 0.9 THEN 'merge' WHEN total >= 0.6 THEN 'queue' ELSE 'separate' END AS band, count(*) AS n, round(sum(total), 3) AS total FROM total GROUP BY 1")
 def er_score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scores(spark, sf_dir)
     return s.groupBy(resolution.band(F.col("total")).alias("band")).agg(F.count("*").alias("n"), F.round(F.sum("total"), 3).alias("total"))
@@ -113,7 +107,7 @@ def _merged(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {LABEL_SQL},
-    m AS (SELECT cluster, l.ord, k, source, lat, lng, 'Place ' || entity AS nm, cats[1] AS cat, CASE WHEN k = 0 THEN 1000 + entity % 900 END AS yr FROM label l JOIN raw USING (ord))
+    m AS (SELECT cluster, l.ord, k, source, lat, lng, nm, cats[1] AS cat, CASE WHEN k = 0 THEN 1000 + entity % 900 END AS yr FROM label l JOIN raw USING (ord))
     SELECT cluster, count(*) AS members, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, round(arg_min(lat, (list_position(['osm','wikidata','bizizmir'], source), ord)), 6) AS lat,
            round(arg_min(lng, (list_position(['osm','wikidata','bizizmir'], source), ord)), 6) AS lng,
            arg_min(nm, (list_position(['wikidata','osm','bizizmir'], source), ord)) FILTER (k <> 1) AS name_tr, arg_min(nm, (list_position(['wikidata','osm','bizizmir'], source), ord)) AS name_en,
@@ -152,7 +146,7 @@ def _gold(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {LABEL_SQL},
     inside AS (SELECT la.cluster, min(total) AS lo FROM total JOIN label la ON la.ord = a JOIN label lb ON lb.ord = b WHERE la.cluster = lb.cluster GROUP BY 1),
-    c AS (SELECT cluster, count(*) AS members, any_value('place-' || entity) AS base, string_agg(source || ':' || source || '/' || ord, '|' ORDER BY source || ':' || source || '/' || ord) AS keys FROM label JOIN raw USING (ord) GROUP BY 1),
+    c AS (SELECT cluster, count(*) AS members, replace(coalesce(arg_min(name, (list_position(['wikidata','osm','bizizmir'], source), ord)) FILTER (k <> 1), arg_min(name, (list_position(['wikidata','osm','bizizmir'], source), ord))), ' ', '-') AS base, string_agg(source || ':' || source || '/' || ord, '|' ORDER BY source || ':' || source || '/' || ord) AS keys FROM label JOIN raw USING (ord) GROUP BY 1),
     s AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY cluster) AS n FROM c)
     SELECT sha256(keys) AS id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug, members, round(CASE WHEN members = 1 THEN 0.95 ELSE round(lo, 2) END, 2) AS kalite_skoru
     FROM s LEFT JOIN inside USING (cluster)""")
@@ -169,28 +163,66 @@ def er_merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.merge_log(g).groupBy("decision", "note").agg(F.count("*").alias("rows_n"))
 
 
-@query(f"""WITH RECURSIVE {LABEL_SQL}, c AS (SELECT cluster, count(*) AS n FROM label GROUP BY 1)
+#: Every 101st record has lost its coordinates.
+LOST = "ord % 101 = 100"
+LOST_SQL = LABEL_SQL.replace(T.RAW_SQL, f"SELECT * FROM ({T.RAW_SQL}) WHERE NOT {LOST}")
+
+
+@query(f"""WITH RECURSIVE {LOST_SQL}, c AS (SELECT cluster, count(*) AS n FROM label GROUP BY 1)
     SELECT (SELECT count(*) FROM raw) AS normalized, (SELECT count(*) FROM raw WHERE source = 'osm') AS from_osm, (SELECT count(*) FROM raw WHERE source = 'wikidata') AS from_wikidata,
            (SELECT count(*) FROM raw WHERE source = 'bizizmir') AS from_bizizmir, (SELECT count(*) FROM c WHERE n = 1) AS singletons, (SELECT count(*) FROM c WHERE n > 1) AS merged,
-           (SELECT count(*) FROM total JOIN label la ON la.ord = a JOIN label lb ON lb.ord = b WHERE total >= 0.6 AND total < 0.9 AND la.cluster <> lb.cluster) AS queued, 0::BIGINT AS discarded""")
+           (SELECT count(*) FROM total JOIN label la ON la.ord = a JOIN label lb ON lb.ord = b WHERE total >= 0.6 AND total < 0.9 AND la.cluster <> lb.cluster) AS queued, (SELECT count(*) FROM ({T.RAW_SQL}) WHERE {LOST}) AS discarded""")
 def er_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = resolution.Resolution(_raw(spark, sf_dir))
+    r = resolution.Resolution(_raw(spark, sf_dir).withColumn("lat", F.when(~F.expr(LOST), F.col("lat"))))
     return gold.run_report(r.places, r.cluster_scores(), r.queued(), r.discarded)
 
 
-@query(f"""WITH {SCORE_SQL}, t AS (SELECT a // 3 = b // 3 AS same, total >= 0.9 AS merged FROM total),
-    c AS (SELECT count(*) FILTER (same AND merged) AS tp, count(*) FILTER (NOT same AND merged) AS fp, count(*) FILTER (same AND NOT merged) AS fn FROM t)
+@query(f"""WITH RECURSIVE {SCORE_SQL}, t AS (SELECT a // 3 = b // 3 AS same, total >= 0.9 AS merged FROM total),
+    g AS (SELECT sum(n * (n - 1) // 2)::BIGINT AS pairs FROM (SELECT count(*) AS n FROM raw GROUP BY entity)),
+    c AS (SELECT count(*) FILTER (same AND merged) AS tp, count(*) FILTER (NOT same AND merged) AS fp, (SELECT pairs FROM g) - count(*) FILTER (same AND merged) AS fn FROM t)
     SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
 def er_eval_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on pairs against the truth; true pairs that blocking lost count as missed."""
     s = _scores(spark, sf_dir)
-    f = reports.pair_f1(s.select((F.floor(F.col("a") / 3) == F.floor(F.col("b") / 3)).alias("same"), (F.col("total") >= DEFAULT.merge_from).alias("merged")))
+    f = reports.pair_f1(s.select((F.floor(F.col("a") / 3) == F.floor(F.col("b") / 3)).alias("same"), (F.col("total") >= DEFAULT.merge_from).alias("merged")), reports.true_pairs(_raw(spark, sf_dir).select(F.floor(F.col("ord") / 3).alias("entity"))))
     return f.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {LABEL_SQL}, {GEOHASH_SQL}
+    SELECT a, b, round(t.total, 6) AS total, 'low_confidence' AS reason, ra.nm AS a_name, rb.nm AS b_name, ra.source || '/' || a AS a_id, rb.source || '/' || b AS b_id, round(t.name, 6) AS name_score, round(d, 2) AS distance_m, geohash, 7 AS precision
+    FROM total t JOIN label la ON la.ord = a JOIN label lb ON lb.ord = b JOIN raw ra ON ra.ord = a JOIN raw rb ON rb.ord = b JOIN h ON h.ord = a WHERE t.total >= 0.6 AND t.total < 0.9 AND la.cluster <> lb.cluster""")
 def er_queue_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queued pairs, their candidates read back from the payload's JSON."""
     r = resolution.Resolution(_raw(spark, sf_dir))
-    return resolution.queue_payload(r.queued(), r.places)
+    q = resolution.queue_payload(r.queued(), r.places)
+
+    def at(path: str, kind: str = "string"):
+        return F.get_json_object("payload", f"$.{path}").cast(kind)
+
+    return q.select(
+        "a", "b", F.round("total", 6).alias("total"), "reason", at("candidate_a.name_en").alias("a_name"), at("candidate_b.name_en").alias("b_name"), at("candidate_a.source_id").alias("a_id"), at("candidate_b.source_id").alias("b_id"),
+        F.round(at("scores.name", "double"), 6).alias("name_score"), F.round(at("scores.distance_m", "double"), 2).alias("distance_m"), at("blocking.geohash").alias("geohash"), at("blocking.precision", "int").alias("precision"),
+    )
+
+
+@query(f"""WITH RECURSIVE {LABEL_SQL}, c AS (SELECT cluster, count(*) AS n, list(source || ':' || source || '/' || ord ORDER BY source || ':' || source || '/' || ord) AS k FROM label JOIN raw USING (ord) GROUP BY 1)
+    SELECT sha256(array_to_string(k, '|')) AS id FROM c WHERE left(sha256(array_to_string(k, '|')), 1) >= '8'""")
+def er_gold_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run adds only what the table does not hold yet."""
+    r, m = _merged(spark, sf_dir)
+    scores = r.cluster_scores()
+    held = gold.gold_places(m, scores).select("id").where("id < '8'")
+    return gold.gold_places(m, scores, held).select("id")
+
+
+@query(f"""WITH RECURSIVE {LABEL_SQL}, m AS (SELECT cluster, l.ord, source, cats[1] AS cat, nm, k FROM label l JOIN raw USING (ord))
+    SELECT cluster, string_agg(DISTINCT source || '/' || ord || ':CC0', ',' ORDER BY source || '/' || ord || ':CC0') AS attribution, string_agg(DISTINCT 'seg=' || cat, ',' ORDER BY 'seg=' || cat) AS raw_categories,
+           first(source || '/' || ord ORDER BY ord) AS lead, coalesce(arg_min(nm, (list_position(['wikidata','osm','bizizmir'], source), ord)) FILTER (k <> 1), arg_min(nm, (list_position(['wikidata','osm','bizizmir'], source), ord))) AS best_name FROM m GROUP BY cluster""")
+def er_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a merged place comes from, its united raw categories and its best name."""
+    _, m = _merged(spark, sf_dir)
+    sources = F.array_join(F.array_sort(F.transform("attribution", lambda r: F.concat(r["source_id"], F.lit(":"), r["license"]))), ",")
+    return m.select("cluster", sources.alias("attribution"), F.array_join(F.array_sort("raw_categories"), ",").alias("raw_categories"), F.col("source_id").alias("lead"), best_name().alias("best_name"))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS r, n_nationkey + 100 AS n FROM nation), b AS (SELECT r AS a, n AS b FROM e UNION SELECT n, r FROM e),
@@ -203,13 +235,6 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- functions -------------------------------------------------------------------------------------------------
 
-GEOHASH_SQL = """
-    g AS (SELECT *, least(floor((lat + 90) / 180 * 131072), 131071)::BIGINT AS y, least(floor((lng + 180) / 360 * 262144), 262143)::BIGINT AS x FROM raw),
-    h AS (SELECT ord, lat, lng, """ + " || ".join(
-    "'0123456789bcdefghjkmnpqrstuvwxyz'[(1 + " + " + ".join(f"((({'x' if i % 2 == 0 else 'y'}) >> {(17 if i % 2 == 0 else 16) - i // 2}) & 1) * {1 << (4 - i % 5)}" for i in range(s, s + 5)) + ")::INT]" for s in range(0, 35, 5)
-) + " AS geohash FROM g)"
-
-
 @query(f"WITH raw AS ({T.RAW_SQL}), {GEOHASH_SQL} SELECT ord, geohash FROM h")
 def geohash_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select("ord", geo.geohash_encode(F.col("lat"), F.col("lng")).alias("geohash"))
@@ -237,21 +262,27 @@ def text_ascii_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "documents").select("doc_id", text.ascii_fold(F.col("text")).alias("folded"))
 
 
-@query(r"SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(translate(nfc_normalize(text), 'İIŞĞÜÖÇ', 'iışğüöç')), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ''), '') AS key FROM documents WHERE text NOT LIKE '%&%'")
+# The entities that may be in the documents and pages, each once; '&amp;' last.
+ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&#39;": "''", "&amp;": "&"}
+
+
+def unescaped_sql(text: str) -> str:
+    for entity, letter in ENTITIES.items():
+        text = f"replace({text}, '{entity}', '{letter}')"
+    return text
+
+
+@query(rf"SELECT doc_id, coalesce(trim(regexp_replace(regexp_replace(lower(translate(nfc_normalize({unescaped_sql('text')}), 'İIŞĞÜÖÇ', 'iışğüöç')), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS key FROM documents")
 def text_match_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "documents").select("doc_id", text.normalize_for_match(F.col("text")).alias("key"))
 
 
-@query()
-def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.read(spark, sf_dir, "pages").select("page_id", text.normalize_text(F.regexp_replace("html", "<[^>]*>", " ")).alias("plain"))
+PLAIN_SQL = unescaped_sql("regexp_replace(html, '<[^>]*>', ' ', 'g')")
 
 
-@query()
-def token_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of each part's name and type."""
-    p = T.read(spark, sf_dir, "part")
-    return p.select("p_partkey", F.round(text.token_set_ratio(F.lower("p_name"), F.lower("p_type")), 4).alias("ratio"))
+@query(rf"SELECT page_id, nullif(trim(regexp_replace({PLAIN_SQL}, '\s+', ' ', 'g')), '') AS plain FROM pages")
+def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.read(spark, sf_dir, "pages").select("page_id", text.normalize_text(F.regexp_replace("html", "<[^>]*>", " ")).alias("plain"))
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
@@ -282,6 +313,7 @@ def categories_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 IN_BOX = "lat BETWEEN 38.1 AND 38.8 AND lng BETWEEN 26.4 AND 27.9"
 RING = list(zip(BOUNDARY, [*BOUNDARY[1:], BOUNDARY[0]]))
 IN_RING = "(" + " + ".join(f"CASE WHEN ({y1} > lat) <> ({y2} > lat) AND lng < (lat - {y1}) * {((x2 - x1) / ((y2 - y1) or 1.0))!r} + {x1} THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in RING) + ") % 2 = 1"
+IN_RING += "".join(f" AND NOT (lat BETWEEN {min(y1, y2)} AND {max(y1, y2)} AND lng BETWEEN {min(x1, x2)} AND {max(x1, x2)} AND (lng - {x1}) * ({y2 - y1!r}) = (lat - {y1}) * ({x2 - x1!r}))" for (x1, y1), (x2, y2) in RING)
 
 
 @query(f"WITH p AS ({T.PLACE_SQL}) SELECT id, slug FROM p WHERE is_published AND {IN_BOX}")
@@ -328,8 +360,8 @@ def nearby_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.nearby(T.places(spark, sf_dir), *AT, 30000, 50).select("id", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query(f"""WITH p AS ({T.PLACE_SQL}), c AS (SELECT id, lat, lng, floor(lat / 0.05) AS y, floor(lng / 0.05) AS x FROM p WHERE is_published),
-    d AS (SELECT a.id, b.id AS neighbour, {haversine_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS d FROM c a JOIN c b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.id <> b.id),
+@query(f"""WITH p AS ({T.PLACE_SQL}), c AS (SELECT id, lat, lng FROM p WHERE is_published),
+    d AS (SELECT a.id, b.id AS neighbour, {haversine_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS d FROM c a JOIN c b ON a.id <> b.id),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS k FROM d) SELECT id, neighbour, round(d, 3) AS distance_m, k::INT AS rank FROM r WHERE k <= 3""")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = serving.nearest_neighbours(T.places(spark, sf_dir), 3)
@@ -395,11 +427,6 @@ def user_relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return social.relation_counts({"routes": T.routes(spark, sf_dir), "reviews": T.reviews(spark, sf_dir)})
 
 
-@query()
-def user_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return social.export_users(T.users(spark, sf_dir), {"routes": (T.routes(spark, sf_dir).drop("owner_id"), "updated_at"), "reviews": (T.reviews(spark, sf_dir), "created_at")})
-
-
 @query("SELECT c_custkey AS user_id, 'locale' AS field, c_mktsegment AS old_value, 'FURNITURE' AS new_value FROM customer WHERE c_custkey % 10 = 0 AND c_mktsegment <> 'FURNITURE' UNION ALL SELECT c_custkey, 'username', c_name, lower(c_name) FROM customer WHERE c_name <> lower(c_name)")
 def audit_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = T.users(spark, sf_dir)
@@ -507,10 +534,14 @@ def trending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.trending(visits, "2024-01-20")
 
 
-@query(f"WITH r AS ({T.RAW_SQL}) SELECT count(*) AS n, 0.0::DOUBLE AS name_null_rate, round(count(*) FILTER (NOT (lat BETWEEN 38.0 AND 39.0 AND lng BETWEEN 26.0 AND 28.5)) / count(*), 6) AS outside_rate, true AS name_ok, 5::BIGINT AS queued, true AS queue_ok FROM r")
+OUTSIDE = "count(*) FILTER (NOT (lat BETWEEN 38.0 AND 39.0 AND lng BETWEEN 26.0 AND 28.5)) / count(*)"
+
+
+@query(f"""WITH RECURSIVE {LABEL_SQL}, q AS (SELECT count(*) AS n FROM total JOIN label la ON la.ord = a JOIN label lb ON lb.ord = b WHERE total >= 0.6 AND total < 0.9 AND la.cluster <> lb.cluster)
+    SELECT count(*) AS n, 0.0::DOUBLE AS name_null_rate, round({OUTSIDE}, 6) AS outside_rate, true AS name_ok, {OUTSIDE} < 0.005 AS fence_ok, any_value(q.n) AS queued, any_value(q.n) < 1000 AS queue_ok FROM raw, q""")
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = reports.dq_report(_raw(spark, sf_dir), 5)
-    return d.select("n", "name_null_rate", F.round("outside_rate", 6).alias("outside_rate"), "name_ok", "queued", "queue_ok")
+    d = reports.dq_report(_raw(spark, sf_dir), resolution.Resolution(_raw(spark, sf_dir)).queued())
+    return d.select("n", "name_null_rate", F.round("outside_rate", 6).alias("outside_rate"), "name_ok", "fence_ok", "queued", "queue_ok")
 
 
 @query("SELECT event_type AS target_type, user_id AS target_id, count(DISTINCT json_extract_string(props, '$.k')) AS reporters, CASE WHEN count(DISTINCT json_extract_string(props, '$.k')) >= 3 THEN 'hide' ELSE 'review' END AS action FROM events GROUP BY 1, 2")
@@ -519,7 +550,9 @@ def moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.moderate(e)
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS ({T.PLACE_SQL}), c AS (SELECT id, floor(lat / 0.02)::BIGINT AS y, floor(lng / 0.02)::BIGINT AS x FROM p), g AS (SELECT y, x, y * 10000000 + x AS key FROM c GROUP BY y, x HAVING count(*) >= 2),
+    e AS (SELECT a.key AS a, b.key AS b FROM g a JOIN g b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), w(key, seen) AS (SELECT key, key FROM g UNION SELECT w.key, e.b FROM w JOIN e ON e.a = w.seen), l AS (SELECT key, min(seen) AS cluster FROM w GROUP BY key)
+    SELECT id, cluster FROM c JOIN l ON l.key = c.y * 10000000 + c.x""")
 def dense_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.dense_clusters(T.places(spark, sf_dir), 0.02, 2)
 

@@ -9,18 +9,26 @@ from atlasmill.schemas import as_raw_place
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")  # days and windows are those of UTC
+    """A table; days and windows are those of UTC, so a session of another time zone is refused rather than changed."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z", "GMT", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone is {zone}; these queries need UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three records per entity, one from each source, a few metres apart; the truth is ord div 3."""
+    """Three records per entity, one from each source, a few metres apart; the truth is ord div 3.
+
+    The third one's name has a slip where the entity is a multiple of 5, and it lies some 65 metres off where it is one of 7.
+    """
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", (F.col("c_custkey") / 3).cast("bigint").alias("entity"), (F.col("c_custkey") % 3).cast("int").alias("k"))
     source = F.element_at(F.array(F.lit("osm"), F.lit("wikidata"), F.lit("bizizmir")), F.col("k") + 1)
+    name = F.concat(F.when((F.col("k") == 2) & (F.col("entity") % 5 == 0), "Plaec ").otherwise("Place "), F.col("entity").cast("string"))
+    off = F.when((F.col("k") == 2) & (F.col("entity") % 7 == 0), 0.0006).otherwise(F.col("k") * 0.00004)
     rows = c.select(
         source.alias("source"), F.concat_ws("/", source, F.col("c_custkey").cast("string")).alias("source_id"), F.lit("CC0").alias("license"),
-        F.when(F.col("k") != 1, F.concat(F.lit("Place "), F.col("entity").cast("string"))).alias("name_tr"), F.concat(F.lit("Place "), F.col("entity").cast("string")).alias("name_en"),
-        (38.0 + (F.col("entity") * 7919 % 100000) / 1e5 + F.col("k") * 0.00004).alias("lat"), (26.1 + (F.col("entity") * 104729 % 230000) / 1e5 + F.col("k") * 0.00004).alias("lng"),
+        F.when(F.col("k") != 1, name).alias("name_tr"), name.alias("name_en"),
+        (38.0 + (F.col("entity") * 7919 % 100000) / 1e5 + off).alias("lat"), (26.1 + (F.col("entity") * 104729 % 230000) / 1e5 + F.col("k") * 0.00004).alias("lng"),
         F.array(F.lower("c_mktsegment")).alias("canonical_categories"), F.array(F.concat(F.lit("seg="), F.lower("c_mktsegment"))).alias("raw_categories"),
         F.when(F.col("k") == 0, F.expr("int(1000 + entity % 900)")).alias("tarihi_yapim_yili"), (F.col("k") == 1).alias("unesco"), F.col("c_custkey").alias("ord"),
     )
@@ -30,9 +38,9 @@ def raw_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_SQL = """
     SELECT c_custkey AS ord, c_custkey // 3 AS entity, (c_custkey % 3)::INT AS k, c_mktsegment,
            ['osm', 'wikidata', 'bizizmir'][(c_custkey % 3)::INT + 1] AS source,
-           38.0 + ((c_custkey // 3) * 7919 % 100000) / 1e5 + (c_custkey % 3) * 0.00004 AS lat,
+           38.0 + ((c_custkey // 3) * 7919 % 100000) / 1e5 + CASE WHEN c_custkey % 3 = 2 AND c_custkey // 3 % 7 = 0 THEN 0.0006 ELSE (c_custkey % 3) * 0.00004 END AS lat,
            26.1 + ((c_custkey // 3) * 104729 % 230000) / 1e5 + (c_custkey % 3) * 0.00004 AS lng,
-           'place ' || (c_custkey // 3) AS name, [lower(c_mktsegment)] AS cats
+           CASE WHEN c_custkey % 3 = 2 AND c_custkey // 3 % 5 = 0 THEN 'Plaec ' ELSE 'Place ' END || (c_custkey // 3) AS nm, lower(nm) AS name, [lower(c_mktsegment)] AS cats
     FROM customer"""
 
 

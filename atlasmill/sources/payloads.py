@@ -146,7 +146,31 @@ def snapshot_key(source: Column, params: Column) -> Column:
     return F.concat(source, F.lit(":"), F.left(F.sha2(F.to_json(F.array_sort(F.map_entries(params))), 256), F.lit(24)))
 
 
+def payload_hash(text: Column) -> Column:
+    """The first 16 digits of a payload's SHA-1."""
+    return F.left(F.sha1(text.cast("binary")), F.lit(16))
+
+
+def row_count(payload: Column) -> Column:
+    """How many records a JSON payload holds: a list's length, or that of its elements, results, records, items or bindings; 0 for anything else."""
+    lists = [F.get_json_object(payload, "$." + k) for k in ("elements", "results", "records", "items")]
+    nested = [F.get_json_object(payload, f"$.{k}.bindings") for k in ("elements", "results", "records", "items")]
+    return F.coalesce(F.json_array_length(payload), *[x for pair in zip(map(F.json_array_length, lists), map(F.json_array_length, nested)) for x in pair], F.lit(0))
+
+
+def fenced(places: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Places inside the fence, and one row with the counts before and after and how many the fence dropped."""
+    inside = F.coalesce(in_box(F.col("lat"), F.col("lng"), params.box), F.lit(False))
+    counts = places.agg(F.count("*").alias("before"), F.count_if(inside).alias("silver_total"), F.count_if(~inside).alias("geofence_dropped"))
+    return places.where(inside), counts
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Parquet partitioned by source and day; a second run of a day replaces that day only."""
     day = df.withColumn("yyyy", F.date_format("extracted_at", "yyyy")).withColumn("mm", F.date_format("extracted_at", "MM")).withColumn("dd", F.date_format("extracted_at", "dd"))
     day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "yyyy", "mm", "dd").parquet(path)
+
+
+def write_monthly(log: DataFrame, path: str, time: str = "ts") -> None:
+    """A log partitioned by month, so that a month is read, replaced or dropped on its own."""
+    log.withColumn("month", F.date_format(time, "yyyy-MM")).write.mode("append").partitionBy("month").parquet(path)

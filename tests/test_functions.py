@@ -27,10 +27,10 @@ def test_match_form(spark):
     [("efes", "efes antik kenti", 100), ("ali veli", "veli ali", 100), ("abc", "xyz", 0), ("konak meydanı", "konak pier", 66.6667), ("", "x", 0), ("a b", "a b", 100)],
 )
 def test_token_set_ratio(spark, a, b, want):
-    from atlasmill.operators.resolution import _ratio
+    from atlasmill.functions.text import token_ratio
 
     assert one(spark, text.token_set_ratio(F.lit(a), F.lit(b))) == pytest.approx(want, abs=1e-4)
-    assert _ratio(a, b) == pytest.approx(want, abs=1e-4)
+    assert token_ratio(a, b) == pytest.approx(want, abs=1e-4)
 
 
 def test_translation(spark):
@@ -121,7 +121,7 @@ def test_categories(spark):
 
 
 def test_match_key_of_all_documents(spark, tmp_path):
-    from atlasmill.plans.queries import QUERIES
+    from atlasmill.plans import QUERIES
 
     data = [(1, "Tom &amp; Jerry", "tom jerry"), (2, "I&#350;IK &Ccedil;ay", "ışık çay"), (3, "a & b &", "a b"), (4, None, ""), (5, "R&D", "r d"), (6, "x&nbsp;&lt;y&gt;", "x y"), (7, "plain", "plain")]
     spark.createDataFrame([r[:2] for r in data], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -147,3 +147,18 @@ def test_nearest_neighbours_anywhere(spark):
             near = sorted((metres(a, b), b[0]) for b in some if b is not a)[:k]
             want |= {(a[0], n): (b, round(d, 2)) for n, (d, b) in enumerate(near, 1)}
         assert got == want
+
+
+def test_geodesic_distance(spark):
+    rows = [(-37.95103341667, 144.42486788889, -37.65282113889, 143.92649552778, 54972.271), (0.0, 0.0, 0.0, 1.0, 111319.491), (0.0, 0.0, 1.0, 0.0, 110574.389), (38.4, 27.1, 38.4, 27.1, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, want double")
+    for r in df.select("want", geo.spheroid_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("got")).collect():
+        assert r.got == pytest.approx(r.want, abs=0.02)
+    assert df.select(geo.spheroid_m(F.lit(None).cast("double"), F.col("b"), F.col("c"), F.col("d")).alias("got")).first().got is None
+
+
+def test_points_on_an_edge_are_outside(spark):
+    ring = ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0))
+    points = [(2.0, 2.0, True), (0.0, 2.0, False), (2.0, 0.0, False), (4.0, 2.0, False), (2.0, 4.0, False), (0.0, 0.0, False), (4.0, 4.0, False), (5.0, 2.0, False), (2.0, -1.0, False), (3.999, 3.999, True)]
+    df = spark.createDataFrame(points, "lat double, lng double, want boolean")
+    assert df.where(geo.in_polygon(F.col("lat"), F.col("lng"), ring) != F.col("want")).count() == 0

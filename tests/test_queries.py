@@ -2,7 +2,7 @@
 
 import pytest
 
-from atlasmill.plans.queries import ORACLE_SQL, QUERIES
+from atlasmill.plans import ORACLE_SQL, QUERIES
 from tests.conftest import SF
 
 

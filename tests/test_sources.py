@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from atlasmill.config import Box, Params
-from atlasmill.operators import adjudication, gold, serving, social
+from atlasmill.functions.hours import SLOT
+from atlasmill.operators import accounts, adjudication, gold, serving, social
 from atlasmill.sources import payloads as S
 from atlasmill.streaming import jobs
 
@@ -94,13 +96,37 @@ def test_runs_and_users(spark):
 
 
 def test_apply_decisions(spark):
-    side = "struct<source:string,name_tr:string,name_en:string,lat:double,lng:double>"
-    kind = f"queue_id long, decision string, canonical struct<name_tr:string,name_en:string,lat:double,lng:double,primary_source_per_field:map<string,string>>, candidate_a {side}, candidate_b {side}"
-    a, b = ("osm", "A", None, 1.0, 2.0), ("wikidata", "B", "Bee", 3.0, 4.0)
-    rows = [(1, "merge", (None, None, None, None, {"isim": "OSM"}), a, b), (2, "merge", ("X", None, None, None, {"isim": "z"}), a, b), (3, "split", None, a, b), (4, "reject", None, a, b)]
+    side = "struct<source:string,source_id:string,name_tr:string,name_en:string,name_de:string,name_fr:string,name_ar:string,lat:double,lng:double,canonical_categories:array<string>,raw_categories:array<string>,tags:array<string>,"
+    side += f"tarihi_yapim_yili:int,cover_photo_url:string,description_tr:string,description_en:string,unesco:boolean,opening_hours:{SLOT}>"
+    kind = f"queue_id long, decision string, confidence double, canonical struct<name_tr:string,name_en:string,lat:double,lng:double,primary_source_per_field:map<string,string>>, candidate_a {side}, candidate_b {side}"
+    rest = (None, None, None)
+    a = ("osm", "1", "A", None, *rest, 1.0, 2.0, ["x"], ["r"], None, None, " ", None, "d", None, [(1, "09:00", None, False, "osm")])
+    b = ("wikidata", "Q1", "B", "Bee", *rest, 3.0, 4.0, ["y", "x"], None, ["t"], 1450, "photo", "t", "e", True, [(1, "10:00", None, False, "x"), (2, "11:00", None, False, "x")])
+    nowhere = (*a[:7], None, 2.0, *a[9:])
+    nameless = (*b[:2], " ", "", *rest, *b[7:])
+    rows = [(1, "merge", 0.876, (None, None, None, None, {"isim": "OSM"}), a, b), (2, "merge", 1.5, ("X", None, None, None, {"isim": "z"}), a, b), (3, "split", 0.9, None, a, b), (4, "reject", 0.9, None, a, b), (5, "split", 0.9, None, nowhere, nameless)]
     got = adjudication.apply_decisions(spark.createDataFrame(rows, kind)).collect()
-    assert sorted((r.queue_id, r.aborted, r.name_tr, r.name_en, r.lat) for r in got if r.queue_id < 3) == [(1, False, "A", "Bee", 1.0), (2, True, "X", "Bee", 1.0)]
-    assert sorted(r.name_tr for r in got if r.queue_id == 3) == ["A", "B"] and len(got) == 4
+    assert sorted((r.queue_id, r.aborted, r.name_tr, r.name_en, r.lat, r.kalite_skoru) for r in got if r.queue_id < 3) == [(1, False, "A", "Bee", 1.0, 0.88), (2, True, "X", "Bee", 1.0, 1.0)]
+    one = next(r for r in got if r.queue_id == 1)
+    assert (one.kategori, one.tags, one.tarihi_yapim_yili, one.cover_photo_url, one.description_en, one.unesco) == (["x", "y"], ["t"], 1450, "photo", "d", True)
+    assert [(s.day_of_week, s.opens_at) for s in one.opening_hours] == [(1, "09:00"), (2, "11:00")]
+    assert [(c.src, c.id, c.license) for c in one.kaynak_atif] == [("osm", "1", "ODbL-1.0"), ("wikidata", "Q1", "CC0-1.0")]
+    assert sorted((r.name_tr, r.side) for r in got if r.queue_id == 3) == [("A", "a"), ("B", "b")] and len(got) == 4
+
+
+def test_repeated_answers_move_an_item_once(spark):
+    queue = spark.createDataFrame([(1, "pending", 0), (2, "retry", 2)], "queue_id long, status string, retry_count int")
+    answers = spark.createDataFrame([(1, 500, None, None, None, False), (1, 200, "merge", 0.95, None, False), (1, 200, "split", 0.9, None, False), (2, 200, "merge", 0.1, None, False)], "queue_id long, http_status int, decision string, confidence double, error string, apply_error boolean")
+    got = {r.queue_id: (r.status, r.retry_count, r.event) for r in adjudication.transition(queue, answers).collect()}
+    assert got == {1: ("merged", 0, "merge"), 2: ("rejected", 3, "low_confidence")}
+
+
+def test_token_cycles_are_an_error(spark):
+    loop = spark.createDataFrame([(1, 2), (2, 1)], "jti long, parent_jti long")
+    with pytest.raises(RuntimeError):
+        accounts.token_chains(loop, 5).count()
+    lone = spark.createDataFrame([(1, 9), (2, 1), (3, None)], "jti long, parent_jti long")
+    assert sorted(map(tuple, accounts.token_chains(lone).select("jti", "root", "depth").collect())) == [(1, 1, 0), (2, 1, 1), (3, 3, 0)]
 
 
 def test_queue_stream(spark, tmp_path):
