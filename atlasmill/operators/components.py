@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasmill.session import materialize
+from atlasmill.session import discard, materialize, scratch_path, stored
 
 #: Edges up to which the rest of the work is done in one task instead of more rounds.
 SMALL = 1 << 20
@@ -70,16 +70,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     The number of rounds grows with the logarithm of the longest chain. As soon as no more than `small` edges are
     left, one task does the rest; with small = 0 only built-in functions are used.
     """
+    spark = edges.sparkSession
     start = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    now = materialize(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    at = scratch_path(spark, "edges")
+    now = stored(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), at)
     seen = _fingerprint(now)
     for _ in range(max_rounds if seen[0] else 1):
         if seen[0] <= small:
             if not seen[0]:
                 break
             kind = now.schema["u"].dataType.simpleString()
-            return materialize(_finish(now, f"node {kind}, component {kind}"), "components")
-        now = materialize(_small_star(_large_star(now)), "edges")
+            out = materialize(_finish(now, f"node {kind}, component {kind}"), "components")
+            discard(spark, at)
+            return out
+        before, at = at, scratch_path(spark, "edges")
+        now = stored(_small_star(_large_star(now)), at)
+        discard(spark, before)
         then, seen = seen, _fingerprint(now)
         if then == seen:
             break

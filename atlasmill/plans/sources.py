@@ -229,7 +229,7 @@ def own_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH p AS ({T.PLACE_SQL}) SELECT id FROM p WHERE is_published AND id % 7 IN (5, 6, 1)")
-def open_on_weekend(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekend_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places with slots on day id mod 7; some only closed, some also on the day after."""
     day = (F.col("id") % 7).cast("int")
     slots = F.array(F.struct(day.alias("day_of_week"), F.lit("09:00").alias("opens_at"), F.lit(False).alias("is_closed_special")), F.struct(F.lit(6).alias("day_of_week"), F.lit("10:00").alias("opens_at"), (day != 1).alias("is_closed_special")))

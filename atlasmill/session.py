@@ -46,18 +46,40 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
+_written: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete all scratch tables of this application, and give their number: for the end of a job, when its results are written."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        discard(spark, path)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back.
 
     Cuts the lineage where a loop or several consumers would run it again; unlike an executor-local cache
-    the files outlive the executors that wrote them.
+    the files outlive the executors that wrote them, until drop_scratch() or the end of a local session.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return stored(df, scratch_path(df.sparkSession, name))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df written to path and read back."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
