@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atlasmill.llm.tables import small_batches
 
@@ -159,10 +160,105 @@ def ogg(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
+def flac(b: bytes, at: int) -> tuple[str, int] | None:
+    """FLAC: stream information first, metadata blocks up to the last one, then a frame. Frames state no length: the rest is its own."""
+    place, first = at + 4, True
+    while place + 4 <= len(b):
+        kind, size = b[place] & 127, int.from_bytes(b[place + 1 : place + 4], "big")
+        if first and (kind or size != 34) or kind > 6:
+            return None
+        last, first, place = b[place] & 128, False, place + 4 + size
+        if last:
+            return ("audio/flac", len(b) - at) if b[place : place + 1] == b"\xff" and place + 1 < len(b) and b[place + 1] & 0xFE == 0xF8 else None
+    return None
+
+
+def boxes(b: bytes, at: int) -> tuple[str, int] | None:
+    """ISO media: a file type box whose size fits whole brands, then boxes with right sizes; a movie or still picture among them."""
+    place, seen, first = at, set(), True
+    while place + 8 <= len(b):
+        size, kind = struct.unpack_from(">I", b, place)[0], b[place + 4 : place + 8]
+        head = 8
+        if size == 1 and place + 16 <= len(b):
+            size, head = struct.unpack_from(">Q", b, place + 8)[0], 16
+        elif size == 0:
+            size = len(b) - place
+        if size < head or place + size > len(b) or not all(32 <= c < 127 for c in kind):
+            break
+        if first and (kind != b"ftyp" or size < 16 or size % 4):
+            return None
+        seen.add(kind)
+        place, first = place + size, False
+    if b"moov" in seen:
+        return "video/mp4", place - at
+    return ("image/heif", place - at) if {b"meta", b"mdat"} <= seen else None
+
+
+def tiff(b: bytes, at: int) -> tuple[str, int] | None:
+    """TIFF: a chain of directories with sorted tags that does not return, whose values and strips lie inside; the furthest ends the file."""
+    order = "<" if b[at : at + 2] == b"II" else ">"
+    widths = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+    if at + 8 > len(b):
+        return None
+    place, end, seen = struct.unpack_from(order + "I", b, at + 4)[0], 8, set()
+    while place:
+        if place in seen or place < 8 or at + place + 2 > len(b):
+            return None
+        seen.add(place)
+        count = struct.unpack_from(order + "H", b, at + place)[0]
+        stop = place + 6 + 12 * count
+        if not count or at + stop > len(b):
+            return None
+        last, strips = -1, {}
+        for i in range(count):
+            tag, kind, n, value = struct.unpack_from(order + "HHII", b, at + place + 2 + 12 * i)
+            size = widths.get(kind, 0) * n
+            if tag <= last or not size or size > 4 and at + value + size > len(b):
+                return None
+            last, end = tag, max(end, value + size if size > 4 else 0)
+            if tag in (273, 279) and kind in (3, 4):
+                start = at + value if size > 4 else at + place + 10 + 12 * i
+                strips[tag] = struct.unpack_from(f"{order}{n}{'H' if kind == 3 else 'I'}", b, start)
+        if len(strips.get(273, ())) != len(strips.get(279, ())):
+            return None
+        end = max(end, stop, *[o + k for o, k in zip(strips.get(273, ()), strips.get(279, ()))])
+        place = struct.unpack_from(order + "I", b, at + stop - 4)[0]
+    return ("image/tiff", end) if seen and at + end <= len(b) else None
+
+
+def matroska(b: bytes, at: int) -> tuple[str, int] | None:
+    """Matroska: an EBML header that names its document type, then a segment with a known size inside the blob."""
+
+    def number(place: int, keep: bool) -> tuple[int, int]:
+        """(value, next place) of a variable-length number, with or without its length bit; -1 where it is broken."""
+        if place >= len(b) or not b[place]:
+            return -1, place
+        width = 9 - b[place].bit_length()
+        raw = int.from_bytes(b[place : place + width], "big")
+        return (-1, place) if place + width > len(b) else (raw if keep else raw & (1 << 7 * width) - 1, place + width)
+
+    size, place = number(at + 4, False)
+    stop, kind = place + size, b""
+    if size < 0 or stop > len(b):
+        return None
+    while place < stop:
+        name, place = number(place, True)
+        size, place = number(place, False)
+        if name < 0 or size < 0 or place + size > stop:
+            return None
+        kind, place = b[place : place + size] if name == 0x4282 else kind, place + size
+    name, place = number(stop, True)
+    size, place = number(place, False)
+    if kind not in (b"matroska", b"webm") or name != 0x18538067 or size < 0 or place + size > len(b):
+        return None
+    return "video/webm" if kind == b"webm" else "video/x-matroska", place + size - at
+
+
 #: Magic number, its offset in the file, validator.
 SIGNATURES = (
     (b"RIFF", 0, riff), (b"\x89PNG\r\n\x1a\n", 0, png), (b"GIF87a", 0, gif), (b"GIF89a", 0, gif),
-    (b"\xff\xd8\xff", 0, jpeg), (b"BM", 0, bmp), (b"OggS", 0, ogg),
+    (b"\xff\xd8\xff", 0, jpeg), (b"BM", 0, bmp), (b"OggS", 0, ogg), (b"fLaC", 0, flac), (b"ftyp", 4, boxes),
+    (b"II*\0", 0, tiff), (b"MM\0*", 0, tiff), (b"\x1a\x45\xdf\xa3", 0, matroska),
 )
 
 
@@ -207,25 +303,31 @@ MEDIA_TYPE = "struct<type:string,corrected:boolean,bytes:long,parts:array<struct
 
 def sniff_media(df: DataFrame, media: str = "media", declared: str = "declared", into: str = "sniffed") -> DataFrame:
     """Add a struct: true type (null if none is valid at offset 0), whether it corrects the declared one, the valid
-    length, and the media carved from inside (all valid ones but the blob itself). Null blobs give null."""
+    length, and the media carved from inside (all valid ones but the blob itself).
+
+    Null blobs give null, empty ones no type; repeated rows stay; an empty table gives none. A column that is called as
+    `into` is replaced; all others are carried along whatever their names.
+    """
     small_batches(df.sparkSession)
-    schema = f"{df.schema.simpleString()[7:-1]},{into}:{MEDIA_TYPE}"
+    others = [c for c in df.columns if c != into]
+    schema = T.StructType([*[df.schema[c] for c in others], T.StructField(into, T._parse_datatype_string(MEDIA_TYPE))])
     kind = pa.struct([("type", pa.string()), ("corrected", pa.bool_()), ("bytes", pa.int64()), ("parts", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("sha256", pa.string())])))])
+    blobs, said = others.index(media), others.index(declared)
 
     def look(batches):
         for batch in batches:
             rows = []
-            for blob, said in zip(batch.column(media).to_pylist(), batch.column(declared).to_pylist()):
+            for blob, declared_type in zip(batch.column(blobs).to_pylist(), batch.column(said).to_pylist()):
                 if blob is None:
                     rows.append(None)
                     continue
                 found = sniff(blob)
                 top = next((x for x in found if x[0] == 0), (0, 0, None))
                 parts = [{"offset": o, "length": n, "type": t, "sha256": hashlib.sha256(blob[o : o + n]).hexdigest()} for o, n, t in found if o]
-                rows.append({"type": top[2], "corrected": top[2] is not None and top[2] != said, "bytes": top[1], "parts": parts})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, type=kind)], names=[*batch.schema.names, into])
+                rows.append({"type": top[2], "corrected": top[2] is not None and top[2] != declared_type, "bytes": top[1], "parts": parts})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, type=kind)], names=[*others, into])
 
-    return df.mapInArrow(look, schema)
+    return df.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(look, schema)
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
