@@ -11,6 +11,7 @@ import json
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -71,7 +72,7 @@ class WordTokenizer:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.symbols = byte_symbols()
-        self.words: dict[bytes, bytes] = {}
+        self.words = Learned(self._word)
         self.stems: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
@@ -81,41 +82,47 @@ class WordTokenizer:
         text = stem if stem.isascii() else "".join([self.symbols[b] for b in stem.encode()])
         return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(text)])
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.stems) > CACHE_WORDS // 2:
-            self.stems.clear()
-            self.stems[""] = b""
-        stems, known = self.stems, self.words
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            parts = PLAIN.fullmatch(text)
-            if parts is None:
-                known[word] = self._whole(text)
-                continue
-            stem, tail = parts[1].lower(), parts[2]
-            if stem not in stems:
-                stems[stem] = self._stem(stem)
-            if tail not in stems:
-                stems[tail] = self._whole(tail)
-            known[word] = stems[stem] + stems[tail]
+    def _word(self, word: bytes) -> bytes:
+        text, stems = word.decode("utf-8", "replace"), self.stems
+        parts = PLAIN.fullmatch(text)
+        if parts is None:
+            return self._whole(text)
+        stem, tail = parts[1].lower(), parts[2]
+        if stem not in stems:
+            stems[stem] = self._stem(stem)
+        if tail not in stems:
+            stems[tail] = self._whole(tail)
+        return stems[stem] + stems[tail]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
         if not self.by_words:
             return [self._whole(text.decode("utf-8", "replace")) for text in texts]
-        parts = [text.split() for text in texts]
-        words = set().union(*parts)
-        self._learn(words if len(self.words) + len(words) > CACHE_WORDS else words.difference(self.words))
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.stems) > CACHE_WORDS:
+            self.stems.clear()
+            self.stems[""] = b""
         lookup = self.words.__getitem__
-        out = [b"".join(map(lookup, part)) for part in parts]
+        out = [b"".join(map(lookup, text.split())) for text in texts]
         for i, text in enumerate(texts):
             if any(s in text for s in self.special):
                 out[i] = self._whole(text.decode("utf-8", "replace"))
         return out
 
 
+class Learned(dict):
+    """A dictionary that learns what it lacks."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self[key] = self.learn(key)
+        return value
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -212,15 +219,16 @@ def nonnegative_fit(patterns: np.ndarray, target: np.ndarray, weights: np.ndarra
 Slots = tuple[tuple[int, int], ...]
 
 
-def fitted(histogram: dict[int, int], capacity: int, rounds: int) -> tuple[list[tuple[int, Slots]], dict[int, int]]:
-    """[(repeats, ((length, copies), ...)), ...] of full sequences by fitted patterns, and the pieces left over."""
+def fitted(histogram: dict[int, int], capacity: int, rounds: int) -> list[tuple[list[tuple[int, Slots]], dict[int, int]]]:
+    """After each round: [(repeats, ((length, copies), ...)), ...] of full sequences by fitted patterns, and the pieces left over."""
     left, done = {k: n for k, n in histogram.items() if n > 0}, []
+    states = [(done, left)]
     for _ in range(rounds):
         lengths = np.array(sorted(k for k, n in left.items() if n and k < capacity), dtype=np.int64)
         patterns = enumerate_patterns(lengths, capacity) if len(lengths) else []
         if not len(patterns):
             break
-        count = np.array([left[int(k)] for k in lengths], dtype=np.int64)
+        count, done = np.array([left[int(k)] for k in lengths], dtype=np.int64), list(done)
         repeats, before = nonnegative_fit(patterns, count.astype(float), lengths / capacity), len(done)
         for i in np.argsort(-repeats, kind="stable"):
             if repeats[i] < 0.5:
@@ -230,10 +238,11 @@ def fitted(histogram: dict[int, int], capacity: int, rounds: int) -> tuple[list[
             if repeat > 0:
                 count[used] -= repeat * times
                 done.append((repeat, tuple((int(lengths[u]), int(k)) for u, k in zip(used, times))))
-        left |= dict(zip(lengths.tolist(), count.tolist()))
         if len(done) == before:
             break
-    return done, left
+        left = left | dict(zip(lengths.tolist(), count.tolist()))
+        states.append((done, left))
+    return states
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, Slots]]:
@@ -280,8 +289,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     patterns are tried, which leave more pieces to fill gaps with; the plan with the fewest sequences is taken.
     """
     need, best = -(-sum(k * n for k, n in histogram.items()) // capacity), None
-    for some in range(rounds, -1, -1):
-        done, left = fitted(histogram, capacity, some)
+    for done, left in reversed(fitted(histogram, capacity, rounds)):
         found = done + best_fit(left, capacity)
         if best is None or sum(n for n, _ in found) < sum(n for n, _ in best):
             best = found
