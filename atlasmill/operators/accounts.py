@@ -57,6 +57,26 @@ def approved_photos(photos: DataFrame, place_id: int, limit: int = 50) -> DataFr
     return rows.orderBy(F.col("created_at").desc(), "photo_id").limit(min(limit, 100))
 
 
+# The largest upload, and how the images that may be uploaded begin (hex).
+UPLOAD_BYTES = 5 * 1024 * 1024
+IMAGE_STARTS = {"image/jpeg": "FFD8FF", "image/png": "89504E470D0A1A0A"}
+
+
+def upload_type(data: Column) -> Column:
+    """Image type of uploaded bytes by their first ones, null for anything else."""
+    head = F.hex(F.substring(data, 1, 8))
+    return F.coalesce(*[F.when(head.startswith(start), kind) for kind, start in IMAGE_STARTS.items()])
+
+
+def upload_error(data: Column, declared: Column) -> Column:
+    """Why an upload is refused: empty, too_large, unsupported (bytes of no known image), mismatch (not what was declared); null if it is fine."""
+    kind = upload_type(data)
+    return (
+        F.when(data.isNull() | (F.octet_length(data) == 0), "empty").when(F.octet_length(data) > UPLOAD_BYTES, "too_large")
+        .when(kind.isNull(), "unsupported").when(~kind.eqNullSafe(declared), "mismatch")
+    )
+
+
 def export_users(users: DataFrame, relations: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """user_id and one JSON document per user: the user's own columns and each relation's rows, newest first.
 

@@ -65,6 +65,16 @@ def gold_places(merged: DataFrame, scores: DataFrame, existing: DataFrame | None
     )
 
 
+def insert_places(places: DataFrame, path: str) -> DataFrame:
+    """Append serving rows that the table at path does not hold yet, and give the table: a second insert of equal rows adds nothing."""
+    spark, schema = places.sparkSession, places.schema
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        places = places.join(spark.read.schema(schema).parquet(path).select("id"), "id", "left_anti").select(schema.names)
+    places.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def opening_hour_rows(places: DataFrame, key: str = "id") -> DataFrame:
     """One row per slot: days 0 to 6 only, bad times null, unknown sources as osm."""
     rows = places.select(F.col(key).alias("place_id"), F.explode("opening_hours").alias("s")).where(F.col("s.day_of_week").between(0, 6))

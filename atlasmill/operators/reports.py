@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,29 +143,52 @@ def moderate(reports: DataFrame, hide_from: int = 3) -> DataFrame:
     return n.withColumn("action", F.when(F.col("reporters") >= hide_from, "hide").otherwise("review"))
 
 
-def order_stops(stops: DataFrame) -> DataFrame:
-    """A short visiting order for each route: nearest neighbour from its first stop, then 2-opt. A route has few stops, so it is one group."""
-
-    def tour(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order_index"], kind="stable").reset_index(drop=True)
-        lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
-        a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lng[:, None] - lng) / 2) ** 2
-        d = 2 * 6371000.0 * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
-        path, left = [0], set(range(1, len(pdf)))
-        while left:
-            path.append(min(left, key=lambda j: (d[path[-1], j], j)))
-            left.remove(path[-1])
-        better = True
-        while better:
-            better = False
-            for i in range(1, len(path) - 1):
-                for j in range(i + 1, len(path)):
-                    gain = d[path[i - 1], path[i]] - d[path[i - 1], path[j]] + (d[path[j], path[j + 1]] - d[path[i], path[j + 1]] if j + 1 < len(path) else 0.0)
-                    if gain > 1e-9:
-                        path[i : j + 1] = path[i : j + 1][::-1]
-                        better = True
-        rank = np.empty(len(path), dtype="int64")
-        rank[path] = np.arange(len(path))
-        return pd.DataFrame({"route_id": pdf["route_id"], "place_id": pdf["place_id"], "visit": rank})
-
-    return stops.select("route_id", "place_id", "order_index", "lat", "lng").groupBy("route_id").applyInPandas(tour, "route_id long, place_id long, visit long")
+def tour(lat: np.ndarray, lng: np.ndarray) -> list[int]:
+    """A short path over points in degrees from the first one: nearest neighbour, then 2-opt until no reversal shortens it."""
+    lat, lng = np.radians(lat), np.radians(lng)
+    a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lng[:, None] - lng) / 2) ** 2
+    d = (2 * 6371000.0 * np.arcsin(np.sqrt(np.clip(a, 0, 1)))).tolist()
+    n, path, left = len(d), [0], set(range(1, len(d)))
+    while left:
+        path.append(min(left, key=lambda j: (d[path[-1]][j], j)))
+        left.remove(path[-1])
+    better = n > 2
+    while better:
+        better = False
+        for i in range(1, n - 1):
+            for j in range(i + 1, n):
+                gain = d[path[i - 1]][path[i]] - d[path[i - 1]][path[j]] + (d[path[j]][path[j + 1]] - d[path[i]][path[j + 1]] if j + 1 < n else 0.0)
+                if gain > 1e-9:
+                    path[i : j + 1] = path[i : j + 1][::-1]
+                    better = True
+    return path
+
+
+def order_stops(stops: DataFrame, most: int = 250) -> DataFrame:
+    """A short visiting order for each route from its first stop: route_id, place_id, visit.
+
+    Routes with more than `most` stops break the limit on stops (see stop_violations) and get no order. Stops come
+    sorted by route, so a task holds one route at a time.
+    """
+    fits = stops.groupBy("route_id").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+    rows = stops.select("route_id", "place_id", "order_index", "lat", "lng").join(fits.select("route_id"), "route_id", "left_semi")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            route = held["route_id"].to_numpy()
+            yield from ordered(held, np.flatnonzero(np.append(True, route[1:] != route[:-1]))) if len(route) else ()
+            held = held.slice(int(np.searchsorted(route, route[-1]))) if len(route) else None
+        if held is not None and len(held):
+            yield from ordered(held, np.array([0, len(held)]))
+
+    def ordered(table: pa.Table, edge: np.ndarray):
+        """The routes between the edges; what follows the last edge waits for more rows."""
+        lat, lng, visit = table["lat"].to_numpy(), table["lng"].to_numpy(), np.zeros(int(edge[-1]), dtype=np.int64)
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            visit[s + np.array(tour(lat[s:e], lng[s:e]))] = np.arange(e - s)
+        if len(visit):
+            yield from table.select(["route_id", "place_id"]).slice(0, len(visit)).append_column("visit", pa.array(visit)).to_batches()
+
+    return rows.repartition("route_id").sortWithinPartitions("route_id", "order_index", "place_id").mapInArrow(run, "route_id long, place_id long, visit long")

@@ -116,6 +116,11 @@ def localized(names: Column) -> Column:
     return F.when(names.isNull() | (F.size(names) == 0), F.create_map(F.lit("tr"), F.lit(NAMELESS))).otherwise(full)
 
 
+def name_in(names: Column, language: str) -> Column:
+    """A place's name in one language, or else its Turkish one."""
+    return F.coalesce(F.nullif(F.trim(F.element_at(names, F.lit(language))), F.lit("")), F.element_at(localized(names), F.lit("tr")))
+
+
 def _border_m(cell: float) -> Column:
     """A lower bound of the distance to any place outside a place's own and adjacent grid squares; never reached once they cover the globe."""
     lat, lng, y, x = F.col("lat"), F.col("lng"), F.col("y"), F.col("x")

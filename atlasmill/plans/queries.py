@@ -215,6 +215,19 @@ def er_gold_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.gold_places(m, scores, held).select("id")
 
 
+@query(f"""WITH RECURSIVE {LABEL_SQL}, c AS (SELECT cluster, count(*) AS n, list(source || ':' || source || '/' || ord ORDER BY source || ':' || source || '/' || ord) AS k FROM label JOIN raw USING (ord) GROUP BY 1)
+    SELECT sha256(array_to_string(k, '|')) AS id, n AS members, 1::BIGINT AS times FROM c""")
+def er_gold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The serving table after two inserts of overlapping rows."""
+    from atlasmill.session import scratch_path
+
+    _, g = _gold(spark, sf_dir)
+    rows = g.select("id", "slug", "isim", "kategori", "lat", "lng", "ziyaret_bilgisi", "kaynak_atif", "kalite_skoru", "members")
+    path = scratch_path(spark, "places")
+    gold.insert_places(rows.where("id < 'a'"), path)
+    return gold.insert_places(rows, path).groupBy("id", "members").agg(F.count("*").alias("times"))
+
+
 @query(f"""WITH RECURSIVE {LABEL_SQL}, m AS (SELECT cluster, l.ord, source, cats[1] AS cat, nm, k FROM label l JOIN raw USING (ord))
     SELECT cluster, string_agg(DISTINCT source || '/' || ord || ':CC0', ',' ORDER BY source || '/' || ord || ':CC0') AS attribution, string_agg(DISTINCT 'seg=' || cat, ',' ORDER BY 'seg=' || cat) AS raw_categories,
            first(source || '/' || ord ORDER BY ord) AS lead, coalesce(arg_min(nm, (list_position(['wikidata','osm','bizizmir'], source), ord)) FILTER (k <> 1), arg_min(nm, (list_position(['wikidata','osm','bizizmir'], source), ord))) AS best_name FROM m GROUP BY cluster""")

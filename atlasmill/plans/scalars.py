@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasmill.functions import categories, geo, hours, text
-from atlasmill.operators import adjudication, serving
+from atlasmill.operators import accounts, adjudication, serving
 from atlasmill.plans import tables as T
 from atlasmill.plans.registry import query
 from atlasmill.sources.payloads import payload_hash, snapshot_key
@@ -31,9 +31,9 @@ def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "part").select("p_partkey", geo.to_float(t).alias("loose"), geo.strict_number(t).alias("strict"))
 
 
-@query("SELECT event_id, round(least(greatest(value / 20 - 0.2, 0), 1), 2) AS confidence FROM events")
+@query("SELECT event_id, round(least(greatest(event_id % 150 / 100.0 - 0.2, 0), 1), 2)::DOUBLE AS confidence FROM events")
 def clamped_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.read(spark, sf_dir, "events").select("event_id", adjudication.clamped(F.col("value") / 20 - 0.2).alias("confidence"))
+    return T.read(spark, sf_dir, "events").select("event_id", adjudication.clamped(F.col("event_id") % 150 / 100.0 - 0.2).alias("confidence"))
 
 
 @query(f"WITH p AS ({T.PLACE_SQL}) SELECT id, CASE WHEN id % 5 < 3 THEN round(lat, 5) END AS lat, CASE WHEN id % 5 < 3 THEN round(lng, 5) END AS lng FROM p")
@@ -140,6 +140,24 @@ def localized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "part").select("p_partkey", F.element_at(serving.localized(names), F.lit("tr")).alias("name"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS name FROM part")
+def names_in_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.create_map(F.lit("tr"), F.col("p_name"), F.lit("en"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.lit(" ")))
+    return T.read(spark, sf_dir, "part").select("p_partkey", serving.name_in(names, "en").alias("name"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 5 THEN 'image/jpeg' END AS type,
+    CASE p_partkey % 7 WHEN 2 THEN 'unsupported' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'empty' WHEN 5 THEN 'too_large' WHEN 6 THEN 'unsupported' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'mismatch' END END AS error FROM part WHERE p_partkey % 7 <> 5 OR p_partkey < 100""")
+def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of two kinds, RIFF files, nothing, too much, and text, some under a wrong type."""
+    k = F.col("p_partkey") % 7
+    starts = ["FFD8FFE0", "89504E470D0A1A0A00", "52494646000000005745425000", "5249464600000000415649", "", "FFD8FF", "74657874"]
+    data = F.concat(F.element_at(F.array(*[F.unhex(F.lit(x)) for x in starts]), (k + 1).cast("int")), F.when(k == 5, F.lpad(F.lit(""), F.lit(accounts.UPLOAD_BYTES), F.lit("x")).cast("binary")).otherwise(F.lit("").cast("binary")))
+    declared = F.when(F.col("p_partkey") % 3 == 0, "image/gif").otherwise(F.element_at(F.array(F.lit("image/jpeg"), F.lit("image/png"), F.lit("image/webp")), F.least(k + 1, F.lit(3)).cast("int")))
+    p = T.read(spark, sf_dir, "part").where("p_partkey % 7 <> 5 or p_partkey < 100").select("p_partkey", data.alias("data"), declared.alias("declared"))
+    return p.select("p_partkey", accounts.upload_type(F.col("data")).alias("type"), accounts.upload_error(F.col("data"), F.col("declared")).alias("error"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 1997) || '...' ELSE text END AS short FROM documents")
 def shortened_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "documents").select("doc_id", text.shorten(F.col("text")).alias("short"))

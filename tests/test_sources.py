@@ -144,3 +144,35 @@ def test_queue_stream(spark, tmp_path):
 
 def test_params():
     assert Params(merge_from=0.8).merge_from == 0.8
+
+
+def test_visiting_orders(spark):
+    from itertools import permutations
+
+    from atlasmill.functions.geo import haversine_m
+    from atlasmill.operators import reports
+
+    rng = __import__("random").Random(4)
+    rows = [(r, 100 * r + i, i, 38 + rng.random(), 27 + rng.random()) for r in range(40) for i in range(1 + r % 6)] + [(99, i, i, 38.0, 27.0) for i in range(251)]
+    stops = spark.createDataFrame(rows, "route_id long, place_id long, order_index long, lat double, lng double").repartition(5)
+    got = reports.order_stops(stops)
+    assert got.where("route_id = 99").count() == 0
+    where = {(r, p): (lat, lng) for r, p, _, lat, lng in rows}
+    pairs = spark.createDataFrame([(a, b, *where[r, a], *where[r, b]) for r in range(40) for a in range(100 * r, 100 * r + 1 + r % 6) for b in range(100 * r, 100 * r + 1 + r % 6)], "a long, b long, y1 double, x1 double, y2 double, x2 double")
+    far = {(x.a, x.b): x.d for x in pairs.select("a", "b", haversine_m(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")).alias("d")).collect()}
+
+    def length(path):
+        return sum(far[a, b] for a, b in zip(path, path[1:]))
+
+    tours = {}
+    for r in got.collect():
+        tours.setdefault(r.route_id, {})[r.visit] = r.place_id
+    assert len(tours) == 40
+    best = 0
+    for r, t in tours.items():
+        path, own = [t[i] for i in range(len(t))], list(range(100 * r, 100 * r + 1 + r % 6))
+        assert sorted(path) == own and path[0] == own[0]
+        shortest = min(length([own[0], *p]) for p in permutations(own[1:]))
+        best += length(path) <= shortest + 1e-6
+        assert length(path) <= 1.3 * shortest + 1e-6
+    assert best >= 34
