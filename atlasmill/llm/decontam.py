@@ -52,7 +52,7 @@ def seed_plan(m: int, least: float) -> tuple[int, int, int, int]:
     """For an item of m words: words of a seed, how many seeds are taken, how many of them a copy holds and within how many words."""
     lost, span = spare(m, least), m + spare(m, least) // GAP
     if m - 1 > lost:
-        need = max(1, (m - 1 - lost) // 2)
+        need = max(1, (m - 1 - lost) * 3 // 4)
         return 2, lost + need, need, span
     lost //= MATCH
     need = max(1, min(m // 4, m - lost))
@@ -102,12 +102,12 @@ def align(item: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[flo
 
 def best_copy(item: np.ndarray, words: np.ndarray, low: int, high: int, least: float) -> tuple[float, int, int]:
     """The best alignment of an item within words[low:high], where that can be a copy."""
-    m = len(item)
-    for s in (low + np.flatnonzero(words[low : high - m + 1] == item[0])).tolist() if high - low >= m else ():
+    m, text, known = len(item), words[low:high], np.sort(item)
+    if (known[np.minimum(np.searchsorted(known, text), m - 1)] == text).sum() < m - spare(m, least) // MATCH:
+        return 0.0, low, low
+    for s in (low + np.flatnonzero(text[: len(text) - m + 1] == item[0])).tolist() if len(text) >= m else ():
         if (words[s : s + m] == item).all():
             return 1.0, s, s + m
-    if np.isin(words[low:high], item).sum() < m - spare(m, least) // MATCH:
-        return 0.0, low, low
     return align(item, words, low, high)
 
 
@@ -231,15 +231,16 @@ def _asked(got: dict[int, list[bytes]]) -> dict[tuple[int, int], list]:
 
 def _copies(table: pa.RecordBatch, asked: dict[tuple[int, int], list], least: float):
     """(row, item_id, similarity, first word, end) of the copies in a batch of documents."""
-    for i, key in enumerate(zip(table["did"].to_pylist(), table["th"].to_pylist())):
-        if key not in asked:
-            continue
-        data = np.frombuffer(table["text"][i].as_py().encode(), dtype=np.uint8)
-        words, _ = plain_words(data, np.array([0, len(data)]))
-        for item_id, item, places in asked[key]:
-            best = max((best_copy(item, words, max(0, low), min(len(words), high), least) for low, high in places), key=lambda c: c[0])
-            if best[0] >= least:
-                yield i, item_id, *best
+    keys = list(zip(table["did"].to_pylist(), table["th"].to_pylist()))
+    rows = [i for i, key in enumerate(keys) if key in asked]
+    for at, buf, offsets in byte_parts(table["text"].take(pa.array(rows, type=pa.int64())), 1 << 20):
+        every, base = plain_words(buf, offsets)
+        for r in range(len(offsets) - 1):
+            words = every[base[r] : base[r + 1]]
+            for item_id, item, places in asked[keys[rows[at + r]]]:
+                best = max((best_copy(item, words, max(0, low), min(len(words), high), least) for low, high in places), key=lambda c: c[0])
+                if best[0] >= least:
+                    yield rows[at + r], item_id, *best
 
 
 FOUND = "doc_id long, item_id long, similarity double, start_word long, end_word long"
