@@ -23,10 +23,17 @@ def quality(members: Column, min_score: Column) -> Column:
     return F.when(members == 1, F.lit(0.95)).otherwise(F.round(min_score, 2))
 
 
-def unique_slugs(df: DataFrame, base: str, order: str, key: str, taken: DataFrame | None = None, most: int = 25) -> DataFrame:
-    """Add slug: base, base-2, ... base-25, then base with the start of a hash. taken: (base, n) counts already used."""
-    rank = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    df = df.withColumn("_n", rank)
+def unique_slugs(df: DataFrame, base: str, order: str, key: str, taken: DataFrame | None = None, most: int = 25, parts: int = 64) -> DataFrame:
+    """Add slug: base, base-2, ... base-25, then base with the start of a hash. taken: (base, n) counts already used.
+
+    Only the first `most` rows of a base need their number. A base's rows are ranked in parts first, so that a name
+    that very many places have sends `most` rows a part to one task, not all.
+    """
+    part = F.pmod(F.xxhash64(order), F.lit(parts))
+    df = df.withColumn("_part", part).withColumn("_local", F.row_number().over(Window.partitionBy(base, "_part").orderBy(order)))
+    df = df.withColumn("_part", F.when(F.col("_local") > most, F.col("_part") + 1).otherwise(0))
+    rank = F.row_number().over(Window.partitionBy(base, "_part").orderBy(order))
+    df = df.withColumn("_n", F.when(F.col("_part") == 0, rank).otherwise(most + 1)).drop("_part", "_local")
     if taken is not None:
         df = df.join(taken.select(F.col("base").alias(base), F.col("n").alias("_used")), base, "left").withColumn("_n", F.col("_n") + F.coalesce("_used", F.lit(0))).drop("_used")
     slug = F.when(F.col("_n") == 1, F.col(base)).when(F.col("_n") <= most, F.concat_ws("-", base, F.col("_n").cast("string"))).otherwise(F.concat_ws("-", base, F.left(F.sha2(F.col(key).cast("string"), 256), F.lit(6))))

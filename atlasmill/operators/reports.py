@@ -41,12 +41,22 @@ def request_windows(log: DataFrame, seconds: int) -> DataFrame:
     return log.groupBy("scope", "client", start.alias("window_start")).agg(F.count("*").alias("n"))
 
 
-def limited_requests(log: DataFrame, seconds: int, limit: int, key: str = "request_id") -> DataFrame:
-    """Requests beyond the limit of their window, with the seconds until the next one."""
+def limited_requests(log: DataFrame, seconds: int, limit: int, key: str = "request_id", slices: int = 64) -> DataFrame:
+    """Requests beyond the limit of their window, with the seconds until the next one.
+
+    A window's requests are numbered slice by slice, from counts of the slices before: no task orders a busy client's
+    whole window, and windows within the limit drop out before anything is ordered.
+    """
     unix = F.unix_timestamp("ts")
-    start = F.floor(unix / seconds)
-    order = F.row_number().over(Window.partitionBy("scope", "client", start).orderBy("ts", key))
-    return log.withColumn("ordinal", order).where(F.col("ordinal") > limit).select(key, "scope", "client", F.col("ordinal").cast("bigint").alias("ordinal"), (seconds - unix % seconds).cast("bigint").alias("retry_after"))
+    keys = ["scope", "client", "_start", "_slice"]
+    rows = log.withColumn("_start", F.floor(unix / seconds)).withColumn("_slice", F.floor((unix % seconds) * slices / seconds))
+    whole = Window.partitionBy(*keys[:3])
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    base = counts.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"), F.sum("n").over(whole).alias("_all")).where(F.col("_all") > limit)
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", key))
+    ranked = rows.join(base, keys).withColumn("ordinal", (F.col("_base") + order).cast("bigint"))
+    return ranked.where(F.col("ordinal") > limit).select(key, "scope", "client", "ordinal", (seconds - unix % seconds).cast("bigint").alias("retry_after"))
 
 
 def active_users(events: DataFrame) -> DataFrame:

@@ -75,3 +75,14 @@ def test_payload(run):
     p = resolution.queue_payload(run.queued(), run.places)
     row = p.select(F.get_json_object("payload", "$.blocking.geohash").alias("g"), F.get_json_object("payload", "$.candidate_a.source").alias("s"), "a").where("a = 3").first()
     assert (row.g, row.s) == ("swery4u", "osm")
+
+
+def test_slugs_of_a_common_name(spark):
+    rows = [(i, "cami" if i % 3 else f"han-{i}") for i in range(3000)]
+    got = {r.n: r.slug for r in gold.unique_slugs(spark.createDataFrame(rows, "n long, base string").repartition(4), "base", "n", "n", parts=8).collect()}
+    common = [n for n, b in rows if b == "cami"]
+    assert [got[n] for n in common[:25]] == ["cami", *[f"cami-{i}" for i in range(2, 26)]]
+    assert all(len(got[n]) == len("cami-") + 6 for n in common[25:]) and all(got[n] == b for n, b in rows if b != "cami")
+    taken = spark.createDataFrame([("cami", 24)], "base string, n long")
+    again = {r.n: r.slug for r in gold.unique_slugs(spark.createDataFrame(rows, "n long, base string"), "base", "n", "n", taken).collect()}
+    assert again[common[0]] == "cami-25" and len(again[common[1]]) == len("cami-") + 6
