@@ -153,6 +153,39 @@ def with_documents(rows: DataFrame, routed: DataFrame, n: int, prepare: Callable
     return _dealt(notes.union(texts), n).sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
 
 
+def hot_keys(rows: DataFrame, contexts: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]], hot: int, share: int, most: int = 1 << 17) -> np.ndarray:
+    """Keys that probably have more than `hot` different contexts, `most` at most: those that often occur in one text of `share`.
+
+    contexts gives (key, digest) arrays of a column of texts. The list steers which way keys are met; any list gives the
+    same result. What it misses is found, and met the same way, where the contexts of a key come together.
+    """
+
+    def count(batches):
+        for batch in batches:
+            for key, digest in contexts(batch.column(0)):
+                order = np.lexsort((digest, key))
+                key, digest = key[order], digest[order]
+                new = np.ones(len(key), dtype=bool)
+                new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+                value, n = np.unique(key[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    some = rows.where((F.pmod("th", F.lit(share)) == 0) & F.col("text").isNotNull()).select("text")
+    counted = some.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counted.where(F.col("n") > hot / share).orderBy(F.desc("n"), "key").limit(most).select("key")
+    return np.sort(np.array([r["key"] for r in top.collect()], dtype=np.int64).view(np.uint64))
+
+
+def among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted list."""
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values if len(listed) else np.zeros(len(values), dtype=bool)
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges that start at first and have size numbers, one after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def by_document(did: np.ndarray, th: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     """Element numbers for each (did, th)."""
     order = np.lexsort((th, did))

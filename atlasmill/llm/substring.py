@@ -10,7 +10,8 @@ have the same seed at the same place. The windows that share one seed occurrence
    to the left of the seed and on the rest to its right are found together, and the smallest document among them.
 4. Splits that follow each other are one maximal repeat; these are cut out of the texts.
 
-A seed with more than HOT different contexts is not brought together: its windows meet one by one by their hash.
+A seed with more than HOT different contexts is not brought together: its windows meet one by one by their hash. Most
+such seeds are known beforehand from one text of SHARE, so their contexts never travel to one place.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasmill.llm.arrays import byte_parts, cover, gram_hashes, minimizers, mix64, odd_numbers, runs_of, word_hashes, words_of
-from atlasmill.llm.routing import ROUTED, Pack, batches_of, buckets, by_bucket, by_document, document_bucket, keyed, with_documents
+from atlasmill.llm.routing import ROUTED, Pack, among, batches_of, buckets, by_bucket, by_document, document_bucket, hot_keys, keyed, ranges, with_documents
 from atlasmill.llm.tables import small_batches
 from atlasmill.session import materialize
 
 LENGTH = 13
 SEED_WORDS = 5
-HOT = 16_384
+HOT, SHARE = 16_384, 64
 #: Contexts a task gathers before it sends them.
 FLUSH = 1_000_000
 CONTEXT, SPAN, REQUEST, WINDOW, AROUND = 0, 1, 2, 3, 4
@@ -40,14 +41,14 @@ REQUESTS = Pack(did="<i8", th="<i8", pos="<u4", n="<u2", a="<u2", key="<u4", hom
 WINDOWS = Pack(hash="<u8", did="<i8", th="<i8", pos="<u4")
 
 
-def seed_contexts(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED_WORDS) -> dict[str, np.ndarray]:
-    """Contexts of the rows of a buffer: row, full seed hash, digest, first window (word number in its row), number of windows, words before the seed."""
+def seed_contexts(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED_WORDS) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Contexts of the rows of a buffer: row, full seed hash, digest, first window (word number in its row), number of windows, words before the seed; and the hashes of all windows, with the first one's number (lo)."""
     starts, ends, rows = words_of(buf, offsets)
     words = word_hashes(buf, starts, ends)
     grams, windows = gram_hashes(words, seed, 21), gram_hashes(words, length, 22)
     if not len(windows):
         empty = np.zeros(0, dtype=np.int64)
-        return {"row": empty, "seed": empty.astype(np.uint64), "digest": empty.astype(np.uint64), "pos": empty, "n": empty, "a": empty}
+        return {"row": empty, "seed": empty.astype(np.uint64), "digest": empty.astype(np.uint64), "pos": empty, "n": empty, "a": empty, "lo": empty}, windows
     at = np.flatnonzero(rows[: len(windows)] == rows[length - 1 :])
     anchor = minimizers(grams, length - seed + 1)[at]
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else np.zeros(0, dtype=np.int64)
@@ -56,7 +57,7 @@ def seed_contexts(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, se
     c = odd_numbers(4, 23)
     digest = mix64(windows[lo] * c[0] + windows[hi] * c[1] + (hi - lo).astype(np.uint64) * c[2] + (a - lo).astype(np.uint64) * c[3])
     base = np.searchsorted(rows, np.arange(len(offsets)))
-    return {"row": rows[lo], "seed": grams[a], "digest": digest, "pos": lo - base[rows[lo]], "n": hi - lo + 1, "a": a - lo}
+    return {"row": rows[lo], "seed": grams[a], "digest": digest, "pos": lo - base[rows[lo]], "n": hi - lo + 1, "a": a - lo, "lo": lo}, windows
 
 
 def smallest(group: tuple[np.ndarray, ...], did: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,46 +77,80 @@ def _spans(columns: dict[str, np.ndarray], pick: np.ndarray, n_docs: int) -> lis
     return SPANS.split(part, document_bucket(part["did"], part["th"], n_docs), SPAN)
 
 
-def _send(found: list[dict[str, np.ndarray]], n_keys: int, n_docs: int) -> list:
-    """Routed rows of one task's contexts: those a smaller document of the task has are spans already."""
+def _send(found: list[dict[str, np.ndarray]], hot: list[dict[str, np.ndarray]], n_keys: int, n_docs: int) -> list:
+    """Routed rows of one task's contexts, and of its hot seeds' windows: those a smaller document of the task has are spans already."""
     all_of = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
     order, low = smallest((all_of["digest"],), all_of["did"])
     again = all_of["did"][order] > low
     go = np.sort(order[~again])
     rows = _spans(all_of, order[again], n_docs)
-    # Spans ride along to some key bucket, from where they are passed on.
-    rows = [(b % n_keys, SPAN, b.to_bytes(4, "little") + data) for b, _, data in rows]
     part = {k: v[go] for k, v in all_of.items()}
     part["key"] = (part["seed"] >> np.uint64(32)).astype(np.uint32)
-    return rows + CONTEXTS.split(part, (part["seed"] % np.uint64(n_keys)).astype(np.int32), CONTEXT)
+    out = CONTEXTS.split(part, (part["seed"] % np.uint64(n_keys)).astype(np.int32), CONTEXT)
+    if hot:
+        windows = {k: np.concatenate([h[k] for h in hot]) for k in hot[0]}
+        order, low = smallest((windows["hash"],), windows["did"])
+        again = windows["did"][order] > low
+        rows += _spans(windows | {"n": np.ones(len(order), dtype=np.int64)}, order[again], n_docs)
+        part = {k: v[order[~again]] for k, v in windows.items()}
+        out += WINDOWS.split(part, (part["hash"] % np.uint64(n_keys)).astype(np.int32), WINDOW)
+    # Spans ride along to some key bucket, from where they are passed on.
+    return [(b % n_keys, SPAN, b.to_bytes(4, "little") + data) for b, _, data in rows] + out
+
 
+def find_contexts(rows: DataFrame, n_keys: int, n_docs: int, length: int, hot_seeds: np.ndarray) -> DataFrame:
+    listed = rows.sparkSession.sparkContext.broadcast(hot_seeds)
 
-def find_contexts(rows: DataFrame, n_keys: int, n_docs: int, length: int) -> DataFrame:
     def run(batches):
-        found, size = [], 0
+        found, hot, size = [], [], 0
         for batch in batches:
             did, th = batch.column("did").to_numpy(), batch.column("th").to_numpy()
             for at, buf, offsets in byte_parts(batch.column("text"), 1 << 20):
-                got = seed_contexts(buf, offsets, length)
-                row = got.pop("row") + at
-                found.append(got | {"did": did[row], "th": th[row]})
-                size += len(row)
+                got, windows = seed_contexts(buf, offsets, length)
+                row, lo = got.pop("row") + at, got.pop("lo")
+                got |= {"did": did[row], "th": th[row]}
+                is_hot = among(got["seed"], listed.value)
+                if is_hot.any():
+                    n = got["n"][is_hot]
+                    w = {"hash": windows[ranges(lo[is_hot], n)], "pos": ranges(got["pos"][is_hot], n)} | {k: np.repeat(got[k][is_hot], n) for k in ("did", "th")}
+                    hot.append(w)
+                    size += len(w["hash"])
+                    got = {k: v[~is_hot] for k, v in got.items()}
+                found.append(got)
+                size += len(got["did"])
                 if size >= FLUSH:
-                    yield from batches_of(_send(found, n_keys, n_docs))
-                    found, size = [], 0
+                    yield from batches_of(_send(found, hot, n_keys, n_docs))
+                    found, hot, size = [], [], 0
         if size:
-            yield from batches_of(_send(found, n_keys, n_docs))
+            yield from batches_of(_send(found, hot, n_keys, n_docs))
 
     return rows.select("did", "th", "text").mapInArrow(run, ROUTED)
 
 
+def hot_seeds(rows: DataFrame, length: int, hot: int, share: int) -> np.ndarray:
+    def contexts(column):
+        for _, buf, offsets in byte_parts(column, 1 << 20):
+            got, _ = seed_contexts(buf, offsets, length)
+            yield got["seed"], got["digest"]
+
+    return hot_keys(rows, contexts, hot, share)
+
+
 def _forward(blobs: list[bytes]) -> list:
     return [(int.from_bytes(b[:4], "little"), SPAN, b[4:]) for b in blobs]
 
 
+def _window_spans(got: dict[int, list[bytes]], n_docs: int) -> list:
+    """Spans of the windows of hot seeds that a smaller document has."""
+    w = WINDOWS.load(got.get(WINDOW, []))
+    order, low = smallest((w["hash"],), w["did"])
+    w["n"] = np.ones(len(order), dtype=np.uint16)
+    return _spans(w, order[w["did"][order] > low], n_docs)
+
+
 def meet_on_seeds(routed: DataFrame, n_keys: int, n_docs: int, hot: int) -> DataFrame:
     def work(got):
-        rows = _forward(got.get(SPAN, []))
+        rows = _forward(got.get(SPAN, [])) + _window_spans(got, n_docs)
         c = CONTEXTS.load(got.get(CONTEXT, []))
         if not len(c["did"]):
             return rows
@@ -164,9 +199,9 @@ def fetch_around(docs: DataFrame, asked: DataFrame, n_keys: int, n_docs: int, le
             cool = pick[~is_hot]
             for home, some in _by(asked["home"][cool]):
                 size = n[~is_hot][some] + length - 1
-                yield home, AROUND, _with_body(REQUESTS, {k: v[cool[some]] for k, v in asked.items()}, words[_ranges(first[~is_hot][some], size)])
+                yield home, AROUND, _with_body(REQUESTS, {k: v[cool[some]] for k, v in asked.items()}, words[ranges(first[~is_hot][some], size)])
             if is_hot.any():
-                windows, at_window = gram_hashes(words, length, 22), _ranges(first[is_hot], n[is_hot])
+                windows, at_window = gram_hashes(words, length, 22), ranges(first[is_hot], n[is_hot])
                 again = np.repeat(pick[is_hot], n[is_hot])
                 columns = {"hash": windows[at_window], "did": asked["did"][again], "th": asked["th"][again], "pos": at_window - np.repeat(base[row[is_hot]], n[is_hot])}
                 yield from WINDOWS.split(columns, (columns["hash"] % np.uint64(n_keys)).astype(np.int32), WINDOW)
@@ -177,11 +212,6 @@ def fetch_around(docs: DataFrame, asked: DataFrame, n_keys: int, n_docs: int, le
     return with_documents(docs, asked, n_docs, prepare, work, ROUTED)
 
 
-def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers of the ranges that start at first and have size numbers, one after another."""
-    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
 def _by(values: np.ndarray):
     """(value, where it stands) for each different value."""
     order = np.argsort(values, kind="stable")
@@ -236,20 +266,18 @@ def meet_around(routed: DataFrame, n_keys: int, n_docs: int, length: int) -> Dat
             row, pos, n = extend(c, np.concatenate(bodies), length)
             part = {"did": c["did"][row], "th": c["th"][row], "pos": pos, "n": n}
             yield from _spans(part, slice(None), n_docs)
-        w = WINDOWS.load(got.get(WINDOW, []))
-        order, low = smallest((w["hash"],), w["did"])
-        w["n"] = np.ones(len(order), dtype=np.uint16)
-        yield from _spans(w, order[w["did"][order] > low], n_docs)
+        yield from _window_spans(got, n_docs)
 
     return by_bucket(routed, n_keys, work)
 
 
-def removed_words(docs: DataFrame, length: int, hot: int = HOT, *more: str) -> tuple[DataFrame, DataFrame, int]:
+def removed_words(docs: DataFrame, length: int, hot: int = HOT, share: int = SHARE, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, int]:
     """keyed() documents, the routed spans of windows that a smaller document has, and the number of document buckets."""
     small_batches(docs.sparkSession)
     n_keys, n_docs = buckets(docs, 2), buckets(docs)
     rows = keyed(docs, n_docs, *more)
-    met = materialize(meet_on_seeds(find_contexts(rows, n_keys, n_docs, length), n_keys, n_docs, hot), "seeds")
+    found = find_contexts(rows, n_keys, n_docs, length, hot_seeds(rows, length, hot, share))
+    met = materialize(meet_on_seeds(found, n_keys, n_docs, hot), "seeds")
     around = fetch_around(rows.select("bucket", "did", "th", "text").where("text is not null"), met.where(f"kind = {REQUEST}"), n_keys, n_docs, length)
     return rows, met.where(f"kind = {SPAN}").union(meet_around(around, n_keys, n_docs, length)), n_docs
 
@@ -272,13 +300,13 @@ def _masks(table: pa.RecordBatch, ready, length: int):
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, share: int = SHARE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row.
 
     Null texts have no words. A null id counts as larger than any other; rows with one id never remove each
     other's words. Repeated rows give repeated rows; an empty table gives none; extra columns are ignored.
     """
-    rows, spans, n = removed_words(docs, length, hot)
+    rows, spans, n = removed_words(docs, length, hot, share)
 
     def work(table, ready):
         out = []
@@ -292,7 +320,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     return with_documents(rows, spans, n, _spans_by_document, work, RESULT)
 
 
-def cut_repeats(docs: DataFrame, length: int = 50, least_words: int = 5, hot: int = HOT) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 50, least_words: int = 5, hot: int = HOT, share: int = SHARE) -> DataFrame:
     """The documents, without passages of at least `length` words that a document with a smaller id has, in their own columns.
 
     n_chars, if there, is counted again where a text changed. The rest of a text stays as it was, white space
@@ -301,7 +329,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, least_words: int = 5, hot: in
     names = docs.columns
     others = [c for c in names if c != "text"]
     carried = F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")
-    rows, spans, n = removed_words(docs.select("doc_id", "text", carried), length, hot, "rest")
+    rows, spans, n = removed_words(docs.select("doc_id", "text", carried), length, hot, share, ("rest",))
 
     def work(table, ready):
         texts, keep, changed = table["text"].to_pylist(), np.ones(len(table), dtype=bool), {}

@@ -16,7 +16,7 @@ context of 256 to 768 bytes.
    counted.
 
 An anchor with more than HOT different contexts is not brought together: its windows are counted one by one by
-their hash, with a combine in each task, so no group grows with the data.
+their hash. Most such anchors are known beforehand from one text of SHARE, so their contexts never travel to one place.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from atlasmill.llm.arrays import U64, byte_parts, cover, minimizers, mix64, runs_of
-from atlasmill.llm.routing import ROUTED, Pack, batches_of, buckets, by_bucket, by_document, document_bucket, keyed, with_documents
+from atlasmill.llm.routing import ROUTED, Pack, among, batches_of, buckets, by_bucket, by_document, document_bucket, hot_keys, keyed, ranges, with_documents
 from atlasmill.llm.tables import small_batches
 from atlasmill.session import materialize
 
@@ -37,7 +37,7 @@ LENGTH = 400
 SHARED = 256
 GRAM = 32
 FLUSH = 400_000
-HOT = 16_384
+HOT, SHARE = 16_384, 64
 CONTEXT, SPAN, REQUEST, WINDOW, BYTES = 0, 1, 2, 3, 4
 #: multi: 1 where the task's other occurrences are of the same document (they travel too), 2 where of other documents (they are spans already).
 CONTEXTS = Pack(key="<u4", digest="<u8", did="<i8", th="<i8", pos="<u4", n="<u2", a="<u2", multi="u1")
@@ -128,8 +128,22 @@ def _spans(columns: dict[str, np.ndarray], pick, n_docs: int, other) -> list:
     return SPANS.split(part, document_bucket(part["did"], part["th"], n_docs), SPAN)
 
 
-def _send(found: list[dict[str, np.ndarray]], n_keys: int, n_docs: int) -> list:
-    """Routed rows of one task's contexts; of those that several of its documents hold the first travels, and all are spans already."""
+def _windows_of(text: memoryview, pos: int, size: int, lengths: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, first byte, length) arrays of the windows of both lengths in a context."""
+    import xxhash
+
+    out = []
+    for k in lengths:
+        n = max(0, size - k + 1)
+        out.append((np.fromiter((xxhash.xxh3_64_intdigest(text[s : s + k], seed=k) for s in range(pos, pos + n)), dtype=U64, count=n), np.arange(pos, pos + n), np.full(n, k)))
+    return out
+
+
+def _send(found: list[dict[str, np.ndarray]], windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_keys: int, n_docs: int) -> list:
+    """Routed rows of one task's contexts; of those that several of its documents hold the first travels, and all are spans already.
+
+    Contexts of hot anchors (those with windows) travel as their windows.
+    """
     c = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
     order, first = _groups(c["digest"])
     size = np.diff(np.append(first, len(order)))
@@ -140,33 +154,71 @@ def _send(found: list[dict[str, np.ndarray]], n_keys: int, n_docs: int) -> list:
     c["multi"][order] = np.repeat((size > 1).astype(np.uint8) + wide, size)
     go = np.sort(np.concatenate((order[first], order[~np.repeat(wide, size)])))
     go = go[np.concatenate(([True], go[1:] != go[:-1]))] if len(go) else go
-    part = {k: v[go] for k, v in c.items()}
+    is_hot = c["windows"][go] > 0
+    if is_hot.any():
+        hot = go[is_hot]
+        hashes, pos, n = (np.concatenate(x) for x in zip(*windows))
+        count = c["windows"][hot]
+        at = ranges((np.cumsum(c["windows"]) - c["windows"])[hot], count)
+        w = {"hash": hashes[at], "pos": pos[at], "n": n[at], "wide": np.repeat(c["multi"][hot] == 2, count)} | {k: np.repeat(c[k][hot], count) for k in ("did", "th")}
+        rows += WINDOWS.split(w, (w["hash"] % U64(n_keys)).astype(np.int32), WINDOW)
+    part = {k: v[go[~is_hot]] for k, v in c.items()}
     part["key"] = (part["seed"] >> U64(32)).astype(np.uint32)
     return rows + CONTEXTS.split(part, (part["seed"] % U64(n_keys)).astype(np.int32), CONTEXT)
 
 
-def find_contexts(rows: DataFrame, n_keys: int, n_docs: int, length: int, shared: int) -> DataFrame:
+def find_contexts(rows: DataFrame, n_keys: int, n_docs: int, length: int, shared: int, hot_anchors: np.ndarray) -> DataFrame:
+    listed = rows.sparkSession.sparkContext.broadcast(hot_anchors)
+
     def run(batches):
-        found, size = [], 0
+        found, windows, size = [], [], 0
         for batch in batches:
             did, th = batch.column("did").to_numpy(), batch.column("th").to_numpy()
             for at, buf, offsets in byte_parts(batch.column("text"), 1 << 20):
                 got = anchor_contexts(buf, offsets, length, shared)
-                row = got.pop("row") + at
-                found.append(got | {"did": did[row], "th": th[row]})
-                size += len(row)
+                local = got.pop("row")
+                count = np.zeros(len(local), dtype=np.int64)
+                view = memoryview(buf)
+                for i in np.flatnonzero(among(got["seed"], listed.value)).tolist():
+                    begin = int(offsets[local[i]])
+                    own = _windows_of(view[begin:], int(got["pos"][i]), int(got["n"][i]), (length, shared))
+                    windows += own
+                    count[i] = sum(len(w[0]) for w in own)
+                row = local + at
+                found.append(got | {"did": did[row], "th": th[row], "windows": count})
+                size += len(row) + int(count.sum())
                 if size >= FLUSH:
-                    yield from batches_of(_send(found, n_keys, n_docs))
-                    found, size = [], 0
+                    yield from batches_of(_send(found, windows, n_keys, n_docs))
+                    found, windows, size = [], [], 0
         if size:
-            yield from batches_of(_send(found, n_keys, n_docs))
+            yield from batches_of(_send(found, windows, n_keys, n_docs))
 
     return rows.select("did", "th", "text").mapInArrow(run, ROUTED)
 
 
+def hot_anchors(rows: DataFrame, length: int, shared: int, hot: int, share: int) -> np.ndarray:
+    def contexts(column):
+        for _, buf, offsets in byte_parts(column, 1 << 20):
+            got = anchor_contexts(buf, offsets, length, shared)
+            yield got["seed"], got["digest"]
+
+    return hot_keys(rows, contexts, hot, share)
+
+
+def _window_spans(got: dict[int, list[bytes]], length: int, n_docs: int) -> list:
+    """Spans of the windows of hot anchors that start elsewhere too."""
+    w = WINDOWS.load(got.get(WINDOW, []))
+    if not len(w["did"]):
+        return []
+    order, first = _groups(w["hash"])
+    size = np.diff(np.append(first, len(order)))
+    other = np.repeat(_differ(_document(w["did"], w["th"]), order, first) | (np.maximum.reduceat(w["wide"][order], first) > 0), size)
+    return _spans(w, order[other], n_docs, 1) + _spans(w, order[~other & np.repeat(size > 1, size) & (w["n"][order] >= length)], n_docs, 0)
+
+
 def meet_on_anchors(routed: DataFrame, n_keys: int, n_docs: int, hot: int, length: int) -> DataFrame:
     def work(got):
-        rows = [(int.from_bytes(b[:4], "little"), SPAN, b[4:]) for b in got.get(SPAN, [])]
+        rows = [(int.from_bytes(b[:4], "little"), SPAN, b[4:]) for b in got.get(SPAN, [])] + _window_spans(got, length, n_docs)
         c = CONTEXTS.load(got.get(CONTEXT, []))
         if not len(c["did"]):
             return rows
@@ -195,7 +247,6 @@ def meet_on_anchors(routed: DataFrame, n_keys: int, n_docs: int, hot: int, lengt
 
 def fetch(docs: DataFrame, asked: DataFrame, n_keys: int, n_docs: int, length: int, shared: int) -> DataFrame:
     """The bytes of the asked contexts, sent to their anchor's bucket; of hot anchors the hashes of their windows."""
-    import xxhash
 
     def prepare(got):
         asked = REQUESTS.load(got.get(REQUEST, []))
@@ -211,11 +262,8 @@ def fetch(docs: DataFrame, asked: DataFrame, n_keys: int, n_docs: int, length: i
             view = memoryview(text)
             mine = groups[did, th]
             for j in mine[asked["hot"][mine] > 0].tolist():
-                pos, size = int(asked["pos"][j]), int(asked["n"][j])
-                for k in (length, shared):
-                    n = max(0, size - k + 1)
-                    hashes = np.fromiter((xxhash.xxh3_64_intdigest(view[s : s + k], seed=k) for s in range(pos, pos + n)), dtype=U64, count=n)
-                    w = {"hash": hashes, "did": np.full(n, did), "th": np.full(n, th), "pos": np.arange(pos, pos + n), "n": np.full(n, k), "wide": np.full(n, asked["wide"][j])}
+                for hashes, pos, n in _windows_of(view, int(asked["pos"][j]), int(asked["n"][j]), (length, shared)):
+                    w = {"hash": hashes, "did": np.full(len(n), did), "th": np.full(len(n), th), "pos": pos, "n": n, "wide": np.full(len(n), asked["wide"][j])}
                     yield from WINDOWS.split(w, (hashes % U64(n_keys)).astype(np.int32), WINDOW)
             cool = mine[asked["hot"][mine] == 0]
             for home in np.unique(asked["home"][cool]).tolist():
@@ -329,13 +377,7 @@ def compare(routed: DataFrame, n_keys: int, n_docs: int, length: int, shared: in
         if spans:
             columns = dict(zip(SPANS.fields, (np.concatenate(x) for x in zip(*spans))))
             yield from SPANS.split(columns, document_bucket(columns["did"], columns["th"], n_docs), SPAN)
-        w = WINDOWS.load(got.get(WINDOW, []))
-        if len(w["did"]):
-            order, first = _groups(w["hash"])
-            size = np.diff(np.append(first, len(order)))
-            other = np.repeat(_differ(_document(w["did"], w["th"]), order, first) | (np.maximum.reduceat(w["wide"][order], first) > 0), size)
-            yield from _spans(w, order[other], n_docs, 1)
-            yield from _spans(w, order[~other & np.repeat(size > 1, size) & (w["n"][order] >= length)], n_docs, 0)
+        yield from _window_spans(got, length, n_docs)
 
     return by_bucket(routed, n_keys, work)
 
@@ -343,7 +385,7 @@ def compare(routed: DataFrame, n_keys: int, n_docs: int, length: int, shared: in
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long"
 
 
-def repeated_bytes_removed(docs: DataFrame, hot: int = HOT, length: int = LENGTH, shared: int = SHARED) -> DataFrame:
+def repeated_bytes_removed(docs: DataFrame, hot: int = HOT, length: int = LENGTH, shared: int = SHARED, share: int = SHARE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared for every row.
 
     n_shared counts the bytes covered by strings of `shared` bytes that a document of another id or text holds as well.
@@ -353,7 +395,8 @@ def repeated_bytes_removed(docs: DataFrame, hot: int = HOT, length: int = LENGTH
     small_batches(docs.sparkSession)
     n_keys, n_docs = buckets(docs, 2), buckets(docs)
     rows = keyed(docs, n_docs)
-    met = materialize(meet_on_anchors(find_contexts(rows, n_keys, n_docs, length, shared), n_keys, n_docs, hot, length), "anchors")
+    found = find_contexts(rows, n_keys, n_docs, length, shared, hot_anchors(rows, length, shared, hot, share))
+    met = materialize(meet_on_anchors(found, n_keys, n_docs, hot, length), "anchors")
     asked = fetch(rows.drop("doc_id").where("text is not null"), met.where(f"kind = {REQUEST}"), n_keys, n_docs, length, shared)
     spans = met.where(f"kind = {SPAN}").union(compare(asked, n_keys, n_docs, length, shared))
 

@@ -13,8 +13,8 @@ from tests.llm.data import SCHEMA, frame, rows
 BIG = (1 << 63) - 1
 
 
-@pytest.mark.parametrize("hot", [suffix.HOT, 2])
-def test_repeated_bytes(spark, hot):
+@pytest.mark.parametrize(("hot", "share"), [(suffix.HOT, suffix.SHARE), (2, 1 << 40), (2, 1), (0, 1), (8, 2)])
+def test_repeated_bytes(spark, hot, share):
     count, holders = Counter(), defaultdict(set)
     for r in rows():
         b = (r[1] or "").encode()
@@ -34,7 +34,7 @@ def test_repeated_bytes(spark, hot):
                 shared[i : i + 256] = True
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         want.append((r[0], len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()).hexdigest(), int(shared.sum())))
-    got = [tuple(r) for r in suffix.repeated_bytes_removed(frame(spark), hot).collect()]
+    got = [tuple(r) for r in suffix.repeated_bytes_removed(frame(spark), hot, share=share).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert suffix.repeated_bytes_removed(frame(spark, [])).count() == 0
 
@@ -104,10 +104,10 @@ def removed_by_smaller(length):
         yield r, w, gone
 
 
-@pytest.mark.parametrize("hot", [substring.HOT, 2])
-def test_substring(spark, hot):
+@pytest.mark.parametrize(("hot", "share"), [(substring.HOT, substring.SHARE), (2, 1 << 40), (2, 1), (0, 1), (8, 2)])
+def test_substring(spark, hot, share):
     want = [(r[0], len(w), int(gone.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()) for r, w, gone in removed_by_smaller(13)]
-    got = [tuple(r) for r in substring.substring_dedup(frame(spark), hot=hot).collect()]
+    got = [tuple(r) for r in substring.substring_dedup(frame(spark), hot=hot, share=share).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert substring.substring_dedup(frame(spark, [])).count() == 0
 
