@@ -264,6 +264,12 @@ def test_warc_is_read_alike_however_it_is_cut(spark):
         spark.conf.unset("spark.sql.files.minPartitionNum")
 
 
+def test_warc_long_pages(spark):
+    data = [(1, "u", "é" * 1_500_000), (2, "u", ("x" * 70_000 + "\r\n\r\nWARC/1.0\r\n") * 20), (3, "u", "é" * 1_500_000), (4, None, "\r\n\r\n")]
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.archive_digests(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {i: (len(h.encode()), hashlib.sha1(h.encode()).hexdigest(), 3 if i == 1 else None) for i, _, h in data}
+
+
 def test_chain():
     offsets = np.array([0, 10, 15, 30, 44])
     assert warc.chain(offsets, np.array([10, 30, 20, 44, 60]), 60).tolist() == [True, True, False, True, True]
@@ -461,6 +467,18 @@ def test_leaks(spark):
     assert decontam.without_leaks(df.where("doc_id < 0"), bench).count() == 0
 
 
+def test_leaks_in_long_texts(spark):
+    rng = np.random.default_rng(2)
+    item = [f"q{i}" for i in range(30)]
+    far = [f"v{rng.integers(5000)}" for _ in range(200_000)]
+    docs = [(1, " ".join(far[:150_000] + item[:20] + ["zz"] + item[20:] + far[150_000:])), (2, " ".join(far)), (3, " ".join(item) * 2000), (3, " ".join(item) * 2000)]
+    bench = spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item)), (8, " ".join(far[:50_000]))], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_word, r.end_word) for r in decontam.leaks(df, bench.where("item_id = 7")).collect())
+    assert got[:2] == [(1, 7, 150_000, 150_031)] * 2 and [g[0] for g in got[2:]] == [3, 3, 3, 3]
+    assert sorted(r.doc_id for r in decontam.without_leaks(df, bench.where("item_id = 7")).collect()) == [2]
+
+
 def test_leaks_with_long_insertion(spark):
     w, far, ad = [f"q{i}" for i in range(40)], [f"v{i}" for i in range(90)], [f"a{i}" for i in range(33)]
     bench = spark.createDataFrame([(0, " ".join(w))], "item_id long, text string")
