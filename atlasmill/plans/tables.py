@@ -9,10 +9,9 @@ from atlasmill.schemas import as_raw_place
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; days and windows are those of UTC, so a session of another time zone is refused rather than changed."""
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    if zone not in ("UTC", "Etc/UTC", "Z", "GMT", "+00:00"):
-        raise ValueError(f"spark.sql.session.timeZone is {zone}; these queries need UTC")
+    """A table. Days and windows of these queries are those of UTC, as in their SQL: a session of another zone is set to it."""
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "GMT", "+00:00"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
