@@ -37,6 +37,8 @@ LEAST = Fraction(85, 100)
 #: Sets and shingles of one tree; a larger star is dealt to several.
 CHUNK, CHUNK_SHINGLES = 4096, 1 << 20
 FLUSH = 2_000_000
+#: Large stars up to which their table is broadcast; beyond, it is a shuffled join.
+BROADCAST_STARS = 50_000
 #: Rare shingles that a set needs, as a share of its size, to be found by them alone.
 RARE_SHARE = 0.7
 #: Common shingles: sets of one task that hold one to be reported, sets in all, and how many are broadcast.
@@ -517,7 +519,9 @@ def find_links(rows: DataFrame, info: DataFrame, edges: DataFrame, n_keys: int,
     stars = edges.select(F.col("src").alias("star"), F.col("dst").alias("digest")).union(edges.select(F.col("src").alias("star"), F.col("src").alias("digest")).distinct())
     stars = materialize(stars.join(place, "digest").select("star", "digest", "at.did", "at.th", "n"), "stars")
     parts = F.ceil(F.greatest(F.count("*") / F.lit(chunk), F.sum("n") / F.lit(chunk_shingles))).cast("int")
-    large = stars.groupBy("star").agg(parts.alias("parts")).where("parts > 1")
+    large = materialize(stars.groupBy("star").agg(parts.alias("parts")).where("parts > 1"), "large")
+    if large.limit(BROADCAST_STARS + 1).count() <= BROADCAST_STARS:
+        large = F.broadcast(large)
     is_lead = F.col("star") == F.col("digest")
     part = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
     dealt = stars.join(large, "star", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
