@@ -186,7 +186,6 @@ def seed_hits(rows: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 ASK = 0
-CANDIDATE = "did long, th long, item long, low array<long>, high array<long>"
 
 
 def candidates(rows: DataFrame, items: DataFrame, least: float, n_docs: int) -> DataFrame:
@@ -194,28 +193,20 @@ def candidates(rows: DataFrame, items: DataFrame, least: float, n_docs: int) ->
     seeds = rare_seeds(items, least)
     met = seed_hits(rows, seeds).join(seeds, "gram").groupBy("did", "th", "item").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.first("need").alias("need"), F.first("span").alias("span"))
 
-    def near(batches):
-        for batch in batches:
-            out = []
-            for did, th, item, places, need, span in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "item", "places", "need", "span"))):
-                if found := windows(np.array(places, dtype=np.int64), need, span):
-                    out.append((did, th, item, *map(list, zip(*found))))
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)], names=["did", "th", "item", "low", "high"])
-
-    found = met.where("size(places) >= need").mapInArrow(near, CANDIDATE).join(items, "item")
-
-    def pack(batches):
-        def rows_of(batch):
-            for did, th, item_id, low, high, words in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "item_id", "low", "high", "words"))):
+    def rows_of(batch):
+        for did, th, item_id, words, places, need, span in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "item_id", "words", "places", "need", "span"))):
+            if found := windows(np.array(places, dtype=np.int64), need, span):
+                low, high = zip(*found)
                 head = np.array([did, th, item_id is not None, item_id or 0, len(low), *low, *high], dtype=np.int64)
                 yield int(document_bucket(head[:1], head[1:2], n_docs)[0]), ASK, head.tobytes() + words
 
+    def pack(batches):
         for batch in batches:
             yield from batches_of(rows_of(batch))
 
-    return found.select("did", "th", "item_id", "low", "high", "words").mapInArrow(pack, ROUTED)
+    # The items join before Python sees the rows: one worker a task, not two.
+    found = met.where("size(places) >= need").join(items, "item")
+    return found.select("did", "th", "item_id", "words", "places", "need", "span").mapInArrow(pack, ROUTED)
 
 
 def _asked(got: dict[int, list[bytes]]) -> dict[tuple[int, int], list]:
