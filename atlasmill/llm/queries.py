@@ -8,6 +8,7 @@ from atlasmill.llm.decontam import leaks
 from atlasmill.llm.jaccard import jaccard_groups
 from atlasmill.llm.langid import identify
 from atlasmill.llm.media import media_digests
+from atlasmill.llm.mixing import mix_digests
 from atlasmill.llm.packing import pack
 from atlasmill.llm.quality import quality_posteriors
 from atlasmill.llm.substring import substring_dedup
@@ -57,6 +58,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digests(read(spark, sf_dir, "documents"))
+
+
 def _host(url: str) -> str:
     return f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -119,7 +124,7 @@ URL_SQL = f"""
     said AS (SELECT component, min(best.verdict) AS verdict FROM (SELECT node, best FROM page UNION ALL SELECT node, best FROM named) JOIN label USING (node) WHERE best IS NOT NULL GROUP BY component)
     SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, s.verdict, 'allow') AS verdict, l.component FROM page p LEFT JOIN label l ON l.node = p.node LEFT JOIN said s ON s.component = l.component"""
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op3_suffix_array_dedup, op4_warc, op5_best_fit_packing, op6_quality_classifier, op7_benchmark_decontamination, op8_substring_dedup, op9_language_id, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op3_suffix_array_dedup, op4_warc, op5_best_fit_packing, op6_quality_classifier, op7_benchmark_decontamination, op8_substring_dedup, op9_language_id, op10_ngram_jaccard_join, op11_source_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": URL_SQL,
     "op3_suffix_array_dedup": """
@@ -159,6 +164,22 @@ ORACLE_SQL: dict[str, str] = {
             FROM r GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(kept, sha256('')) AS kept_sha256
         FROM documents d LEFT JOIN k USING (doc_id)""",
+    "op11_source_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   ('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::HUGEINT AS s, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::HUGEINT AS w FROM d GROUP BY source),
+        o AS (
+            SELECT *, row_number() OVER o AS k, (SELECT sum(s) FROM s)::HUGEINT - coalesce(sum(3 * s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS budget,
+                   (SELECT sum(w) FROM s)::HUGEINT - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS rest
+            FROM s WINDOW o AS (ORDER BY 3.0::DOUBLE * s / w, source)),
+        f AS (SELECT arg_min(budget, k) AS budget, arg_min(rest, k) AS rest FROM o WHERE budget * w <= 3 * s * rest),
+        t AS (SELECT source, s::BIGINT AS source_size, least(3.0::DOUBLE * s, CASE WHEN f.rest IS NULL THEN 3.0::DOUBLE * s ELSE (f.budget * w)::DOUBLE / f.rest::DOUBLE END) AS target FROM s LEFT JOIN f ON true),
+        b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+        c AS (
+            SELECT d.*, source_size, target, whole, target - whole * source_size AS budget, sum(size) OVER (PARTITION BY d.source ORDER BY h)::BIGINT AS upto, sum(size) OVER (PARTITION BY d.source, h)::BIGINT AS n
+            FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+        SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN upto <= budget OR (upto - n <= budget AND upto - budget < budget - (upto - n)) THEN 1 ELSE 0 END) AS taken FROM c""",
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         k AS (SELECT d, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY d)
