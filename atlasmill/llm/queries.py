@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from atlasmill.llm.decontam import leaks
+from atlasmill.llm.dialogue import repair_digests
 from atlasmill.llm.jaccard import jaccard_groups
 from atlasmill.llm.langid import identify
 from atlasmill.llm.media import media_digests
@@ -62,6 +63,10 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digests(read(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(read(spark, sf_dir, "conversations"))
+
+
 def _host(url: str) -> str:
     return f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -124,7 +129,7 @@ URL_SQL = f"""
     said AS (SELECT component, min(best.verdict) AS verdict FROM (SELECT node, best FROM page UNION ALL SELECT node, best FROM named) JOIN label USING (node) WHERE best IS NOT NULL GROUP BY component)
     SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, s.verdict, 'allow') AS verdict, l.component FROM page p LEFT JOIN label l ON l.node = p.node LEFT JOIN said s ON s.component = l.component"""
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op3_suffix_array_dedup, op4_warc, op5_best_fit_packing, op6_quality_classifier, op7_benchmark_decontamination, op8_substring_dedup, op9_language_id, op10_ngram_jaccard_join, op11_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op3_suffix_array_dedup, op4_warc, op5_best_fit_packing, op6_quality_classifier, op7_benchmark_decontamination, op8_substring_dedup, op9_language_id, op10_ngram_jaccard_join, op11_source_mixing, op12_conversation_repair)}
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": URL_SQL,
     "op3_suffix_array_dedup": """
