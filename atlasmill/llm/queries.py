@@ -12,6 +12,7 @@ from atlasmill.llm.media import media_digests
 from atlasmill.llm.mixing import mix_digests
 from atlasmill.llm.packing import pack
 from atlasmill.llm.quality import quality_posteriors
+from atlasmill.llm.ranking import ranked
 from atlasmill.llm.substring import substring_dedup
 from atlasmill.llm.suffix import repeated_bytes_removed
 from atlasmill.llm.tables import read
@@ -67,6 +68,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(read(spark, sf_dir, "conversations"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def _host(url: str) -> str:
     return f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -129,7 +134,7 @@ URL_SQL = f"""
     said AS (SELECT component, min(best.verdict) AS verdict FROM (SELECT node, best FROM page UNION ALL SELECT node, best FROM named) JOIN label USING (node) WHERE best IS NOT NULL GROUP BY component)
     SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, s.verdict, 'allow') AS verdict, l.component FROM page p LEFT JOIN label l ON l.node = p.node LEFT JOIN said s ON s.component = l.component"""
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op3_suffix_array_dedup, op4_warc, op5_best_fit_packing, op6_quality_classifier, op7_benchmark_decontamination, op8_substring_dedup, op9_language_id, op10_ngram_jaccard_join, op11_source_mixing, op12_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_url_filters, op3_suffix_array_dedup, op4_warc, op5_best_fit_packing, op6_quality_classifier, op7_benchmark_decontamination, op8_substring_dedup, op9_language_id, op10_ngram_jaccard_join, op11_source_mixing, op12_conversation_repair, op13_ranked_search)}
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": URL_SQL,
     "op3_suffix_array_dedup": """
@@ -185,6 +190,16 @@ ORACLE_SQL: dict[str, str] = {
             SELECT d.*, source_size, target, whole, target - whole * source_size AS budget, sum(size) OVER (PARTITION BY d.source ORDER BY h)::BIGINT AS upto, sum(size) OVER (PARTITION BY d.source, h)::BIGINT AS n
             FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
         SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN upto <= budget OR (upto - n <= budget AND upto - budget < budget - (upto - n)) THEN 1 ELSE 0 END) AS taken FROM c""",
+    "op13_ranked_search": r"""
+        WITH word AS (SELECT doc_id, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT *, row_number() OVER () AS r FROM documents)),
+        asked AS (SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        size AS (SELECT r, count(*) AS n FROM word GROUP BY r),
+        total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM size),
+        entry AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM word WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+        weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM entry, total GROUP BY term),
+        impact AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words))) AS v FROM entry JOIN weight USING (term) JOIN size USING (r), total),
+        score AS (SELECT item_id, text, r, any_value(doc_id) AS doc_id, sum(v)::BIGINT AS score FROM asked JOIN impact USING (term) GROUP BY item_id, text, r HAVING sum(v) > 0)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score FROM score QUALIFY rank <= 20""",
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         k AS (SELECT d, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY d)
