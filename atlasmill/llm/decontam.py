@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from atlasmill.llm.arrays import LOWER, U64, byte_parts, gram_hashes, word_hashes, words_of
 from atlasmill.llm.routing import ROUTED, batches_of, buckets, document_bucket, keyed, with_documents
-from atlasmill.llm.tables import small_batches
+from atlasmill.llm.tables import apart, small_batches, together
 from atlasmill.session import materialize
 
 LEAST = 0.8
@@ -267,13 +267,11 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
     """
     small_batches(docs.sparkSession)
     n, names = buckets(docs), docs.columns
-    others = [c for c in names if c != "text"]
-    rows = keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")), n, "rest")
+    rows = keyed(apart(docs), n, "rest")
 
     def work(table, asked):
         keep = np.ones(table.num_rows, dtype=bool)
         keep[[c[0] for c in _copies(table, asked, least)]] = False
-        columns = dict(zip(others, table["rest"].flatten())) | {"text": table["text"]}
-        yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays(list(together(names, table["text"], table["rest"]).values()), names=names).filter(pa.array(keep))
 
     return with_documents(rows, candidates(rows, benchmark_items(benchmark), least, n), n, _asked, work, docs.schema)

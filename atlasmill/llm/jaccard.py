@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from atlasmill.llm.arrays import LOWER, U64, byte_parts, gram_hashes, mix64, odd_numbers, word_hashes, words_of
 from atlasmill.llm.routing import MISSING, ROUTED, Pack, batches_of, buckets, by_bucket, by_document, document_bucket, keyed, text_hash, with_documents
 from atlasmill.llm.suffix import common_prefix
-from atlasmill.llm.tables import small_batches
+from atlasmill.llm.tables import apart, small_batches
 from atlasmill.operators.components import connected_components
 from atlasmill.session import materialize
 
@@ -579,7 +579,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(80
     groups = jaccard_groups(docs, shingle, least)
     solo = groups.where("n_shingles = 0").select("did", "th").distinct()
     first = groups.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
-    keep = first.union(solo).toDF("__keep_did", "__keep_th")
+    keep = first.union(solo)
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING))
-    full = docs.select("*", did.alias("__did"), text_hash().alias("__th")).join(keep, (F.col("__did") == F.col("__keep_did")) & (F.col("__th") == F.col("__keep_th")), "left_semi")
-    return full.dropDuplicates(["__did", "__th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = apart(docs).select(did.alias("did"), text_hash().alias("th"), "text", "rest").join(keep, ["did", "th"], "left_semi").dropDuplicates(["did", "th"])
+    others = iter(kept.schema["rest"].dataType.names)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.{next(others)}") for c in docs.columns]).toDF(*docs.columns)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasmill.llm.tables import bounded_sample, small_batches
+from atlasmill.llm.tables import apart, bounded_sample, small_batches, together
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -204,14 +204,14 @@ def of_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     Null texts, texts without a letter and all texts where no row is labelled go; repeated rows stay or go together;
     an empty table gives no rows; other columns are carried along.
     """
-    held = docs.sparkSession.sparkContext.broadcast(train(docs))
+    held, columns = docs.sparkSession.sparkContext.broadcast(train(docs)), docs.columns
 
     def run(batches):
         net = held.value.compile() if held.value is not None else None
         for batch in batches:
-            texts = batch.column(batch.schema.names.index("text")).cast(pa.binary()).to_pylist()
-            names, scores = classify(net, texts, batch.column(batch.num_columns - 1).to_pylist())
+            names, scores = classify(net, batch.column(0).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist())
             keep = pa.array([n != "und" and s >= least for n, s in zip(names, scores)], type=pa.bool_())
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(keep)
+            whole = together(columns, batch.column(0), batch.column(1))
+            yield pa.RecordBatch.from_arrays(list(whole.values()), names=columns).filter(keep)
 
-    return docs.select("*", F.expr(LETTERS).alias("__letters")).mapInArrow(run, docs.schema)
+    return apart(docs).select("text", "rest", F.expr(LETTERS)).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from atlasmill.llm.arrays import byte_parts, cover, gram_hashes, minimizers, mix64, odd_numbers, runs_of, word_hashes, words_of
 from atlasmill.llm.routing import ROUTED, Pack, among, batches_of, buckets, by_bucket, by_document, document_bucket, hot_keys, keyed, ranges, with_documents
-from atlasmill.llm.tables import small_batches
+from atlasmill.llm.tables import apart, small_batches, together
 from atlasmill.session import materialize
 
 LENGTH = 13
@@ -327,9 +327,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, least_words: int = 5, hot: in
     included. Documents left with fewer than least_words words, but not before, go. Edge cases as in substring_dedup.
     """
     names = docs.columns
-    others = [c for c in names if c != "text"]
-    carried = F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")
-    rows, spans, n = removed_words(docs.select("doc_id", "text", carried), length, hot, share, ("rest",))
+    rows, spans, n = removed_words(apart(docs), length, hot, share, ("rest",))
 
     def work(table, ready):
         texts, keep, changed = table["text"].to_pylist(), np.ones(len(table), dtype=bool), {}
@@ -347,8 +345,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, least_words: int = 5, hot: in
                 at = starts[b] if b < len(starts) else len(data)
             kept.append(data[at:])
             changed[i] = texts[i] = b"".join(kept).decode("utf-8", "replace")
-        rest = table["rest"]
-        columns = dict(zip(others, rest.flatten())) | {"text": pa.array(texts, type=pa.string())}
+        columns = together(names, pa.array(texts, type=pa.string()), table["rest"])
         if changed and "n_chars" in columns:
             counts = columns["n_chars"].to_pylist()
             for i, text in changed.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,20 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns as the struct rest, by position: whatever the names are, they meet no others."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    others = [v for k, v in names.items() if k != "text"]
+    return plain.select(F.col(names["doc_id"]).alias("doc_id"), F.col(names["text"]).alias("text"), F.struct(*others).alias("rest"))
+
+
+def together(names: list[str], text: pa.Array, rest: pa.StructArray) -> dict[str, pa.Array]:
+    """The columns that apart() took apart, in their order."""
+    others = iter(rest.flatten())
+    return {c: text if c == "text" else next(others) for c in names}
+
+
 def bounded_sample(rows: DataFrame, group: str, keys: list[str], most: int) -> DataFrame:
     """At most `most` rows of each group of the column `group`, which has few values: those whose keys have the smallest hashes.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atlasmill.session import materialize, scratch_path
@@ -41,11 +41,11 @@ def with_originals(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     return out.withColumn("original", F.when(keep, F.col("original")))
 
 
-def write_archive(pages: DataFrame, path: str, least: int = REVISIT_FROM, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write one record per page: response, or revisit without body where another page holds the same payload.
+def write_archive(pages: DataFrame, path: str, least: int = REVISIT_FROM, date: str = "2024-01-01T00:00:00Z") -> int:
+    """Write one record per page: response, or revisit without body where another page holds the same payload; give their number.
 
     A page without id is never referred to. Line ends inside urls are dropped from the header. Repeated rows give
-    repeated records; an empty table gives no record.
+    repeated records; an empty table gives no record. What a reader needs stands before the url.
     """
     revisit = F.col("original").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(BLANK))
@@ -57,14 +57,15 @@ def write_archive(pages: DataFrame, path: str, least: int = REVISIT_FROM, date:
     header = F.concat(
         F.lit(VERSION + "WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "), urn("page_id"),
-        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]+", ""),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
+        F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), urn("original"))).otherwise(F.lit("")),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(BLANK),
+        F.lit(f"\r\nContent-Type: application/http; msgtype=response\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]+", ""), F.lit(BLANK),
     )
-    records = with_originals(pages, least).select(F.concat(header, block).alias("value"))
+    written = Observation("warc-records")
+    records = with_originals(pages, least).select(F.concat(header, block).alias("value")).observe(written, F.count("*").alias("n"))
     writer = records.write.option("lineSep", BLANK).option("maxRecordsPerFile", FILE_RECORDS)
     writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    return written.get["n"]
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
@@ -74,14 +75,15 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _field(head: Column, name: str, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(head, f"(?im)^{name}: *{pattern}", 1), F.lit(""))
+    """A header field's value; lines end with a line feed only, not with the other characters that Unicode breaks lines at."""
+    return F.nullif(F.regexp_extract(head, f"(?imd)^{name}: *{pattern}", 1), F.lit(""))
 
 
 def _parsed(segments: DataFrame) -> DataFrame:
     """Header fields of a piece, the size and digest of its payload as far as the piece reaches, and the piece itself."""
     head = F.substring_index("value", BLANK, 1)
     out = segments.withColumn("size", F.octet_length("value")).withColumn("head", F.when(F.instr("value", BLANK) > 0, head))
-    out = out.withColumn("head_size", F.octet_length(head) + 4).withColumn("length", _field(F.col("head"), "Content-Length", "(\\d{1,18})\\s*$").cast("long"))
+    out = out.withColumn("head_size", F.octet_length(head) + 4).withColumn("length", _field(F.col("head"), "Content-Length", "(\\d{1,18})[ \\t\\r]*$").cast("long"))
     block = F.expr("substring(cast(value as binary), int(head_size + 1), int(least(length, 2147483647L)))")
     out = out.withColumn("block_bytes", block)
     http = F.expr("octet_length(substring_index(cast(block_bytes as string), '\\r\\n\\r\\n', 1)) + 4")
@@ -133,17 +135,20 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"first": seq[good + 1] if len(good) else good, "pieces": pieces.astype(np.int64), "order": np.arange(len(good), dtype=np.int64)})
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
     """Records of all archives below path: page_id, record_type, refers_to, declared_digest, payload_bytes, payload_digest (bare SHA-1).
 
     Payload figures are of the bytes after the HTTP head. Candidates that the chain does not reach are no records;
     after a broken successor the rest of a file is unreachable. A file that does not start with a record gives none.
     The files are read once: the candidates are written with their bytes, and a record whose payload holds the version
-    line is put together from its pieces there, so pieces keep their numbers whatever becomes of the executors.
+    line is put together from its pieces there, so pieces keep their numbers whatever becomes of the executors. Another number
+    of records than `expected` is an error.
     """
     parsed = materialize(_parsed(_segments(spark, path)), "candidates")
     light = parsed.select("file", "block", "seq", "size", "head_size", "length")
     kept = materialize(light.groupBy("file").applyInArrow(_verify, "first long, pieces long, order long"), "records")
+    if expected is not None and (found := kept.count()) != expected:
+        raise RuntimeError(f"{expected} records were written to {path}, {found} can be read")
     fields = ["page_id", "record_type", "refers_to", "declared_digest", "payload_bytes", "payload_digest"]
     out = parsed.join(kept.where("pieces = 1").select(F.col("first").alias("seq")), "seq").select(fields)
     broken = kept.where("pieces > 1")
@@ -167,8 +172,7 @@ def archive_digests(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_archive(pages, path, least)
-    records = read_archive(spark, path)
+    records = read_archive(spark, path, write_archive(pages, path, least))
     full = records.where("record_type = 'response'")
     known = full.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("declared_digest")).agg(F.max("payload_bytes").alias("payload_bytes"))
     again = records.where("record_type = 'revisit'").select("page_id", "refers_to", "record_type", "declared_digest").join(known, ["refers_to", "declared_digest"], "left")

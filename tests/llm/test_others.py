@@ -238,6 +238,24 @@ def test_warc_long_url(spark):
     assert got == [(1, 5, "response", None), (2, 1200, "revisit", 3), (3, 1200, "response", None), (4, 4, "response", None)]
 
 
+def test_warc_urls_with_line_breaks(spark):
+    """A url may hold what looks like header fields, after any character that Unicode breaks lines at: no page is lost or changed."""
+    breaks = ["\u2028", "\u2029", "\x85", "\x0b", "\x0c", "\r", "\n", "\r\n", "\x1c", "\x1d", "\x1e"]
+    spoofs = ["Content-Length: 5", "WARC-Payload-Digest: sha1:abc", "WARC-Type: revisit", "WARC-Record-ID: <urn:page:77>", "WARC-Refers-To: <urn:page:1>", "\r\nWARC/1.0\r\n"]
+    urls = [f"http://a/{b}{s}{b}x" for b in breaks for s in spoofs]
+    data = [(i, u, f"page {i} " * (1 + i % 300)) for i, u in enumerate(urls)]
+    got = [tuple(r) for r in warc.archive_digests(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1)).collect()]
+    assert sorted(got) == [(i, len(h), hashlib.sha1(h.encode()).hexdigest(), "response", None) for i, _, h in data]
+
+
+def test_warc_loss_is_an_error(spark):
+    path = scratch_path(spark, "lost")
+    assert warc.write_archive(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string"), path) == 2
+    assert warc.read_archive(spark, path, 2).count() == 2
+    with pytest.raises(RuntimeError):
+        warc.read_archive(spark, path, 3)
+
+
 def test_warc_repeated_id(spark):
     same, other = "x" * 1200, "y" * 1300
     data = [(1, "u", same), (5, "u", other), (5, "u", same), (5, "u", other), (3, "u", other), (2, "u", "short")]
@@ -602,10 +620,10 @@ def test_queries_registered(spark):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op2_url_filters", "op3_suffix_array_dedup", "op4_warc", "op8_substring_dedup", "op10_ngram_jaccard_join"])
+@pytest.mark.parametrize("name", ["op2_url_filters", "op3_suffix_array_dedup", "op4_warc", "op8_substring_dedup", "op10_ngram_jaccard_join", "op11_source_mixing", "op13_ranked_search"])
 def test_sql(name, spark, duck, tmp_path):
     from atlasmill.llm.queries import ORACLE_SQL, QUERIES
 
@@ -636,6 +654,26 @@ def alike(a, b):
     return decontam.smith_waterman(np.array([code[w] for w in a]), np.array([code[w] for w in b]))[0] / (4 * len(a)) if a and b else 0.0
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_carry_columns_of_any_name(spark, stage):
+    """Columns with dots, quotes and the names that operators use themselves come out as they went in."""
+    import corpus_pipeline
+
+    odd = ["a.b", "it's", 'a "b"', "a`b", "did", "th", "__did", "__th", "__letters", "__keep_did", "rest", "document", "bucket", "kind", "row", "c0", "key"]
+    plain = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    docs = plain.select("doc_id", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in odd[:8]], "text", *[F.col("doc_id").alias(c) for c in odd[8:]], "lang", "n_chars")
+    name, work = corpus_pipeline.STAGES[stage]
+    got, want = work(spark, docs, SF), work(spark, plain.select("doc_id", "text", "lang", "n_chars"), SF)
+    if stage == 4:
+        assert sorted(tuple(r)[:5] for r in got.collect()) == sorted(tuple(r)[:5] for r in want.collect())
+        return
+    assert got.columns == docs.columns
+    rows = got.collect()
+    at = {c: i for i, c in enumerate(docs.columns)}
+    assert sorted((r[at["doc_id"]], r[at["text"]], r[at["lang"]], r[at["n_chars"]]) for r in rows) == sorted(map(tuple, want.collect())) and rows
+    assert all(r[at[c]] == f"{c}{r[0]}" for r in rows for c in odd[:8]) and all(r[at[c]] == r[0] for r in rows for c in odd[8:])
+
+
 def test_pipeline(spark):
     """Every stage's rows against brute force over what the stage before kept."""
     import corpus_pipeline
