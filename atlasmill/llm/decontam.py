@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.llm.arrays import LOWER, U64, byte_parts, gram_hashes, word_hashes, words_of
-from atlasmill.llm.routing import ROUTED, batches_of, buckets, document_bucket, keyed, with_documents
+from atlasmill.llm.routing import Buckets, ROUTED, batches_of, buckets, document_bucket, keyed, with_documents
 from atlasmill.llm.tables import apart, small_batches, together
 from atlasmill.session import materialize
 
@@ -188,7 +188,7 @@ def seed_hits(rows: DataFrame, seeds: DataFrame) -> DataFrame:
 ASK = 0
 
 
-def candidates(rows: DataFrame, items: DataFrame, least: float, n_docs: int) -> DataFrame:
+def candidates(rows: DataFrame, items: DataFrame, least: float, n_docs: Buckets) -> DataFrame:
     """Routed rows to the documents where enough seeds of an item meet: the item's words and the windows to align it in."""
     seeds = rare_seeds(items, least)
     met = seed_hits(rows, seeds).join(seeds, "gram").groupBy("did", "th", "item").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.first("need").alias("need"), F.first("span").alias("span"))

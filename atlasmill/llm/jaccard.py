@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasmill.llm.arrays import LOWER, U64, byte_parts, gram_hashes, mix64, odd_numbers, word_hashes, words_of
-from atlasmill.llm.routing import MISSING, ROUTED, Pack, batches_of, buckets, by_bucket, by_document, document_bucket, keyed, text_hash, with_documents
+from atlasmill.llm.routing import Buckets, MISSING, Pack, ROUTED, batches_of, buckets, by_bucket, by_document, document_bucket, keyed, text_hash, with_documents
 from atlasmill.llm.suffix import common_prefix
 from atlasmill.llm.tables import apart, small_batches
 from atlasmill.operators.components import connected_components
@@ -252,15 +252,15 @@ def set_digests(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(view[8 * s : 8 * e], seed=41) for s, e in zip(edge[:-1].tolist(), edge[1:].tolist())], dtype=U64).astype(np.int64)
 
 
-def find_signs(rows: DataFrame, n_keys: int, k: int, least: Fraction, common: np.ndarray) -> DataFrame:
+def find_signs(rows: DataFrame, n_keys: Buckets, k: int, least: Fraction, common: np.ndarray) -> DataFrame:
     held_common = rows.sparkSession.sparkContext.broadcast(common)
 
     def send(keys, digests, infos):
         key, digest = np.concatenate(keys), np.concatenate(digests)
         pair = {"key": (key >> U64(32)).astype(np.uint32), "digest": digest}
-        out = SIGNS.split(pair, (key % U64(n_keys)).astype(np.int32), SIGN) if len(key) else []
+        out = SIGNS.split(pair, (key % U64(n_keys)).astype(np.int32), SIGN, n_keys.width) if len(key) else []
         info = {f: np.concatenate([i[f] for i in infos]) for f in INFOS.fields}
-        return out + INFOS.split(info, (info["th"] % n_keys).astype(np.int32), INFO)
+        return out + INFOS.split(info, (info["th"] % n_keys).astype(np.int32), INFO, n_keys.width)
 
     def run(batches):
         keys, digests, infos, seen, held = [], [], [], np.zeros(0, dtype=np.int64), 0
@@ -291,7 +291,7 @@ def find_signs(rows: DataFrame, n_keys: int, k: int, least: Fraction, common: np
     return rows.select("did", "th", "text").mapInArrow(run, ROUTED)
 
 
-def meet_on_signs(routed: DataFrame, n_keys: int) -> DataFrame:
+def meet_on_signs(routed: DataFrame, n_keys: Buckets) -> DataFrame:
     """Candidate edges from the sets that share a signature to the smallest of them; the documents' sizes and digests pass through."""
 
     def work(got):
@@ -444,16 +444,16 @@ def linked_forest(sets: list[np.ndarray], least: Fraction, first: int | None = N
     return links
 
 
-def _pack_asks(asked: DataFrame, n_docs: int) -> DataFrame:
+def _pack_asks(asked: DataFrame, n_docs: Buckets) -> DataFrame:
     def run(batches):
         for batch in batches:
             c = {k: batch.column(i).to_numpy() for i, k in enumerate(ASKS.fields)}
-            yield from batches_of(ASKS.split(c, document_bucket(c["did"], c["th"], n_docs), ASK))
+            yield from batches_of(ASKS.split(c, document_bucket(c["did"], c["th"], n_docs), ASK, n_docs.width))
 
     return asked.select(*ASKS.fields).mapInArrow(run, ROUTED)
 
 
-def _plant(rows: DataFrame, asked: DataFrame, n_docs: int, k: int) -> DataFrame:
+def _plant(rows: DataFrame, asked: DataFrame, n_docs: Buckets, k: int) -> DataFrame:
     """The asked sets, each sent to its tree."""
 
     def prepare(got):
@@ -482,7 +482,7 @@ def _plant(rows: DataFrame, asked: DataFrame, n_docs: int, k: int) -> DataFrame:
     return with_documents(rows.select("bucket", "did", "th", "text").where("text is not null"), _pack_asks(asked, n_docs), n_docs, prepare, work, ROUTED)
 
 
-def _grow(sets: DataFrame, n_keys: int, least: Fraction) -> DataFrame:
+def _grow(sets: DataFrame, n_keys: Buckets, least: Fraction) -> DataFrame:
     """Links within each tree, and of split stars the sets that do not hang together with the star's smallest one."""
     size = 8 + sum(t.itemsize for t in LEAVES.fields.values())
 
@@ -513,7 +513,7 @@ def _grow(sets: DataFrame, n_keys: int, least: Fraction) -> DataFrame:
     return by_bucket(sets, n_keys, work)
 
 
-def find_links(rows: DataFrame, info: DataFrame, edges: DataFrame, n_keys: int, n_docs: int, k: int, least: Fraction, chunk: int, chunk_shingles: int) -> DataFrame:
+def find_links(rows: DataFrame, info: DataFrame, edges: DataFrame, n_keys: Buckets, n_docs: Buckets, k: int, least: Fraction, chunk: int, chunk_shingles: int) -> DataFrame:
     """(src, dst) digests of a forest of links among the stars of candidate edges."""
     place = info.groupBy("digest").agg(F.min(F.struct("did", "th")).alias("at"), F.max("n").alias("n"))
     stars = edges.select(F.col("src").alias("star"), F.col("dst").alias("digest")).union(edges.select(F.col("src").alias("star"), F.col("src").alias("digest")).distinct())

@@ -4,10 +4,21 @@ A text operator has far more anchors than documents. Sending each as a row would
 task sorts its anchors by bucket and sends each bucket's arrays in one row; the receiver joins the arrays of a bucket
 and works on them with numpy. The number of buckets follows the bytes of the input, and spark.sql.shuffle.partitions at
 least, so what a task holds of a bucket stays as small as its share of the data.
+
+Up to PARTITIONS buckets, each is a partition. Beyond, the number of partitions grows with the square root of the input:
+neighbouring buckets share one, and senders pack for the partition, so that a packed row stays worth its cost and the
+driver's table of shuffle blocks stays small. The receiver cuts such rows to buckets, REFINE_BYTES of them at a time, and
+sorts them within the partition, so that it still works on one bucket at a time.
+
+input | buckets (of keys: twice as many) | partitions | buckets in a partition | input of a partition
+30 GB | 895 | 895 | 1 | 34 MB
+1 TB | 29,803 | 4,968 | 6 | 201 MB
+100 TB | 2,980,233 | 55,190 | 54 | 1.8 GB
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -22,10 +33,26 @@ ROUTED = "bucket int, kind int, data binary"
 MISSING = (1 << 63) - 1
 #: Bytes of input, as the optimizer estimates it, for one bucket.
 BUCKET_BYTES = 32 << 20
+#: Buckets that each have a partition of their own.
+PARTITIONS = 1024
+#: Bytes of rows packed for a partition that are held at once while they are cut to buckets.
+REFINE_BYTES = 32 << 20
 #: Kind of the rows that carry a document: after the packed rows of its bucket.
 DOCUMENT = 1 << 20
 
 
+class Buckets(int):
+    """A number of buckets, of which `width` neighbours share a partition."""
+
+    width = 1
+
+    @classmethod
+    def of(cls, n: int, width: int = 0) -> Buckets:
+        out = cls(n)
+        out.width = width or max(1, math.ceil(math.sqrt(n / PARTITIONS)))
+        return out
+
+
 class Pack:
     """Named arrays as bytes: the length, then each array."""
 
@@ -45,8 +72,17 @@ class Pack:
                 at += n * kind.itemsize
         return {k: np.concatenate(v) if v else np.zeros(0, dtype=t) for (k, v), t in zip(parts.items(), self.fields.values())}
 
-    def split(self, columns: dict[str, np.ndarray], bucket: np.ndarray, kind: int) -> list[tuple[int, int, bytes]]:
-        """One (bucket, kind, data) row for each bucket that has elements."""
+    def split(self, columns: dict[str, np.ndarray], bucket: np.ndarray, kind: int, width: int = 1) -> list[tuple[int, int, bytes]]:
+        """One (bucket, kind, data) row for each bucket that has elements; for each partition where it has several buckets.
+
+        A row for a partition has the number -1 - its first bucket, and says what it needs to be cut: the sizes of its
+        fields, and each element's bucket within the partition.
+        """
+        if width > 1:
+            inner = Pack(_bucket="<u2", **{k: t.str for k, t in self.fields.items()})
+            rows = inner.split(columns | {"_bucket": bucket % width}, bucket // width, kind)
+            sizes = np.array([len(self.fields), *(t.itemsize for t in self.fields.values())], dtype="<u2").tobytes()
+            return [(-1 - b * width, k, sizes + data) for b, k, data in rows]
         order = np.argsort(bucket, kind="stable")
         sorted_bucket = bucket[order]
         edges = np.flatnonzero(np.concatenate(([True], sorted_bucket[1:] != sorted_bucket[:-1]))) if len(order) else []
@@ -73,13 +109,55 @@ def batches_of(rows: Iterable[tuple[int, int, bytes]], limit: int = 4 << 20) ->
         yield batch()
 
 
-def buckets(docs: DataFrame, times: int = 1) -> int:
+def refined(limit: int):
+    """Work of a task that cuts rows for a partition to its buckets, some `limit` bytes at a time; other rows and columns pass."""
+
+    def cut(held: dict[int, list[tuple[int, bytes]]]):
+        for kind, rows in held.items():
+            n_fields = int.from_bytes(rows[0][1][:2], "little")
+            sizes = np.frombuffer(rows[0][1], dtype="<u2", count=n_fields + 1)[1:].tolist()
+            outer = Pack(**{f"f{i}": f"V{n}" for i, n in enumerate(sizes)})
+            inner = Pack(_bucket="<u2", **{k: t.str for k, t in outer.fields.items()})
+            blobs = [data[2 * (n_fields + 1) :] for _, data in rows]
+            columns = inner.load(blobs)
+            first = np.repeat([-1 - b for b, _ in rows], [int.from_bytes(x[:8], "little") for x in blobs])
+            yield from outer.split(columns, first + columns.pop("_bucket"), kind)
+
+    def run(batches):
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        size, schema = 0, None
+
+        def flush():
+            for batch in batches_of(cut(held)):
+                none = [pa.nulls(batch.num_rows, f.type) for f in list(schema)[3:]]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *none], schema=schema)
+            held.clear()
+
+        for batch in batches:
+            schema, whole = batch.schema, batch.column(0).to_numpy() < 0
+            if not whole.any():
+                yield batch
+                continue
+            yield batch.filter(pa.array(~whole))
+            packed = batch.select([0, 1, 2]).filter(pa.array(whole))
+            for bucket, kind, data in zip(*(packed.column(i).to_pylist() for i in range(3))):
+                held.setdefault(kind, []).append((bucket, data))
+                size += len(data)
+                if size > limit:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return run
+
+
+def buckets(docs: DataFrame, times: int = 1) -> Buckets:
     """Few times the shuffle partitions, more for a larger input: a task's packed rows are as many as the buckets it writes to."""
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
     # A source that does not know its size gives the largest number.
     size = sum(x for x in map(int, sizes) if x < 1 << 60)
-    return times * max(parallelism(docs.sparkSession), -(-size // BUCKET_BYTES))
+    return Buckets.of(times * max(parallelism(docs.sparkSession), -(-size // BUCKET_BYTES)))
 
 
 def document_bucket(did: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
@@ -99,13 +177,17 @@ def keyed(docs: DataFrame, n: int, *more: str) -> DataFrame:
     return rows.select(((F.pmod("did", F.lit(n)) + F.pmod("th", F.lit(n))) % n).cast("int").alias("bucket"), "doc_id", "did", "th", "text", *more)
 
 
-def _dealt(rows: DataFrame, n: int) -> DataFrame:
+def _dealt(rows: DataFrame, n: Buckets) -> DataFrame:
     """Rows of one bucket in one partition; adaptive execution joins small partitions."""
-    least = parallelism(rows.sparkSession)
-    return rows.repartition(n, "bucket") if n > least else rows.repartition("bucket")
+    least, key = parallelism(rows.sparkSession), "bucket"
+    if n.width > 1:
+        key = (F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")) / n.width).cast("int")
+    parts = -(-n // n.width)
+    dealt = rows.repartition(parts, key) if parts > least else rows.repartition(key)
+    return dealt.mapInArrow(refined(REFINE_BYTES), rows.schema) if n.width > 1 else dealt
 
 
-def by_bucket(routed: DataFrame, n: int, work: Callable[[dict[int, list[bytes]]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
+def by_bucket(routed: DataFrame, n: Buckets, work: Callable[[dict[int, list[bytes]]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
     """Bring the rows of each of n buckets together and run work on {kind: blobs} of one bucket at a time; it gives routed rows."""
 
     def run(batches):
@@ -123,7 +205,7 @@ def by_bucket(routed: DataFrame, n: int, work: Callable[[dict[int, list[bytes]]]
     return _dealt(routed, n).sortWithinPartitions("bucket").mapInArrow(run, ROUTED)
 
 
-def with_documents(rows: DataFrame, routed: DataFrame, n: int, prepare: Callable[[dict[int, list[bytes]]], object], work: Callable[[pa.RecordBatch, object], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def with_documents(rows: DataFrame, routed: DataFrame, n: Buckets, prepare: Callable[[dict[int, list[bytes]]], object], work: Callable[[pa.RecordBatch, object], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Bring keyed() documents and routed rows of each of n buckets together.
 
     prepare gets {kind: blobs} of a bucket, then work its documents with what prepare made, a batch at a time: a bucket's

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasmill.llm.arrays import byte_parts, cover, gram_hashes, minimizers, mix64, odd_numbers, runs_of, word_hashes, words_of
-from atlasmill.llm.routing import ROUTED, Pack, among, batches_of, buckets, by_bucket, by_document, document_bucket, hot_keys, keyed, ranges, with_documents
+from atlasmill.llm.routing import Buckets, Pack, ROUTED, among, batches_of, buckets, by_bucket, by_document, document_bucket, hot_keys, keyed, ranges, with_documents
 from atlasmill.llm.tables import apart, small_batches, together
 from atlasmill.session import materialize
 
@@ -72,12 +72,12 @@ def smallest(group: tuple[np.ndarray, ...], did: np.ndarray) -> tuple[np.ndarray
     return order, did[order][first][np.cumsum(new) - 1] if len(order) else did[:0]
 
 
-def _spans(columns: dict[str, np.ndarray], pick: np.ndarray, n_docs: int) -> list:
+def _spans(columns: dict[str, np.ndarray], pick: np.ndarray, n_docs: Buckets) -> list:
     part = {k: columns[k][pick] for k in SPANS.fields}
-    return SPANS.split(part, document_bucket(part["did"], part["th"], n_docs), SPAN)
+    return SPANS.split(part, document_bucket(part["did"], part["th"], n_docs), SPAN, n_docs.width)
 
 
-def _send(found: list[dict[str, np.ndarray]], hot: list[dict[str, np.ndarray]], n_keys: int, n_docs: int) -> list:
+def _send(found: list[dict[str, np.ndarray]], hot: list[dict[str, np.ndarray]], n_keys: Buckets, n_docs: Buckets) -> list:
     """Routed rows of one task's contexts, and of its hot seeds' windows: those a smaller document of the task has are spans already."""
     all_of = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
     order, low = smallest((all_of["digest"],), all_of["did"])
@@ -86,19 +86,19 @@ def _send(found: list[dict[str, np.ndarray]], hot: list[dict[str, np.ndarray]],
     rows = _spans(all_of, order[again], n_docs)
     part = {k: v[go] for k, v in all_of.items()}
     part["key"] = (part["seed"] >> np.uint64(32)).astype(np.uint32)
-    out = CONTEXTS.split(part, (part["seed"] % np.uint64(n_keys)).astype(np.int32), CONTEXT)
+    out = CONTEXTS.split(part, (part["seed"] % np.uint64(n_keys)).astype(np.int32), CONTEXT, n_keys.width)
     if hot:
         windows = {k: np.concatenate([h[k] for h in hot]) for k in hot[0]}
         order, low = smallest((windows["hash"],), windows["did"])
         again = windows["did"][order] > low
         rows += _spans(windows | {"n": np.ones(len(order), dtype=np.int64)}, order[again], n_docs)
         part = {k: v[order[~again]] for k, v in windows.items()}
-        out += WINDOWS.split(part, (part["hash"] % np.uint64(n_keys)).astype(np.int32), WINDOW)
+        out += WINDOWS.split(part, (part["hash"] % np.uint64(n_keys)).astype(np.int32), WINDOW, n_keys.width)
     # Spans ride along to some key bucket, from where they are passed on.
-    return [(b % n_keys, SPAN, b.to_bytes(4, "little") + data) for b, _, data in rows] + out
+    return [(b % n_keys, SPAN, b.to_bytes(4, "little", signed=True) + data) for b, _, data in rows] + out
 
 
-def find_contexts(rows: DataFrame, n_keys: int, n_docs: int, length: int, hot_seeds: np.ndarray) -> DataFrame:
+def find_contexts(rows: DataFrame, n_keys: Buckets, n_docs: Buckets, length: int, hot_seeds: np.ndarray) -> DataFrame:
     listed = rows.sparkSession.sparkContext.broadcast(hot_seeds)
 
     def run(batches):
@@ -137,10 +137,10 @@ def hot_seeds(rows: DataFrame, length: int, hot: int, share: int) -> np.ndarray:
 
 
 def _forward(blobs: list[bytes]) -> list:
-    return [(int.from_bytes(b[:4], "little"), SPAN, b[4:]) for b in blobs]
+    return [(int.from_bytes(b[:4], "little", signed=True), SPAN, b[4:]) for b in blobs]
 
 
-def _window_spans(got: dict[int, list[bytes]], n_docs: int) -> list:
+def _window_spans(got: dict[int, list[bytes]], n_docs: Buckets) -> list:
     """Spans of the windows of hot seeds that a smaller document has."""
     w = WINDOWS.load(got.get(WINDOW, []))
     order, low = smallest((w["hash"],), w["did"])
@@ -148,7 +148,7 @@ def _window_spans(got: dict[int, list[bytes]], n_docs: int) -> list:
     return _spans(w, order[w["did"][order] > low], n_docs)
 
 
-def meet_on_seeds(routed: DataFrame, n_keys: int, n_docs: int, hot: int) -> DataFrame:
+def meet_on_seeds(routed: DataFrame, n_keys: Buckets, n_docs: Buckets, hot: int) -> DataFrame:
     def work(got):
         rows = _forward(got.get(SPAN, [])) + _window_spans(got, n_docs)
         c = CONTEXTS.load(got.get(CONTEXT, []))
@@ -167,12 +167,12 @@ def meet_on_seeds(routed: DataFrame, n_keys: int, n_docs: int, hot: int) -> Data
         pick = mixed & (did == low)
         part = {k: c[k][order[pick]] for k in ("did", "th", "pos", "n", "a", "key")}
         part |= {"home": part["key"] % np.uint32(n_keys), "hot": np.repeat(kinds > hot, size)[pick]}
-        return rows + REQUESTS.split(part, document_bucket(part["did"], part["th"], n_docs), REQUEST)
+        return rows + REQUESTS.split(part, document_bucket(part["did"], part["th"], n_docs), REQUEST, n_docs.width)
 
     return by_bucket(routed, n_keys, work)
 
 
-def fetch_around(docs: DataFrame, asked: DataFrame, n_keys: int, n_docs: int, length: int) -> DataFrame:
+def fetch_around(docs: DataFrame, asked: DataFrame, n_keys: Buckets, n_docs: Buckets, length: int) -> DataFrame:
     """Hashes of the words of the asked contexts, sent to their seed's bucket; of hot seeds the hashes of their windows."""
 
     def prepare(got):
@@ -204,7 +204,7 @@ def fetch_around(docs: DataFrame, asked: DataFrame, n_keys: int, n_docs: int, le
                 windows, at_window = gram_hashes(words, length, 22), ranges(first[is_hot], n[is_hot])
                 again = np.repeat(pick[is_hot], n[is_hot])
                 columns = {"hash": windows[at_window], "did": asked["did"][again], "th": asked["th"][again], "pos": at_window - np.repeat(base[row[is_hot]], n[is_hot])}
-                yield from WINDOWS.split(columns, (columns["hash"] % np.uint64(n_keys)).astype(np.int32), WINDOW)
+                yield from WINDOWS.split(columns, (columns["hash"] % np.uint64(n_keys)).astype(np.int32), WINDOW, n_keys.width)
 
     def work(table, ready):
         return batches_of(rows_of(table, ready))
@@ -252,7 +252,7 @@ def extend(c: dict[str, np.ndarray], words: np.ndarray, length: int, seed: int =
     return row, c["pos"][row].astype(np.int64) + c["a"][row] - (last - 1), last - first
 
 
-def meet_around(routed: DataFrame, n_keys: int, n_docs: int, length: int) -> DataFrame:
+def meet_around(routed: DataFrame, n_keys: Buckets, n_docs: Buckets, length: int) -> DataFrame:
     """Spans from the extended seeds, and from the windows of hot seeds."""
 
     def work(got):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from atlasmill.llm.arrays import U64, byte_parts, cover, minimizers, mix64, runs_of
-from atlasmill.llm.routing import ROUTED, Pack, among, batches_of, buckets, by_bucket, by_document, document_bucket, hot_keys, keyed, ranges, with_documents
+from atlasmill.llm.routing import Buckets, Pack, ROUTED, among, batches_of, buckets, by_bucket, by_document, document_bucket, hot_keys, keyed, ranges, with_documents
 from atlasmill.llm.tables import small_batches
 from atlasmill.session import materialize
 
@@ -122,10 +122,10 @@ def _differ(documents: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.n
     return np.minimum.reduceat(documents[order], first) != np.maximum.reduceat(documents[order], first)
 
 
-def _spans(columns: dict[str, np.ndarray], pick, n_docs: int, other) -> list:
+def _spans(columns: dict[str, np.ndarray], pick, n_docs: Buckets, other) -> list:
     part = {k: columns[k][pick] for k in ("did", "th", "pos", "n")}
     part["other"] = np.broadcast_to(other, len(part["did"]))
-    return SPANS.split(part, document_bucket(part["did"], part["th"], n_docs), SPAN)
+    return SPANS.split(part, document_bucket(part["did"], part["th"], n_docs), SPAN, n_docs.width)
 
 
 def _windows_of(text: memoryview, pos: int, size: int, lengths: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -139,7 +139,7 @@ def _windows_of(text: memoryview, pos: int, size: int, lengths: tuple[int, int])
     return out
 
 
-def _send(found: list[dict[str, np.ndarray]], windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_keys: int, n_docs: int) -> list:
+def _send(found: list[dict[str, np.ndarray]], windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_keys: Buckets, n_docs: Buckets) -> list:
     """Routed rows of one task's contexts; of those that several of its documents hold the first travels, and all are spans already.
 
     Contexts of hot anchors (those with windows) travel as their windows.
@@ -149,7 +149,7 @@ def _send(found: list[dict[str, np.ndarray]], windows: list[tuple[np.ndarray, np
     size = np.diff(np.append(first, len(order)))
     wide = _differ(_document(c["did"], c["th"]), order, first)
     again = order[np.repeat(wide, size)]
-    rows = [(b % n_keys, SPAN, b.to_bytes(4, "little") + data) for b, _, data in _spans(c, again, n_docs, 1)]
+    rows = [(b % n_keys, SPAN, b.to_bytes(4, "little", signed=True) + data) for b, _, data in _spans(c, again, n_docs, 1)]
     c["multi"] = np.zeros(len(order), dtype=np.uint8)
     c["multi"][order] = np.repeat((size > 1).astype(np.uint8) + wide, size)
     go = np.sort(np.concatenate((order[first], order[~np.repeat(wide, size)])))
@@ -161,13 +161,13 @@ def _send(found: list[dict[str, np.ndarray]], windows: list[tuple[np.ndarray, np
         count = c["windows"][hot]
         at = ranges((np.cumsum(c["windows"]) - c["windows"])[hot], count)
         w = {"hash": hashes[at], "pos": pos[at], "n": n[at], "wide": np.repeat(c["multi"][hot] == 2, count)} | {k: np.repeat(c[k][hot], count) for k in ("did", "th")}
-        rows += WINDOWS.split(w, (w["hash"] % U64(n_keys)).astype(np.int32), WINDOW)
+        rows += WINDOWS.split(w, (w["hash"] % U64(n_keys)).astype(np.int32), WINDOW, n_keys.width)
     part = {k: v[go[~is_hot]] for k, v in c.items()}
     part["key"] = (part["seed"] >> U64(32)).astype(np.uint32)
-    return rows + CONTEXTS.split(part, (part["seed"] % U64(n_keys)).astype(np.int32), CONTEXT)
+    return rows + CONTEXTS.split(part, (part["seed"] % U64(n_keys)).astype(np.int32), CONTEXT, n_keys.width)
 
 
-def find_contexts(rows: DataFrame, n_keys: int, n_docs: int, length: int, shared: int, hot_anchors: np.ndarray) -> DataFrame:
+def find_contexts(rows: DataFrame, n_keys: Buckets, n_docs: Buckets, length: int, shared: int, hot_anchors: np.ndarray) -> DataFrame:
     listed = rows.sparkSession.sparkContext.broadcast(hot_anchors)
 
     def run(batches):
@@ -205,7 +205,7 @@ def hot_anchors(rows: DataFrame, length: int, shared: int, hot: int, share: int)
     return hot_keys(rows, contexts, hot, share)
 
 
-def _window_spans(got: dict[int, list[bytes]], length: int, n_docs: int) -> list:
+def _window_spans(got: dict[int, list[bytes]], length: int, n_docs: Buckets) -> list:
     """Spans of the windows of hot anchors that start elsewhere too."""
     w = WINDOWS.load(got.get(WINDOW, []))
     if not len(w["did"]):
@@ -216,9 +216,9 @@ def _window_spans(got: dict[int, list[bytes]], length: int, n_docs: int) -> list
     return _spans(w, order[other], n_docs, 1) + _spans(w, order[~other & np.repeat(size > 1, size) & (w["n"][order] >= length)], n_docs, 0)
 
 
-def meet_on_anchors(routed: DataFrame, n_keys: int, n_docs: int, hot: int, length: int) -> DataFrame:
+def meet_on_anchors(routed: DataFrame, n_keys: Buckets, n_docs: Buckets, hot: int, length: int) -> DataFrame:
     def work(got):
-        rows = [(int.from_bytes(b[:4], "little"), SPAN, b[4:]) for b in got.get(SPAN, [])] + _window_spans(got, length, n_docs)
+        rows = [(int.from_bytes(b[:4], "little", signed=True), SPAN, b[4:]) for b in got.get(SPAN, [])] + _window_spans(got, length, n_docs)
         c = CONTEXTS.load(got.get(CONTEXT, []))
         if not len(c["did"]):
             return rows
@@ -240,12 +240,12 @@ def meet_on_anchors(routed: DataFrame, n_keys: int, n_docs: int, hot: int, lengt
         pick = np.repeat(ask, size) & (one | ~np.repeat(wide, size))
         part = {k: c[k][order[pick]] for k in ("did", "th", "pos", "n", "a", "key")}
         part |= {"wide": np.repeat(wide, size)[pick], "hot": np.repeat(np.repeat(kinds > hot, kinds), size)[pick], "home": (part["key"] % np.uint32(n_keys))}
-        return rows + REQUESTS.split(part, document_bucket(part["did"], part["th"], n_docs), REQUEST)
+        return rows + REQUESTS.split(part, document_bucket(part["did"], part["th"], n_docs), REQUEST, n_docs.width)
 
     return by_bucket(routed, n_keys, work)
 
 
-def fetch(docs: DataFrame, asked: DataFrame, n_keys: int, n_docs: int, length: int, shared: int) -> DataFrame:
+def fetch(docs: DataFrame, asked: DataFrame, n_keys: Buckets, n_docs: Buckets, length: int, shared: int) -> DataFrame:
     """The bytes of the asked contexts, sent to their anchor's bucket; of hot anchors the hashes of their windows."""
 
     def prepare(got):
@@ -264,7 +264,7 @@ def fetch(docs: DataFrame, asked: DataFrame, n_keys: int, n_docs: int, length: i
             for j in mine[asked["hot"][mine] > 0].tolist():
                 for hashes, pos, n in _windows_of(view, int(asked["pos"][j]), int(asked["n"][j]), (length, shared)):
                     w = {"hash": hashes, "did": np.full(len(n), did), "th": np.full(len(n), th), "pos": pos, "n": n, "wide": np.full(len(n), asked["wide"][j])}
-                    yield from WINDOWS.split(w, (hashes % U64(n_keys)).astype(np.int32), WINDOW)
+                    yield from WINDOWS.split(w, (hashes % U64(n_keys)).astype(np.int32), WINDOW, n_keys.width)
             cool = mine[asked["hot"][mine] == 0]
             for home in np.unique(asked["home"][cool]).tolist():
                 pick = cool[asked["home"][cool] == home]
@@ -350,7 +350,7 @@ def maximal_repeats(contexts: list[bytes], anchors: list[int], length: int = LEN
             stack.append((prefix, parts))
 
 
-def compare(routed: DataFrame, n_keys: int, n_docs: int, length: int, shared: int) -> DataFrame:
+def compare(routed: DataFrame, n_keys: Buckets, n_docs: Buckets, length: int, shared: int) -> DataFrame:
     """Spans from the interval trees of the fetched contexts, and from the counted windows of hot anchors."""
 
     def work(got):
@@ -376,7 +376,7 @@ def compare(routed: DataFrame, n_keys: int, n_docs: int, length: int, shared: in
                 spans.append((c["did"][group][members], c["th"][group][members], place[members] - left, left + right, np.full(len(left), other)))
         if spans:
             columns = dict(zip(SPANS.fields, (np.concatenate(x) for x in zip(*spans))))
-            yield from SPANS.split(columns, document_bucket(columns["did"], columns["th"], n_docs), SPAN)
+            yield from SPANS.split(columns, document_bucket(columns["did"], columns["th"], n_docs), SPAN, n_docs.width)
         yield from _window_spans(got, length, n_docs)
 
     return by_bucket(routed, n_keys, work)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from atlasmill.llm import jaccard, substring, suffix
-from tests.llm.data import SCHEMA, frame, rows
+from tests.llm.data import SCHEMA, frame, rows, texts
 
 BIG = (1 << 63) - 1
 
@@ -214,3 +214,27 @@ def test_tree_overlaps():
             common = len(np.intersect1d(sets[q], sets[k]))
             linked = Fraction(common, len(sets[q]) + len(sets[k]) - common) >= Fraction(8, 10)
             assert (got[place] == common) if linked else (got[place] in (-1,))
+
+
+@pytest.mark.parametrize("refine", [32 << 20, 1000])
+def test_partitions_of_many_buckets(spark, monkeypatch, refine):
+    """Buckets that share partitions, and rows packed for a partition, change no row of any operator."""
+    from atlasmill.llm import decontam, jaccard, routing, substring, suffix
+
+    docs, items = frame(spark), spark.createDataFrame([(i, t[:300]) for i, t in enumerate(texts()[:9]) if t], "item_id long, text string")
+    work = [lambda: substring.substring_dedup(docs), lambda: substring.substring_dedup(docs, hot=1), lambda: suffix.repeated_bytes_removed(docs), lambda: suffix.repeated_bytes_removed(docs, hot=1), lambda: jaccard.jaccard_groups(docs).drop("group"), lambda: decontam.leaks(docs, items), lambda: substring.cut_repeats(docs, 20)]
+    plain = [sorted(map(repr, f().collect())) for f in work]
+    monkeypatch.setattr(routing, "BUCKET_BYTES", 400)
+    monkeypatch.setattr(routing, "PARTITIONS", 2)
+    monkeypatch.setattr(routing, "REFINE_BYTES", refine)
+    assert routing.buckets(docs).width > 1
+    assert [sorted(map(repr, f().collect())) for f in work] == plain
+
+
+def test_numbers_of_partitions():
+    from atlasmill.llm import routing
+
+    for size, n, width, parts in ((30e9, 895, 1, 895), (1e12, 29803, 6, 4968), (100e12, 2980233, 54, 55190)):
+        b = routing.Buckets.of(-(-int(size) // routing.BUCKET_BYTES))
+        assert (int(b), b.width, -(-b // b.width)) == (n, width, parts)
+        assert size / parts < 2e9
