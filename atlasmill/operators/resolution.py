@@ -70,11 +70,17 @@ def band(total: Column, params: Params = DEFAULT) -> Column:
 
 
 class Resolution:
-    """clusters (ord, cluster), cluster_scores, queued pairs and discarded places of one run."""
+    """clusters (ord, cluster), cluster_scores, queued pairs and discarded places of one run.
+
+    ord tells places apart and is their order: a null or repeated one is an error.
+    """
 
     def __init__(self, places: DataFrame, params: Params = DEFAULT):
         self.params = params
         self.places, self.discarded = valid(places)
+        wrong = places.groupBy("ord").agg(F.count("*").alias("n")).where("ord is null or n > 1").first()
+        if wrong is not None:
+            raise ValueError(f"ord {wrong['ord']} is not the number of one place: it is there {wrong['n']} times")
         self.scored = materialize(pair_scores(candidate_pairs(self.places, params), params), "scored")
         labels = connected_components(self.scored.where(F.col("total") >= params.merge_from), "a", "b")
         self.labels = materialize(labels, "labels")
@@ -179,7 +185,7 @@ def merge_clusters(members: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def queue_payload(pairs: DataFrame, places: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Queued pairs as JSON: both candidates, the scores, and the lower one's geohash."""
-    keep = [c for c in places.columns if c not in ("raw_payload", "extracted_at")]
+    keep = [c for c in places.columns if c not in ("raw_payload", "extracted_at", "origin")]
     side = F.struct(*keep)
     a, b = places.select(F.col("ord").alias("a"), side.alias("candidate_a")), places.select(F.col("ord").alias("b"), side.alias("candidate_b"))
     joined = pairs.join(a, "a").join(b, "b")

@@ -15,13 +15,13 @@ RAW_PLACE = {
     "cover_photo_url": "string", "wikidata_id": "string", "wikipedia_url_tr": "string", "wikipedia_url_en": "string",
     "osm_type": "string", "osm_id": "bigint", "tarihi_yapim_yili": "int", "unesco": "boolean",
     "has_required_fields": "boolean", "missing_field_reasons": "array<string>", "extracted_at": "timestamp",
-    "raw_payload": "string", "ord": "bigint",
+    "raw_payload": "string", "origin": "string", "ord": "bigint",
 }
 NAMES = ("name_tr", "name_en", "name_de", "name_fr", "name_ar")
 
 
 def as_raw_place(df: DataFrame) -> DataFrame:
-    """All RAW_PLACE columns in order: present ones cast, missing ones empty (arrays, maps, false) or null."""
+    """All RAW_PLACE columns in order (ord is the place in the payload until a run numbers its places, origin the payload): present ones cast, missing ones empty (arrays, maps, false) or null."""
     empty = {"other_names": "map()", "has_required_fields": "true", "unesco": "false"}
 
     def column(name: str, kind: str) -> Column:

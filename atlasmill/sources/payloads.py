@@ -33,7 +33,12 @@ def read_payload(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON snapshot, bare or in a {metadata, data} envelope."""
     raw = spark.read.option("multiLine", "true").schema(f"metadata struct<source:string,idempotency_key:string,extracted_at:string>, data struct<{_fields(schema)}>, {schema}").json(path)
     name = schema.split(" ", 1)[0]
-    return raw.select(F.coalesce(F.col(f"data.{name}"), F.col(name)).alias(name), F.col("metadata.extracted_at").try_cast("timestamp").alias("extracted_at"))
+    return raw.select(F.coalesce(F.col(f"data.{name}"), F.col(name)).alias(name), F.col("metadata.extracted_at").try_cast("timestamp").alias("extracted_at"), F.col("_metadata.file_path").alias("origin"))
+
+
+def _when_and_where(payload: DataFrame) -> list[Column]:
+    """Time and identity of a payload, null where it does not say."""
+    return [(F.col(c) if c in payload.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (("extracted_at", "timestamp"), ("origin", "string"))]
 
 
 def _fields(schema: str) -> str:
@@ -48,7 +53,7 @@ def _missing(name: Column, cats: Column, least: int) -> Column:
 
 def overpass_places(payload: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Elements with coordinates as raw places; a way's centre stands for it, and 'name' for a missing 'name:tr'."""
-    rows = payload.select(F.posexplode("elements").alias("ord", "e"))
+    rows = payload.select(*_when_and_where(payload), F.posexplode("elements").alias("ord", "e"))
     t = F.col("e.tags")
 
     def tag(key: str) -> Column:
@@ -71,7 +76,7 @@ def overpass_places(payload: DataFrame, params: Params = DEFAULT) -> DataFrame:
         C.osm_categories(t).alias("canonical_categories"), C.osm_raw_categories(t).alias("raw_categories"), osm_hours(tag("opening_hours")).alias("opening_hours"),
         F.when(tag("wikidata").startswith("Q"), tag("wikidata")).alias("wikidata_id"), page("tr").alias("wikipedia_url_tr"), page("en").alias("wikipedia_url_en"),
         F.col("e.type").alias("osm_type"), F.col("e.id").alias("osm_id"), leading_year(tag("start_date")).alias("tarihi_yapim_yili"), C.mentions_unesco(t).alias("unesco"),
-        F.to_json("e").alias("raw_payload"), F.col("ord").cast("long").alias("ord"),
+        F.to_json("e").alias("raw_payload"), "extracted_at", "origin", F.col("ord").cast("long").alias("ord"),
     )
     reasons = _missing(F.coalesce("name_tr", "name_en", "name_de", "name_fr", "name_ar"), F.col("canonical_categories"), params.min_name)
     out = out.withColumn("missing_field_reasons", reasons).withColumn("has_required_fields", ~F.array_contains("missing_field_reasons", "name"))
@@ -79,10 +84,10 @@ def overpass_places(payload: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def wikidata_places(payload: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Query bindings as raw places; rows of one item are merged with any value of each column."""
-    rows = payload.select(F.posexplode("results.bindings").alias("ord", "b"))
-    flat = rows.select("ord", *[F.col(f"b.{k}.value").alias(k) for k in BINDING_KEYS])
-    flat = flat.groupBy("item").agg(F.min("ord").alias("ord"), *[F.min(k).alias(k) for k in BINDING_KEYS if k not in ("item", "typeIds")], F.array_join(F.array_sort(F.collect_set("typeIds")), "|").alias("typeIds"))
+    """Query bindings as raw places; rows of one item in a payload are merged with any value of each column."""
+    rows = payload.select(*_when_and_where(payload), F.posexplode("results.bindings").alias("ord", "b"))
+    flat = rows.select("extracted_at", "origin", "ord", *[F.col(f"b.{k}.value").alias(k) for k in BINDING_KEYS])
+    flat = flat.groupBy("extracted_at", "origin", "item").agg(F.min("ord").alias("ord"), *[F.min(k).alias(k) for k in BINDING_KEYS if k not in ("item", "typeIds")], F.array_join(F.array_sort(F.collect_set("typeIds")), "|").alias("typeIds"))
     flat = flat.withColumn("p", parse_point(F.col("coord"))).where("p.lat is not null and p.lng is not null")
     label = F.when(~F.col("itemLabel").rlike("^Q\\d+$"), F.col("itemLabel"))
     image = F.substring_index("image", "/", -1)
@@ -95,7 +100,7 @@ def wikidata_places(payload: DataFrame, params: Params = DEFAULT) -> DataFrame:
         F.when(F.col("image").startswith("http"), F.col("image")).otherwise(F.concat(F.lit("https://commons.wikimedia.org/wiki/Special:FilePath/"), F.replace(image, F.lit(" "), F.lit("_")))).alias("cover_photo_url"),
         F.substring_index("item", "/", -1).alias("wikidata_id"), F.col("wikipediaTr").alias("wikipedia_url_tr"), F.col("wikipediaEn").alias("wikipedia_url_en"),
         inception_year(F.col("inception")).alias("tarihi_yapim_yili"), F.coalesce(F.substring_index("heritageStatus", "/", -1) == "Q9259", F.lit(False)).alias("unesco"),
-        F.col("ord").cast("long").alias("ord"),
+        "extracted_at", "origin", F.col("ord").cast("long").alias("ord"),
     )
     reasons = _missing(F.coalesce("name_tr", "name_en", "name_de", "name_fr", "name_ar"), F.col("canonical_categories"), params.min_name)
     return as_raw_place(out.withColumn("missing_field_reasons", reasons).withColumn("has_required_fields", ~F.array_contains("missing_field_reasons", "name")))
@@ -111,9 +116,14 @@ def _first_present(row: Column, keys: tuple[str, ...]) -> Column:
 
 def ckan_places(payload: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Rows of open-data tables whose columns are matched by name; those without name or coordinates in the fence go."""
-    sets = payload.select(F.posexplode("datasets").alias("dpos", "d"))
-    first = sets.groupBy("d.name").agg(F.min_by("d", "dpos").alias("d"), F.min("dpos").alias("dpos"))
-    rows = first.select("dpos", "d", F.posexplode("d.resources").alias("rpos", "r")).select("dpos", "rpos", "d", "r", F.posexplode("r.records").alias("pos", "row"))
+    sets = payload.select(*_when_and_where(payload), F.posexplode("datasets").alias("dpos", "d"))
+    # Of the datasets of one name in a snapshot the first counts. Only names and places are grouped, not the records.
+    place = F.struct("origin", "dpos")
+    seen = sets.groupBy("extracted_at", F.col("d.name").alias("name")).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("extracted_at", "name", "first")
+    rows = sets.select("extracted_at", "origin", "dpos", F.struct("d.name", "d.license_id").alias("d"), F.posexplode("d.resources").alias("rpos", "r"))
+    rows = rows.select("extracted_at", "origin", "dpos", "rpos", "d", F.struct("r.id").alias("r"), F.posexplode("r.records").alias("pos", "row"))
+    again = seen.select(F.col("extracted_at").alias("_at"), F.col("name").alias("_name"), "first")
+    rows = rows.join(again, F.col("extracted_at").eqNullSafe(F.col("_at")) & F.col("d.name").eqNullSafe(F.col("_name")), "left").where(F.col("first").isNull() | place.eqNullSafe(F.col("first"))).drop("_at", "_name", "first")
     rows = rows.withColumn("m", F.transform_keys("row", lambda k, _: tr_casefold(k)))
     m = F.col("m")
     rows = rows.withColumn("name_tr", normalize_text(_first_present(m, NAME_KEYS))).withColumn("lat", to_float(_first_present(m, LAT_KEYS))).withColumn("lng", to_float(_first_present(m, LNG_KEYS)))
@@ -126,18 +136,17 @@ def ckan_places(payload: DataFrame, params: Params = DEFAULT) -> DataFrame:
         F.coalesce(F.nullif("d.license_id", F.lit("")), F.lit(CC_BY_4)).alias("license"), "name_tr", "lat", "lng",
         C.turkish_category(tr_casefold(F.coalesce("category", F.lit("")))).alias("canonical_categories"),
         F.when(F.col("category").isNotNull(), F.array(F.concat(F.lit("bizizmir="), "category"))).otherwise(F.expr(C.EMPTY)).alias("raw_categories"),
-        turkish_hours(F.col("hours")).alias("opening_hours"), F.to_json("row").alias("raw_payload"),
+        turkish_hours(F.col("hours")).alias("opening_hours"), F.to_json("row").alias("raw_payload"), "extracted_at", "origin",
         (F.col("dpos").cast("long") * 1000000000000 + F.col("rpos").cast("long") * 100000000 + F.col("pos")).alias("ord"),
     )
     return as_raw_place(out.withColumn("missing_field_reasons", _missing(F.col("name_tr"), F.col("canonical_categories"), params.min_name)).withColumn("has_required_fields", F.lit(True)))
 
 
 def union_sources(*places: DataFrame) -> DataFrame:
-    """Bag union in source order; ord keeps that order as one number."""
-    out = None
-    for rank, part in enumerate(places):
-        part = part.withColumn("ord", F.col("ord") + F.lit(rank * 10**15))
-        out = part if out is None else out.unionByName(part)
+    """Bag union. What ord says within a payload, origin and extracted_at say between them: see runs.in_run_order."""
+    out = places[0]
+    for part in places[1:]:
+        out = out.unionByName(part)
     return out
 
 
