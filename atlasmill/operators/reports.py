@@ -177,11 +177,12 @@ def tour(lat: np.ndarray, lng: np.ndarray) -> list[int]:
 def order_stops(stops: DataFrame, most: int = 250) -> DataFrame:
     """A short visiting order for each route from its first stop: route_id, place_id, visit.
 
-    Routes with more than `most` stops break the limit on stops (see stop_violations) and get no order. Stops come
-    sorted by route, so a task holds one route at a time.
+    Routes with more than `most` stops break the limit on stops (see stop_violations) and get no order: the visit of
+    their stops is null. Stops come sorted by route, so a task holds one route at a time.
     """
     fits = stops.groupBy("route_id").agg(F.count("*").alias("n")).where(F.col("n") <= most)
     rows = stops.select("route_id", "place_id", "order_index", "lat", "lng").join(fits.select("route_id"), "route_id", "left_semi")
+    over = stops.join(fits.select("route_id"), "route_id", "left_anti").select(F.col("route_id").cast("long"), F.col("place_id").cast("long"), F.lit(None).cast("long").alias("visit"))
 
     def run(batches):
         held = None
@@ -201,4 +202,4 @@ def order_stops(stops: DataFrame, most: int = 250) -> DataFrame:
         if len(visit):
             yield from table.select(["route_id", "place_id"]).slice(0, len(visit)).append_column("visit", pa.array(visit)).to_batches()
 
-    return rows.repartition("route_id").sortWithinPartitions("route_id", "order_index", "place_id").mapInArrow(run, "route_id long, place_id long, visit long")
+    return rows.repartition("route_id").sortWithinPartitions("route_id", "order_index", "place_id").mapInArrow(run, "route_id long, place_id long, visit long").union(over)

@@ -5,10 +5,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from atlasmill.operators import resolution
+from atlasmill.operators import gold, resolution, schedules
 from atlasmill.operators.numbering import numbered
 from atlasmill.operators.runs import BatchRun, in_run_order, latest
 from atlasmill.sources import payloads as S
+from atlasmill.plans import tables as T
+from atlasmill.streaming.incremental import IncrementalResolution
+from tests.conftest import SF
 
 
 def test_numbers(spark):
@@ -54,3 +57,89 @@ def test_datasets_of_one_name(spark, tmp_path):
         (tmp_path / f"{file}.json").write_text(json.dumps({"metadata": {"extracted_at": f"2024-01-{day:02}T00:00:00Z"}, "data": {"datasets": sets}}))
     got = S.ckan_places(S.read_payload(spark, str(tmp_path), S.CKAN)).collect()
     assert sorted(r.name_tr for r in got) == ["Yer a0", "Yer b1", "Yer c0"]
+
+
+def everything(state):
+    places = [(r.id, r.slug, r.members, round(r.kalite_skoru, 2), r.isim) for r in state.places().collect()]
+    return sorted(map(tuple, state.clusters().collect())), sorted(places, key=repr), sorted((r.a, r.b) for r in state.queued().collect())
+
+
+def test_incremental_equals_one_run(spark, tmp_path):
+    """Batches in two orders, one of them repeated, with places seen before; then compaction and a further batch."""
+    rows = T.raw_places(spark, SF).where("ord < 90")
+    once = resolution.Resolution(rows)
+    merged = resolution.merge_clusters(once.places.join(once.clusters, "ord"))
+    places = [(r.id, r.slug, r.members, round(r.kalite_skoru, 2), r.isim) for r in gold.gold_places(merged, once.cluster_scores()).collect()]
+    want = sorted(map(tuple, once.clusters.collect())), sorted(places, key=repr), sorted((r.a, r.b) for r in once.queued().collect())
+    part = F.pmod(F.xxhash64(F.col("ord").cast("string")), F.lit(3))
+    for name, order in (("x", (0, 1, 2)), ("y", (2, 0, 1))):
+        state = IncrementalResolution(spark, str(tmp_path / name))
+        for number, which in enumerate(order):
+            batch = rows.where((part == which) | (F.col("ord") == 5))
+            state.add(batch, number)
+            if number == 1:
+                state.add(batch, number)  # a batch that is run again replaces its first run
+                state.compact()
+        assert everything(state) == want
+    state.compact()
+    assert everything(state) == want
+
+
+def test_incremental_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    rows, state = T.raw_places(spark, SF).where("ord < 30"), IncrementalResolution(spark, str(tmp_path / "state"))
+    for low, high in ((0, 16), (16, 30)):
+        rows.where((F.col("ord") >= low) & (F.col("ord") < high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        state.run(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    assert sorted(map(tuple, state.clusters().collect())) == sorted(map(tuple, resolution.Resolution(rows).clusters.collect()))
+    assert spark.read.parquet(str(tmp_path / "state/records")).count() == 30
+
+
+def test_day_plans(spark):
+    """Short routes against all orders of all sets of stops; long ones are feasible, and every stop has a row."""
+    from itertools import permutations
+
+    import numpy as np
+
+    rng = __import__("random").Random(3)
+    begin, end, speed = 9 * 3600, 17 * 3600, 50 / 3.6
+    rows = []
+    for r in range(60):
+        for i in range(1 + r % 6):
+            shut, opens = rng.random() < 0.1, rng.randrange(8, 13) * 3600
+            rows.append((r, 100 * r + i, i, 38 + rng.random() / 5, 27 + rng.random() / 5, None if shut else opens, None if shut else opens + rng.randrange(1, 7) * 3600, rng.randrange(1, 6) * 1800))
+    rows += [(r, 1000 * r + i, i, 38 + rng.random() / 50, 27 + rng.random() / 50, 8 * 3600, 18 * 3600, 600) for r in (70, 71) for i in range(70)] + [(99, i, i, 38.0, 27.0, 0, 1, 1) for i in range(251)]
+    stops = spark.createDataFrame(rows, "route_id long, place_id long, order_index long, lat double, lng double, opens long, closes long, stay long").repartition(5)
+    by = {}
+    for x in rows:
+        by.setdefault(x[0], []).append(x)
+
+    def ends(path, s):
+        now, at = begin, s[0]
+        for j in path:
+            if s[j][5] is None:
+                return None
+            now = max(now + int(schedules.seconds_between(*(np.array(v) for v in (at[3], at[4], s[j][3], s[j][4])), speed)), s[j][5])
+            if now + s[j][7] > min(s[j][6], end):
+                return None
+            now, at = now + s[j][7], s[j]
+        return now
+
+    for sets in (1 << 14, 0):
+        got = {}
+        for x in schedules.day_plans(stops, sets=sets).collect():
+            got.setdefault(x.route_id, []).append(x)
+        assert {r: len(v) for r, v in got.items()} == {r: len(v) for r, v in by.items()}
+        assert {x.status for x in got[99]} == {"over_limit"}
+        full = 0
+        for r, s in by.items():
+            path = [x.order_index for x in sorted((x for x in got[r] if x.visit is not None), key=lambda x: x.visit)]
+            assert all((x.status == "closed") == (s[x.order_index][5] is None) for x in got[r] if r != 99)
+            if r < 60:
+                every = [(-n, ends(p, s), p) for n in range(len(s) + 1) for p in permutations(range(len(s)), n)]
+                best = min((n, e) for n, e, _ in every if e is not None)
+                mine = (-len(path), ends(path, s))
+                assert mine[1] is not None and (mine == best or sets == 0)
+                full += mine[0] == best[0]
+            elif r < 99:
+                assert ends(path, s) is not None and len(path) > 30
+        assert full >= (60 if sets else 52)
