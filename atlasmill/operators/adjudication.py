@@ -90,6 +90,14 @@ def source_bound(sources: Column, a: Column, b: Column) -> Column:
     return F.coalesce((F.size(held) > 0) & F.forall(F.map_values(held), lambda v: F.array_contains(F.array_compact(allowed), F.lower(v))), F.lit(False))
 
 
+def answer_event(params: Params = DEFAULT) -> Column:
+    """What an answer (http_status, decision, confidence, error, apply_error) means for its item; null without an answer."""
+    return (
+        F.when(F.col("http_status").isNull(), None).when(F.col("http_status") != 200, "api_error").when(F.col("error").isNotNull(), "schema_error")
+        .when(F.col("confidence") < params.min_confidence, "low_confidence").when(F.coalesce("apply_error", F.lit(False)), "apply_error").otherwise(F.col("decision"))
+    )
+
+
 def transition(queue: DataFrame, answers: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """The queue after one round: new status, retry count and the event behind it; items without an answer stay.
 
@@ -100,11 +108,7 @@ def transition(queue: DataFrame, answers: DataFrame, params: Params = DEFAULT) -
     fields = ["http_status", "decision", "confidence", "error", "apply_error"]
     once = answers.groupBy("queue_id").agg(F.max_by(F.struct(*fields), best).alias("a")).select("queue_id", *[f"a.{f}" for f in fields])
     d = queue.join(once, "queue_id", "left")
-    event = (
-        F.when(F.col("http_status").isNull(), None).when(F.col("http_status") != 200, "api_error").when(F.col("error").isNotNull(), "schema_error")
-        .when(F.col("confidence") < params.min_confidence, "low_confidence").when(F.coalesce("apply_error", F.lit(False)), "apply_error").otherwise(F.col("decision"))
-    )
-    d = d.withColumn("event", event)
+    d = d.withColumn("event", answer_event(params))
     again = F.col("event").isin("api_error", "schema_error", "low_confidence", "apply_error")
     retries = F.col("retry_count") + F.when(again, 1).otherwise(0)
     status = (

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from atlasmill.config import DEFAULT, Params
 from atlasmill.session import scratch_path
 
 
@@ -48,3 +50,100 @@ def queue_consumer(items: DataFrame, answer: Callable[[DataFrame], DataFrame], s
         step(batch, answer(batch)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return run_available(items, each)
+
+
+# --- the decision queue as a state machine ---------------------------------------------------------------------------
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+QUEUE_LOG = "queue_id long, step int, event string, status string, retry_count int, at timestamp"
+#: Events that send an item round again.
+AGAIN = ("api_error", "schema_error", "low_confidence", "apply_error", "timeout")
+
+
+class QueueMachine(StatefulProcessor):
+    """One item of the queue: asked when it comes, moved by each answer, asked again until it is decided or out of retries.
+
+    State is the status, the retry count, the number of steps and when the open question runs out; a timer takes a
+    question without an answer as a failed one. Events of other states (a second answer, an item that is there) change
+    nothing, so what a source delivers twice counts once.
+    """
+
+    def __init__(self, retries: int, patience_s: int):
+        self.retries, self.patience_s = retries, patience_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.item = handle.getValueState("item", "status string, retry_count int, step int, due long")
+
+    def _rows(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame([(key[0], *r[:4], pd.Timestamp(r[4], unit="ms")) for r in rows], columns=["queue_id", "step", "event", "status", "retry_count", "at"])
+
+    def _ask(self, status: str, retry_count: int, step: int, at: int) -> None:
+        due = at + 1000 * self.patience_s
+        self.item.update((status, retry_count, step, due))
+        self.handle.registerTimer(due)
+
+    def _move(self, event: str, at: int) -> tuple:
+        status, retry_count, step, due = self.item.get()
+        self.handle.deleteTimer(due)
+        retry_count += event in AGAIN
+        # An answer that could not be applied stays open, whatever its count; it is asked no more once retries are used up.
+        if event in AGAIN:
+            status = "retry" if retry_count < self.retries or event == "apply_error" else "rejected"
+        else:
+            status = {"merge": "merged", "split": "approved"}.get(event, "rejected")
+        if status == "retry" and retry_count < self.retries:
+            self._ask(status, retry_count, step + 1, at)
+        else:
+            self.item.update((status, retry_count, step + 1, 0))
+        return step + 1, event, status, retry_count, at
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts", "kind", "seq"])
+        out = []
+        for at, kind, event, status, retry_count in zip(batch["ts"].astype("datetime64[ms]").astype("int64"), batch["kind"], batch["event"], batch["status"], batch["retry_count"]):
+            if kind == "item" and not self.item.exists():
+                open_ = status in ("pending", "retry") and retry_count < self.retries
+                self._ask(status, int(retry_count), 0, int(at)) if open_ else self.item.update((status, int(retry_count), 0, 0))
+                out.append((0, "queued", status, int(retry_count), int(at)))
+            elif kind == "answer" and self.item.exists() and self.item.get()[3]:
+                due = self.item.get()[3]
+                while due and due <= at:  # its question ran out before the answer came, in the same batch
+                    out.append(self._move("timeout", due))
+                    due = self.item.get()[3]
+                if due:
+                    out.append(self._move(event, int(at)))
+        yield from self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self.item.get()[3] if self.item.exists() else 0
+        if due and due <= expiredTimerInfo.getExpiryTimeInMs():
+            yield from self._rows(key, [self._move("timeout", due)])
+
+    def close(self) -> None:
+        pass
+
+
+def queue_machine(events: DataFrame, params: Params = DEFAULT, patience_s: int = 3600, delay: str = "0 seconds") -> DataFrame:
+    """The steps of all items of a stream of events: queue_id, step (0: queued), event, status, retry_count, at.
+
+    events: queue_id, ts, kind ('item' with status and retry_count, 'answer' with event, see adjudication.answer_event,
+    'tick' moves time only) and seq, which orders equal times. Time is that of the events, so a run over old files gives
+    what a live run gave; a question that got no answer within the patience counts as failed once the watermark passes.
+    """
+    keyed = events.select("queue_id", F.col("ts").cast("timestamp").alias("ts"), "kind", F.col("seq").cast("long").alias("seq"), "event", "status", "retry_count").withWatermark("ts", delay)
+    machine = QueueMachine(params.max_retries, patience_s)
+    return keyed.groupBy("queue_id").transformWithStateInPandas(statefulProcessor=machine, outputStructType=QUEUE_LOG, outputMode="Append", timeMode="EventTime")
+
+
+def machine_log(steps: DataFrame, sink: str, checkpoint: str | None = None) -> DataFrame:
+    """Run the machine over all that is there, and give its log: each micro-batch overwrites its own directory, so a restart logs nothing twice."""
+    spark, key = steps.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        run_available(steps, lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch={n}"), checkpoint=checkpoint or f"{sink}-checkpoint")
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(QUEUE_LOG).parquet(sink)

@@ -10,6 +10,7 @@ from atlasmill.operators.numbering import numbered
 from atlasmill.operators.runs import BatchRun, in_run_order, latest
 from atlasmill.sources import payloads as S
 from atlasmill.plans import tables as T
+from atlasmill.streaming import jobs
 from atlasmill.streaming.incremental import IncrementalResolution
 from tests.conftest import SF
 
@@ -143,3 +144,27 @@ def test_day_plans(spark):
             elif r < 99:
                 assert ends(path, s) is not None and len(path) > 30
         assert full >= (60 if sets else 52)
+
+
+def test_queue_machine_restarts(spark, tmp_path):
+    """Item 1 is answered after two failures, 2 never, 3 twice; a restart between the answers repeats no step."""
+    schema = "queue_id long, ts timestamp, kind string, seq long, event string, status string, retry_count int"
+
+    def at(minute):
+        return __import__("datetime").datetime(2024, 1, 1, minute // 60, minute % 60)
+
+    items = [(i, at(0), "item", 0, None, "pending", 0) for i in (1, 2, 3)] + [(4, at(0), "item", 0, None, "merged", 0), (1, at(1), "answer", 1, "api_error", None, None)]
+    later = [(1, at(2), "answer", 2, "low_confidence", None, None), (1, at(0), "item", 0, None, "pending", 0), (3, at(2), "answer", 1, "reject", None, None), (3, at(3), "answer", 1, "merge", None, None), (9, at(2), "answer", 1, "merge", None, None)]
+    last = [(1, at(4), "answer", 3, "merge", None, None)]
+    ticks = [[(-1, at(m), "tick", 0, None, None, None)] for m in (200, 400, 600, 800)]
+    runs = []
+    for rows in (items, later, last, *ticks):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        steps = jobs.queue_machine(jobs.read_events(spark, str(tmp_path / "in"), schema, 1), delay="10 minutes")
+        runs.append(jobs.machine_log(steps, str(tmp_path / "log"), str(tmp_path / "checkpoint")))
+    got = sorted((r.queue_id, r.step, r.event, r.status, r.retry_count) for r in runs[-1].collect())
+    assert got == [
+        (1, 0, "queued", "pending", 0), (1, 1, "api_error", "retry", 1), (1, 2, "low_confidence", "retry", 2), (1, 3, "merge", "merged", 2),
+        (2, 0, "queued", "pending", 0), (2, 1, "timeout", "retry", 1), (2, 2, "timeout", "retry", 2), (2, 3, "timeout", "rejected", 3),
+        (3, 0, "queued", "pending", 0), (3, 1, "reject", "rejected", 0), (4, 0, "queued", "merged", 0),
+    ]
