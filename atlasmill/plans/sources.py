@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atlasmill.operators import adjudication, gold, serving, social
 from atlasmill.plans import tables as T
 from atlasmill.plans.registry import query
 from atlasmill.session import scratch_path
+from atlasmill.sources import paged as paging
 from atlasmill.sources import payloads
 from atlasmill.streaming import jobs
 
@@ -115,6 +116,43 @@ def ckan_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(source.alias("source_id"), "license", "name_tr", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"), F.array_join("canonical_categories", ",").alias("categories"), F.array_join("raw_categories", ",").alias("raw"), F.size("opening_hours").alias("slots"))
 
 
+PAGE = 100
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS n, {POINT} FROM customer WHERE c_custkey % 6 <> 5 AND c_custkey % 7 <> 6)
+    SELECT 'bizizmir:all:' || CASE WHEN n % 2 = 0 OR n % 4 = 1 THEN n::VARCHAR ELSE 'hash' END AS source_id, 'Müze ' || n AS name_tr, round(lat, 5) AS lat, round(lng, 5) AS lng, CASE WHEN n % 2 = 0 THEN 7 ELSE 0 END AS slots,
+           n - (SELECT min(c_custkey) FROM customer) AS ord FROM c""")
+def paged_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of one table, saved as responses of PAGE records each, one of them twice and a last one that is empty."""
+    records = ckan(spark, sf_dir).select(F.get("datasets", F.lit(0)).alias("d")).select(F.regexp_extract("d.name", "(\\d+)$", 1).cast("bigint").alias("n"), F.get(F.get("d.resources", F.lit(0))["records"], F.lit(0)).alias("row"))
+    first = records.agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    paged = records.join(F.broadcast(first)).groupBy(F.floor((F.col("n") - F.col("low")) / PAGE).alias("page")).agg(F.array_sort(F.collect_list(F.struct("n", "row")), lambda a, b: (a["n"] - b["n"]).cast("int")).alias("rows"))
+    after = first.select(F.floor((F.col("high") - F.col("low") + PAGE) / PAGE).alias("page"), F.array().cast("array<map<string,string>>").alias("records"))
+    pages = paged.select("page", F.transform("rows", lambda r: r["row"]).alias("records")).union(after)
+    pages = pages.union(pages.where("page = 0"))
+    result = F.struct(F.lit("all").alias("resource_id"), (F.col("page") * PAGE).alias("offset"), F.lit(PAGE).alias("limit"), "records")
+    path = scratch_path(spark, "pages")
+    pages.repartition("page").select(F.lit(True).alias("success"), F.struct(F.lit("d").alias("name")).alias("dataset"), result.alias("result")).write.json(path)
+    p = paging.paged_places(spark, path)
+    return p.select(F.regexp_replace("source_id", ":[0-9A-F]{8,16}$", ":hash").alias("source_id"), "name_tr", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"), F.size("opening_hours").alias("slots"), "ord")
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 2 = 1 THEN 'way' ELSE 'node' END AS t, {POINT} FROM customer),
+    d AS (SELECT *, row_number() OVER (ORDER BY n) - 1 AS pos FROM c)
+    SELECT t || '/' || n AS source_id, CASE WHEN n % 3 = 0 THEN 'Yer ' || n WHEN n % 7 <> 0 THEN 'A & B ' || n END AS name_tr, round(lat, 6) AS lat, pos AS ord FROM d WHERE n % 10 <> 9""")
+def streamed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All elements in one document, read element by element."""
+    elements = overpass(spark, sf_dir).select(F.explode("elements").alias("e")).select("e", F.to_json("e").alias("text"))
+    path = scratch_path(spark, "document")
+    lines = elements.repartition(1).sortWithinPartitions("e.id").select(F.concat(F.lit(" , "), "text").alias("value"), F.row_number().over(Window.orderBy("e.id")).alias("i"))
+    head = '{"generator": "a \\"}{[ b", "meta": [{"elements": 1}], "elements" : ['
+    body = lines.select(F.when(F.col("i") == 1, F.concat(F.lit(head), F.substring("value", 4, 1 << 30))).otherwise(F.col("value")).alias("value"), "i")
+    tail = spark.createDataFrame([('], "tail": {"elements": [{"x": 1}]}}', 1 << 40)], "value string, i long")
+    body.union(tail).coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+    p = payloads.overpass_places(paging.streamed_payload(spark, path, payloads.OVERPASS))
+    return p.select("source_id", "name_tr", F.round("lat", 6).alias("lat"), "ord")
+
+
 def all_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.union_sources(payloads.overpass_places(overpass(spark, sf_dir)), payloads.wikidata_places(wikidata(spark, sf_dir)), payloads.ckan_places(ckan(spark, sf_dir)))
 

@@ -53,7 +53,9 @@ def _missing(name: Column, cats: Column, least: int) -> Column:
 
 def overpass_places(payload: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Elements with coordinates as raw places; a way's centre stands for it, and 'name' for a missing 'name:tr'."""
-    rows = payload.select(*_when_and_where(payload), F.posexplode("elements").alias("ord", "e"))
+    rows = payload.select(*_when_and_where(payload), *(["pos"] if "pos" in payload.columns else []), F.posexplode("elements").alias("ord", "e"))
+    if "pos" in payload.columns:  # the element of a document that was streamed
+        rows = rows.withColumn("ord", F.col("pos")).drop("pos")
     t = F.col("e.tags")
 
     def tag(key: str) -> Column:
@@ -124,6 +126,11 @@ def ckan_places(payload: DataFrame, params: Params = DEFAULT) -> DataFrame:
     rows = rows.select("extracted_at", "origin", "dpos", "rpos", "d", F.struct("r.id").alias("r"), F.posexplode("r.records").alias("pos", "row"))
     again = seen.select(F.col("extracted_at").alias("_at"), F.col("name").alias("_name"), "first")
     rows = rows.join(again, F.col("extracted_at").eqNullSafe(F.col("_at")) & F.col("d.name").eqNullSafe(F.col("_name")), "left").where(F.col("first").isNull() | place.eqNullSafe(F.col("first"))).drop("_at", "_name", "first")
+    return normalized_rows(rows, params)
+
+
+def normalized_rows(rows: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Places of open-data records: extracted_at, origin, d (name, license_id), r (id), dpos, rpos, pos, row (a map)."""
     rows = rows.withColumn("m", F.transform_keys("row", lambda k, _: tr_casefold(k)))
     m = F.col("m")
     rows = rows.withColumn("name_tr", normalize_text(_first_present(m, NAME_KEYS))).withColumn("lat", to_float(_first_present(m, LAT_KEYS))).withColumn("lng", to_float(_first_present(m, LNG_KEYS)))
