@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.config import DEFAULT, Params
-from atlasmill.functions.geo import haversine_m, in_box
+from atlasmill.functions.geo import EARTH_M, haversine_m, in_box
 from atlasmill.session import materialize
 
 
@@ -111,17 +111,25 @@ def density_clusters(places: DataFrame, radius_m: float, least: int) -> DataFram
 
     A core place has at least `least` places within the radius, itself included; core places within the radius of each
     other are one cluster; another place near a core one joins the cluster with the smallest id. Places meet in squares
-    as wide as the radius, one side spread over nine, so a pair meets once.
+    as wide as the radius, one side spread over nine, so a pair meets once. Each band of latitude has squares of its own
+    width, and they go on across the date line.
     """
     from atlasmill.operators.components import connected_components
 
     tall = radius_m / 111_000.0
     rows = places.where("lat is not null and lng is not null").select("id", "lat", "lng")
-    # Squares are as wide at the latitude that is furthest from the equator as they must be there.
-    lowest = rows.agg(F.min(F.cos(F.radians("lat"))).alias("c")).first()["c"] or 1.0
-    wide = tall / max(lowest, 1e-6)
-    cell = rows.withColumn("y", F.floor(F.col("lat") / tall)).withColumn("x", F.floor(F.col("lng") / wide))
-    around = F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+
+    def squares(y: Column) -> Column:
+        """How many squares a band has: each as wide as the radius is where it and its neighbours are furthest from the equator."""
+        furthest = F.greatest(F.abs((y - 1) * tall), F.abs((y + 2) * tall))
+        reach = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(radius_m / EARTH_M)) / F.cos(F.radians(F.least(furthest, F.lit(89.999)))))))
+        return F.when(furthest >= 89.99, 1).otherwise(F.greatest(F.floor(360.0 * (1 - 1e-9) / reach), F.lit(1))).cast("bigint")
+
+    def square(y: Column, dx: int) -> Column:
+        return F.pmod(F.floor((F.col("lng") + 180) / 360 * squares(y)) + dx, squares(y))
+
+    cell = rows.withColumn("y", F.floor(F.col("lat") / tall)).withColumn("x", square(F.col("y"), 0))
+    around = F.array_distinct(F.array(*[F.struct((F.col("y") + dy).alias("y"), square(F.col("y") + dy, dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
     left = cell.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.explode(around).alias("c"))
     right = cell.select(F.col("id").alias("b"), "lat", "lng", "y", "x")
     near = left.join(right, (F.col("c.y") == F.col("y")) & (F.col("c.x") == F.col("x"))).where(haversine_m(F.col("lat1"), F.col("lng1"), F.col("lat"), F.col("lng")) <= radius_m)

@@ -1,4 +1,4 @@
-"""Read queries on places: fences, radius, search, pages, near-duplicate summaries. One function, one lazy plan; only nearest_neighbours runs rounds."""
+"""Read queries on places: fences, radius, search, pages, near-duplicate summaries. One function, one lazy plan; nearest_neighbours writes its quadtree first."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.config import BOUNDARY, Box
-from atlasmill.functions.geo import EARTH_M, haversine_m, in_box, in_polygon, near, spheroid_m
+from atlasmill.functions.geo import haversine_m, in_box, in_polygon, near, spheroid_m
 from atlasmill.functions.text import to_turkish
-from atlasmill.session import materialize
+from atlasmill.operators.neighbours import nearest
 
 # Fixed value: what a place without any name is called.
 NAMELESS = "İsimsiz Mekan"
@@ -121,46 +121,12 @@ def name_in(names: Column, language: str) -> Column:
     return F.coalesce(F.nullif(F.trim(F.element_at(names, F.lit(language))), F.lit("")), F.element_at(localized(names), F.lit("tr")))
 
 
-def _border_m(cell: float) -> Column:
-    """A lower bound of the distance to any place outside a place's own and adjacent grid squares; never reached once they cover the globe."""
-    lat, lng, y, x = F.col("lat"), F.col("lng"), F.col("y"), F.col("x")
-    up = F.least(lat - (y - 1) * cell, (y + 2) * cell - lat)
-    # Squares do not go on across the date line: it is a border too.
-    side = F.least(F.least((x + 2) * cell, F.lit(180.0)) - lng, lng - F.greatest((x - 1) * cell, F.lit(-180.0)))
-    side = F.degrees(F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.greatest(F.least(side, F.lit(90.0)), F.lit(0.0))))))
-    return F.radians(F.least(up, side)) * EARTH_M * (1 - 1e-9)
-
-
-def nearest_neighbours(places: DataFrame, k: int, cell_deg: float = 0.05) -> DataFrame:
+def nearest_neighbours(places: DataFrame, k: int) -> DataFrame:
     """The k nearest published places of each one: (id, neighbour, distance_m, rank); fewer only where there are no more.
 
-    They are sought in the own and adjacent grid squares. A place is settled when its k-th distance is below that to
-    the border of these squares; the others are sought again in squares twice as large. Ids are unique; a place
-    without coordinates has no neighbours and is none.
+    Ids are unique; a place without coordinates has no neighbours and is none. See neighbours.nearest.
     """
-    rows = materialize(published(places).where("lat is not null and lng is not null").select("id", "lat", "lng"), "places")
-    need = min(k, rows.count() - 1)
-    todo, out, cell = rows, None, cell_deg
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance_m", "neighbour"))
-    while True:
-        y, x = F.floor(F.col("lat") / cell), F.floor(F.col("lng") / cell)
-        cells = F.array(*[F.struct((y + dy).alias("y"), (x + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-        left = todo.select("id", "lat", "lng", F.explode(cells).alias("c"))
-        right = rows.select(F.col("id").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), y.alias("y"), x.alias("x"))
-        pairs = left.join(right, (F.col("c.y") == F.col("y")) & (F.col("c.x") == F.col("x")) & (F.col("id") != F.col("neighbour")))
-        pairs = pairs.withColumn("distance_m", haversine_m(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")))
-        found = pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour", "distance_m", "rank")
-        if cell >= 360:  # all places were met
-            return found if out is None else out.union(found)
-        found = materialize(found, "neighbours")
-        reach = found.groupBy("id").agg(F.count("*").alias("n"), F.max("distance_m").alias("reach"))
-        settled = F.coalesce((F.col("n") >= need) & (F.col("reach") < _border_m(cell)), F.lit(False))
-        todo = materialize(todo.withColumn("y", y).withColumn("x", x).join(reach, "id", "left").where(~settled).select("id", "lat", "lng"), "unsettled")
-        done = found.join(todo.select("id"), "id", "left_anti")
-        out = done if out is None else out.union(done)
-        if need < 1 or todo.isEmpty():
-            return out
-        cell *= 2
+    return nearest(published(places).where("lat is not null and lng is not null").select("id", "lat", "lng"), k)
 
 
 def open_on(places: DataFrame, hours: DataFrame, days: tuple[int, ...] = (5, 6)) -> DataFrame:

@@ -162,3 +162,68 @@ def test_points_on_an_edge_are_outside(spark):
     points = [(2.0, 2.0, True), (0.0, 2.0, False), (2.0, 0.0, False), (4.0, 2.0, False), (2.0, 4.0, False), (0.0, 0.0, False), (4.0, 4.0, False), (5.0, 2.0, False), (2.0, -1.0, False), (3.999, 3.999, True)]
     df = spark.createDataFrame(points, "lat double, lng double, want boolean")
     assert df.where(geo.in_polygon(F.col("lat"), F.col("lng"), ring) != F.col("want")).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_nearest_neighbours_of_uneven_places(spark, k):
+    """A dense cell, copies of one point, the date line, both poles and lone places, against all pairs."""
+    import math
+    import random
+
+    from atlasmill.operators import neighbours
+
+    rng = random.Random(8)
+    points = [(38.4 + rng.random() / 1000, 27.1 + rng.random() / 1000) for _ in range(300)] + [(38.4, 27.1)] * 50 + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)]
+    points += [(10 + rng.random() / 100, s * (180 - rng.random() / 100)) for s in (1, -1) for _ in range(20)] + [(s * (90 - rng.random() / 10), rng.uniform(-180, 180)) for s in (1, -1) for _ in range(20)] + [(90.0, 0.0), (-90.0, 180.0), (0.0, -180.0), (0.0, 180.0)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id long, lat double, lng double").repartition(3)
+    got = {(r.id, r["rank"]): r.distance_m for r in neighbours.nearest(rows, k, leaf=8).collect()}
+
+    def metres(p, q):
+        a = math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6371000 * math.atan2(math.sqrt(a), math.sqrt(max(0.0, 1 - a)))
+
+    assert len(got) == k * len(points)
+    for i, p in enumerate(points):
+        want = sorted(metres(p, q) for j, q in enumerate(points) if j != i)[:k]
+        assert [got[i, n + 1] for n in range(k)] == pytest.approx(want, abs=1e-3)
+
+
+def test_pairs_of_leaves_are_bounded(spark):
+    """However dense one place is, no leaf has more places than stated, and a place meets few leaves."""
+    from atlasmill.operators import neighbours
+
+    rows = spark.range(20_000).select("id", (38.4 + F.rand(3) / 500).alias("lat"), (27.1 + F.rand(4) / 500).alias("lng"))
+    leaves, homes = neighbours.quadtree(rows, 3)
+    assert leaves.agg(F.max("n")).first()[0] <= neighbours.LEAF and homes.count() == 20_000 == leaves.agg(F.sum("n")).first()[0]
+    assert neighbours._met(leaves).groupBy(*neighbours.CELL).count().agg(F.max("count")).first()[0] < 200
+
+
+def test_density_clusters_anywhere(spark):
+    """DBSCAN against its definition over all pairs, across the date line and at a pole."""
+    import math
+    import random
+
+    from atlasmill.operators import reports
+
+    rng = random.Random(2)
+    points = [(lat + rng.gauss(0, 0.004), lng + rng.gauss(0, 0.004) / max(0.05, math.cos(math.radians(lat)))) for lat, lng in ((38.4, 27.1), (10.0, 179.999), (10.0, -179.999), (-60.0, 0.0), (89.6, 90.0)) for _ in range(40)]
+    points = [(min(89.999, lat), (lng + 180) % 360 - 180) for lat, lng in points] + [(89.99, s) for s in (-170.0, -10.0, 20.0, 150.0)] + [(10.0, 179.99999), (10.0, -179.99999)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(points)] + [(999, None, 1.0)], "id long, lat double, lng double").repartition(3)
+
+    def metres(p, q):
+        a = math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6371000 * math.atan2(math.sqrt(a), math.sqrt(max(0.0, 1 - a)))
+
+    for radius, least in ((400.0, 4), (2500.0, 6)):
+        near = {i: [j for j, q in enumerate(points) if metres(p, q) <= radius] for i, p in enumerate(points)}
+        core = {i for i, n in near.items() if len(n) >= least}
+        label = {}
+        for i in sorted(core):
+            todo = [i] if i not in label else []
+            while todo:
+                j = todo.pop()
+                if j not in label:
+                    label[j] = i
+                    todo += [x for x in near[j] if x in core]
+        want = {(i, c, True) for i, c in label.items()} | {(i, min(label[j] for j in near[i] if j in core), False) for i in near if i not in core and any(j in core for j in near[i])}
+        assert {(r.id, r.cluster, r.core) for r in reports.density_clusters(rows, radius, least).collect()} == want
