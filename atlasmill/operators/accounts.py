@@ -68,11 +68,11 @@ def upload_type(data: Column) -> Column:
     return F.coalesce(*[F.when(head.startswith(start), kind) for kind, start in IMAGE_STARTS.items()])
 
 
-def upload_error(data: Column, declared: Column) -> Column:
-    """Why an upload is refused: empty, too_large, unsupported (bytes of no known image), mismatch (not what was declared); null if it is fine."""
+def upload_error(data: Column, declared: Column, most: int = UPLOAD_BYTES) -> Column:
+    """Why an upload is refused: empty, too_large (over `most` bytes), unsupported (bytes of no known image), mismatch (not what was declared); null if it is fine."""
     kind = upload_type(data)
     return (
-        F.when(data.isNull() | (F.octet_length(data) == 0), "empty").when(F.octet_length(data) > UPLOAD_BYTES, "too_large")
+        F.when(data.isNull() | (F.octet_length(data) == 0), "empty").when(F.octet_length(data) > most, "too_large")
         .when(kind.isNull(), "unsupported").when(~kind.eqNullSafe(declared), "mismatch")
     )
 

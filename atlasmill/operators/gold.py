@@ -115,3 +115,22 @@ def close_run(runs: DataFrame, key: str, status: str, metadata: dict[str, str])
     extra = F.create_map(*[F.lit(x) for pair in metadata.items() for x in pair]) if metadata else F.expr("cast(map() as map<string,string>)")
     kept = F.map_filter("metadata", lambda k, _: ~F.map_contains_key(extra, k))
     return runs.withColumn("metadata", F.when(mine, F.map_concat(kept, extra)).otherwise(F.col("metadata"))).withColumn("status", F.when(mine, F.lit(status)).otherwise(F.col("status")))
+
+
+def runs_of(log: DataFrame, parts: int = 16) -> DataFrame:
+    """The run table of a log of many runs at once: idempotency_key, source, opened_at, status, closes, metadata.
+
+    log: idempotency_key, source, at, seq, status ('open', or the status it closes with), metadata. A run's first opening
+    counts, later ones change nothing; the last closing after it gives the status ('running' without one), and metadata
+    are merged, later values winning. A run's closings are reduced in parts first, so that no run of very many is
+    brought together whole.
+    """
+    order = F.struct("at", "seq")
+    opened = log.where("status = 'open'").groupBy("idempotency_key").agg(F.min_by("source", order).alias("source"), F.min(order).alias("first"))
+    closed = log.where("status <> 'open'").withColumn("_o", order).join(opened.select("idempotency_key", "first"), "idempotency_key").where("_o > first")
+    entry = closed.select("idempotency_key", "_o", F.explode("metadata").alias("key", "value"), F.pmod("seq", F.lit(parts)).alias("part"))
+    newest = entry.groupBy("idempotency_key", "key", "part").agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o")).groupBy("idempotency_key", "key").agg(F.max_by("value", "_o").alias("value"))
+    metadata = newest.groupBy("idempotency_key").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
+    last = closed.groupBy("idempotency_key").agg(F.max_by("status", "_o").alias("status"), F.count("*").alias("closes"))
+    out = opened.join(last, "idempotency_key", "left").join(metadata, "idempotency_key", "left")
+    return out.select("idempotency_key", "source", F.col("first.at").alias("opened_at"), F.coalesce("status", F.lit("running")).alias("status"), F.coalesce("closes", F.lit(0)).alias("closes"), F.coalesce("metadata", F.expr("cast(map() as map<string,string>)")).alias("metadata"))

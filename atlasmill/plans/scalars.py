@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasmill.functions import categories, geo, hours, text
@@ -17,17 +17,23 @@ def _pick(values: list[str], by: str, kind: str = "string"):
     return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), (F.col(by) % len(values) + 1).cast("int"))
 
 
-def _listed(values: list) -> str:
-    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v) for v in values) + "]"
+def _form(forms: list, by: str) -> Column:
+    """One of the expressions for each row, in turn."""
+    return F.element_at(F.array(*forms), (F.col(by) % len(forms) + 1).cast("int"))
 
 
-NUMBERS = ["12,5", " 7.25 ", "", "x12", "-3", "1e3", "4.", "٣", None]
+def _listed(values: list) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v) for v in values) + "]"
 
 
-@query(f"""WITH v AS (SELECT p_partkey, {_listed(NUMBERS)}[p_partkey % 9 + 1] AS t FROM part)
+@query(f"""WITH v AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_partkey || ',' || lpad(p_size::VARCHAR, 2, '0') WHEN 1 THEN ' ' || p_size || '.' || p_partkey || ' ' WHEN 2 THEN '' WHEN 3 THEN p_brand || p_size
+        WHEN 4 THEN '-' || p_partkey WHEN 5 THEN p_size || 'e2' ELSE p_partkey || '.' END AS t FROM part)
     SELECT p_partkey, try_cast(nullif(trim(replace(t, ',', '.')), '') AS DOUBLE) AS loose, CASE WHEN regexp_full_match(trim(t), '-?[0-9]+(\\.[0-9]+)?') THEN trim(t)::DOUBLE END AS strict FROM v""")
 def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _pick(NUMBERS, "p_partkey")
+    """Numbers of each part as they come in texts: with a comma, blanks, a sign, an exponent, letters, a dot too many, or none."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    forms = [F.concat(key, F.lit(","), F.lpad(size, 2, "0")), F.concat(F.lit(" "), size, F.lit("."), key, F.lit(" ")), F.lit(""), F.concat("p_brand", size), F.concat(F.lit("-"), key), F.concat(size, F.lit("e2")), F.concat(key, F.lit("."))]
+    t = _form(forms, "p_partkey")
     return T.read(spark, sf_dir, "part").select("p_partkey", geo.to_float(t).alias("loose"), geo.strict_number(t).alias("strict"))
 
 
@@ -82,13 +88,15 @@ def nearby_spheroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.nearby(T.places(spark, sf_dir), 38.42, 27.14, 25000, 1_000_000, spheroid=True).select("id", F.round("distance_m", 3).alias("distance_m"))
 
 
-YEARS = ["1450-04-01", "-200", "abc", "", " 1999 ", "+1450-00-00T00:00:00Z", "-0300-01-01T00:00:00Z", "123456", None]
-
-
-@query(f"""WITH v AS (SELECT p_partkey, {_listed(YEARS)}[p_partkey % 9 + 1] AS t FROM part)
+@query(f"""WITH v AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN y || '-04-01' WHEN 1 THEN '-' || y WHEN 2 THEN p_name WHEN 3 THEN '' WHEN 4 THEN ' ' || y || ' ' WHEN 5 THEN '+' || lpad(y::VARCHAR, 4, '0') || '-00-00T00:00:00Z'
+        WHEN 6 THEN '-' || lpad(y::VARCHAR, 4, '0') || '-01-01T00:00:00Z' ELSE (y + 1000000)::VARCHAR END AS t FROM (SELECT *, 1 + p_partkey % 2000 AS y FROM part))
     SELECT p_partkey, try_cast(nullif(regexp_extract(trim(t), '^(-?[0-9]+)', 1), '') AS INT) AS started, CASE WHEN NOT regexp_matches(trim(t), '^\\+?-?[0-9]{{6}}') THEN try_cast(nullif(regexp_extract(trim(t), '^[+]?(-?[0-9]{{1,5}})', 1), '') AS INT) END AS founded FROM v""")
 def year_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _pick(YEARS, "p_partkey")
+    """A year of each part as dates have it: with month and day, before our era, padded, with more digits, or none."""
+    year = (1 + F.col("p_partkey") % 2000).cast("string")
+    padded = F.lpad(year, 4, "0")
+    forms = [F.concat(year, F.lit("-04-01")), F.concat(F.lit("-"), year), F.col("p_name"), F.lit(""), F.concat(F.lit(" "), year, F.lit(" ")), F.concat(F.lit("+"), padded, F.lit("-00-00T00:00:00Z")), F.concat(F.lit("-"), padded, F.lit("-01-01T00:00:00Z")), (year.cast("int") + 1000000).cast("string")]
+    t = _form(forms, "p_partkey")
     return T.read(spark, sf_dir, "part").select("p_partkey", hours.leading_year(t).alias("started"), hours.inception_year(t).alias("founded"))
 
 
@@ -112,24 +120,54 @@ def exif_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "events").select("event_id", hours.exif_time(value).cast("timestamp_ntz").alias("taken_at"))
 
 
-TR_TEXTS = ["pazartesi-pazar 09.00-17.00", "hafta içi 9:00-17:30, cumartesi kapalı", "salı kapalı; çarşamba 10:00 – 18:00", "her gün açık", "pazar 10.00-12.00", "", None]
-TR_SLOTS = [(0, d, "09:00", "17:00", False) for d in range(7)] + [(1, d, "9:00", "17:30", False) for d in range(5)] + [(1, 5, None, None, True), (2, 1, None, None, True), (2, 2, "10:00", "18:00", False), (4, 6, "10:00", "12:00", False)]
-TR_ROWS = ", ".join(f"({k}, {d}, {'NULL' if o is None else repr(o)}, {'NULL' if c is None else repr(c)}, {str(x).lower()})" for k, d, o, c, x in TR_SLOTS)
+DAYS = ["pazartesi", "salı", "çarşamba", "perşembe", "cuma", "cumartesi", "pazar"]
 
 
-@query(f"SELECT p_partkey, d::INT AS day_of_week, o AS opens_at, c AS closes_at, x AS is_closed_special FROM part JOIN (VALUES {TR_ROWS}) v(k, d, o, c, x) ON k = p_partkey % 7")
+@query(f"""WITH v AS (SELECT p_partkey, (p_partkey // 5 % 6)::INT AS form, (p_partkey % 7)::INT AS a, ((p_partkey + 3) % 7)::INT AS b, (7 + p_partkey % 4)::VARCHAR AS o, (15 + p_size % 8)::VARCHAR AS c FROM part),
+    s AS (SELECT p_partkey, d, o || ':30' AS opens_at, c || ':00' AS closes_at, false AS closed FROM v, range(0, 7) t(d) WHERE form = 0 OR (form = 1 AND d < 5)
+        UNION ALL SELECT p_partkey, a, NULL, NULL, true FROM v WHERE form IN (1, 2) UNION ALL SELECT p_partkey, b, o || ':00', c || ':15', false FROM v WHERE form = 2
+        UNION ALL SELECT p_partkey, a, o || ':00', c || ':00', false FROM v WHERE form = 4)
+    SELECT p_partkey, d::INT AS day_of_week, opens_at, closes_at, closed AS is_closed_special FROM s""")
 def hours_turkish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = T.read(spark, sf_dir, "part").select("p_partkey", F.explode(hours.turkish_hours(_pick(TR_TEXTS, "p_partkey"))).alias("s"))
+    """Hours of each part in words: all days, workdays and a closed day, one day closed and one open, nothing that can be told."""
+    n = F.col("p_partkey")
+    days = F.array(*[F.lit(d) for d in DAYS])
+    a, b = F.element_at(days, (n % 7 + 1).cast("int")), F.element_at(days, ((n + 3) % 7 + 1).cast("int"))
+    o, c = (7 + n % 4).cast("string"), (15 + F.col("p_size") % 8).cast("string")
+    forms = [
+        F.concat(_form([F.lit("pazartesi-pazar "), F.lit("her gün ")], "p_partkey"), o, F.lit(".30-"), c, F.lit(".00")), F.concat(F.lit("hafta içi "), o, F.lit(":30-"), c, F.lit(":00, "), a, F.lit(" kapalı")),
+        F.concat(a, F.lit(" kapalı; "), b, F.lit(" "), o, F.lit(":00 – "), c, F.lit(":15")), F.lit("her gün açık"), F.concat(a, F.lit(" "), o, F.lit(".00-"), c, F.lit(".00")), F.lower("p_name"),
+    ]
+    text_ = F.element_at(F.array(*forms), (F.floor(n / 5) % 6 + 1).cast("int"))
+    slots = T.read(spark, sf_dir, "part").select("p_partkey", F.explode(hours.turkish_hours(text_)).alias("s"))
     return slots.select("p_partkey", "s.day_of_week", "s.opens_at", "s.closes_at", "s.is_closed_special")
 
 
-NAMES = ["Ephesus", "Old Museum", "castle ruins", " Celsus Library ", "Agora of Smyrna", "Big TOWER and bath", "", None]
-TURKISH = ["Efes", "Old Müzesi", "Kalesi Ören Yeri", "Celsus Kütüphanesi", "Smyrna Agorası", "Big Kulesi and Hamamı", "", None]
+def _chain_sql() -> str:
+    """The terms of a name replaced one after another, where the name as it was has them."""
+    steps = []
+    for i, (term, turkish) in enumerate(text.TERMS.items()):
+        steps.append(f"r{i} AS (SELECT p_partkey, t, CASE WHEN contains(lower(t), '{term}') THEN regexp_replace(x, '{term}', '{turkish}', 'gi') ELSE x END AS x FROM {f'r{i - 1}' if i else 'v'})")
+    return ", ".join(steps)
 
 
-@query(f"SELECT p_partkey, {_listed(TURKISH)}[p_partkey % 8 + 1] AS turkish FROM part")
+TERM_LIST, PROPER_LIST = list(text.TERMS), list(text.PROPER_NAMES)
+
+
+@query(f"""WITH v AS (SELECT *, t AS x FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN upper({_listed(PROPER_LIST)}[p_partkey % {len(PROPER_LIST)} + 1]) WHEN 1 THEN p_name || ' ' || {_listed(TERM_LIST)}[p_size % {len(TERM_LIST)} + 1] || ' ' || p_partkey
+        WHEN 2 THEN upper({_listed(TERM_LIST)}[p_partkey % {len(TERM_LIST)} + 1]) || ' and ' || {_listed(TERM_LIST)}[p_size % {len(TERM_LIST)} + 1] ELSE p_name END AS t FROM part)),
+    {_chain_sql()}
+    SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN {_listed(list(text.PROPER_NAMES.values()))}[p_partkey % {len(PROPER_LIST)} + 1] ELSE x END AS turkish FROM r{len(TERM_LIST) - 1}""")
 def turkish_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.read(spark, sf_dir, "part").select("p_partkey", text.to_turkish(_pick(NAMES, "p_partkey")).alias("turkish"))
+    """Names put together from the parts' own, English terms in any case, and whole proper names."""
+    terms, proper = (F.array(*[F.lit(x) for x in xs]) for xs in (TERM_LIST, PROPER_LIST))
+
+    def one(xs, by: str, n: int):
+        return F.element_at(xs, (F.col(by) % n + 1).cast("int"))
+
+    by_key, by_size = one(terms, "p_partkey", len(TERM_LIST)), one(terms, "p_size", len(TERM_LIST))
+    forms = [F.upper(one(proper, "p_partkey", len(PROPER_LIST))), F.concat_ws(" ", "p_name", by_size, F.col("p_partkey").cast("string")), F.concat(F.upper(by_key), F.lit(" and "), by_size), F.col("p_name")]
+    return T.read(spark, sf_dir, "part").select("p_partkey", text.to_turkish(_form(forms, "p_partkey")).alias("turkish"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'Müzesi ' || p_name WHEN 2 THEN 'Efes' ELSE 'İsimsiz Mekan' END AS name FROM part")
@@ -147,15 +185,16 @@ def names_in_english(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 5 THEN 'image/jpeg' END AS type,
-    CASE p_partkey % 7 WHEN 2 THEN 'unsupported' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'empty' WHEN 5 THEN 'too_large' WHEN 6 THEN 'unsupported' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'mismatch' END END AS error FROM part WHERE p_partkey % 7 <> 5 OR p_partkey < 100""")
+    CASE p_partkey % 7 WHEN 2 THEN 'unsupported' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'empty' WHEN 5 THEN CASE WHEN p_size > 20 THEN 'too_large' ELSE 'mismatch' END WHEN 6 THEN 'unsupported' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'mismatch' END END AS error FROM part""")
 def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of two kinds, RIFF files, nothing, too much, and text, some under a wrong type."""
+    """Images of two kinds, RIFF files, nothing, too much for a limit of 64 bytes, and text, some under a wrong type."""
     k = F.col("p_partkey") % 7
     starts = ["FFD8FFE0", "89504E470D0A1A0A00", "52494646000000005745425000", "5249464600000000415649", "", "FFD8FF", "74657874"]
-    data = F.concat(F.element_at(F.array(*[F.unhex(F.lit(x)) for x in starts]), (k + 1).cast("int")), F.when(k == 5, F.lpad(F.lit(""), F.lit(accounts.UPLOAD_BYTES), F.lit("x")).cast("binary")).otherwise(F.lit("").cast("binary")))
+    padding = F.when(k == 5, F.lpad(F.lit(""), F.when(F.col("p_size") > 20, 62).otherwise(61), F.lit("x"))).otherwise(F.lit("")).cast("binary")
+    data = F.concat(F.element_at(F.array(*[F.unhex(F.lit(x)) for x in starts]), (k + 1).cast("int")), padding)
     declared = F.when(F.col("p_partkey") % 3 == 0, "image/gif").otherwise(F.element_at(F.array(F.lit("image/jpeg"), F.lit("image/png"), F.lit("image/webp")), F.least(k + 1, F.lit(3)).cast("int")))
-    p = T.read(spark, sf_dir, "part").where("p_partkey % 7 <> 5 or p_partkey < 100").select("p_partkey", data.alias("data"), declared.alias("declared"))
-    return p.select("p_partkey", accounts.upload_type(F.col("data")).alias("type"), accounts.upload_error(F.col("data"), F.col("declared")).alias("error"))
+    p = T.read(spark, sf_dir, "part").select("p_partkey", data.alias("data"), declared.alias("declared"))
+    return p.select("p_partkey", accounts.upload_type(F.col("data")).alias("type"), accounts.upload_error(F.col("data"), F.col("declared"), 64).alias("error"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 1997) || '...' ELSE text END AS short FROM documents")
@@ -180,17 +219,19 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "events").select("event_id", snapshot_key(F.col("event_type"), params).alias("snapshot"), payload_hash(F.col("props")).alias("payload"))
 
 
-TAGS = [("tourism", "museum"), ("note", "a UNESCO site"), ("building", "yes"), ("amenity", "theatre")]
+KINDS, WORDS = ["Q33506", "Q32815", "Q23413", "Q0", "Q16970"], ["Müze", "ÖREN", "antik", "cami", "Kilise", "kale", "ev"]
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'tourism=museum' WHEN 2 THEN 'building=yes' WHEN 3 THEN 'amenity=theatre' ELSE '' END AS raw, p_partkey % 4 = 1 AS unesco,
-           CASE p_partkey % 3 WHEN 0 THEN 'museum' WHEN 1 THEN 'mosque' ELSE '' END AS wikidata, CASE p_partkey % 3 WHEN 0 THEN 'museum' WHEN 1 THEN 'mosque' ELSE '' END AS turkish FROM part""")
+@query(f"""WITH v AS (SELECT p_partkey, p_size, lower(p_type) AS ty, lower(p_brand) AS br, {_listed(KINDS)}[p_partkey % 5 + 1] AS a, {_listed(KINDS)}[p_size % 5 + 1] AS b, lower({_listed(WORDS)}[p_partkey % 7 + 1] || ' ' || p_name || ' ' || {_listed(WORDS)}[p_size % 7 + 1]) AS t FROM part),
+    k AS (SELECT *, list_transform([a, b], lambda q: CASE q WHEN 'Q33506' THEN 'museum' WHEN 'Q32815' THEN 'mosque' WHEN 'Q23413' THEN 'castle' WHEN 'Q16970' THEN 'church' END) AS c FROM v)
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'building=' || br || ',' ELSE '' END || 'tourism=' || ty AS raw, p_size % 4 = 1 AS unesco, array_to_string(list_sort(list_distinct(list_filter(c, lambda x: x IS NOT NULL))), ',') AS wikidata,
+           CASE WHEN contains(t, 'müze') THEN 'museum' WHEN contains(t, 'ören') OR contains(t, 'antik') THEN 'archaeological_site' WHEN contains(t, 'cami') THEN 'mosque' WHEN contains(t, 'kilise') THEN 'church' WHEN contains(t, 'kale') THEN 'castle' ELSE '' END AS turkish FROM k""")
 def category_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw categories of tags, world heritage marks, classes of entities, Turkish key words."""
-    p = T.read(spark, sf_dir, "part")
-    tags = F.element_at(F.array(*[F.create_map(F.lit(k), F.lit(v)) for k, v in TAGS]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    classes = _pick(["http://www.wikidata.org/entity/Q33506", "Q32815|Q32815 ", "Q0"], "p_partkey")
-    words = _pick(["eski müze", "büyük cami", "bir şey"], "p_partkey")
+    """Raw categories of each part's tags, world heritage marks, pairs of classes as ids and addresses, Turkish texts with two key words."""
+    p, n = T.read(spark, sf_dir, "part"), F.col("p_partkey")
+    tags = F.map_filter(F.create_map(F.lit("tourism"), F.lower("p_type"), F.lit("building"), F.when(n % 3 == 0, F.lower("p_brand")), F.lit("note"), F.when(F.col("p_size") % 4 == 1, F.concat(F.lit("a UNESCO site "), "p_name"))), lambda k, v: v.isNotNull())
+    classes = F.concat(_pick(KINDS, "p_partkey"), F.lit(" |http://www.wikidata.org/entity/"), _pick(KINDS, "p_size"))
+    words = text.tr_casefold(F.concat_ws(" ", _pick(WORDS, "p_partkey"), "p_name", _pick(WORDS, "p_size")))
     joined = [F.array_join(c, ",") for c in (categories.osm_raw_categories(tags), categories.wikidata_categories(classes), categories.turkish_category(words))]
     return p.select("p_partkey", joined[0].alias("raw"), categories.mentions_unesco(tags).alias("unesco"), joined[1].alias("wikidata"), joined[2].alias("turkish"))
 

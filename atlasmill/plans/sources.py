@@ -167,11 +167,13 @@ def fence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts
 
 
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS n FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 7 WHEN 5 THEN 0 WHEN 6 THEN 0 ELSE p_size END AS n FROM part")
 def payload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = ["[1,2]", '{"elements":[{}],"x":[1,2]}', '{"results":{"bindings":[1,2]}}', '{"items":[1,2,3],"results":{"a":1}}', '{"x":1}', "7"]
-    payload = F.element_at(F.array(*map(F.lit, shapes)), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return T.read(spark, sf_dir, "part").select("p_partkey", payloads.row_count(payload).alias("n"))
+    """Payloads of as many records as a part's size says, in each of the shapes, and two that hold none."""
+    records = F.concat(F.lit("["), F.array_join(F.array_repeat(F.concat(F.lit('{"b":"'), "p_brand", F.lit('","x":[1,2]}')), F.col("p_size").cast("int")), ","), F.lit("]"))
+    shapes = [records, F.concat(F.lit('{"elements":'), records, F.lit(',"x":[1,2]}')), F.concat(F.lit('{"results":{"bindings":'), records, F.lit("}}")), F.concat(F.lit('{"items":'), records, F.lit(',"results":{"a":1}}')), F.concat(F.lit('{"records":'), records, F.lit("}")), F.lit('{"x":1}'), F.col("p_size").cast("string")]
+    payload = F.element_at(F.array(*shapes), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return T.read(spark, sf_dir, "part").select("p_partkey", payloads.row_count(payload).cast("bigint").alias("n"))
 
 
 @query("SELECT source, day, count(*) AS n FROM (SELECT ['osm', 'wikidata', 'bizizmir'][(c_custkey % 3)::INT + 1] AS source, '2024-01-0' || (c_custkey % 5 + 1) AS day FROM customer) GROUP BY ALL")
@@ -202,15 +204,25 @@ def geojson_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.geojson_features(p, ("ODbL", "CC0"))
 
 
-@query("SELECT * FROM (VALUES ('k0', 'osm', 'success', 'a=1,n=2'), ('k1', 'wikidata', 'running', ''), ('k2', 'osm', 'failed', 'error=x')) t(idempotency_key, source, status, metadata)")
+RUN_EVENTS_SQL = "SELECT event_type || ':' || (user_id % 50) AS idempotency_key, event_type AS source, ts, event_id, ['open', 'success', 'failed'][(event_id % 3 + 1)::INT] AS status FROM events"
+
+
+@query(f"""WITH e AS ({RUN_EVENTS_SQL}), o AS (SELECT idempotency_key, min((ts, event_id)) AS first FROM e WHERE status = 'open' GROUP BY 1),
+    c AS (SELECT e.* FROM e JOIN o USING (idempotency_key) WHERE status <> 'open' AND (ts, event_id) > first),
+    l AS (SELECT idempotency_key, arg_max(status, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS last, arg_max(event_id, (ts, event_id)) FILTER (event_id % 2 = 0) AS even, count(*) AS closes FROM c GROUP BY 1)
+    SELECT idempotency_key, arg_min(source, (ts, event_id)) AS source, coalesce(any_value(l.status), 'running') AS status, coalesce(any_value(closes), 0)::BIGINT AS closes,
+           concat_ws(',', CASE WHEN any_value(even) IS NOT NULL THEN 'even=' || any_value(even) END, CASE WHEN any_value(last) IS NOT NULL THEN 'last=' || any_value(last) END) AS metadata
+    FROM e JOIN o USING (idempotency_key) LEFT JOIN l USING (idempotency_key) GROUP BY idempotency_key""")
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs opened, opened again, and closed with metadata that overwrite and add."""
-    runs = spark.createDataFrame([], "idempotency_key string, source string, status string, metadata map<string,string>")
-    for key, source in (("k0", "osm"), ("k1", "wikidata"), ("k0", "other"), ("k2", "osm")):
-        runs = gold.open_run(runs, key, source)
-    runs = gold.close_run(gold.close_run(gold.close_run(runs, "k0", "running", {"n": "1", "a": "1"}), "k0", "success", {"n": "2"}), "k2", "failed", {"error": "x"})
-    entries = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return runs.select("idempotency_key", "source", "status", F.array_join(entries, ",").alias("metadata"))
+    """Runs opened (again) and closed by events of many sources, with metadata that later closings overwrite and add to."""
+    e = T.read(spark, sf_dir, "events")
+    n = F.col("event_id")
+    status = F.element_at(F.array(F.lit("open"), F.lit("success"), F.lit("failed")), (n % 3 + 1).cast("int"))
+    metadata = F.when(n % 2 == 0, F.create_map(F.lit("last"), n.cast("string"), F.lit("even"), n.cast("string"))).otherwise(F.create_map(F.lit("last"), n.cast("string")))
+    log = e.select(F.concat_ws(":", "event_type", (F.col("user_id") % 50).cast("string")).alias("idempotency_key"), F.col("event_type").alias("source"), F.col("ts").alias("at"), n.alias("seq"), status.alias("status"), metadata.alias("metadata"))
+    runs = gold.runs_of(log)
+    entries = F.array_sort(F.transform(F.map_entries("metadata"), lambda x: F.concat_ws("=", x["key"], x["value"])))
+    return runs.select("idempotency_key", "source", "status", F.col("closes").cast("bigint").alias("closes"), F.array_join(entries, ",").alias("metadata"))
 
 
 # --- streams ---------------------------------------------------------------------------------------------------
