@@ -68,9 +68,39 @@ def normalize_for_match(text: Column) -> Column:
     return match_key(normalize_text(text))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Small Latin letters with marks and the letters below the marks, by decomposition; then the combining marks, which go."""
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFKD", chr(code)).lower()[:1]
+        if base.isascii() and base.isalpha():
+            found[chr(code).lower()] = base
+    found = {k: v for k, v in found.items() if len(k) == 1}
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
+# Letters that are spelled with one Latin letter, and those that need several.
+ONE_FROM = "ıøđłħŧαβγδεζηικλμνξοπρσςτυωάέήίόύώϊϋабвгдезийклмнопрстуфыэіґاأإآبتدرزسضفقكلمنهويىةپگ"
+ONE_TO = "iodlhtabgdezeiklmnxoprsstuoaeeiouoiuabvgdeziiklmnoprstufyeigaaaabtdrzsdfqklmnhwyahpg"
+SEVERAL = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps", "ж": "zh", "х": "kh", "ц": "ts",
+    "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ё": "io", "ї": "yi", "є": "ye", "ъ": "", "ь": "", "ث": "th", "ج": "j",
+    "ح": "h", "خ": "kh", "ذ": "dh", "ش": "sh", "ص": "s", "ط": "t", "ظ": "z", "ع": "", "غ": "gh", "ء": "", "ئ": "y", "ؤ": "w", "چ": "ch", "ژ": "zh",
+}
+MARKED, UNMARKED = _plain_letters()
+
+
+def transliterate(text: Column) -> Column:
+    """Small letters of Latin with marks, Greek, Cyrillic and Arabic in ASCII; other characters stay. Rows that are ASCII already are passed by."""
+    spelled = F.translate(F.translate(text, ONE_FROM, ONE_TO), MARKED, UNMARKED)
+    for letter, latin in SEVERAL.items():
+        spelled = F.replace(spelled, F.lit(letter), F.lit(latin))
+    return F.when(text.rlike("[^\\x00-\\x7F]"), spelled).otherwise(text)
+
+
 def slugify(text: Column, most: int = 154) -> Column:
-    """ASCII letters and digits joined by single hyphens."""
-    plain = F.translate(ascii_fold(text), "éèêëàáäãåíìïóòôõúùñ", "eeeeaaaaaiiioooouun")
+    """ASCII letters and digits joined by single hyphens; letters of other scripts are spelled."""
+    plain = transliterate(ascii_fold(text))
     return F.regexp_replace(F.left(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(most)), "-+$", "")
 
 

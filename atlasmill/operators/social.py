@@ -54,6 +54,47 @@ def stop_violations(stops: DataFrame, places: DataFrame, most: int = 250) -> Dat
     return twice.select(cols).union(lost.select(cols)).union(many.select(cols))
 
 
+def change_stops(stops: DataFrame, requests: DataFrame, routes: DataFrame, places: DataFrame, most: int = 250) -> tuple[DataFrame, DataFrame]:
+    """The stops after a batch of requests, and what became of each request (request_id, status).
+
+    requests: request_id, kind (add, move, remove), route_id, user_id, order_index (of the stop; of an added one where it
+    shall stand, null: at the end), new_index (of a moved one), place_id (of an added one). All are judged by the table
+    before the batch, in the order of request_id where they want one place: the first gets it, others are a conflict.
+    Only owners change a route (else route_not_found); an added place must be published; a route has at most `most`
+    stops, counted with the additions before. A stop may be moved or removed once, the first request counts.
+    """
+    cols = ["request_id", "kind", "route_id", "user_id", "order_index", "new_index", "place_id"]
+    mine = routes.select("route_id", F.col("owner_id").alias("user_id"), F.lit(True).alias("owned"))
+    held = stops.groupBy("route_id").agg(F.count("*").alias("held"), F.max("order_index").alias("last"))
+    there = stops.select(F.col("route_id").alias("_r"), F.col("order_index").alias("_i"), F.lit(True).alias("there"))
+    r = requests.select(cols).join(mine, ["route_id", "user_id"], "left").join(held, "route_id", "left")
+    r = r.join(places.where("is_published").select(F.col("id").alias("place_id"), F.lit(True).alias("known")), "place_id", "left")
+    r = r.withColumn("wants", F.when(F.col("kind") == "add", F.col("order_index")).when(F.col("kind") == "move", F.col("new_index")))
+    r = r.join(there.withColumnRenamed("there", "taken"), (F.col("route_id") == F.col("_r")) & (F.col("wants") == F.col("_i")), "left").drop("_r", "_i")
+    target = F.when(F.col("kind") != "add", F.col("order_index"))
+    r = r.withColumn("target", target).join(there, (F.col("route_id") == F.col("_r")) & (F.col("target") == F.col("_i")), "left").drop("_r", "_i")
+    bad = (
+        F.when(F.col("owned").isNull(), "route_not_found").when((F.col("kind") != "add") & F.col("there").isNull(), "stop_not_found")
+        .when((F.col("kind") == "add") & F.col("known").isNull(), "place_not_found").when(F.coalesce("taken", F.lit(False)), "conflict")
+    )
+    r = r.withColumn("bad", bad)
+    turn = F.row_number().over(Window.partitionBy("route_id", "wants").orderBy(F.col("bad").isNotNull(), "request_id"))
+    again = F.row_number().over(Window.partitionBy("route_id", "target").orderBy(F.col("bad").isNotNull(), "request_id"))
+    r = r.withColumn("bad", F.when(F.col("bad").isNull() & F.col("wants").isNotNull() & (turn > 1), "conflict").when(F.col("bad").isNull() & F.col("target").isNotNull() & (again > 1), "conflict").otherwise(F.col("bad")))
+    added = F.sum(F.when((F.col("kind") == "add") & F.col("bad").isNull(), 1).otherwise(0)).over(Window.partitionBy("route_id").orderBy("request_id"))
+    r = r.withColumn("bad", F.when((F.col("kind") == "add") & F.col("bad").isNull() & (F.coalesce("held", F.lit(0)) + added > most), "stops_limit_exceeded").otherwise(F.col("bad")))
+    good = r.where("bad is null")
+    top = F.max(F.when(F.col("wants").isNotNull(), F.col("wants"))).over(Window.partitionBy("route_id"))
+    at_end = F.sum(F.when((F.col("kind") == "add") & F.col("wants").isNull(), 1).otherwise(0)).over(Window.partitionBy("route_id").orderBy("request_id"))
+    good = good.withColumn("to", F.coalesce("wants", F.greatest(F.coalesce("last", F.lit(-1)), F.coalesce(top, F.lit(-1))) + at_end))
+    moved = good.where("kind = 'move'").select(F.col("route_id").alias("_r"), F.col("order_index").alias("_i"), F.col("to").alias("_to"))
+    gone = good.where("kind = 'remove'").select("route_id", "order_index")
+    kept = stops.select("route_id", "order_index", "place_id").join(gone, ["route_id", "order_index"], "left_anti")
+    kept = kept.join(moved, (F.col("route_id") == F.col("_r")) & (F.col("order_index") == F.col("_i")), "left").select("route_id", F.coalesce("_to", "order_index").alias("order_index"), "place_id")
+    new = good.where("kind = 'add'").select("route_id", F.col("to").alias("order_index"), "place_id")
+    return kept.union(new), r.select("request_id", F.coalesce("bad", F.lit("ok")).alias("status"))
+
+
 def review_aggregate(reviews: DataFrame) -> DataFrame:
     """Count and mean rating of each place."""
     return reviews.groupBy("place_id").agg(F.count("*").alias("review_count"), F.avg("rating").alias("avg_rating"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atlasmill.functions import text
 from atlasmill.functions.hours import SLOT
-from atlasmill.operators import gold, resolution
+from atlasmill.functions.sql import register
+from atlasmill.operators import gold, resolution, social
 from atlasmill.operators.runs import BatchRun
 from atlasmill.plans import sources
 from atlasmill.plans import tables as T
-from atlasmill.plans.queries import GRID, haversine_sql
+from atlasmill.plans.queries import GEOHASH_SQL, GRID, haversine_sql
 from atlasmill.plans.registry import query
 from atlasmill.plans.scalars import token_set_sql
 from atlasmill.session import scratch_path
@@ -208,3 +210,65 @@ def er_discarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places that cannot be compared, by what they lack."""
     _, bad = resolution.valid(full_places(spark, sf_dir))
     return bad.groupBy(F.when(F.col("lat").isNull() | F.col("lng").isNull(), "coordinates").otherwise("name").alias("wanting"), "source").agg(F.count("*").alias("n"))
+
+
+# --- functions in SQL text, names of other scripts, changes of stops -----------------------------------------------------
+
+
+@query(f"""WITH raw AS ({T.RAW_SQL}), {GEOHASH_SQL}
+    SELECT h.ord, geohash, round({haversine_sql("raw.lat", "raw.lng", "38.42", "27.14")}, 3) AS distance_m, round(1 / (1 + {haversine_sql("raw.lat", "raw.lng", "38.42", "27.14")} / 50), 9) AS geo, name AS key,
+           round(0.45 / (1 + {haversine_sql("raw.lat", "raw.lng", "38.42", "27.14")} / 50) + 0.35 * 0.5 + 0.20 * CASE WHEN cats[1] = 'building' THEN 1.0 ELSE 0.0 END, 9) AS score FROM h JOIN raw USING (ord)""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geohash, distance, scores and match keys of all places, written as SQL."""
+    register(spark)
+    places = T.raw_places(spark, sf_dir)
+    return spark.sql("""SELECT ord, geohash_encode(lat, lng) AS geohash, round(haversine_m(lat, lng, 38.42, 27.14), 3) AS distance_m, round(geo_score(haversine_m(lat, lng, 38.42, 27.14)), 9) AS geo, match_key(coalesce(name_tr, name_en)) AS key,
+        round(pair_score(geo_score(haversine_m(lat, lng, 38.42, 27.14)), 0.5, category_score(canonical_categories, array('building', 'x'))), 9) AS score FROM {places}""", places=places)
+
+
+SCRIPTS = ["Μουσείο της Αθήνας", "Храм Святого Николая", "قلعة حلب", "Łódź Straße Œuvre", "Việt Nam", "Ærøskøbing", "日本", "Çeşme Iğdır"]
+SPELLED = ["mouseio-tes-athenas", "khram-sviatogo-nikolaia", "qlh-hlb", "lodz-strasse-oeuvre", "viet-nam", "aeroskobing", "", "cesme-igdir"]
+
+
+@query(f"""SELECT doc_id, CASE WHEN t = '' THEN 'yer-' || doc_id ELSE t END AS slug FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(
+        replace(replace(strip_accents(translate(translate(coalesce(left(text, 40), ''), '{text.TR_UPPER}', '{text.TR_LOWER}'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ' || w), 'ß', 'ss'), 'ı', 'i'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 154), '-+$', '') AS t
+        FROM (SELECT doc_id, lower(text) AS text, ['{"', '".join(SPELLED)}'][doc_id % {len(SPELLED)} + 1] AS w FROM documents))""")
+def slugs_of_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs of the head of each document and a name in another script; yer-<id> where nothing can be spelled."""
+    names = F.element_at(F.array(*[F.lit(x) for x in SCRIPTS]), (F.col("doc_id") % len(SCRIPTS) + 1).cast("int"))
+    slug = text.slugify(F.concat(F.coalesce(F.left("text", F.lit(40)), F.lit("")), F.lit(" "), names))
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.nullif(slug, F.lit("")), F.concat(F.lit("yer-"), F.col("doc_id").cast("string"))).alias("slug"))
+
+
+def _stop_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four requests a route: a stop at the end, one at a given place, one moved, one removed; every tenth route's by somebody else."""
+    r, none = T.routes(spark, sf_dir), F.lit(None).cast("bigint")
+    n = F.col("route_id")
+    user = F.when(n % 10 == 0, F.col("owner_id") + 1).otherwise(F.col("owner_id"))
+    kinds = [("add", none, none, n % 250 + 1), ("add", n % 9, none, n % 200 + 1), ("move", F.lit(0).cast("bigint"), n % 7 + 3, none), ("remove", F.lit(1).cast("bigint"), none, none)]
+    parts = [F.struct((n * 10 + i).alias("request_id"), F.lit(k).alias("kind"), o.alias("order_index"), m.alias("new_index"), p.alias("place_id")) for i, (k, o, m, p) in enumerate(kinds)]
+    return r.select("route_id", user.alias("user_id"), F.explode(F.array(*parts)).alias("q")).select("route_id", "user_id", "q.*")
+
+
+STOP_CHANGE_SQL = f"""s AS ({T.STOP_SQL}), r AS ({T.ROUTE_SQL}), p AS (SELECT id FROM ({T.PLACE_SQL}) WHERE is_published),
+    h AS (SELECT route_id, count(*) AS held, max(order_index) AS last FROM s GROUP BY 1),
+    q AS (SELECT r.route_id, r.route_id % 10 <> 0 AS mine, coalesce(held, 0) AS held, coalesce(last, -1) AS last, r.route_id % 250 + 1 AS p0, r.route_id % 200 + 1 AS p1, r.route_id % 9 AS i1, r.route_id % 7 + 3 AS i2 FROM r LEFT JOIN h USING (route_id)),
+    j AS (SELECT *, CASE WHEN NOT mine THEN 'route_not_found' WHEN p0 NOT IN (SELECT id FROM p) THEN 'place_not_found' ELSE 'ok' END AS s0,
+        CASE WHEN NOT mine THEN 'route_not_found' WHEN p1 NOT IN (SELECT id FROM p) THEN 'place_not_found' WHEN i1 <= last THEN 'conflict' ELSE 'ok' END AS s1,
+        CASE WHEN NOT mine THEN 'route_not_found' WHEN held = 0 THEN 'stop_not_found' WHEN i2 <= last THEN 'conflict' ELSE 'ok' END AS s2,
+        CASE WHEN NOT mine THEN 'route_not_found' WHEN held < 2 THEN 'stop_not_found' ELSE 'ok' END AS s3 FROM q),
+    k AS (SELECT * REPLACE (CASE WHEN s2 = 'ok' AND s1 = 'ok' AND i1 = i2 THEN 'conflict' ELSE s2 END AS s2) FROM j)"""
+
+
+@query(f"""WITH {STOP_CHANGE_SQL} SELECT route_id * 10 + i AS request_id, [s0, s1, s2, s3][i + 1] AS status FROM k, range(0, 4) t(i)""")
+def stop_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of requests to add, move and remove stops."""
+    return social.change_stops(T.stops(spark, sf_dir), _stop_requests(spark, sf_dir), T.routes(spark, sf_dir), T.places(spark, sf_dir))[1]
+
+
+@query(f"""WITH {STOP_CHANGE_SQL}
+    SELECT s.route_id, CASE WHEN s.order_index = 0 AND s2 = 'ok' THEN i2 ELSE s.order_index END AS order_index, place_id FROM s JOIN k USING (route_id) WHERE NOT (s.order_index = 1 AND s3 = 'ok')
+    UNION ALL SELECT route_id, greatest(last, CASE WHEN s1 = 'ok' THEN i1 ELSE -1 END, CASE WHEN s2 = 'ok' THEN i2 ELSE -1 END) + 1, p0 FROM k WHERE s0 = 'ok' UNION ALL SELECT route_id, i1, p1 FROM k WHERE s1 = 'ok'""")
+def stops_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stops after the requests."""
+    return social.change_stops(T.stops(spark, sf_dir), _stop_requests(spark, sf_dir), T.routes(spark, sf_dir), T.places(spark, sf_dir))[0]

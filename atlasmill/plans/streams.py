@@ -12,6 +12,7 @@ from atlasmill.plans.registry import ORACLE_SQL, query
 from atlasmill.session import scratch_path
 from atlasmill.streaming import jobs
 from atlasmill.streaming.incremental import IncrementalResolution
+from atlasmill.streaming.views import TrendingView
 
 
 def _resolved(spark: SparkSession, sf_dir: str, batches: int = 3) -> IncrementalResolution:
@@ -81,3 +82,16 @@ def stream_queue_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.coalesce(1).write.mode("append").parquet(f"{path}/in")
     sink = jobs.machine_log(jobs.queue_machine(jobs.read_events(spark, f"{path}/in", events.schema, 1), delay="60 days"), f"{path}/log")
     return sink.select("queue_id", "step", "event", "status", "retry_count")
+
+
+@query(ORACLE_SQL["trending"])
+def stream_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trending places from a view that a stream keeps up in four batches, compacted and with old days dropped half way."""
+    visits, path = T.read(spark, sf_dir, "events").select("ts", (F.col("user_id") % 50).alias("place_id")), scratch_path(spark, "trending")
+    view = TrendingView(spark, f"{path}/view")
+    part = F.pmod(F.xxhash64("ts", "place_id"), F.lit(4))
+    for half in (part < 2, part >= 2):
+        visits.where(half).repartition(2).write.mode("append").parquet(f"{path}/in")
+        view.run(jobs.read_events(spark, f"{path}/in", visits.schema, 1))
+        view.compact("2024-01-10")
+    return view.trending("2024-01-20")
