@@ -5,13 +5,15 @@ have the same anchor at the same place, and all suffixes that share an anchor's
 256 bytes, some 50 words; the anchors of 400-byte windows are among theirs. An anchor's windows of both lengths make a
 context of 256 to 768 bytes.
 
-1. Tasks find contexts. Of one that several documents of a task hold, one travels.
-2. Contexts meet by anchor: whole ones that several documents hold are settled; where an anchor's contexts differ,
-   their bytes are fetched, once for each different one.
+1. Tasks find contexts. Of one that several documents of a task hold, one travels as a leaf, and its occurrences by their
+   places only.
+2. Contexts meet by anchor: equal ones are one leaf that weighs as much as it has occurrences; where an anchor's contexts
+   differ, their bytes are fetched, once for each different one.
 3. There the contexts are sorted by what follows the anchor, and a stack scan over the common prefixes lists the
    prefix intervals, each with all its occurrences. Within an interval the bytes before the anchor, compared
    backwards, tell which occurrences extend left together and how far, up to where they differ: the maximal repeats,
-   among all occurrences and among those of different documents.
+   among all occurrences and among those of different documents. A heavy leaf is an interval of its own, and a context
+   that met no other one is a tree of one leaf.
 4. Repeats of 400 bytes and more are cut out of the texts; those of 256 bytes and more that another document holds are
    counted.
 
@@ -38,12 +40,14 @@ SHARED = 256
 GRAM = 32
 FLUSH = 400_000
 HOT, SHARE = 16_384, 64
-CONTEXT, SPAN, REQUEST, WINDOW, BYTES = 0, 1, 2, 3, 4
-#: multi: 1 where the task's other occurrences are of the same document (they travel too), 2 where of other documents (they are spans already).
+CONTEXT, SPAN, REQUEST, WINDOW, BYTES, HELD = 0, 1, 2, 3, 4, 5
+#: multi: 1 where the task's other occurrences are of the same document (they travel too), 2 where of other documents (they travel as occurrences of one leaf).
 CONTEXTS = Pack(key="<u4", digest="<u8", did="<i8", th="<i8", pos="<u4", n="<u2", a="<u2", multi="u1")
 #: other: the repeat is in another document too.
 SPANS = Pack(did="<i8", th="<i8", pos="<u4", n="<u4", other="u1")
-REQUESTS = Pack(did="<i8", th="<i8", pos="<u4", n="<u2", a="<u2", key="<u4", home="<u4", wide="u1", hot="u1")
+REQUESTS = Pack(did="<i8", th="<i8", pos="<u4", n="<u2", a="<u2", key="<u4", digest="<u8", home="<u4", wide="u1", hot="u1")
+#: Occurrences of one context: what its leaf of the anchor's tree weighs. other: they are of several documents.
+HELDS = Pack(key="<u4", digest="<u8", did="<i8", th="<i8", pos="<u4", n="<u2", a="<u2", other="u1")
 WINDOWS = Pack(hash="<u8", did="<i8", th="<i8", pos="<u4", n="<u4", wide="u1")
 
 
@@ -140,7 +144,7 @@ def _windows_of(text: memoryview, pos: int, size: int, lengths: tuple[int, int])
 
 
 def _send(found: list[dict[str, np.ndarray]], windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_keys: Buckets, n_docs: Buckets) -> list:
-    """Routed rows of one task's contexts; of those that several of its documents hold the first travels, and all are spans already.
+    """Routed rows of one task's contexts; of those that several of its documents hold one travels as a leaf, and all as its occurrences.
 
     Contexts of hot anchors (those with windows) travel as their windows.
     """
@@ -149,7 +153,8 @@ def _send(found: list[dict[str, np.ndarray]], windows: list[tuple[np.ndarray, np
     size = np.diff(np.append(first, len(order)))
     wide = _differ(_document(c["did"], c["th"]), order, first)
     again = order[np.repeat(wide, size)]
-    rows = [(b % n_keys, SPAN, b.to_bytes(4, "little", signed=True) + data) for b, _, data in _spans(c, again, n_docs, 1)]
+    held = {k: c[k][again] for k in ("digest", "did", "th", "pos", "n", "a")} | {"key": (c["seed"][again] >> U64(32)).astype(np.uint32), "other": np.ones(len(again))}
+    rows = HELDS.split(held, (c["seed"][again] % U64(n_keys)).astype(np.int32), HELD, n_keys.width)
     c["multi"] = np.zeros(len(order), dtype=np.uint8)
     c["multi"][order] = np.repeat((size > 1).astype(np.uint8) + wide, size)
     go = np.sort(np.concatenate((order[first], order[~np.repeat(wide, size)])))
@@ -216,20 +221,27 @@ def _window_spans(got: dict[int, list[bytes]], length: int, n_docs: Buckets) ->
     return _spans(w, order[other], n_docs, 1) + _spans(w, order[~other & np.repeat(size > 1, size) & (w["n"][order] >= length)], n_docs, 0)
 
 
+def _home(held: dict[str, np.ndarray], n_keys: Buckets) -> list:
+    """Occurrences on their way to the tree of their anchor."""
+    return HELDS.split(held, (held["key"] % np.uint32(n_keys)).astype(np.int32), HELD, n_keys.width)
+
+
 def meet_on_anchors(routed: DataFrame, n_keys: Buckets, n_docs: Buckets, hot: int, length: int) -> DataFrame:
     def work(got):
-        rows = [(int.from_bytes(b[:4], "little", signed=True), SPAN, b[4:]) for b in got.get(SPAN, [])] + _window_spans(got, length, n_docs)
+        held = HELDS.load(got.get(HELD, []))
+        rows = _window_spans(got, length, n_docs)
         c = CONTEXTS.load(got.get(CONTEXT, []))
         if not len(c["did"]):
-            return rows
+            return rows + _home(held, n_keys)
         order, first = _groups(c["key"], c["digest"])
         size = np.diff(np.append(first, len(order)))
         multi = np.maximum.reduceat(c["multi"][order], first)
         wide = _differ(_document(c["did"], c["th"]), order, first) | (multi == 2)
         again = order[np.repeat(wide, size) & (c["multi"][order] < 2)]
-        rows += _spans(c, again, n_docs, 1)
         own = order[np.repeat(~wide & (size > 1), size) & (c["n"][order] >= length)]
-        rows += _spans(c, own, n_docs, 0)
+        for some, other in ((again, 1), (own, 0)):
+            held = {k: np.concatenate((v, c[k][some] if k != "other" else np.full(len(some), other))) for k, v in held.items()}
+        rows += _home(held, n_keys)
         key = c["key"][order][first]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         kinds = np.diff(np.append(start, len(key)))
@@ -238,7 +250,7 @@ def meet_on_anchors(routed: DataFrame, n_keys: Buckets, n_docs: Buckets, hot: in
         one = np.zeros(len(order), dtype=bool)
         one[first] = True
         pick = np.repeat(ask, size) & (one | ~np.repeat(wide, size))
-        part = {k: c[k][order[pick]] for k in ("did", "th", "pos", "n", "a", "key")}
+        part = {k: c[k][order[pick]] for k in ("did", "th", "pos", "n", "a", "key", "digest")}
         part |= {"wide": np.repeat(wide, size)[pick], "hot": np.repeat(np.repeat(kinds > hot, kinds), size)[pick], "home": (part["key"] % np.uint32(n_keys))}
         return rows + REQUESTS.split(part, document_bucket(part["did"], part["th"], n_docs), REQUEST, n_docs.width)
 
@@ -300,7 +312,7 @@ def _reach_elsewhere(gaps: np.ndarray, documents: np.ndarray) -> np.ndarray:
     return best
 
 
-def maximal_repeats(contexts: list[bytes], anchors: list[int], length: int = LENGTH, documents: np.ndarray | None = None, shared: int = SHARED):
+def maximal_repeats(contexts: list[bytes], anchors: list[int], length: int = LENGTH, documents: np.ndarray | None = None, shared: int = SHARED, heavy: np.ndarray | None = None):
     """Yield (right, members, left, other): members (indices) repeat with right bytes from the anchor on and left[i] before it.
 
     Contexts that share the anchor's gram are sorted by the suffix at the anchor. The stack scan closes each interval
@@ -308,6 +320,8 @@ def maximal_repeats(contexts: list[bytes], anchors: list[int], length: int = LEN
     what stands before the anchor, and left[i] is the longest left extension that member i shares with another one.
     Only members with left + right >= length are given, and only where a shorter prefix lets them reach further left.
     With documents, repeats of `shared` bytes and more between different documents are given likewise, with other = 1.
+    A heavy leaf stands for several occurrences of its whole context: it is an interval of its own, the first to close
+    above it, with all that stands before and after the anchor. It is given with other = 2.
     """
     m = len(contexts)
     tails, heads = [c[a:] for c, a in zip(contexts, anchors)], [c[:a][::-1] for c, a in zip(contexts, anchors)]
@@ -335,6 +349,9 @@ def maximal_repeats(contexts: list[bytes], anchors: list[int], length: int = LEN
         return members, out
 
     for i in range(1, m + 1):
+        if heavy is not None and heavy[suffixes[i - 1]]:
+            leaf = suffixes[i - 1]
+            yield len(tails[leaf]), np.array([leaf]), np.array([len(heads[leaf])]), 2
         prefix = common_prefix(tails[suffixes[i - 1]], tails[suffixes[i]]) if i < m else 0
         parts = [rank[suffixes[i - 1] : suffixes[i - 1] + 1]]
         while stack and stack[-1][0] > prefix:
@@ -363,6 +380,24 @@ def compare(routed: DataFrame, n_keys: Buckets, n_docs: Buckets, length: int, sh
             texts += [blob[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
         c = REQUESTS.load(heads)
         spans = []
+        held = HELDS.load(got.get(HELD, []))
+        h_order, h_first = _groups(held["key"], held["digest"])
+        leaf_of = {(k, d): i for i, (k, d) in enumerate(zip(held["key"][h_order][h_first].tolist(), held["digest"][h_order][h_first].tolist()))}
+        h_end = np.append(h_first[1:], len(h_order))
+        number = np.array([leaf_of.get(x, -1) for x in zip(c["key"].tolist(), c["digest"].tolist())], dtype=np.int64)
+
+        def occurrences(leaves: np.ndarray, right: np.ndarray, left: np.ndarray):
+            """Spans of all occurrences of heavy leaves, from what the tree says of each leaf."""
+            at = h_order[ranges(h_first[leaves], h_end[leaves] - h_first[leaves])]
+            many = h_end[leaves] - h_first[leaves]
+            start = held["pos"][at].astype(np.int64) + held["a"][at] - np.repeat(left, many)
+            spans.append((held["did"][at], held["th"][at], start, np.repeat(left + right, many), held["other"][at].astype(np.int64)))
+
+        # A context that met no other one is a tree of one leaf: its interval is all of it.
+        lone = np.setdiff1d(np.arange(len(h_first)), number)
+        if len(lone):
+            one = h_order[h_first[lone]]
+            occurrences(lone, held["n"][one].astype(np.int64) - held["a"][one], held["a"][one].astype(np.int64))
         order, first = _groups(c["key"])
         anchors, wide = c["a"].tolist(), c["wide"] > 0
         # A settled context is held by several documents, so it is another document to every occurrence.
@@ -370,7 +405,14 @@ def compare(routed: DataFrame, n_keys: Buckets, n_docs: Buckets, length: int, sh
         for s, e in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
             group = order[s:e]
             place, settled = c["pos"][group].astype(np.int64) + c["a"][group], wide[group]
-            for right, members, left, other in maximal_repeats([texts[i] for i in group], [anchors[i] for i in group], length, documents[group], shared):
+            done = set()
+            for right, members, left, other in maximal_repeats([texts[i] for i in group], [anchors[i] for i in group], length, documents[group], shared, number[group] >= 0):
+                if other == 2:
+                    leaf = int(number[group][members[0]])
+                    if leaf not in done:  # the same context may have been asked for more than once
+                        done.add(leaf)
+                        occurrences(np.array([leaf]), np.array([right]), left)
+                    continue
                 open_ones = ~settled[members]
                 members, left = members[open_ones], left[open_ones]
                 spans.append((c["did"][group][members], c["th"][group][members], place[members] - left, left + right, np.full(len(left), other)))
@@ -398,7 +440,7 @@ def repeated_bytes_removed(docs: DataFrame, hot: int = HOT, length: int = LENGTH
     found = find_contexts(rows, n_keys, n_docs, length, shared, hot_anchors(rows, length, shared, hot, share))
     met = materialize(meet_on_anchors(found, n_keys, n_docs, hot, length), "anchors")
     asked = fetch(rows.drop("doc_id").where("text is not null"), met.where(f"kind = {REQUEST}"), n_keys, n_docs, length, shared)
-    spans = met.where(f"kind = {SPAN}").union(compare(asked, n_keys, n_docs, length, shared))
+    spans = met.where(f"kind = {SPAN}").union(compare(met.where(f"kind = {HELD}").union(asked), n_keys, n_docs, length, shared))
 
     def prepare(got):
         s = SPANS.load(got.get(SPAN, []))
