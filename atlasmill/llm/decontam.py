@@ -162,7 +162,10 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
 
 
 def seed_hits(rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    """gram, did, th, pos: where texts hold grams that pass the filter over the seeds."""
+    """gram, did, th, places: where texts hold grams that pass the filter over the seeds, one row for each gram of a document.
+
+    A common word, as items of few words have them for seeds, so makes a row a document, not one for each time it is there.
+    """
     held = rows.sparkSession.sparkContext.broadcast(seed_filter(seeds))
 
     def scan(batches):
@@ -179,10 +182,15 @@ def seed_hits(rows: DataFrame, seeds: DataFrame) -> DataFrame:
                     if grams is pairs:
                         hit = hit[row[hit] == row[hit + 1]]
                     if len(hit):
-                        doc = pa.array(row[hit] + at)
-                        yield pa.RecordBatch.from_arrays([pa.array(grams[hit].view(np.int64)), did.take(doc), th.take(doc), pa.array((hit - base[row[hit]]).astype(np.int32))], names=["gram", "did", "th", "pos"])
+                        order = np.lexsort((hit, grams[hit], row[hit]))
+                        hit = hit[order]
+                        gram, doc = grams[hit].view(np.int64), row[hit]
+                        edge = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]))))
+                        places = pa.ListArray.from_arrays(pa.array(np.append(edge, len(hit)), type=pa.int32()), pa.array((hit - base[doc]).astype(np.int32)))
+                        which = pa.array(doc[edge] + at)
+                        yield pa.RecordBatch.from_arrays([pa.array(gram[edge]), did.take(which), th.take(which), places], names=["gram", "did", "th", "places"])
 
-    return rows.where("text is not null").select("did", "th", "text").mapInArrow(scan, "gram long, did long, th long, pos int")
+    return rows.where("text is not null").select("did", "th", "text").mapInArrow(scan, "gram long, did long, th long, places array<int>")
 
 
 ASK = 0
@@ -191,7 +199,7 @@ ASK = 0
 def candidates(rows: DataFrame, items: DataFrame, least: float, n_docs: Buckets) -> DataFrame:
     """Routed rows to the documents where enough seeds of an item meet: the item's words and the windows to align it in."""
     seeds = rare_seeds(items, least)
-    met = seed_hits(rows, seeds).join(seeds, "gram").groupBy("did", "th", "item").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.first("need").alias("need"), F.first("span").alias("span"))
+    met = seed_hits(rows, seeds).join(seeds, "gram").groupBy("did", "th", "item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.first("need").alias("need"), F.first("span").alias("span"))
 
     def rows_of(batch):
         for did, th, item_id, words, places, need, span in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "item_id", "words", "places", "need", "span"))):

@@ -745,3 +745,19 @@ def test_pipeline(spark):
     for parts in places.values():
         assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 4096
     assert sorted(tuple(r)[:5] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(tuple(r)[:5] for r in out)
+
+
+def test_short_items_of_common_words(spark):
+    """Items of few and very common words: a row a document and word meets them, and all copies are found."""
+    rng = __import__("random").Random(6)
+    common = ["the", "of", "and", "to"]
+    texts = [" ".join(rng.choice(common + [f"w{rng.randrange(300)}" for _ in range(4)]) for _ in range(rng.choice([5, 60, 400]))) for _ in range(80)]
+    texts += [f"{texts[3]} the of and to {texts[4]}", "The, of: and to", "the of to and", "the the the the"]
+    docs = spark.createDataFrame([(i, t, None, None, 0, None, None) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    items = [(1, "the of and to"), (2, "of the"), (3, "to"), (4, "w1 the of w2 and to w3 the of")]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, k) for i, t in enumerate(texts) for k, item in items if alike(plain_tokens(item), plain_tokens(t)) >= 0.8}
+    assert got == want and len({i for i, k in want if k == 1}) > 3
+    rows = decontam.keyed(docs, 4)
+    hits = decontam.seed_hits(rows, decontam.rare_seeds(decontam.benchmark_items(spark.createDataFrame(items, "item_id long, text string")), 0.8))
+    assert hits.groupBy("did", "th", "gram").count().where("count > 1").count() == 0
