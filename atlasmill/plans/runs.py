@@ -16,6 +16,8 @@ from atlasmill.plans.queries import GEOHASH_SQL, GRID, haversine_sql
 from atlasmill.plans.registry import query
 from atlasmill.plans.scalars import token_set_sql
 from atlasmill.session import scratch_path
+from atlasmill.sources import payloads
+from atlasmill.sources.images import photo_facts
 
 PER_DOCUMENT = 500
 #: Degrees by which the first source places everything further north than the others.
@@ -272,3 +274,54 @@ def stop_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stops_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stops after the requests."""
     return social.change_stops(T.stops(spark, sf_dir), _stop_requests(spark, sf_dir), T.routes(spark, sf_dir), T.places(spark, sf_dir))[0]
+
+
+# --- photos and payloads of unknown keys ------------------------------------------------------------------------------------
+
+PICTURE = "FFE000044A46FFC0000B080001000101011100FFDA0008010100003F001234FF0056FFD9"
+
+
+def _photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small JPEG an event with time and place in its metadata and a comment; some without metadata, some cut off, some that are none."""
+    n, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+
+    def number(value, size: int):
+        return F.lpad(F.hex(value), 2 * size, "0")
+
+    def angle(degrees, minutes, hundredths):
+        one = F.lit("00000001")
+        return F.concat(number(degrees, 4), one, number(minutes, 4), one, number(hundredths, 4), F.lit("00000064"))
+
+    tiff = F.concat(
+        F.lit("4D4D002A00000008" + "0002" + "876900040000000100000026" + "88250004000000010000004C" + "00000000" + "0001" + "900300020000001400000038" + "00000000"), F.hex(F.date_format(ts, "yyyy:MM:dd HH:mm:ss").cast("binary")), F.lit("00"),
+        F.lit("0004" + "0001000200000002"), F.when(n % 2 == 0, "4E000000").otherwise("53000000"), F.lit("000200050000000300000082" + "0003000200000002"), F.when(n % 3 == 0, "45000000").otherwise("57000000"), F.lit("00040005000000030000009A" + "00000000"),
+        angle(n % 90, n % 60, n % 6000), angle(n % 180, (n + 7) % 60, (n * 3) % 6000),
+    )
+    whole = F.concat(F.lit("FFD8FFE100BA457869660000"), tiff, F.lit("FFFE0006"), number(n % 65536, 2), F.lit("0000"), F.lit(PICTURE))
+    data = F.when(n % 10 == 7, F.lit("FFD8" + PICTURE)).when(n % 10 == 8, F.left(whole, F.lit(100))).when(n % 10 == 9, F.hex(F.col("event_type").cast("binary"))).otherwise(whole)
+    return T.read(spark, sf_dir, "events").select(n.alias("id"), F.unhex(data).alias("content"))
+
+
+@query(f"""WITH e AS (SELECT event_id AS n, ts FROM events)
+    SELECT n AS id, CASE WHEN n % 10 < 7 THEN date_trunc('second', ts) END AS taken_at, CASE WHEN n % 10 < 7 THEN round((n % 90 + n % 60 / 60 + n % 6000 / 100 / 3600) * CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END, 9) END AS lat,
+           CASE WHEN n % 10 < 7 THEN round((n % 180 + (n + 7) % 60 / 60 + (n * 3) % 6000 / 100 / 3600) * CASE WHEN n % 3 = 0 THEN 1 ELSE -1 END, 9) END AS lng, CASE WHEN n % 10 < 8 THEN sha256(unhex('FFD8{PICTURE}')) END AS stripped_sha256 FROM e""")
+def photo_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time and place that cameras wrote, read back from stored bytes, and the hash of what is left without them."""
+    path = scratch_path(spark, "photos")
+    _photos(spark, sf_dir).write.parquet(path)
+    p = photo_facts(spark.read.parquet(path))
+    return p.select("id", F.col("taken_at").cast("timestamp_ntz").alias("taken_at"), F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"), F.sha2("stripped", 256).alias("stripped_sha256"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN event_id % 3 = 0 THEN event_id END AS deep, CASE event_id % 3 WHEN 0 THEN 'OBJECT' WHEN 1 THEN 'ARRAY' ELSE 'null' END AS extra_kind, event_id % 5 <> 4 AS readable FROM events WHERE event_id % 5 <> 4
+    UNION ALL SELECT event_id, NULL, NULL, NULL, false FROM events WHERE event_id % 5 = 4""")
+def bronze_unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads with keys that no schema names, kept as variants, written and read back, and asked for those keys; broken ones stay as null."""
+    n = F.col("event_id")
+    extra = F.when(n % 3 == 0, F.concat(F.lit('{"x":{"y":['), n.cast("string"), F.lit("]}}"))).when(n % 3 == 1, F.lit("[1,2]")).otherwise(F.lit("null"))
+    text_ = F.concat(F.lit('{"props":'), F.col("props"), F.lit(',"extra":'), extra, F.when(n % 5 == 4, F.lit("")).otherwise(F.lit("}")))
+    path = scratch_path(spark, "variants")
+    payloads.as_variant(T.read(spark, sf_dir, "events").select("event_id", text_.alias("raw_payload"))).write.parquet(path)
+    v = spark.read.parquet(path)
+    kind = F.regexp_extract(F.schema_of_variant(F.variant_get("payload", "$.extra", "variant")), "^(OBJECT|ARRAY|VOID)", 1)
+    return v.select("event_id", F.try_variant_get("payload", "$.props.k", "string").alias("k"), F.try_variant_get("payload", "$.extra.x.y[0]", "bigint").alias("deep"), F.when(kind == "VOID", "null").otherwise(F.nullif(kind, F.lit(""))).alias("extra_kind"), F.col("payload").isNotNull().alias("readable"))

@@ -167,6 +167,11 @@ def payload_hash(text: Column) -> Column:
     return F.left(F.sha1(text.cast("binary")), F.lit(16))
 
 
+def as_variant(rows: DataFrame, text: str = "raw_payload") -> DataFrame:
+    """Rows with their JSON text as the variant payload in its place: keys that no schema names live on, broken JSON is null."""
+    return rows.withColumn("payload", F.try_parse_json(text)).drop(text)
+
+
 def row_count(payload: Column) -> Column:
     """How many records a JSON payload holds: a list's length, or that of its elements, results, records, items or bindings; 0 for anything else."""
     lists = [F.get_json_object(payload, "$." + k) for k in ("elements", "results", "records", "items")]
