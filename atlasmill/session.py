@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
@@ -62,6 +62,22 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def written_so_far(spark: SparkSession) -> list[str]:
+    """The scratch tables of this application that are still there."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def drop_since(spark: SparkSession, before: list[str], *kept: DataFrame) -> None:
+    """Delete the scratch tables written after `before` was taken, but for those that the kept tables are read from."""
+    held = {path for df in kept for path in df.inputFiles()}
+    mine = _written.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in mine if p not in before]:
+        inside = path.split("://", 1)[-1]
+        if not any(f"{inside}/" in file for file in held):
+            discard(spark, path)
+            mine.remove(path)
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete all scratch tables of this application, and give their number: for the end of a job, when its results are written."""
     paths = _written.pop(spark.sparkContext.applicationId, [])

@@ -94,3 +94,18 @@ def test_functions_in_sql(spark):
     row = spark.sql("SELECT geohash_encode(57.64911D, 10.40744D) AS g, geohash_encode(91D, 0D) AS none, match_key('Ephesus, İZMİR!') AS k, match_key(NULL) AS e, category_score(NULL, array()) AS c, round(haversine_m(0, 0, 0, 1), 1) AS d").first()
     assert tuple(row) == ("u4pruyd", None, "ephesus izmir", "", 0.5, 111194.9)
     assert spark.range(1).select(text.slugify(F.lit("Ελλάδα — Ёлка")).alias("s")).first().s == "ellada-iolka"
+
+
+def test_scratch_of_a_step_goes(spark):
+    from atlasmill.session import drop_since, materialize, scratch_path, written_so_far
+
+    before = written_so_far(spark)
+    lost = materialize(spark.range(5), "lost")
+    kept = materialize(lost.withColumn("x", F.col("id") + 1), "kept")
+    empty = materialize(spark.range(0), "empty")
+    scratch_path(spark, "never-written")
+    drop_since(spark, before, kept)
+    assert kept.count() == 5 and len(written_so_far(spark)) == len(before) + 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+        spark.read.parquet(lost.inputFiles()[0]).count()
+    assert empty.columns == ["id"]
