@@ -9,7 +9,7 @@ from atlasmill.llm.jaccard import one_of_each
 from atlasmill.llm.langid import of_known_language
 from atlasmill.llm.packing import pack
 from atlasmill.llm.substring import cut_repeats
-from atlasmill.session import materialize
+from atlasmill.session import drop_since, materialize, written_so_far
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each result written as Parquet and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, each result written as Parquet and read again for the next. What a stage wrote on its way goes as soon as its result is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written_so_far(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        drop_since(spark, before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
