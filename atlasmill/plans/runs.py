@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atlasmill.config import Box
 from atlasmill.functions import text
 from atlasmill.functions.hours import SLOT
 from atlasmill.functions.sql import register
-from atlasmill.operators import gold, resolution, social
+from atlasmill.operators import gold, resolution, serving, social
 from atlasmill.operators.runs import BatchRun
 from atlasmill.plans import sources
 from atlasmill.plans import tables as T
@@ -325,3 +326,10 @@ def bronze_unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(path)
     kind = F.regexp_extract(F.schema_of_variant(F.variant_get("payload", "$.extra", "variant")), "^(OBJECT|ARRAY|VOID)", 1)
     return v.select("event_id", F.try_variant_get("payload", "$.props.k", "string").alias("k"), F.try_variant_get("payload", "$.extra.x.y[0]", "bigint").alias("deep"), F.when(kind == "VOID", "null").otherwise(F.nullif(kind, F.lit(""))).alias("extra_kind"), F.col("payload").isNotNull().alias("readable"))
+
+
+@query(f"WITH p AS ({T.PLACE_SQL}) SELECT id, tr AS name FROM p WHERE is_published AND kategori[2] IN ('brand#11', 'brand#23') AND lat BETWEEN 38.1 AND 38.8 AND lng BETWEEN 26.4 AND 27.9")
+def places_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in a box with one of two tags, and their names in Turkish."""
+    p = serving.find_places(T.places(spark, sf_dir), Box(26.4, 38.1, 27.9, 38.8), tags=["brand#11", "brand#23"])
+    return p.select("id", serving.name_in(F.col("isim"), "tr").alias("name"))
