@@ -20,8 +20,6 @@ RESPONSE = (
     "success boolean, error struct<message:string>, extracted_at string, dataset struct<name:string,license_id:string>, "
     "result struct<resource_id:string,offset:bigint,limit:bigint,total:bigint,records:array<map<string,string>>>"
 )
-#: Fixed value: no page beyond this offset is asked for.
-LAST_OFFSET = 50_000
 
 
 def _demand(condition: Column, message: Column) -> Column:
@@ -29,26 +27,25 @@ def _demand(condition: Column, message: Column) -> Column:
     return F.assert_true(F.coalesce(condition, F.lit(False)), message).isNull()
 
 
-def read_pages(spark: SparkSession, path: str, last_offset: int = LAST_OFFSET) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, last_offset: int | None = None) -> DataFrame:
     """Records of all resources: extracted_at, origin, d (name, license_id), r (id), pos (over all pages), row.
 
     One response a line. A response without success is an error, as is a page that is missing between others. A resource
-    ends with its first page that is not full, and after last_offset; a page that was saved twice counts once.
+    ends with its first page that is not full, and after last_offset if one is given; a page that was saved twice counts once.
     """
     raw = spark.read.schema(RESPONSE).json(path)
     at = F.concat(F.lit("no success: "), F.coalesce("result.resource_id", F.lit("?")), F.lit(" "), F.coalesce("error.message", F.lit("")))
     pages = raw.where(_demand(F.col("success"), at)).select("extracted_at", "dataset", "result.*")
-    pages = pages.where(F.col("offset") <= last_offset)
+    if last_offset is not None:
+        pages = pages.where(F.col("offset") <= last_offset)
     key = F.coalesce("extracted_at", F.lit(""))
     light = pages.select(key.alias("_at"), "resource_id", "offset", F.col("limit").alias("size"), F.coalesce(F.size("records"), F.lit(0)).alias("n")).distinct()
-    ends = light.groupBy("_at", "resource_id").agg(
-        F.min(F.when(F.col("n") < F.col("size"), F.col("offset"))).alias("end"), F.max("offset").alias("last"), F.max("size").alias("size"), F.sort_array(F.collect_set("offset")).alias("offsets")
-    )
-    ends = ends.withColumn("end", F.coalesce("end", "last"))
-    # Offsets of a resource are at most last_offset / limit numbers.
-    whole = F.size(F.filter("offsets", lambda o: o <= F.col("end"))) == F.floor(F.col("end") / F.col("size")) + 1
-    ends = ends.where(_demand(whole, F.concat(F.lit("a page is missing: "), "resource_id"))).select(F.col("_at").alias("_when"), F.col("resource_id").alias("_id"), "end")
-    kept = pages.withColumn("_at", key).join(ends, (F.col("_at") == F.col("_when")) & F.col("resource_id").eqNullSafe(F.col("_id"))).where(F.col("offset") <= F.col("end")).drop("_at", "_when", "_id", "end")
+    ends = light.groupBy(F.col("_at").alias("_when"), F.col("resource_id").alias("_id")).agg(F.coalesce(F.min(F.when(F.col("n") < F.col("size"), F.col("offset"))), F.max("offset")).alias("end"), F.max("size").alias("size"))
+    one = (F.col("_at") == F.col("_when")) & F.col("resource_id").eqNullSafe(F.col("_id"))
+    there = light.drop("size").join(ends, one).where(F.col("offset") <= F.col("end")).groupBy("_when", "_id", "end", "size").agg(F.countDistinct("offset").alias("there"))
+    whole = F.col("there") == F.floor(F.col("end") / F.col("size")) + 1
+    ends = there.where(_demand(whole, F.concat(F.lit("a page is missing: "), F.coalesce("_id", F.lit("?"))))).select("_when", "_id", "end")
+    kept = pages.withColumn("_at", key).join(ends, one).where(F.col("offset") <= F.col("end")).drop("_at", "_when", "_id", "end")
     once = kept.dropDuplicates(["extracted_at", "resource_id", "offset"])
     rows = once.select(F.col("extracted_at").try_cast("timestamp").alias("extracted_at"), F.lit(None).cast("string").alias("origin"), F.col("dataset").alias("d"), F.struct(F.col("resource_id").alias("id")).alias("r"), "offset", F.posexplode("records").alias("i", "row"))
     return rows.select("extracted_at", "origin", "d", "r", (F.col("offset") + F.col("i")).alias("pos"), "row")

@@ -30,6 +30,12 @@ def test_pages(spark, tmp_path):
     assert len(places(spark, tmp_path, last_offset=2)) == 4
 
 
+def test_pages_of_a_long_resource(spark, tmp_path):
+    """All saved pages are read, however far they reach."""
+    got = places(spark, tmp_path, page(0, 60_000, 60_000), page(60_000, 3, 60_000))
+    assert [n for _, n in sorted(got, key=lambda x: x[1])] == list(range(60_003))
+
+
 @pytest.mark.parametrize("pages", [(page(0, 2), page(4, 1)), (page(0, 2), page(2, 1, success=False)), (page(2, 1),)])
 def test_pages_with_gaps_or_failures_are_errors(spark, tmp_path, pages):
     with pytest.raises(Exception, match="missing|no success"):
