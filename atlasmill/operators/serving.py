@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,24 +133,39 @@ def _border_m(cell: float) -> Column:
     return F.radians(F.least(up, side)) * EARTH_M * (1 - 1e-9)
 
 
+def _fine_cell(rows: DataFrame, cell_deg: float, most: int) -> float:
+    """cell_deg, halved until no square holds more than `most` places, or they share one of a few centimetres."""
+    cell = cell_deg
+    while cell > 1e-6:
+        full = rows.groupBy(F.floor(F.col("lat") / cell), F.floor(F.col("lng") / cell)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if full <= most:
+            break
+        cell /= 2 ** max(1, math.floor(math.log2(full / most) / 2))
+    return cell
+
+
 def nearest_neighbours(places: DataFrame, k: int, cell_deg: float = 0.05) -> DataFrame:
     """The k nearest published places of each one: (id, neighbour, distance_m, rank); fewer only where there are no more.
 
-    They are sought in the own and adjacent grid squares. A place is settled when its k-th distance is below that to
-    the border of these squares; the others are sought again in squares twice as large. Ids are unique; a place
-    without coordinates has no neighbours and is none.
+    They are sought in the own and adjacent grid squares, which are so small at first that none holds more than 4 k
+    places. A place is settled when its k-th distance is below that to the border of these squares; the others are sought
+    again in squares twice as large. As these have less than k places around them, few of them share a square, so all
+    rounds together meet a number of pairs that grows with the places, however uneven they are. Of places in one point
+    only the first k + 1 can be among the nearest. Ids are unique; a place without coordinates has no neighbours and is none.
     """
     rows = materialize(published(places).where("lat is not null and lng is not null").select("id", "lat", "lng"), "places")
     need = min(k, rows.count() - 1)
-    todo, out, cell = rows, None, cell_deg
+    first = F.row_number().over(Window.partitionBy("lat", "lng").orderBy("id"))
+    there = materialize(rows.withColumn("n", first).where(F.col("n") <= k + 1).drop("n"), "nearest-of-points")
+    todo, out, cell = rows, None, _fine_cell(there, cell_deg, 4 * max(k, 1))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance_m", "neighbour"))
     while True:
         y, x = F.floor(F.col("lat") / cell), F.floor(F.col("lng") / cell)
         cells = F.array(*[F.struct((y + dy).alias("y"), (x + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
         left = todo.select("id", "lat", "lng", F.explode(cells).alias("c"))
-        right = rows.select(F.col("id").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), y.alias("y"), x.alias("x"))
+        right = there.select(F.col("id").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), y.alias("y"), x.alias("x"))
         pairs = left.join(right, (F.col("c.y") == F.col("y")) & (F.col("c.x") == F.col("x")) & (F.col("id") != F.col("neighbour")))
-        pairs = pairs.withColumn("distance_m", haversine_m(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")))
+        pairs = pairs.select("id", "neighbour", haversine_m(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")).alias("distance_m"))
         found = pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour", "distance_m", "rank")
         if cell >= 360:  # all places were met
             return found if out is None else out.union(found)

@@ -245,3 +245,30 @@ def test_density_clusters_of_crowded_places(spark, monkeypatch):
     got = reports.density_clusters(rows, 1000.0, 5).groupBy("cluster", "core").count().collect()
     assert {(r.cluster, r.core, r["count"]) for r in got} == {(0, True, 3000), (3000, True, 3000), (6000, True, 2000), (8000, True, 1000), (9000, True, 1000), (10000, True, 2000)}
     assert max(df.count() for df in written.values()) <= 12_001
+
+
+def test_nearest_neighbours_of_crowded_places(spark, monkeypatch):
+    """Squares are so small that a crowd meets few pairs, copies too; the result is that of the quadtree."""
+    from atlasmill.operators import neighbours, serving
+
+    crowd = spark.range(3000).select("id", (38.4 + F.rand(3) / 500).alias("lat"), (27.1 + F.rand(4) / 500).alias("lng"))
+    rows = crowd.union(spark.range(3000, 3400).select("id", F.lit(38.5).alias("lat"), F.lit(27.1).alias("lng"))).union(spark.range(3400, 3450).select("id", F.rand(5) * 80, F.rand(6) * 170))
+    rows = serving.materialize(rows.withColumn("is_published", F.lit(True)), "crowd")
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(a, b, c, d):
+        met.add(1)
+        return metres(a, b, c, d)
+
+    from math import atan2, cos, radians, sin, sqrt
+
+    def metres(a, b, c, d):
+        h = sin(radians(c - a) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) ** 2
+        return 2 * 6371000 * atan2(sqrt(h), sqrt(1 - h))
+
+    want = {(r.id, r["rank"]): round(r.distance_m, 3) for r in neighbours.nearest(rows, 3).collect()}
+    monkeypatch.setattr(serving, "haversine_m", counted)
+    got = {(r.id, r["rank"]): round(r.distance_m, 3) for r in serving.nearest_neighbours(rows, 3).collect()}
+    assert got == want and len(got) == 3 * 3450
+    assert met.value < 100 * 3450
