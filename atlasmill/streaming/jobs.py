@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -55,17 +56,20 @@ def queue_consumer(items: DataFrame, answer: Callable[[DataFrame], DataFrame], s
 # --- the decision queue as a state machine ---------------------------------------------------------------------------
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Binary digits of an id that items of one key of state may differ in.
+SHARED = 8
 QUEUE_LOG = "queue_id long, step int, event string, status string, retry_count int, at timestamp"
 #: Events that send an item round again.
 AGAIN = ("api_error", "schema_error", "low_confidence", "apply_error", "timeout")
 
 
 class QueueMachine(StatefulProcessor):
-    """One item of the queue: asked when it comes, moved by each answer, asked again until it is decided or out of retries.
+    """Items of the queue: each is asked when it comes, moved by each answer, asked again until it is decided or out of retries.
 
-    State is the status, the retry count, the number of steps and when the open question runs out; a timer takes a
-    question without an answer as a failed one. Events of other states (a second answer, an item that is there) change
-    nothing, so what a source delivers twice counts once.
+    A key holds the 2 ** SHARED items of neighbouring ids at most, so state is read and written once for all of them. An
+    item's state is the status, the retry count, the number of steps and when the open question runs out (0: none is open);
+    one timer, that of the first question to run out, takes questions without an answer as failed ones. Events of other
+    states (a second answer, an item that is there) change nothing, so what a source delivers twice counts once.
     """
 
     def __init__(self, retries: int, patience_s: int):
@@ -73,53 +77,70 @@ class QueueMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.item = handle.getValueState("item", "status string, retry_count int, step int, due long")
-
-    def _rows(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        self.state = handle.getValueState("items", "items string, due long")
+
+    def _load(self) -> tuple[dict[int, list], int]:
+        """Items by id, and the timer that is set."""
+        text, due = self.state.get() if self.state.exists() else ("[]", 0)
+        return {item[0]: item[1:] for item in json.loads(text)}, due
+
+    def _store(self, items: dict[int, list], timer: int) -> None:
+        due = min((item[3] for item in items.values() if item[3]), default=0)
+        if due != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if due:
+                self.handle.registerTimer(due)
+        if items:
+            self.state.update((json.dumps([[n, *item] for n, item in items.items()]), due))
+
+    def _rows(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
-            yield pd.DataFrame([(key[0], *r[:4], pd.Timestamp(r[4], unit="ms")) for r in rows], columns=["queue_id", "step", "event", "status", "retry_count", "at"])
+            out = pd.DataFrame(rows, columns=["queue_id", "step", "event", "status", "retry_count", "at"])
+            yield out.assign(at=pd.to_datetime(out["at"], unit="ms"))
 
-    def _ask(self, status: str, retry_count: int, step: int, at: int) -> None:
-        due = at + 1000 * self.patience_s
-        self.item.update((status, retry_count, step, due))
-        self.handle.registerTimer(due)
+    def _asked(self, status: str, retry_count: int, step: int, at: int) -> list:
+        return [status, retry_count, step, at + 1000 * self.patience_s]
 
-    def _move(self, event: str, at: int) -> tuple:
-        status, retry_count, step, due = self.item.get()
-        self.handle.deleteTimer(due)
+    def _move(self, items: dict[int, list], n: int, event: str, at: int) -> tuple:
+        status, retry_count, step, _ = items[n]
         retry_count += event in AGAIN
         # An answer that could not be applied stays open, whatever its count; it is asked no more once retries are used up.
         if event in AGAIN:
             status = "retry" if retry_count < self.retries or event == "apply_error" else "rejected"
         else:
             status = {"merge": "merged", "split": "approved"}.get(event, "rejected")
-        if status == "retry" and retry_count < self.retries:
-            self._ask(status, retry_count, step + 1, at)
-        else:
-            self.item.update((status, retry_count, step + 1, 0))
-        return step + 1, event, status, retry_count, at
+        again = status == "retry" and retry_count < self.retries
+        items[n] = self._asked(status, retry_count, step + 1, at) if again else [status, retry_count, step + 1, 0]
+        return n, step + 1, event, status, retry_count, at
+
+    def _run_out(self, items: dict[int, list], n: int, at: int) -> Iterator[tuple]:
+        """The steps of an item whose questions run out until then."""
+        while 0 < items[n][3] <= at:
+            yield self._move(items, n, "timeout", items[n][3])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "kind", "seq"])
+        batch = pd.concat(list(rows)).sort_values(["queue_id", "ts", "kind", "seq"])
+        items, timer = self._load()
         out = []
-        for at, kind, event, status, retry_count in zip(batch["ts"].astype("datetime64[ms]").astype("int64"), batch["kind"], batch["event"], batch["status"], batch["retry_count"]):
-            if kind == "item" and not self.item.exists():
+        for n, at, kind, event, status, retry_count in zip(batch["queue_id"].tolist(), batch["ts"].astype("datetime64[ms]").astype("int64").tolist(), batch["kind"], batch["event"], batch["status"], batch["retry_count"]):
+            if kind == "item" and n not in items:
                 open_ = status in ("pending", "retry") and retry_count < self.retries
-                self._ask(status, int(retry_count), 0, int(at)) if open_ else self.item.update((status, int(retry_count), 0, 0))
-                out.append((0, "queued", status, int(retry_count), int(at)))
-            elif kind == "answer" and self.item.exists() and self.item.get()[3]:
-                due = self.item.get()[3]
-                while due and due <= at:  # its question ran out before the answer came, in the same batch
-                    out.append(self._move("timeout", due))
-                    due = self.item.get()[3]
-                if due:
-                    out.append(self._move(event, int(at)))
-        yield from self._rows(key, out)
+                items[n] = self._asked(status, int(retry_count), 0, at) if open_ else [status, int(retry_count), 0, 0]
+                out.append((n, 0, "queued", status, int(retry_count), at))
+            elif kind == "answer" and n in items:
+                out += self._run_out(items, n, at)  # its question ran out before the answer came, in the same batch
+                if items[n][3]:
+                    out.append(self._move(items, n, event, at))
+        self._store(items, timer)
+        yield from self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self.item.get()[3] if self.item.exists() else 0
-        if due and due <= expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._rows(key, [self._move("timeout", due)])
+        items, timer = self._load()
+        now = timerValues.getCurrentWatermarkInMs()  # no answer that is older will be let in
+        out = [row for n in items for row in self._run_out(items, n, now)]
+        self._store(items, timer)
+        yield from self._rows(out)
 
     def close(self) -> None:
         pass
@@ -132,9 +153,9 @@ def queue_machine(events: DataFrame, params: Params = DEFAULT, patience_s: int =
     'tick' moves time only) and seq, which orders equal times. Time is that of the events, so a run over old files gives
     what a live run gave; a question that got no answer within the patience counts as failed once the watermark passes.
     """
-    keyed = events.select("queue_id", F.col("ts").cast("timestamp").alias("ts"), "kind", F.col("seq").cast("long").alias("seq"), "event", "status", "retry_count").withWatermark("ts", delay)
+    keyed = events.select(F.shiftright("queue_id", SHARED).alias("shelf"), "queue_id", F.col("ts").cast("timestamp").alias("ts"), "kind", F.col("seq").cast("long").alias("seq"), "event", "status", "retry_count").withWatermark("ts", delay)
     machine = QueueMachine(params.max_retries, patience_s)
-    return keyed.groupBy("queue_id").transformWithStateInPandas(statefulProcessor=machine, outputStructType=QUEUE_LOG, outputMode="Append", timeMode="EventTime")
+    return keyed.groupBy("shelf").transformWithStateInPandas(statefulProcessor=machine, outputStructType=QUEUE_LOG, outputMode="Append", timeMode="EventTime")
 
 
 def machine_log(steps: DataFrame, sink: str, checkpoint: str | None = None) -> DataFrame:

@@ -168,3 +168,34 @@ def test_queue_machine_restarts(spark, tmp_path):
         (2, 0, "queued", "pending", 0), (2, 1, "timeout", "retry", 1), (2, 2, "timeout", "retry", 2), (2, 3, "timeout", "rejected", 3),
         (3, 0, "queued", "pending", 0), (3, 1, "reject", "rejected", 0), (4, 0, "queued", "merged", 0),
     ]
+
+
+def test_queue_items_share_state(spark, tmp_path):
+    """Items of neighbouring ids, negative ones and the largest too, move apart from each other, and have few rows of state."""
+    schema = "queue_id long, ts timestamp, kind string, seq long, event string, status string, retry_count int"
+
+    def at(minute):
+        return __import__("datetime").datetime(2024, 1, 1, minute // 60, minute % 60)
+
+    ids = [*range(-300, 300), (1 << 63) - 1, -(1 << 63)]
+    items = [(i, at(i % 7), "item", 0, None, "pending", i % 4) for i in ids]
+    answers = [(i, at(50), "answer", 1, "merge" if i % 2 else "low_confidence", None, None) for i in ids if i % 3]
+    for rows in (items, answers, *[[(-1, at(m), "tick", 0, None, None, None)] for m in (300, 600, 900)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    steps = jobs.queue_machine(jobs.read_events(spark, str(tmp_path / "in"), schema, 1), delay="10 minutes")
+    log = jobs.machine_log(steps, str(tmp_path / "log"), str(tmp_path / "checkpoint"))
+    want = set()
+    for i in ids:
+        tries, step, open_ = i % 4, 0, i % 4 < 3
+        want.add((i, 0, "queued", "pending", tries))
+        if open_ and i % 3:
+            step, tries = 1, tries + (i % 2 == 0)
+            open_ = i % 2 == 0 and tries < 3
+            want.add((i, 1, "merge", "merged", tries) if i % 2 else (i, 1, "low_confidence", "retry" if open_ else "rejected", tries))
+        while open_:
+            step, tries = step + 1, tries + 1
+            open_ = tries < 3
+            want.add((i, step, "timeout", "retry" if open_ else "rejected", tries))
+    assert sorted((r.queue_id, r.step, r.event, r.status, r.retry_count) for r in log.collect()) == sorted(want)
+    state = spark.read.format("statestore").option("stateVarName", "items").load(str(tmp_path / "checkpoint"))
+    assert state.count() <= 8
