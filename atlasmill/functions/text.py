@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,10 +45,26 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def normalize_text(text: Column) -> Column:
-    """HTML entities resolved, NFC, white space squeezed. Only rows with '&' or non-ASCII text reach Python."""
+CLOSED = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@F.pandas_udf(T.StringType())
+def _unescape_closed(text: pd.Series) -> pd.Series:
+    def letter(found):
+        entity = found.group()
+        return html.unescape(entity) if entity[1] == "#" else html5.get(entity[1:], entity)
+
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", CLOSED.sub(letter, x)))
+
+
+def normalize_text(text: Column, closed: bool = False) -> Column:
+    """HTML entities resolved, NFC, white space squeezed. Only rows with '&' or non-ASCII text reach Python.
+
+    closed resolves those entities only that end with a semicolon; without it '&amp' and '&copyright' are resolved as browsers do.
+    """
     hard = text.rlike("[&]|[^\\x00-\\x7F]")
-    return squeeze(F.when(hard, _unescape(F.when(hard, text))).otherwise(text))
+    unescape = _unescape_closed if closed else _unescape
+    return squeeze(F.when(hard, unescape(F.when(hard, text))).otherwise(text))
 
 
 def tr_casefold(text: Column) -> Column:
@@ -64,8 +82,8 @@ def match_key(text: Column) -> Column:
     return F.coalesce(squeeze(F.regexp_replace(tr_casefold(text), "(?U)[^\\w\\s]", " ")), F.lit(""))
 
 
-def normalize_for_match(text: Column) -> Column:
-    return match_key(normalize_text(text))
+def normalize_for_match(text: Column, closed: bool = False) -> Column:
+    return match_key(normalize_text(text, closed))
 
 
 def _plain_letters() -> tuple[str, str]:

@@ -272,3 +272,13 @@ def test_nearest_neighbours_of_crowded_places(spark, monkeypatch):
     got = {(r.id, r["rank"]): round(r.distance_m, 3) for r in serving.nearest_neighbours(rows, 3).collect()}
     assert got == want and len(got) == 3 * 3450
     assert met.value < 100 * 3450
+
+
+def test_entities_without_a_semicolon(spark, tmp_path):
+    """The queries resolve closed entities only, as their SQL does; the function resolves the others too unless told not to."""
+    from atlasmill.plans import QUERIES
+
+    data = [(1, "<p>this&amp</p> &amp;lt; &copyright", "this&amp &lt; &copyright"), (2, "a &copy; &#39;b&#39; &nope; &#x41;&amp;", "a © 'b' &nope; A&"), (3, "x&lt y", "x&lt y")]
+    spark.createDataFrame([r[:2] for r in data], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r.page_id: r.plain for r in QUERIES["html_unescape"](spark, str(tmp_path)).collect()} == {n: plain for n, _, plain in data}
+    assert spark.sql("select 'a&amp b' as t").select(text.normalize_text(F.col("t"))).first()[0] == "a& b"
