@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from atlasmill.functions.bound import bound
+
 EARTH_M = 6371000.0
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 
@@ -112,32 +116,36 @@ def spheroid_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column, rounds: i
     u1, u2, span = F.atan((1 - f) * F.tan(F.radians(lat1))), F.atan((1 - f) * F.tan(F.radians(lat2))), F.radians(lng2 - lng1)
     fixed = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), span.alias("span"))
 
-    def arc(k: Column, lam: Column) -> Column:
-        """The arc that a longitude difference on the auxiliary sphere spans."""
-        a, b = k["c2"] * F.sin(lam), k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam)
-        sin_s, cos_s = F.sqrt(a * a + b * b), k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
-        sin_a = F.when(sin_s == 0, 0.0).otherwise(k["c1"] * k["c2"] * F.sin(lam) / sin_s)
-        return F.struct(sin_s.alias("sin"), cos_s.alias("cos"), F.atan2(sin_s, cos_s).alias("arc"), sin_a.alias("sa"), (1 - sin_a * sin_a).alias("c2a"))
+    def arc(k: Column, lam: Column, use: Callable[[Column, Column], Column]) -> Column:
+        """use(t, m) with the arc that a longitude difference on the auxiliary sphere spans, and its middle."""
 
-    def middle(k: Column, t: Column) -> Column:
-        return F.when(t["c2a"] == 0, 0.0).otherwise(t["cos"] - 2 * k["s1"] * k["s2"] / t["c2a"])
+        def of_sides(x: Column) -> Column:
+            sin_s = F.sqrt(x["a"] * x["a"] + x["b"] * x["b"])
+            return F.struct(sin_s.alias("sin"), x["cos"].alias("cos"), F.atan2(sin_s, x["cos"]).alias("arc"), F.when(sin_s == 0, 0.0).otherwise(x["cc"] * x["sl"] / sin_s).alias("sa"))
+
+        sides = bound(F.struct(F.sin(lam).alias("sl"), F.cos(lam).alias("cl")), lambda w: F.struct(
+            (k["c2"] * w["sl"]).alias("a"), (k["c1"] * k["s2"] - k["s1"] * k["c2"] * w["cl"]).alias("b"), (k["s1"] * k["s2"] + k["c1"] * k["c2"] * w["cl"]).alias("cos"), (k["c1"] * k["c2"]).alias("cc"), w["sl"].alias("sl")
+        ))
+        whole = bound(bound(sides, of_sides), lambda t: F.struct(t["sin"].alias("sin"), t["cos"].alias("cos"), t["arc"].alias("arc"), t["sa"].alias("sa"), (1 - t["sa"] * t["sa"]).alias("c2a")))
+        return bound(whole, lambda t: bound(F.when(t["c2a"] == 0, 0.0).otherwise(t["cos"] - 2 * k["s1"] * k["s2"] / t["c2a"]), lambda m: use(t, m)))
 
     def step(state: Column, _: Column) -> Column:
         k = state["k"]
-        t = arc(k, state["lam"])
-        m = middle(k, t)
-        c = f / 16 * t["c2a"] * (4 + f * (4 - 3 * t["c2a"]))
-        lam = k["span"] + (1 - c) * f * t["sa"] * (t["arc"] + c * t["sin"] * (m + c * t["cos"] * (2 * m * m - 1)))
-        return F.struct(k.alias("k"), lam.alias("lam"))
+
+        def next_lam(t: Column, m: Column) -> Column:
+            return bound(f / 16 * t["c2a"] * (4 + f * (4 - 3 * t["c2a"])), lambda c: k["span"] + (1 - c) * f * t["sa"] * (t["arc"] + c * t["sin"] * (m + c * t["cos"] * (2 * m * m - 1))))
+
+        return F.struct(k.alias("k"), arc(k, state["lam"], next_lam).alias("lam"))
+
+    def length(t: Column, m: Column) -> Column:
+        def of(u: Column) -> Column:
+            a, b = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))), u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+            return bound(b, lambda b: minor * a * (t["arc"] - b * t["sin"] * (m + b / 4 * (t["cos"] * (2 * m * m - 1) - b / 6 * m * (4 * t["sin"] * t["sin"] - 3) * (4 * m * m - 3)))))
+
+        return bound(t["c2a"] * (SEMI_MAJOR_M**2 - minor**2) / minor**2, of)
 
     def distance(state: Column) -> Column:
-        k = state["k"]
-        t = arc(k, state["lam"])
-        m = middle(k, t)
-        u = t["c2a"] * (SEMI_MAJOR_M**2 - minor**2) / minor**2
-        a, b = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))), u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-        fine = b * t["sin"] * (m + b / 4 * (t["cos"] * (2 * m * m - 1) - b / 6 * m * (4 * t["sin"] * t["sin"] - 3) * (4 * m * m - 3)))
-        return minor * a * (t["arc"] - fine)
+        return arc(state["k"], state["lam"], length)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(fixed.alias("k"), span.alias("lam")), step, distance)
 
