@@ -64,34 +64,38 @@ def change_stops(stops: DataFrame, requests: DataFrame, routes: DataFrame, place
     stops, counted with the additions before. A stop may be moved or removed once, the first request counts.
     """
     cols = ["request_id", "kind", "route_id", "user_id", "order_index", "new_index", "place_id"]
-    mine = routes.select("route_id", F.col("owner_id").alias("user_id"), F.lit(True).alias("owned"))
-    held = stops.groupBy("route_id").agg(F.count("*").alias("held"), F.max("order_index").alias("last"))
-    there = stops.select(F.col("route_id").alias("_r"), F.col("order_index").alias("_i"), F.lit(True).alias("there"))
-    r = requests.select(cols).join(mine, ["route_id", "user_id"], "left").join(held, "route_id", "left")
-    r = r.join(places.where("is_published").select(F.col("id").alias("place_id"), F.lit(True).alias("known")), "place_id", "left")
-    r = r.withColumn("wants", F.when(F.col("kind") == "add", F.col("order_index")).when(F.col("kind") == "move", F.col("new_index")))
-    r = r.join(there.withColumnRenamed("there", "taken"), (F.col("route_id") == F.col("_r")) & (F.col("wants") == F.col("_i")), "left").drop("_r", "_i")
-    target = F.when(F.col("kind") != "add", F.col("order_index"))
-    r = r.withColumn("target", target).join(there, (F.col("route_id") == F.col("_r")) & (F.col("target") == F.col("_i")), "left").drop("_r", "_i")
+    # Only additions meet the places; everything after that is dealt by route once.
+    known = places.where("is_published").select(F.col("id").alias("place_id"), F.lit(True).alias("known"))
+    add = F.col("kind") == "add"
+    r = requests.select(cols).where(add).join(known, "place_id", "left").select(*cols, "known").union(requests.select(cols).where(~add).withColumn("known", F.lit(None).cast("boolean")))
+    owned = routes.groupBy("route_id").agg(F.collect_set("owner_id").alias("owners"))
+    held = stops.groupBy("route_id").agg(F.count("*").alias("held"), F.max("order_index").alias("last"), F.collect_set("order_index").alias("places"))
+    r = r.join(owned, "route_id", "left").join(held, "route_id", "left").withColumn("owned", F.array_contains("owners", F.col("user_id")))
+    r = r.withColumn("wants", F.when(add, F.col("order_index")).when(F.col("kind") == "move", F.col("new_index"))).withColumn("target", F.when(~add, F.col("order_index")))
+    r = r.withColumn("taken", F.array_contains("places", F.col("wants"))).withColumn("there", F.array_contains("places", F.col("target"))).drop("owners", "places")
     bad = (
-        F.when(F.col("owned").isNull(), "route_not_found").when((F.col("kind") != "add") & F.col("there").isNull(), "stop_not_found")
-        .when((F.col("kind") == "add") & F.col("known").isNull(), "place_not_found").when(F.coalesce("taken", F.lit(False)), "conflict")
+        F.when(~F.coalesce("owned", F.lit(False)), "route_not_found").when(~add & ~F.coalesce("there", F.lit(False)), "stop_not_found")
+        .when(add & F.col("known").isNull(), "place_not_found").when(F.coalesce("taken", F.lit(False)), "conflict")
     )
     r = r.withColumn("bad", bad)
     turn = F.row_number().over(Window.partitionBy("route_id", "wants").orderBy(F.col("bad").isNotNull(), "request_id"))
     again = F.row_number().over(Window.partitionBy("route_id", "target").orderBy(F.col("bad").isNotNull(), "request_id"))
     r = r.withColumn("bad", F.when(F.col("bad").isNull() & F.col("wants").isNotNull() & (turn > 1), "conflict").when(F.col("bad").isNull() & F.col("target").isNotNull() & (again > 1), "conflict").otherwise(F.col("bad")))
-    added = F.sum(F.when((F.col("kind") == "add") & F.col("bad").isNull(), 1).otherwise(0)).over(Window.partitionBy("route_id").orderBy("request_id"))
-    r = r.withColumn("bad", F.when((F.col("kind") == "add") & F.col("bad").isNull() & (F.coalesce("held", F.lit(0)) + added > most), "stops_limit_exceeded").otherwise(F.col("bad")))
+    added = F.sum(F.when(add & F.col("bad").isNull(), 1).otherwise(0)).over(Window.partitionBy("route_id").orderBy("request_id"))
+    r = r.withColumn("bad", F.when(add & F.col("bad").isNull() & (F.coalesce("held", F.lit(0)) + added > most), "stops_limit_exceeded").otherwise(F.col("bad")))
     good = r.where("bad is null")
     top = F.max(F.when(F.col("wants").isNotNull(), F.col("wants"))).over(Window.partitionBy("route_id"))
-    at_end = F.sum(F.when((F.col("kind") == "add") & F.col("wants").isNull(), 1).otherwise(0)).over(Window.partitionBy("route_id").orderBy("request_id"))
+    at_end = F.sum(F.when(add & F.col("wants").isNull(), 1).otherwise(0)).over(Window.partitionBy("route_id").orderBy("request_id"))
     good = good.withColumn("to", F.coalesce("wants", F.greatest(F.coalesce("last", F.lit(-1)), F.coalesce(top, F.lit(-1))) + at_end))
-    moved = good.where("kind = 'move'").select(F.col("route_id").alias("_r"), F.col("order_index").alias("_i"), F.col("to").alias("_to"))
-    gone = good.where("kind = 'remove'").select("route_id", "order_index")
-    kept = stops.select("route_id", "order_index", "place_id").join(gone, ["route_id", "order_index"], "left_anti")
-    kept = kept.join(moved, (F.col("route_id") == F.col("_r")) & (F.col("order_index") == F.col("_i")), "left").select("route_id", F.coalesce("_to", "order_index").alias("order_index"), "place_id")
-    new = good.where("kind = 'add'").select("route_id", F.col("to").alias("order_index"), "place_id")
+    # A route's changes are one row: a stop is moved or removed once at most, and additions are at most `most` less what is there.
+    stop = F.struct(F.col("to").alias("order_index"), "place_id")
+    changes = good.groupBy("route_id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "move", F.struct(F.col("order_index").alias("key"), F.col("to").alias("value"))))).alias("_moved"),
+        F.collect_list(F.when(F.col("kind") == "remove", F.col("order_index"))).alias("_gone"), F.collect_list(F.when(add, stop)).alias("_new"),
+    )
+    kept = stops.select("route_id", "order_index", "place_id").join(changes.drop("_new"), "route_id", "left").where(~F.coalesce(F.array_contains("_gone", F.col("order_index")), F.lit(False)))
+    kept = kept.select("route_id", F.coalesce(F.element_at("_moved", F.col("order_index")), "order_index").alias("order_index"), "place_id")
+    new = changes.select("route_id", F.explode("_new").alias("s")).select("route_id", "s.order_index", "s.place_id")
     return kept.union(new), r.select("request_id", F.coalesce("bad", F.lit("ok")).alias("status"))
 
 

@@ -95,6 +95,21 @@ def test_stops_of_a_full_route(spark):
     assert sorted(r.order_index for r in after.where("route_id = 2").collect()) == [3, 9, 10] and after.where("route_id = 1").count() == 250
 
 
+def test_changes_of_stops_are_dealt_by_route(spark):
+    """No exchange deals stops or requests by more than their route."""
+    import re
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    rows = spark.range(50).select(F.col("id").alias("route_id"), F.col("id").alias("owner_id"), F.col("id").alias("user_id"), F.lit(0).cast("long").alias("order_index"), F.lit(3).cast("long").alias("new_index"), F.col("id").alias("place_id"), F.col("id").alias("request_id"), F.lit("move").alias("kind"), F.lit(True).alias("is_published"))
+    for df in social.change_stops(rows.select("route_id", "order_index", "place_id"), rows, rows.select("route_id", "owner_id"), rows.select(F.col("place_id").alias("id"), "is_published")):
+        keys = re.findall(r"hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+        assert keys and all("," not in key for key in keys)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_functions_in_sql(spark):
     sql.register(spark)
     row = spark.sql("SELECT geohash_encode(57.64911D, 10.40744D) AS g, geohash_encode(91D, 0D) AS none, match_key('Ephesus, İZMİR!') AS k, match_key(NULL) AS e, category_score(NULL, array()) AS c, round(haversine_m(0, 0, 0, 1), 1) AS d").first()
