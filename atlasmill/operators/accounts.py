@@ -27,22 +27,43 @@ def revoke_all(tokens: DataFrame, users: DataFrame, reason: str, at: Column) ->
     return changed.withColumn("revoked_at", F.when(now, at).otherwise(F.col("revoked_at"))).select(tokens.columns)
 
 
-def token_chains(tokens: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """jti, root and depth of each token along parent_jti, by pointer jumping: each round doubles the steps.
+#: Tokens with a parent up to which pointers are doubled; more are taken out of their chains first.
+FEW = 1 << 20
 
-    A parent that is not in the table ends a chain. Rounds grow with the logarithm of the longest chain.
+
+def token_chains(tokens: DataFrame, max_rounds: int = 40, few: int = FEW) -> DataFrame:
+    """jti, root and depth of each token along parent_jti. A parent that is not in the table ends a chain.
+
+    While there are more than `few` tokens with a parent, each round takes a quarter of them out, no two neighbours, and
+    ties their children to their parents; so all rounds together move a fixed number of rows a token. Of the rest,
+    pointers are doubled, which takes as many rounds as the logarithm of the longest chain. Then the ones taken out
+    look up their parents, the last first.
     """
     start = tokens.select("jti", "parent_jti")
     known = start.select(F.col("jti").alias("parent_jti"), F.lit(True).alias("_known"))
-    now = start.join(known, "parent_jti", "left").select("jti", F.coalesce(F.when(F.col("_known"), F.col("parent_jti")), "jti").alias("root"))
-    now = materialize(now.withColumn("depth", (F.col("root") != F.col("jti")).cast("bigint")), "chains")
+    every = start.join(known, "parent_jti", "left").select("jti", F.coalesce(F.when(F.col("_known"), F.col("parent_jti")), "jti").alias("root"))
+    every = materialize(every.withColumn("depth", (F.col("root") != F.col("jti")).cast("bigint")), "chains")
+    roots, now, out = every.where("depth = 0"), every.where("depth > 0"), []
+
+    def through(rows: DataFrame, by: DataFrame) -> DataFrame:
+        """rows tied to what `by` says of their parents, and how much further up that is; those it does not know stay."""
+        up = by.select(F.col("jti").alias("root"), F.col("root").alias("_next"), F.col("depth").alias("_more"))
+        return rows.join(up, "root", "left").select("jti", F.coalesce("_next", "root").alias("root"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_more").isNotNull().alias("_moved"))
+
+    while len(out) < max_rounds and now.count() > few:
+        head = [F.pmod(F.xxhash64(F.lit(len(out)), F.col(c)), F.lit(2)) == 0 for c in ("jti", "root")]
+        out.append(materialize(now.where(head[0] & ~head[1]), "chains-out"))
+        now = materialize(through(now.where(~(head[0] & ~head[1])), out[-1]).drop("_moved"), "chains")
     for _ in range(max_rounds):
-        up = now.select(F.col("jti").alias("root"), F.col("root").alias("_next"), F.col("depth").alias("_more"))
-        step = materialize(now.join(up, "root").select("jti", F.col("_next").alias("root"), (F.col("depth") + F.col("_more")).alias("depth"), (F.col("_more") > 0).alias("_moved")), "chains")
+        step = materialize(through(now, now), "chains")
         now = step.drop("_moved")
         if step.where("_moved").isEmpty():
-            return now
-    raise RuntimeError(f"token chains did not end in {max_rounds} rounds: a token is its own ancestor")
+            break
+    else:
+        raise RuntimeError(f"token chains did not end in {max_rounds} rounds: a token is its own ancestor")
+    for rows in reversed(out):
+        now = now.union(materialize(through(rows, now).drop("_moved"), "chains"))
+    return roots.union(now)
 
 
 def follow_counts(follows: DataFrame) -> DataFrame:

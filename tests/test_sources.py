@@ -177,3 +177,20 @@ def test_visiting_orders(spark):
         best += length(path) <= shortest + 1e-6
         assert length(path) <= 1.3 * shortest + 1e-6
     assert best >= 34
+
+
+def test_long_token_chains(spark):
+    """Long chains with branches, with tokens taken out of them and without, and a loop among many; a round moves few rows."""
+    from pyspark.sql import functions as F
+
+    parent = {i: i - 1 - i % 3 if i % 400 else None for i in range(3000)} | {5000: 4999}
+    df = spark.createDataFrame(list(parent.items()), "jti long, parent_jti long")
+    want = {}
+    for i in sorted(parent):
+        p = parent[i]
+        want[i] = (want[p][0], want[p][1] + 1) if p in want else (i, 0)
+    for few in (0, 100, 1 << 20):
+        assert {r.jti: (r.root, r.depth) for r in accounts.token_chains(df, few=few).collect()} == want
+    loop = df.union(spark.range(6000, 6300).select("id", F.when(F.col("id") > 6000, F.col("id") - 1).otherwise(6299)))
+    with pytest.raises(RuntimeError):
+        accounts.token_chains(loop, 12, few=50)
