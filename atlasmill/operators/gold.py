@@ -54,9 +54,9 @@ def geojson_features(places: DataFrame, licences: tuple[str, ...] | None = None)
     return places.where(F.col("is_published") & open_ones).select("id", F.to_json(feature).alias("feature"))
 
 
-def gold_places(merged: DataFrame, scores: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Serving rows of merged clusters. Rows whose id is already in `existing` are left out, so a re-run adds nothing."""
-    df = merged.join(scores.select("cluster", "min_score"), "cluster").withColumn("id", place_id())
+def gold_places(merged: DataFrame, scores: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """Serving rows of merged clusters; without scores they have a min_score of their own. Rows whose id is already in `existing` are left out, so a re-run adds nothing."""
+    df = (merged if scores is None else merged.join(scores.select("cluster", "min_score"), "cluster")).withColumn("id", place_id())
     if existing is not None:
         df = df.join(existing.select("id"), "id", "left_anti")
     # A name without letters to spell gets a base of its own, so that such names do not all meet in one window.

@@ -15,7 +15,7 @@ from atlasmill.functions.geo import category_score, geo_score, geohash_encode, g
 from atlasmill.functions.text import match_key, token_ratio
 from atlasmill.operators.components import connected_components
 from atlasmill.schemas import NAMES, all_names, best_name
-from atlasmill.session import materialize
+from atlasmill.session import materialize, spread
 
 
 def valid(places: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,12 +35,12 @@ def candidate_pairs(places: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Pairs (a < b) in the same or a neighbouring cell, each once.
 
     Only the left side is spread over its nine cells, so a pair meets in exactly one of them and no distinct is
-    needed; dense cells are split by adaptive skew handling.
+    needed; dense cells are split by adaptive skew handling. Neither side is broadcast, however small its files are.
     """
     rows = comparable(places, params)
     left = rows.select(*[F.col(c).alias(f"a_{c}") for c in ("ord", "lat", "lng", "names", "cats")], F.explode(neighbour_cells(F.col("y"), F.col("x"), params.precision)).alias("cell"))
     right = rows.select(*[F.col(c).alias(f"b_{c}") for c in ("ord", "lat", "lng", "names", "cats")], "y", "x")
-    return left.join(right, (F.col("cell.y") == F.col("y")) & (F.col("cell.x") == F.col("x")) & (F.col("a_ord") < F.col("b_ord"))).drop("cell", "y", "x")
+    return left.join(right.hint("merge"), (F.col("cell.y") == F.col("y")) & (F.col("cell.x") == F.col("x")) & (F.col("a_ord") < F.col("b_ord"))).drop("cell", "y", "x")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -121,11 +121,12 @@ def _rank(sources: tuple[str, ...]) -> Column:
     return F.when(place > 0, place)
 
 
-def merge_clusters(members: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def merge_clusters(members: DataFrame, params: Params = DEFAULT, rows: int | None = None) -> DataFrame:
     """One merged place for each cluster, with the source each field came from.
 
-    members: raw places with a cluster column. One aggregation; values go by source priority, then input order.
-    A cluster of one keeps all of its own values.
+    members: raw places with a cluster column, `rows` of them (counted where it is not given). One aggregation; values go
+    by source priority, then input order. A cluster of one keeps all of its own values. Members are dealt by cluster
+    before they are aggregated: the state of an aggregate is many times as wide as a place.
     """
     kinds = {f.name: f.dataType.simpleString() for f in members.schema}
     pr = params.priority
@@ -167,7 +168,8 @@ def merge_clusters(members: DataFrame, params: Params = DEFAULT) -> DataFrame:
     lineage = {"koordinat": "lat", "isim": "name_tr", "aciklama": "description_tr", "kapak_foto_url": "cover_photo_url", "opening_hours": "opening_hours", "tarihi_yapim_yili": "tarihi_yapim_yili"}
     agg += [from_source(c, pr[k]).alias(f"from_{k}") for k, c in lineage.items()]
     agg.append(from_source("unesco", pr["tescil"]).alias("from_unesco"))
-    out = members.groupBy("cluster").agg(*agg)
+    rows = members.select("cluster").count() if rows is None else rows
+    out = spread(members, "cluster", rows).groupBy("cluster").agg(*agg)
     for c in ("canonical_categories", "raw_categories", "tags"):
         out = out.withColumn(c, F.array_distinct(c))
     hours = F.col("opening_hours")

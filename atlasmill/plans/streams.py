@@ -15,13 +15,18 @@ from atlasmill.streaming.incremental import IncrementalResolution
 from atlasmill.streaming.views import TrendingView
 
 
+#: Places of one file of a stream.
+FILE_ROWS = 100_000
+
+
 def _resolved(spark: SparkSession, sf_dir: str, batches: int = 3) -> IncrementalResolution:
-    """All places in three batches, so that clusters grow and join from batch to batch."""
+    """All places in three batches, so that clusters grow and join from batch to batch; a batch is as many files as its rows need."""
     rows, path = T.raw_places(spark, sf_dir), scratch_path(spark, "incremental")
-    files = rows.repartitionByRange(batches, F.xxhash64(F.col("ord").cast("string")))
+    each = max(1, -(-rows.count() // (batches * FILE_ROWS)))
+    files = rows.repartitionByRange(batches * each, F.xxhash64(F.col("ord").cast("string")))
     files.write.parquet(f"{path}/in")
     state = IncrementalResolution(spark, f"{path}/state")
-    state.run(jobs.read_events(spark, f"{path}/in", rows.schema, 1))
+    state.run(jobs.read_events(spark, f"{path}/in", rows.schema, each))
     return state
 
 
