@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasmill.operators import adjudication, gold, serving, social
@@ -117,6 +117,8 @@ def ckan_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGE = 100
+#: Elements of one range that is sorted on its way into a document.
+RANGE_ROWS = 250_000
 
 
 @query(f"""WITH c AS (SELECT c_custkey AS n, {POINT} FROM customer WHERE c_custkey % 6 <> 5 AND c_custkey % 7 <> 6)
@@ -144,11 +146,17 @@ def streamed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All elements in one document, read element by element."""
     elements = overpass(spark, sf_dir).select(F.explode("elements").alias("e")).select("e", F.to_json("e").alias("text"))
     path = scratch_path(spark, "document")
-    lines = elements.repartition(1).sortWithinPartitions("e.id").select(F.concat(F.lit(" , "), "text").alias("value"), F.row_number().over(Window.orderBy("e.id")).alias("i"))
     head = '{"generator": "a \\"}{[ b", "meta": [{"elements": 1}], "elements" : ['
-    body = lines.select(F.when(F.col("i") == 1, F.concat(F.lit(head), F.substring("value", 4, 1 << 30))).otherwise(F.col("value")).alias("value"), "i")
-    tail = spark.createDataFrame([('], "tail": {"elements": [{"x": 1}]}}', 1 << 40)], "value string, i long")
-    body.union(tail).coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+    first = elements.agg(F.min("e.id").alias("low"))
+    lines = elements.join(F.broadcast(first)).select("e.id", F.concat(F.when(F.col("e.id") == F.col("low"), F.lit(head)).otherwise(F.lit(" , ")), "text").alias("value"))
+    # Ranges are sorted apart, and one task writes them one after the other: it sorts nothing.
+    parts = -(-elements.count() // RANGE_ROWS) or 1
+    ranges = lines.repartitionByRange(parts, "id").sortWithinPartitions("id").select("value", F.spark_partition_id().alias("range"))
+    ranges.write.partitionBy("range").parquet(f"{path}-lines")
+    body = spark.createDataFrame([('], "tail": {"elements": [{"x": 1}]}}',)], "value string").coalesce(1)
+    for i in reversed(range(parts)):
+        body = spark.read.schema("value string").parquet(f"{path}-lines/range={i}").union(body)
+    body.coalesce(1).write.text(path)
     p = payloads.overpass_places(paging.streamed_payload(spark, path, payloads.OVERPASS))
     return p.select("source_id", "name_tr", F.round("lat", 6).alias("lat"), "ord")
 

@@ -1,12 +1,13 @@
 """Saved responses of paged services, and single documents too large to be parsed at once.
 
 Both are read by Spark's own file sources, so they work on any store that Spark reads. A page is a task's worth of rows;
-a large document is cut at closing braces by the text source, and put together again element by element.
+a large document is cut at closing braces by the text source, and its blocks are read apart, element by element.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasmill.config import DEFAULT, Params
+from atlasmill.session import materialize
 from atlasmill.sources.payloads import normalized_rows
 
 RESPONSE = (
@@ -60,75 +62,223 @@ def paged_places(spark: SparkSession, path: str, params: Params = DEFAULT) -> Da
 STRUCTURE = re.compile(r'[\\"{}\[\]]')
 
 
+#: Blocks of documents up to which their table is broadcast; beyond, pieces are shuffled to it.
+BROADCAST_BLOCKS = 50_000
+
+
 class _Elements:
-    """Finds the objects of one array of the outermost object, piece by piece."""
+    """Finds the objects of one array of the outermost object, piece by piece; pieces end with a closing brace.
 
-    def __init__(self, field: str):
-        self.key, self.depth, self.quoted, self.escaped, self.inside, self.held, self.lead = f'"{field}"', 0, False, False, False, [], ""
+    It may begin at any piece, if told what the pieces before leave: whether a string is open, the depth, whether that is
+    inside the array, how many elements have begun, and whether the last of them has not ended.
+    """
+
+    def __init__(self, field: str, quoted: bool = False, depth: int = 0, inside: bool = False, begun: int = 0, within: bool = False):
+        self.key, self.quoted, self.depth, self.inside, self.begun, self.within, self.held = f'"{field}"', quoted, depth, inside, begun, within, []
 
     def feed(self, piece: str) -> Iterator[str]:
-        start = 0
-        if self.escaped:
-            self.escaped = False
-            begin = 1
-        else:
-            begin = 0
-        at = begin
+        """Elements that the piece ends. One that began before is its end only."""
+        start = at = 0
         while match := STRUCTURE.search(piece, at):
             at, mark = match.end(), match.group()
             if mark == "\\":
-                self.escaped = at == len(piece)
                 at += 1
             elif mark == '"':
                 self.quoted = not self.quoted
             elif not self.quoted:
                 if mark in "{[":
                     if mark == "[" and self.depth == 1:
-                        self.inside = (self.lead + piece[: at - 1]).rstrip().removesuffix(":").rstrip().endswith(self.key)
+                        self.inside = piece[: at - 1].rstrip().removesuffix(":").rstrip().endswith(self.key)
                     if mark == "{" and self.depth == 2 and self.inside:
-                        start, self.held = at - 1, []
+                        start, self.held, self.within = at - 1, [], True
+                        self.begun += 1
                     self.depth += 1
                 else:
                     self.depth -= 1
-                    if mark == "}" and self.depth == 2 and self.inside:
+                    if self.within and self.depth == 2:
                         yield "".join(self.held) + piece[start:at]
-                        self.held, start = [], at
+                        self.held, self.within = [], False
                     if self.depth == 1:
                         self.inside = False
-        if self.inside and self.depth > 2:
+        if self.within:
             self.held.append(piece[start:])
-        self.lead = (self.lead + piece)[-256:] if self.depth == 1 else ""
+
+
+class _Levels:
+    """What a block does to the depth, and how many elements begin in it, when the depth it begins at is not known.
+
+    Inside a document the depth is 1 at least. So the lowest level of a block is depth 1, or 2, or it lies within an
+    element and none begins: the numbers for the first two are kept.
+    """
+
+    def __init__(self, field: str):
+        self.key, self.level, self.low, self.opened, self.before, self.after, self.inside, self.last = f'"{field}"', 0, 0, Counter(), 0, 0, False, {}
+
+    def mark(self, mark: str, piece: str, at: int) -> None:
+        if mark in "{[":
+            if mark == "[" and self.level == self.low:
+                self.inside = piece[: at - 1].rstrip().removesuffix(":").rstrip().endswith(self.key)
+            self.last[self.level] = mark
+            if mark == "{":
+                self.opened[self.level] += 1
+                self.after += self.level == self.low + 1 and self.inside
+            self.level += 1
+        else:
+            self.level -= 1
+            if self.level < self.low:  # what began one level higher, began before this level was met
+                self.low, self.before, self.after = self.level, self.opened[self.level + 1], 0
+            if self.level == self.low:
+                self.inside = False
+
+    def row(self, quoted: bool) -> tuple:
+        return quoted, self.level, self.low, self.opened[self.low], self.before, self.after, self.inside, self.last.get(self.low) == "{", self.last.get(self.low + 1) == "{"
+
+
+HALF = "quoted boolean, level long, low long, opened long, before long, after long, inside boolean, within boolean, above boolean"
+BLOCK = "quoted boolean, depth long, inside boolean, begun long, within boolean"
+
+
+def _blocks(pieces: DataFrame, field: str) -> DataFrame:
+    """origin, block and what holds where each block begins: quoted, depth, inside, begun, within.
+
+    A block is looked through once for both cases, that it begins within a string and that it does not; a mark outside
+    strings in the one case is inside in the other. A document's blocks, a few numbers each, are then gone through in order.
+    """
+    fields = [f"{c.split()[0]}{i} {c.split()[1]}" for i in range(2) for c in HALF.split(", ")]
+    schema = ", ".join(["origin string", "block long", *fields])
+
+    def looked_through(batches):
+        now, levels, odd, whole = None, (), False, None
+
+        def row():
+            if whole is not None:  # the first block of a document: nothing is unknown
+                return (*now, whole.quoted, whole.depth, 0, whole.begun, 0, 0, whole.inside, whole.within, False, *[None] * 9)
+            return (*now, *levels[0].row(odd), *levels[1].row(not odd))
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=names)
+
+        names = [x.split()[0] for x in schema.split(", ")]
+        types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[x.split()[1]] for x in schema.split(", ")]
+        for batch in batches:
+            out = []
+            for *place, value in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if place != now:
+                    if now is not None:
+                        out.append(row())
+                    now, levels, odd = place, (_Levels(field), _Levels(field)), False
+                    whole = _Elements(field) if place[1] == 0 else None
+                piece, at = value + "}", 0
+                if whole is not None:
+                    for _ in whole.feed(piece):
+                        pass
+                    continue
+                while match := STRUCTURE.search(piece, at):
+                    at, mark = match.end(), match.group()
+                    if mark == "\\":
+                        at += 1
+                    elif mark == '"':
+                        odd = not odd
+                    else:
+                        levels[odd].mark(mark, piece, at)
+            if out:
+                yield table(out)
+        if now is not None:
+            yield table([row()])
+
+    def in_order(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        quoted, depth, inside, begun, within, out = False, 0, False, 0, False, []
+        for r in rows:
+            out.append((r["origin"], r["block"], quoted, depth, inside, begun, within))
+            if r["block"] == 0:
+                quoted, depth, inside, begun, within = (r[f"{c}0"] for c in ("quoted", "level", "inside", "opened", "within"))
+                continue
+            end, level, low, opened, before, after, array, first, second = (r[f"{c.split()[0]}{int(quoted)}"] for c in HALF.split(", "))
+            if depth + low <= 1:
+                begun, inside = begun + after + (before if inside else 0), array
+                within = array and second and depth + level > 2
+            elif depth + low == 2:
+                begun += opened if inside else 0
+                within = inside and first and depth + level > 2
+            quoted, depth = end, depth + level
+        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["origin", "block", "quoted", "depth", "inside", "begun", "within"])
+
+    found = pieces.select("origin", "block", "value").mapInArrow(looked_through, schema)
+    return found.groupBy("origin").applyInArrow(in_order, f"origin string, block long, {BLOCK}")
 
 
 def stream_elements(spark: SparkSession, path: str, field: str) -> DataFrame:
     """origin, pos, element (JSON text) of the array `field` of each document below path, one document a file.
 
-    A document streams through one task in pieces that end with a closing brace, so a task holds one element, however
-    large the document is; what follows parses elements apart. Null and numbers in the array are passed over.
+    A document is read twice, in the blocks that its file is split into, all at the same time: once for where each block
+    begins, then for the elements. A task holds one element, however large the document is; the parts of an element that
+    blocks cut are put together after that. Null and numbers in the array are passed over. Pieces end with a closing
+    brace, so the field's name must not hold one.
     """
+    if "}" in field:
+        raise ValueError("the field's name holds a closing brace")
     pieces = spark.read.option("lineSep", "}").text(path)
-    pieces = pieces.select(F.col("_metadata.file_path").alias("origin"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
+    pieces = pieces.select(F.col("_metadata.file_path").alias("origin"), F.col("_metadata.file_block_start").alias("block"), "value")
+    blocks = materialize(_blocks(pieces, field), "blocks")
+    if blocks.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        known = pieces.join(F.broadcast(blocks), ["origin", "block"], "left")
+    else:
+        known = pieces.withColumn("seq", F.monotonically_increasing_id()).join(blocks.hint("merge"), ["origin", "block"], "left")
+        known = known.repartition("origin", "block").sortWithinPartitions("origin", "block", "seq")
 
     def run(batches):
-        now, finder, pos = None, None, 0
+        now, finder, first = None, None, 0
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["origin", "pos", "block", "part"])
+
+        def rest():
+            return [(*now[:1], finder.begun - 1, now[1], "".join(finder.held))] if finder is not None and finder.within else []
+
         for batch in batches:
             out = []
-            for origin, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if origin != now:
-                    now, finder, pos = origin, _Elements(field), 0
+            for origin, block, value, *state in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if (origin, block) != now:
+                    out += rest()
+                    if None in state:
+                        raise ValueError(f"{origin} was split in another way at {block}")
+                    now, finder = (origin, block), _Elements(field, *state)
                 for element in finder.feed(value + "}"):
-                    out.append((origin, pos, element))
-                    pos += 1
+                    out.append((origin, finder.begun - 1, block, element))
+            if out:
+                yield table(out)
+        if out := rest():
+            yield table(out)
+
+    def whole(batches):
+        at, parts = None, []
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], names=["origin", "pos", "element"])
+
+        for batch in batches:
+            out = []
+            for origin, pos, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (origin, pos) != at:
+                    if parts:
+                        out.append((*at, "".join(parts)))
+                    at, parts = (origin, pos), []
+                parts.append(part)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["origin", "pos", "element"])
+                yield table(out)
+        if parts:
+            yield table([(*at, "".join(parts))])
 
-    sorted_ = pieces.repartition("origin").sortWithinPartitions("origin", "block", "seq")
-    return sorted_.select("origin", "value").mapInArrow(run, "origin string, pos long, element string")
+    found = known.select("origin", "block", "value", *[c.split()[0] for c in BLOCK.split(", ")]).mapInArrow(run, "origin string, pos long, block long, part string")
+    near = found.repartition("origin", F.floor(F.col("pos") / 1000)).sortWithinPartitions("origin", "pos", "block")
+    return near.select("origin", "pos", "part").mapInArrow(whole, "origin string, pos long, element string")
 
 
 def streamed_payload(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A payload of one-element documents in the order of the large ones: for the readers in payloads, with origin and pos."""
     field, kind = schema.split(" ", 1)
     item = kind.removeprefix("array<")[:-1]
-    rows = stream_elements(spark, path, field).repartition("origin", F.floor(F.col("pos") / 1000))
+    rows = stream_elements(spark, path, field)
     return rows.select(F.array(F.from_json("element", item)).alias(field), "origin", "pos")
