@@ -98,26 +98,52 @@ def upload_error(data: Column, declared: Column, most: int = UPLOAD_BYTES) -> Co
     )
 
 
-def export_users(users: DataFrame, relations: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+#: Bytes of input files for each partition in which documents of users are put together.
+EXPORT_BYTES = 8 << 20
+
+
+def _input_bytes(tables: list[DataFrame]) -> int:
+    spark, total = tables[0].sparkSession, 0
+    for file in {f for df in tables for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
+
+
+def export_users(users: DataFrame, relations: dict[str, tuple[DataFrame, str] | tuple[DataFrame, str, tuple[str, ...]]]) -> DataFrame:
     """user_id and one JSON document per user: the user's own columns and each relation's rows, newest first.
 
-    relations: name to (rows with user_id, order column). Rows become JSON where they are read; one union and one
-    grouping bring them to their user, whatever the number of relations.
+    relations: name to rows with user_id, their order column, and the columns that are shown (all but user_id). One union
+    and one shuffle bring rows to their user, as they are: relations of one DataFrame travel once, and rows become JSON
+    where they have arrived. The number of partitions follows the bytes of the input.
     """
-    parts = None
-    for name, (df, order) in relations.items():
-        body = F.to_json(F.struct(*[c for c in df.columns if c != "user_id"]))
-        part = df.select("user_id", F.lit(name).alias("relation"), F.col(order).cast("string").alias("at"), body.alias("body"))
-        parts = part if parts is None else parts.union(part)
-    held = parts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("relation", "at", "body")), False).alias("rows"))
+    tables = list({id(df): df for df, *_ in relations.values()}.values())
+    kinds = [df.select(F.struct(*[c for c in df.columns if c != "user_id"]).alias("r")).schema["r"].dataType for df in tables]
+    sent = None
+    for i, df in enumerate(tables):
+        rows = [F.struct(*[c for c in df.columns if c != "user_id"]) if i == k else F.lit(None).cast(kind) for k, kind in enumerate(kinds)]
+        part = df.select("user_id", F.lit(i).cast("byte").alias("t"), *[r.alias(f"r{k}") for k, r in enumerate(rows)])
+        sent = part if sent is None else sent.union(part)
+    there = sent.repartition(max(sent.sparkSession.sparkContext.defaultParallelism, -(-_input_bytes(tables) // EXPORT_BYTES)), "user_id")
+    entries = None
+    for i, df in enumerate(tables):
+        mine = []
+        for n, (name, (own, order, *shown)) in enumerate(relations.items()):
+            if own is df:
+                fields = shown[0] if shown else [c for c in df.columns if c != "user_id"]
+                row = F.col(f"r{i}")
+                mine.append(F.struct(F.lit(n).alias("relation"), row[order].cast("string").alias("at"), F.to_json(F.struct(*[row[c].alias(c) for c in fields])).alias("body")))
+        entries = F.when(F.col("t") == i, F.array(*mine)) if entries is None else entries.when(F.col("t") == i, F.array(*mine))
+    parts = there.select("user_id", F.explode(entries).alias("e"))
+    held = parts.groupBy("user_id").agg(F.sort_array(F.collect_list("e"), False).alias("rows"))
     full = users.join(held, "user_id", "left")
 
-    def listed(name: str) -> Column:
-        mine = F.transform(F.filter(F.coalesce("rows", F.expr("array()").cast("array<struct<relation:string,at:string,body:string>>")), lambda r: r["relation"] == name), lambda r: r["body"])
+    def listed(n: int, name: str) -> Column:
+        mine = F.transform(F.filter(F.coalesce("rows", F.expr("array()").cast("array<struct<relation:int,at:string,body:string>>")), lambda r: r["relation"] == n), lambda r: r["body"])
         return F.concat(F.lit(f',"{name}":['), F.array_join(mine, ","), F.lit("]"))
 
     user = F.to_json(F.struct(*users.columns))
-    return full.select("user_id", F.concat(F.lit('{"user":'), user, *[listed(n) for n in relations], F.lit("}")).alias("document"))
+    return full.select("user_id", F.concat(F.lit('{"user":'), user, *[listed(n, name) for n, name in enumerate(relations)], F.lit("}")).alias("document"))
 
 
 def delete_users(gone: DataFrame, tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], null_out: dict[str, str]) -> dict[str, DataFrame]:
