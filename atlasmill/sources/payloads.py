@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from atlasmill.config import DEFAULT, Params
 from atlasmill.functions import categories as C
+from atlasmill.functions.bound import bound
 from atlasmill.functions.geo import in_box, parse_point, to_float
 from atlasmill.functions.hours import inception_year, leading_year, osm_hours, turkish_hours
 from atlasmill.functions.text import normalize_text, tr_casefold
@@ -29,11 +30,15 @@ HOURS_KEYS = ("calisma_saatleri", "acilis_kapanis", "saatler", "opening_hours")
 CATEGORY_KEYS = ("kategori", "tur", "tip", "category")
 
 
-def read_payload(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON snapshot, bare or in a {metadata, data} envelope."""
-    raw = spark.read.option("multiLine", "true").schema(f"metadata struct<source:string,idempotency_key:string,extracted_at:string>, data struct<{_fields(schema)}>, {schema}").json(path)
+def read_payload(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A JSON snapshot, bare or in a {metadata, data} envelope: a file is one document, or with `lines` each of its lines.
+
+    Documents that share a file are told apart by their idempotency_key, which each must have then.
+    """
+    raw = spark.read.option("multiLine", str(not lines)).schema(f"metadata struct<source:string,idempotency_key:string,extracted_at:string>, data struct<{_fields(schema)}>, {schema}").json(path)
     name = schema.split(" ", 1)[0]
-    return raw.select(F.coalesce(F.col(f"data.{name}"), F.col(name)).alias(name), F.col("metadata.extracted_at").try_cast("timestamp").alias("extracted_at"), F.col("_metadata.file_path").alias("origin"))
+    origin = F.coalesce(F.col("metadata.idempotency_key"), F.raise_error(F.lit("a document in a line has no idempotency_key"))) if lines else F.col("_metadata.file_path")
+    return raw.select(F.coalesce(F.col(f"data.{name}"), F.col(name)).alias(name), F.col("metadata.extracted_at").try_cast("timestamp").alias("extracted_at"), origin.alias("origin"))
 
 
 def _when_and_where(payload: DataFrame) -> list[Column]:
@@ -131,11 +136,12 @@ def ckan_places(payload: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def normalized_rows(rows: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Places of open-data records: extracted_at, origin, d (name, license_id), r (id), dpos, rpos, pos, row (a map)."""
-    rows = rows.withColumn("m", F.transform_keys("row", lambda k, _: tr_casefold(k)))
-    m = F.col("m")
-    rows = rows.withColumn("name_tr", normalize_text(_first_present(m, NAME_KEYS))).withColumn("lat", to_float(_first_present(m, LAT_KEYS))).withColumn("lng", to_float(_first_present(m, LNG_KEYS)))
+    keys = {"name_tr": NAME_KEYS, "lat": LAT_KEYS, "lng": LNG_KEYS, "category": CATEGORY_KEYS, "hours": HOURS_KEYS}
+    found = bound(F.transform_keys("row", lambda k, _: tr_casefold(k)), lambda m: F.struct(*[_first_present(m, k).alias(name) for name, k in keys.items()]))
+    # A generator's columns are computed once a row, however often they are named below.
+    rows = rows.select("*", F.inline(F.array(found))).withColumns({"lat": to_float(F.col("lat")), "lng": to_float(F.col("lng")), **{name: normalize_text(F.col(name)) for name in ("name_tr", "category", "hours")}})
+    rows = rows.withColumn("hours", tr_casefold(F.col("hours")))
     rows = rows.where((F.length("name_tr") >= params.min_name) & in_box(F.col("lat"), F.col("lng"), params.box))
-    rows = rows.withColumn("category", normalize_text(_first_present(m, CATEGORY_KEYS))).withColumn("hours", tr_casefold(normalize_text(_first_present(m, HOURS_KEYS))))
     # Without an own id a row is named by a hash of its sorted entries, which is the same on every run.
     own = F.coalesce(F.nullif(F.element_at("row", F.lit("_id")), F.lit("")), F.nullif(F.element_at("row", F.lit("id")), F.lit("")), F.hex(F.xxhash64(F.to_json(F.array_sort(F.map_entries("row"))))))
     out = rows.select(
