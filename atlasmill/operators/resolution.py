@@ -5,13 +5,16 @@ Everything between the places and the component loop is one lazy plan: two shuff
 
 from __future__ import annotations
 
+from functools import cached_property
+from math import degrees, sin
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atlasmill.config import DEFAULT, Params
-from atlasmill.functions.geo import category_score, geo_score, geohash_encode, grid, haversine_m, neighbour_cells
+from atlasmill.functions.geo import EARTH_M, category_score, geo_score, geohash_encode, grid, haversine_m, neighbour_cells
 from atlasmill.functions.text import match_key, token_ratio
 from atlasmill.operators.components import connected_components
 from atlasmill.schemas import NAMES, all_names, best_name
@@ -31,16 +34,68 @@ def comparable(places: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return places.select("ord", "lat", "lng", names.alias("names"), F.col("canonical_categories").alias("cats"), y.alias("y"), x.alias("x"))
 
 
+def _ends(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of comparable rows with themselves."""
+    names = ("ord", "lat", "lng", "names", "cats", "y", "x", *more)
+    return tuple(rows.select(*[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
+
+
 def candidate_pairs(places: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Pairs (a < b) in the same or a neighbouring cell, each once.
 
     Only the left side is spread over its nine cells, so a pair meets in exactly one of them and no distinct is
     needed; dense cells are split by adaptive skew handling. Neither side is broadcast, however small its files are.
     """
-    rows = comparable(places, params)
-    left = rows.select(*[F.col(c).alias(f"a_{c}") for c in ("ord", "lat", "lng", "names", "cats")], F.explode(neighbour_cells(F.col("y"), F.col("x"), params.precision)).alias("cell"))
-    right = rows.select(*[F.col(c).alias(f"b_{c}") for c in ("ord", "lat", "lng", "names", "cats")], "y", "x")
-    return left.join(right.hint("merge"), (F.col("cell.y") == F.col("y")) & (F.col("cell.x") == F.col("x")) & (F.col("a_ord") < F.col("b_ord"))).drop("cell", "y", "x")
+    left, right = _ends(comparable(places, params))
+    left = left.withColumn("cell", F.explode(neighbour_cells(F.col("a_y"), F.col("a_x"), params.precision)))
+    return left.join(right.hint("merge"), (F.col("cell.y") == F.col("b_y")) & (F.col("cell.x") == F.col("b_x")) & (F.col("a_ord") < F.col("b_ord"))).drop("cell", "a_y", "a_x", "b_y", "b_x")
+
+
+def _beside() -> Column:
+    return F.abs(F.col("a_y") - F.col("b_y")).between(0, 1) & F.abs(F.col("a_x") - F.col("b_x")).between(0, 1)
+
+
+def pairs_within(places: DataFrame, metres: float, params: Params = DEFAULT) -> DataFrame:
+    """The candidate pairs that lie within so many metres, and some beyond: their number follows that radius, not the size of a cell.
+
+    Squares are four radii high, and as wide as that is at their end nearest a pole. The left side goes to every square
+    that its surroundings touch, 2.3 on average.
+    """
+    angle = max(metres, 1.0) * 1.000001 / EARTH_M
+    around, step = degrees(angle), 4 * degrees(angle)
+
+    def column(row: Column, lng: Column) -> Column:
+        far = F.least(F.greatest(F.abs(row * step - 90), F.abs((row + 1) * step - 90)), F.lit(90.0))
+        return F.floor((lng + 180) / F.least(F.lit(step) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12)), F.lit(360.0)))
+
+    def row(lat: Column) -> Column:
+        return F.floor((lat + 90) / step)
+
+    left, right = _ends(comparable(places, params).withColumn("row", row(F.col("lat"))).withColumn("column", column(F.col("row"), F.col("lng"))), "row", "column")
+    far = F.least(F.abs("a_lat") + around, F.lit(90.0))
+    share = F.lit(sin(angle / 2)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))
+    beside = F.when(share < 1, F.degrees(F.asin(share)) * 2.000002).otherwise(360.0)
+    left = left.withColumn("beside", beside).withColumn("at_row", F.explode(F.sequence(row(F.col("a_lat") - around), row(F.col("a_lat") + around))))
+    left = left.withColumn("at_column", F.explode(F.sequence(column(F.col("at_row"), F.col("a_lng") - F.col("beside")), column(F.col("at_row"), F.col("a_lng") + F.col("beside")))))
+    met = (F.col("at_row") == F.col("b_row")) & (F.col("at_column") == F.col("b_column")) & (F.col("a_ord") < F.col("b_ord")) & _beside()
+    return left.join(right.hint("merge"), met).select(*[f"{side}_{c}" for side in "ab" for c in ("ord", "lat", "lng", "names", "cats")])
+
+
+def pairs_inside(places: DataFrame, clusters: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The candidate pairs of which both ends are in one cluster; clusters: node and component."""
+    rows = comparable(places, params).join(clusters.select(F.col("node").alias("ord"), F.col("component").alias("cluster")), "ord")
+    left, right = _ends(rows, "cluster")
+    left = left.withColumn("cell", F.explode(neighbour_cells(F.col("a_y"), F.col("a_x"), params.precision)))
+    met = (F.col("a_cluster") == F.col("b_cluster")) & (F.col("cell.y") == F.col("b_y")) & (F.col("cell.x") == F.col("b_x")) & (F.col("a_ord") < F.col("b_ord"))
+    return left.join(right.hint("merge"), met).drop("cell", "a_y", "a_x", "b_y", "b_x", "b_cluster")
+
+
+def reach_m(least: float, params: Params = DEFAULT) -> float | None:
+    """Metres beyond which no pair scores `least`, whatever its names and categories are; None where distance alone rules none out."""
+    if params.weight_geo <= 0:
+        return None
+    near = (least - 1e-9 - max(params.weight_name, 0.0) - max(params.weight_category, 0.0)) / params.weight_geo
+    return None if near <= 0 else params.softening_m * max(1 / near - 1, 0.0)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -56,13 +111,25 @@ def name_score(a: Column, b: Column) -> Column:
     return F.when(none, 0.0).when(equal, 1.0).otherwise(_best_ratio(F.when(ask, a), F.when(ask, b)) / 100)
 
 
-def pair_scores(pairs: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """a, b, distance_m, geo, name, category, total of each candidate pair."""
-    d = pairs.withColumn("distance_m", haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")))
+def pair_scores(pairs: DataFrame, params: Params = DEFAULT, least: float | None = None) -> DataFrame:
+    """a, b, distance_m, geo, name, category, total of each candidate pair.
+
+    With `least`, of those that score that much: names are compared only where distance and categories leave it possible.
+    """
+    distance = haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
+    if least is not None:
+        # Empty lists of categories say what they score without being compared.
+        empty = [F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0 for c in ("a_cats", "b_cats")]
+        most = F.when(empty[0] & empty[1], 0.5).when(empty[0] | empty[1], 0.25).otherwise(1.0)
+        for category in (most, category_score(F.col("a_cats"), F.col("b_cats"))) if params.weight_category >= 0 else ():
+            open_ = params.weight_geo * geo_score(distance, params.softening_m) + max(params.weight_name, 0.0) + params.weight_category * category
+            pairs = pairs.where(open_ >= least - 1e-9)
+    d = pairs.withColumn("distance_m", distance)
     d = d.withColumn("geo", geo_score(F.col("distance_m"), params.softening_m)).withColumn("category", category_score(F.col("a_cats"), F.col("b_cats")))
     d = d.withColumn("name", name_score(F.col("a_names"), F.col("b_names")))
     total = params.weight_geo * F.col("geo") + params.weight_name * F.col("name") + params.weight_category * F.col("category")
-    return d.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), "distance_m", "geo", "name", "category", total.alias("total"))
+    d = d.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), "distance_m", "geo", "name", "category", total.alias("total"))
+    return d if least is None else d.where(F.col("total") >= least)
 
 
 def band(total: Column, params: Params = DEFAULT) -> Column:
@@ -72,38 +139,48 @@ def band(total: Column, params: Params = DEFAULT) -> Column:
 class Resolution:
     """clusters (ord, cluster), cluster_scores, queued pairs and discarded places of one run.
 
-    ord tells places apart and is their order: a null or repeated one is an error.
+    ord tells places apart and is their order: a null or repeated one is an error. Candidate pairs grow with the density
+    of places; each table takes only those it needs: clusters the ones near enough to merge, their scores the ones
+    inside them, the queue those that can be doubtful.
     """
 
     def __init__(self, places: DataFrame, params: Params = DEFAULT):
         self.params = params
         self.places, self.discarded = valid(places)
-        wrong = places.groupBy("ord").agg(F.count("*").alias("n")).where("ord is null or n > 1").first()
+        wrong = places.groupBy("ord").agg(F.count("*").alias("n")).where("ord is null or n > 1").agg(F.min_by(F.struct("ord", "n"), F.coalesce("ord", F.lit(-1))).alias("w")).first()["w"]
         if wrong is not None:
             raise ValueError(f"ord {wrong['ord']} is not the number of one place: it is there {wrong['n']} times")
-        self.scored = materialize(pair_scores(candidate_pairs(self.places, params), params), "scored")
-        labels = connected_components(self.scored.where(F.col("total") >= params.merge_from), "a", "b")
+        reach = reach_m(params.merge_from, params)
+        near = candidate_pairs(self.places, params) if reach is None else pairs_within(self.places, reach, params)
+        labels = connected_components(pair_scores(near, params, params.merge_from), "a", "b")
         self.labels = materialize(labels, "labels")
         joined = self.places.select("ord").join(self.labels, F.col("ord") == F.col("node"), "left")
         self.clusters = joined.select("ord", F.coalesce("component", "ord").alias("cluster"))
 
-    def labelled_pairs(self) -> DataFrame:
-        """Scored pairs with the clusters of both ends; places without a merge edge are their own cluster."""
-        a = self.labels.select(F.col("node").alias("na"), F.col("component").alias("ca"))
-        b = self.labels.select(F.col("node").alias("nb"), F.col("component").alias("cb"))
-        out = self.scored.join(a, F.col("a") == F.col("na"), "left").join(b, F.col("b") == F.col("nb"), "left")
-        return out.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).drop("na", "nb")
+    @cached_property
+    def scored(self) -> DataFrame:
+        """All candidate pairs with their scores."""
+        return materialize(pair_scores(candidate_pairs(self.places, self.params), self.params), "scored")
+
+    @cached_property
+    def doubtful(self) -> DataFrame:
+        """Pairs that score too little to merge and too much to be separate."""
+        p = self.params
+        return materialize(pair_scores(candidate_pairs(self.places, p), p, p.queue_from).where(F.col("total") < p.merge_from), "doubtful")
 
     def cluster_scores(self) -> DataFrame:
         """Smallest and largest score inside each cluster, 1 where nothing was scored."""
-        inner = self.labelled_pairs().where("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.min("total").alias("min_score"), F.max("total").alias("max_score"))
+        scored = pair_scores(pairs_inside(self.places, self.labels, self.params), self.params)
+        inner = scored.join(self.labels.select(F.col("node").alias("a"), F.col("component").alias("cluster")), "a").groupBy("cluster").agg(F.min("total").alias("min_score"), F.max("total").alias("max_score"))
         size = self.clusters.groupBy("cluster").agg(F.count("*").alias("members"))
         return size.join(inner, "cluster", "left").select("cluster", "members", F.coalesce("min_score", F.lit(1.0)).alias("min_score"), F.coalesce("max_score", F.lit(1.0)).alias("max_score"))
 
     def queued(self) -> DataFrame:
         """Doubtful pairs whose ends ended in different clusters, each once."""
-        p = self.params
-        return self.labelled_pairs().where((F.col("total") >= p.queue_from) & (F.col("total") < p.merge_from) & (F.col("ca") != F.col("cb"))).drop("ca", "cb")
+        a = self.labels.select(F.col("node").alias("na"), F.col("component").alias("ca"))
+        b = self.labels.select(F.col("node").alias("nb"), F.col("component").alias("cb"))
+        out = self.doubtful.join(a, F.col("a") == F.col("na"), "left").join(b, F.col("b") == F.col("nb"), "left")
+        return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("na", "nb", "ca", "cb")
 
 
 def _meaningful(name: str, kind: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +40,12 @@ class BatchRun:
     """All tables of one run over payloads by source.
 
     Several snapshots of a source may be there: of each record the newest counts. Places outside the fence go, those
-    without name or coordinates are discarded; the rest is resolved, merged and queued.
+    without name or coordinates are discarded; the rest is resolved, merged and queued. A table is made when it is first
+    asked for.
     """
 
     def __init__(self, payloads: dict[str, DataFrame], params: Params = DEFAULT, existing: DataFrame | None = None):
-        self.payloads, self.params = payloads, params
+        self.payloads, self.params, self.existing = payloads, params, existing
         every = None
         for name, (_, to_places, _) in SOURCES.items():
             if name in payloads:
@@ -50,15 +53,24 @@ class BatchRun:
                 every = part if every is None else every.unionByName(part)
         self.normalized = materialize(every, "normalized")
         inside = F.coalesce(in_box(F.col("lat"), F.col("lng"), params.box), F.lit(False))
-        self.silver = materialize(in_run_order(latest(self.normalized.where(inside))), "run-silver")
-        self.resolution = Resolution(self.silver, params)
-        self.merged = materialize(merge_clusters(self.resolution.places.join(self.resolution.clusters, "ord"), params), "run-merged")
-        self.places = materialize(gold.gold_places(self.merged, self.resolution.cluster_scores(), existing), "run-gold")
+        self.silver = in_run_order(latest(self.normalized.where(inside)))
+
+    @cached_property
+    def resolution(self) -> Resolution:
+        return Resolution(self.silver, self.params)
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        return materialize(merge_clusters(self.resolution.places.join(self.resolution.clusters, "ord"), self.params), "run-merged")
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return materialize(gold.gold_places(self.merged, self.resolution.cluster_scores(), self.existing), "run-gold")
 
     @classmethod
-    def of_files(cls, spark: SparkSession, paths: dict[str, str], params: Params = DEFAULT) -> BatchRun:
-        """A run over JSON snapshots: paths by source."""
-        return cls({name: S.read_payload(spark, path, SOURCES[name][0]) for name, path in paths.items()}, params)
+    def of_files(cls, spark: SparkSession, paths: dict[str, str], params: Params = DEFAULT, lines: bool = False) -> BatchRun:
+        """A run over JSON snapshots, a document a file or a line: paths by source."""
+        return cls({name: S.read_payload(spark, path, SOURCES[name][0], lines) for name, path in paths.items()}, params)
 
     def hours(self) -> DataFrame:
         return gold.opening_hour_rows(self.places)

@@ -16,7 +16,7 @@ from atlasmill.plans import tables as T
 from atlasmill.plans.queries import GEOHASH_SQL, GRID, haversine_sql
 from atlasmill.plans.registry import query
 from atlasmill.plans.scalars import token_set_sql
-from atlasmill.session import scratch_path
+from atlasmill.session import scratch_path, spread
 from atlasmill.sources import payloads
 from atlasmill.sources.images import photo_facts
 
@@ -26,21 +26,24 @@ NORTH = 0.00003
 
 
 def _written(payload: DataFrame, n, source: str, name: str, later: DataFrame) -> str:
-    """Two snapshots as JSON documents of PER_DOCUMENT customers: all of them, then those that are no multiple of 3."""
+    """Two snapshots as JSON documents of PER_DOCUMENT customers, each a line: all of them, then those that are no multiple of 3."""
     path = scratch_path(payload.sparkSession, f"snapshots-{source}")
     for day, df in (("2024-01-01", payload), ("2024-01-02", later.where(n % 3 != 0))):
         inner = name.rsplit(".", 1)[-1]
         rows = df.select(n.alias("n"), F.col(name).alias("x")).groupBy(F.lpad(F.floor(F.col("n") / PER_DOCUMENT).cast("string"), 8, "0").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("n", "x")), lambda a, b: (a["n"] - b["n"]).cast("int")).alias("rows"))
         items = F.flatten(F.transform("rows", lambda r: r["x"])).alias(inner)
         data = F.struct(F.struct(items).alias(name.split(".")[0])) if "." in name else F.struct(items)
-        head = F.struct(F.lit(source).alias("source"), F.lit(f"{source}:{day}").alias("idempotency_key"), F.lit(f"{day}T00:00:00Z").alias("extracted_at"))
-        rows.select("doc", F.lit(day).alias("day"), head.alias("metadata"), data.alias("data")).repartition("doc").write.mode("append").partitionBy("day", "doc").json(path)
+        head = F.struct(F.lit(source).alias("source"), F.concat(F.lit(f"{source}:{day}:"), "doc").alias("idempotency_key"), F.lit(f"{day}T00:00:00Z").alias("extracted_at"))
+        rows.select(F.lit(day).alias("day"), head.alias("metadata"), data.alias("data")).write.mode("append").partitionBy("day").json(path)
     return path
 
 
 def batch_run(spark: SparkSession, sf_dir: str) -> BatchRun:
     """Three sources with two snapshots each; of the first, every eleventh element lies outside the fence, and years changed between snapshots."""
-    osm = sources.overpass(spark, sf_dir)
+    # A small file is read in one task, but gives many documents.
+    customers = T.read(spark, sf_dir, "customer").select("c_custkey")
+    customers = spread(customers, "c_custkey", customers.count())
+    osm = sources.overpass(spark, sf_dir, customers)
 
     def moved(e):
         out = F.when(e["id"] % 11 == 0, 5.0).otherwise(0.0)
@@ -52,12 +55,12 @@ def batch_run(spark: SparkSession, sf_dir: str) -> BatchRun:
 
     new = osm.withColumn("elements", F.transform("elements", moved))
     old = new.withColumn("elements", F.transform("elements", older))
-    wikidata, ckan = sources.wikidata(spark, sf_dir), sources.ckan(spark, sf_dir)
+    wikidata, ckan = sources.wikidata(spark, sf_dir, customers), sources.ckan(spark, sf_dir, customers)
     item = F.regexp_extract(F.get("results.bindings", F.lit(0))["item"]["value"], "(\\d+)$", 1).cast("bigint")
     return BatchRun.of_files(spark, {
         "osm": _written(old, F.get("elements", F.lit(0))["id"], "osm", "elements", new), "wikidata": _written(wikidata, item, "wikidata", "results.bindings", wikidata),
         "bizizmir": _written(ckan, F.regexp_extract(F.get("datasets", F.lit(0))["name"], "(\\d+)$", 1).cast("bigint"), "bizizmir", "datasets", ckan),
-    })
+    }, lines=True)
 
 
 #: Silver places as the fixtures above define them, in the order of a run; pairs, scores and clusters as in a run.

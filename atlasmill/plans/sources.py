@@ -26,7 +26,7 @@ def _tags(pairs: dict[str, Column]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
-def overpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overpass(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
     """Nodes and ways with names in several languages, hours, links and dates; every tenth element has no place."""
     n, (lat, lng) = F.col("c_custkey"), _point()
     way, lost = n % 2 == 1, n % 10 == 9
@@ -40,7 +40,7 @@ def overpass(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(way, "way").otherwise("node").alias("type"), n.cast("bigint").alias("id"), F.when(~way & ~lost, lat).alias("lat"), F.when(~way & ~lost, lng).alias("lon"),
         F.when(way & ~lost, F.struct(lat.alias("lat"), lng.alias("lon"))).alias("center"), tags.alias("tags"),
     )
-    return T.read(spark, sf_dir, "customer").select(F.array(element).alias("elements"))
+    return (T.read(spark, sf_dir, "customer") if customers is None else customers).select(F.array(element).alias("elements"))
 
 
 @query(f"""WITH c AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 2 = 1 THEN 'way' ELSE 'node' END AS t, {POINT} FROM customer WHERE c_custkey % 10 <> 9),
@@ -57,7 +57,7 @@ def overpass_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def wikidata(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wikidata(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
     """One or two bindings an item, with good and bad points."""
     n, (lat, lng) = F.col("c_custkey"), _point()
     at = F.concat(F.lit("Point("), F.format_string("%.5f", lng), F.lit(" "), F.format_string("%.5f", lat), F.lit(")"))
@@ -75,7 +75,7 @@ def wikidata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     second = binding({"typeIds": F.lit("http://www.wikidata.org/entity/Q32815"), "nameEn": F.lit("Second")})
     rows = F.when(n % 5 == 0, F.array(binding({}), second)).otherwise(F.array(binding({})))
-    return T.read(spark, sf_dir, "customer").select(F.struct(rows.alias("bindings")).alias("results"))
+    return (T.read(spark, sf_dir, "customer") if customers is None else customers).select(F.struct(rows.alias("bindings")).alias("results"))
 
 
 @query(f"""WITH c AS (SELECT c_custkey AS n, {POINT} FROM customer WHERE c_custkey % 10 <> 7)
@@ -88,7 +88,7 @@ def wikidata_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("source_id", "name_tr", "name_en", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"), F.array_join("canonical_categories", ",").alias("categories"), F.col("cover_photo_url").alias("photo"), F.col("tarihi_yapim_yili").alias("built"), "unesco")
 
 
-def ckan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ckan(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
     """A dataset a customer, given twice, with differently named columns, bad numbers, short names and places outside the fence."""
     n, (lat, lng) = F.col("c_custkey"), _point()
     name = F.when(n % 6 == 5, F.lit("x")).otherwise(F.concat(F.lit("Müze "), n.cast("string")))
@@ -104,7 +104,7 @@ def ckan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), n.cast("string")).alias("name"), none.alias("title"), none.alias("notes"), F.when(n % 5 == 0, "ODbL").alias("license_id"), none.alias("url"),
         F.array().cast("array<string>").alias("tags"), F.array(resource).alias("resources"), none.alias("matched_query"),
     )
-    return T.read(spark, sf_dir, "customer").select(F.array(dataset, dataset).alias("datasets"))
+    return (T.read(spark, sf_dir, "customer") if customers is None else customers).select(F.array(dataset, dataset).alias("datasets"))
 
 
 @query(f"""WITH c AS (SELECT c_custkey AS n, {POINT} FROM customer WHERE c_custkey % 6 <> 5 AND c_custkey % 7 <> 6)
